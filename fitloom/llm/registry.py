@@ -1,6 +1,7 @@
 """The ten operators' queries, and SQL for those that it can express."""
 
 from .mixing import op10_mixing
+from .packing import op9_packing
 
-QUERIES = {"op10_mixing": op10_mixing}
+QUERIES = {"op9_packing": op9_packing, "op10_mixing": op10_mixing}
 ORACLE = {}

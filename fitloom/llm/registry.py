@@ -2,6 +2,7 @@
 
 from .mixing import op10_mixing
 from .packing import op9_packing
+from .simhash import op3_simhash
 
-QUERIES = {"op9_packing": op9_packing, "op10_mixing": op10_mixing}
+QUERIES = {"op3_simhash": op3_simhash, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
 ORACLE = {}

@@ -2,7 +2,8 @@
 
 from .mixing import op10_mixing
 from .packing import op9_packing
+from .repeats import op4_repeats
 from .simhash import op3_simhash
 
-QUERIES = {"op3_simhash": op3_simhash, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
+QUERIES = {"op3_simhash": op3_simhash, "op4_repeats": op4_repeats, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
 ORACLE = {}

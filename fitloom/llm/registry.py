@@ -4,6 +4,7 @@ from .mixing import op10_mixing
 from .packing import op9_packing
 from .repeats import op4_repeats
 from .simhash import op3_simhash
+from .toxicity import op8_toxicity
 
-QUERIES = {"op3_simhash": op3_simhash, "op4_repeats": op4_repeats, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
+QUERIES = {"op3_simhash": op3_simhash, "op4_repeats": op4_repeats, "op8_toxicity": op8_toxicity, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
 ORACLE = {}

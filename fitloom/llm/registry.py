@@ -1,11 +1,12 @@
 """The ten operators' queries, and SQL for those that it can express."""
 
 from .chat import op7_chat
+from .media import op1_media
 from .mixing import op10_mixing
 from .packing import op9_packing
 from .repeats import op4_repeats
 from .simhash import op3_simhash
 from .toxicity import op8_toxicity
 
-QUERIES = {"op3_simhash": op3_simhash, "op4_repeats": op4_repeats, "op7_chat": op7_chat, "op8_toxicity": op8_toxicity, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
+QUERIES = {"op1_media": op1_media, "op3_simhash": op3_simhash, "op4_repeats": op4_repeats, "op7_chat": op7_chat, "op8_toxicity": op8_toxicity, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
 ORACLE = {}

@@ -2,6 +2,7 @@
 
 from .chat import op7_chat
 from .media import op1_media
+from .language import op5_language
 from .mixing import op10_mixing
 from .neighbours import op2_neighbours
 from .packing import op9_packing
@@ -10,5 +11,5 @@ from .secrets import op6_secrets
 from .simhash import op3_simhash
 from .toxicity import op8_toxicity
 
-QUERIES = {"op1_media": op1_media, "op2_neighbours": op2_neighbours, "op3_simhash": op3_simhash, "op4_repeats": op4_repeats, "op6_secrets": op6_secrets, "op7_chat": op7_chat, "op8_toxicity": op8_toxicity, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
+QUERIES = {"op1_media": op1_media, "op2_neighbours": op2_neighbours, "op3_simhash": op3_simhash, "op4_repeats": op4_repeats, "op5_language": op5_language, "op6_secrets": op6_secrets, "op7_chat": op7_chat, "op8_toxicity": op8_toxicity, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
 ORACLE = {}

@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, read, stage, unstage
+from .common import WORD, read, stage, text_key
 
 CAP = 3.0
 SALTS = 16
@@ -27,9 +27,9 @@ REPAIRS = 4
 WEIGHTS = (1, 2, 3)
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size: the number of words of the whole text."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def sized(docs: DataFrame, *more) -> DataFrame:
+    """doc_id, source, size (the number of words of the whole text) and the columns `more`."""
+    return docs.select("doc_id", "source", *more, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
 def targets(sizes: dict, weights: dict, cap: float = CAP) -> dict:
@@ -189,3 +189,16 @@ def apply(rows: DataFrame, changed: dict) -> DataFrame:
 def op10_mixing(spark, sf_dir) -> DataFrame:
     out = mix(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", F.col("taken").cast(T.LongType()).alias("taken"), "source", "copies")
+
+
+def mixed_rows(docs: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
+    """The mix itself: every row of docs as often as its copies say."""
+    th = text_key(F.col("text"))
+    copies = assign(stage(sized(docs, th.alias("th")), "mix-sizes"), weights, cap)
+    copies = copies.groupBy("doc_id", "th").agg(F.sum("copies").alias("_n")).filter("_n > 0").select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"), "_n")
+    rows = docs.withColumn("_th", th)
+    # repeated rows share one sum of copies: leave one of each before the rows are multiplied
+    rank = W.partitionBy("doc_id", "_th").orderBy("text")
+    once = rows.withColumn("_r", F.row_number().over(rank)).filter("_r = 1").drop("_r")
+    out = once.join(copies, same("doc_id", "_d") & (F.col("_th") == F.col("_h")))
+    return out.withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).select(*docs.columns)

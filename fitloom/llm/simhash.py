@@ -270,5 +270,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = MAX_BITS) ->
     return fps.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def representatives(docs: DataFrame, shingle: int = 4, most: int = MAX_BITS) -> DataFrame:
+    """The rows of docs with the smallest doc_id of their component; groups without an id stay whole."""
+    found = near_duplicates(docs, shingle, most)
+    gone = found.filter("doc_id is null and component_id is not null or doc_id != component_id").select(F.col("doc_id").alias("_d")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")), "left_anti").dropDuplicates(["doc_id", "text"])
+
+
 def op3_simhash(spark, sf_dir) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))

@@ -167,6 +167,7 @@ def scored(docs: DataFrame, model: tuple, extra: tuple = (), locate: bool = True
     weights, bias = model
     at = np.flatnonzero(weights)
     send = docs.sparkSession.sparkContext.broadcast((at, weights[at], bias))  # at most 2^BITS weights
+    keep = list(dict.fromkeys([*extra, "doc_id"]))
 
     def run(batches):
         at, w, bias = send.value
@@ -187,12 +188,11 @@ def scored(docs: DataFrame, model: tuple, extra: tuple = (), locate: bool = True
                     found[i] = [{"s": a, "e": b, "score": float(x)} for (a, b), x in zip(sentences(part[i]), p[lo_s:hi_s]) if x >= 0.5]
                 spans.extend(found)
             kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64()), ("score", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in extra] + [batch.column("doc_id"), pa.array(np.clip(score, 0, 1)), pa.array(spans, kind)], [*extra, "doc_id", "score", "offending"])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(np.clip(score, 0, 1)), pa.array(spans, kind)], [*keep, "score", "offending"])
 
     kinds = dict(docs.dtypes)
-    cols = list(dict.fromkeys([*extra, "doc_id", "text"]))
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*extra, "doc_id"]) + ", score double, offending array<struct<s:long,e:long,score:double>>"
-    return docs.select(*cols).mapInArrow(run, schema)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", score double, offending array<struct<s:long,e:long,score:double>>"
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
 
 def held_out(folds: int = 5):

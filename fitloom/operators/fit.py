@@ -137,7 +137,7 @@ def start_values(model: Model, pts: DataFrame, lo: np.ndarray, hi: np.ndarray) -
         return np.asarray(model.start(frame.curve(pts, model.variables[0])), float)
     out = np.ones(len(model.params))
     both, low, high = np.isfinite(lo) & np.isfinite(hi), np.isfinite(lo) & ~np.isfinite(hi), ~np.isfinite(lo) & np.isfinite(hi)
-    out[both], out[low], out[high] = ((lo + hi) / 2)[both], (lo + 1)[low], (hi - 1)[high]
+    out[both], out[low], out[high] = (lo[both] + hi[both]) / 2, lo[low] + 1, hi[high] - 1
     return out
 
 

@@ -43,7 +43,7 @@ def test_spark_numpy_and_sql_agree(spark):
     xs = [0.5, 1.0, 2.5, 4.0]
     here = E.to_numpy(e)(p, {"x": np.array(xs)})
     rows = spark.createDataFrame([(x,) for x in xs], "x double").select(E.to_column(e, p)).collect()
-    sql = [duckdb.sql(f"SELECT {E.to_sql(e, p, {'x': x})}").fetchone()[0] for x in xs]
+    sql = [duckdb.sql(f"SELECT {E.to_sql(e, p, {'x': x})}").fetchall()[0][0] for x in xs]
     np.testing.assert_allclose([r[0] for r in rows], here, rtol=1e-14)
     np.testing.assert_allclose(sql, here, rtol=1e-14)
 

@@ -19,19 +19,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, stage, unstage
+from .common import read, stage
 
-WORDS = 4096
-CLASS_SIZE = 128
+WORDS = 1024
+CLASS_SIZE = 64
 TAILS = 16
 COUNTED = 1 << 17
 HIDDEN = 16
-LANES, WINDOW = 256, 32
+LANES, WINDOW = 384, 32
+SEGMENT = 512  # training restarts the state after so many tokens of a document
 RATE = 0.08
 ROUNDS = 3
 ALPHA = 0.1
 END = b"\n"  # no word holds white space
-_CHUNK_TOKENS = 1 << 20
+_CHUNK_TOKENS = 1 << 22
 _TOP = 1 << 63
 
 
@@ -51,22 +52,24 @@ def tail_of(keys: np.ndarray) -> np.ndarray:
     return (keys.view(np.uint64) >> np.uint64(59)).astype(np.int64) & (TAILS - 1)
 
 
-class Codes:
+class Known(dict):
     """Numbers of words: the rank below COUNTED, else the key. Remembers a bounded number of words."""
 
     def __init__(self, rank: dict):
-        self.rank, self.known = rank, {}
+        super().__init__()
+        self.rank = rank
 
-    def of(self, texts: list) -> list:
-        split = [(t or "").encode().lower().split() for t in texts]
-        if len(self.known) > 400_000:
-            self.known.clear()
-        known, rank = self.known, self.rank
-        for w in set().union((END,), *split).difference(known):
-            key = word_key(w)
-            known[w] = rank.get(key, key)
-        end = known[END]
-        return [np.fromiter([*map(known.__getitem__, words), end], np.int64, len(words) + 1) for words in split]
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        key = word_key(word)
+        self[word] = found = self.rank.get(key, key)
+        return found
+
+    def of(self, text: str | None) -> np.ndarray:
+        words = (text or "").encode().lower().split()
+        words.append(END)
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
 def corpus_counts(docs: DataFrame) -> DataFrame:
@@ -130,14 +133,15 @@ def initial(layout: Layout) -> dict:
     c = np.zeros(WORDS)
     c[: layout.words] = layout.counts[: layout.words]
     p_class = np.concatenate([c.reshape(-1, CLASS_SIZE).sum(1), layout.tail_n]) + ALPHA
-    word = np.where(np.arange(WORDS) < layout.words, np.log(c + ALPHA), -30.0)
+    word = np.where(np.arange(WORDS) < layout.words, np.log(c + ALPHA), -30.0).reshape(-1, CLASS_SIZE)
+    word = word - np.log(np.exp(word).sum(1, keepdims=True))
     p = {
         "x": r.normal(0, 0.3, (WORDS + TAILS + 1, 3 * h)),
         "u": r.normal(0, h**-0.5, (h, 3 * h)),
         "c": np.zeros((h, len(p_class))),
         "cb": np.log(p_class / p_class.sum()),
         "w": np.zeros((WORDS // CLASS_SIZE, h, CLASS_SIZE)),
-        "wb": word.reshape(-1, CLASS_SIZE),
+        "wb": word,
     }
     return {k: v.astype(np.float32) for k, v in p.items()}
 
@@ -179,7 +183,8 @@ def recur(p: dict, inputs: np.ndarray, new: np.ndarray, h: np.ndarray, keep: boo
     xs = p["x"][inputs]
     u, out, saved = p["u"], np.empty((T, B, H), np.float32), []
     for t in range(T):
-        h = h * ~new[t][:, None]
+        if new[t].any():
+            h = h * ~new[t][:, None]
         hu = h @ u
         zr = sigmoid(xs[t, :, : 2 * H] + hu[:, : 2 * H])
         z, r = zr[:, :H], zr[:, H:]
@@ -192,52 +197,71 @@ def recur(p: dict, inputs: np.ndarray, new: np.ndarray, h: np.ndarray, keep: boo
 
 
 def outputs(p: dict, h: np.ndarray, target: np.ndarray, grads: dict | None) -> tuple:
-    """Log probability of each target symbol (for tails: of the class) and, with grads, the gradient to h."""
+    """Log probability of each target symbol (for tails: of the class) and, with grads, the gradient to h.
+
+    Logits start as log probabilities and stay small, so they are only kept below overflow.
+    """
     n_words = WORDS // CLASS_SIZE
-    cls = np.where(target < WORDS, target // CLASS_SIZE, n_words + target - WORDS)
-    logit = h @ p["c"] + p["cb"]
-    logit -= logit.max(1, keepdims=True)
-    lse = np.log(np.exp(logit).sum(1))
+    cls = np.where(target < WORDS, target // CLASS_SIZE, n_words + target - WORDS).astype(np.int16)
+    order = np.argsort(cls, kind="stable")  # rows by class, so that a class is a slice
+    h, target, cls = h[order], target[order], cls[order]
+    logit = np.minimum(h @ p["c"] + p["cb"], 60)
+    e = np.exp(logit)
+    total = e @ np.ones(e.shape[1], np.float32)
     rows = np.arange(len(h))
-    lp = logit[rows, cls] - lse
+    lp = logit[rows, cls] - np.log(total)
     dh = None
     if grads is not None:
-        d = np.exp(logit - lse[:, None])
-        d[rows, cls] -= 1
-        grads["c"], grads["cb"] = h.T @ d, d.sum(0)
-        dh = d @ p["c"].T
+        e /= total[:, None]
+        e[rows, cls] -= 1
+        grads["c"], grads["cb"] = h.T @ e, e.sum(0)
+        dh = e @ p["c"].T
         grads["w"], grads["wb"] = np.zeros_like(p["w"]), np.zeros_like(p["wb"])
-    order = np.argsort(cls, kind="stable")
-    edge = np.searchsorted(cls[order], np.arange(n_words + 1))
-    for k in range(n_words):
-        at = order[edge[k] : edge[k + 1]]
-        if len(at):
-            hk, own = h[at], target[at] % CLASS_SIZE
-            lg = hk @ p["w"][k] + p["wb"][k]
-            lg -= lg.max(1, keepdims=True)
-            e = np.exp(lg)
-            s = e.sum(1)
-            i = np.arange(len(at))
-            lp[at] += lg[i, own] - np.log(s)
+    edge = np.searchsorted(cls, np.arange(n_words + 1))
+    ones = np.ones(CLASS_SIZE, np.float32)
+    for k, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())):
+        if a < b:
+            own, i = target[a:b] % CLASS_SIZE, rows[: b - a]
+            logit = np.minimum(h[a:b] @ p["w"][k] + p["wb"][k], 60)
+            e = np.exp(logit)
+            total = e @ ones
+            lp[a:b] += logit[i, own] - np.log(total)
             if grads is not None:
-                e /= s[:, None]
+                e /= total[:, None]
                 e[i, own] -= 1
-                grads["w"][k], grads["wb"][k] = hk.T @ e, e.sum(0)
-                dh[at] += e @ p["w"][k].T
-    return lp, dh
+                grads["w"][k], grads["wb"][k] = h[a:b].T @ e, e.sum(0)
+                dh[a:b] += e @ p["w"][k].T
+    back = np.empty_like(lp)
+    back[order] = lp
+    if dh is not None:
+        out = np.empty_like(dh)
+        out[order] = dh
+        dh = out
+    return back, dh
+
 
+def windows(docs: list, length: int, heads: np.ndarray | None = None):
+    """(symbols, inputs, new, document, lanes) of each window; lanes that have ended drop out.
 
-def windows(docs: list, length: int):
-    """(symbols, inputs, new, document, lanes) of each window; lanes that have ended drop out."""
+    heads: the symbol before each document's first, by default the mark of a beginning.
+    """
     sym, doc, new, size = lanes(docs)
-    before = np.vstack([np.zeros((1, sym.shape[1]), np.int32), sym[:-1]])
-    before[new] = WORDS + TAILS
+    before = np.empty_like(sym)
+    before[1:] = sym[:-1]
+    before[new] = WORDS + TAILS if heads is None else heads[doc[new]]
     for lo in range(0, len(sym), length):
         hi = min(len(sym), lo + length)
         b = int((size > lo).sum())
         yield sym[lo:hi, :b], before[lo:hi, :b], new[lo:hi, :b], doc[lo:hi, :b], b
 
 
+def segments(docs: list, length: int = SEGMENT) -> tuple:
+    """Documents cut for training, and the symbol before each piece."""
+    parts = [d[a : a + length] for d in docs for a in range(0, len(d), length)]
+    heads = [WORDS + TAILS if a == 0 else d[a - 1] for d in docs for a in range(0, len(d), length)]
+    return parts, np.array(heads, np.int32)
+
+
 def score(p: dict, docs: list) -> np.ndarray:
     """Natural log probability of each document's symbols, the state carried through all of its windows."""
     out = np.zeros(len(docs))
@@ -254,7 +278,8 @@ def score(p: dict, docs: list) -> np.ndarray:
 def learn(p: dict, g2: dict, docs: list, rate: float) -> None:
     """One pass of truncated backpropagation over docs; Adagrad on the mean gradient of each window."""
     H, h = HIDDEN, None
-    for target, inputs, new, doc, b in windows(docs, WINDOW):
+    parts, heads = segments(docs)
+    for target, inputs, new, doc, b in windows(parts, WINDOW, heads):
         h = np.zeros((b, H), np.float32) if h is None else h[:b]
         states, last, saved = recur(p, inputs, new, h, True)
         T = len(target)
@@ -265,7 +290,7 @@ def learn(p: dict, g2: dict, docs: list, rate: float) -> None:
         dout[live] = dh_live
         dout = dout.reshape(T, b, H)
         dx = np.empty((T, b, 3 * H), np.float32)
-        du, dh, u = np.zeros_like(p["u"]), np.zeros((b, H), np.float32), p["u"]
+        du, dh, u, dhu = np.zeros_like(p["u"]), np.zeros((b, H), np.float32), p["u"], np.empty((b, 3 * H), np.float32)
         for t in reversed(range(T)):
             hp, hn, z, r, n = saved[t]
             dh = dh + dout[t]
@@ -274,11 +299,13 @@ def learn(p: dict, g2: dict, docs: list, rate: float) -> None:
             da = dn * (1 - n * n)
             dr = da * hn * r * (1 - r)
             dx[t, :, :H], dx[t, :, H : 2 * H], dx[t, :, 2 * H :] = dz, dr, da
-            dhu = np.concatenate([dz, dr, da * r], 1)
+            dhu[:, :H], dhu[:, H : 2 * H], dhu[:, 2 * H :] = dz, dr, da * r
             du += hp.T @ dhu
-            dh = (dh * z + dhu @ u.T) * ~new[t][:, None]
+            dh = dh * z + dhu @ u.T
+            if new[t].any():
+                dh *= ~new[t][:, None]
         g["u"] = du
-        ids = inputs.ravel()
+        ids = inputs.ravel().astype(np.int16)
         order = np.argsort(ids, kind="stable")
         first = np.flatnonzero(np.concatenate([[True], np.diff(ids[order]) != 0]))
         gx, rows = np.add.reduceat(dx.reshape(-1, 3 * H)[order], first), ids[order][first]
@@ -293,21 +320,58 @@ def learn(p: dict, g2: dict, docs: list, rate: float) -> None:
         h = last
 
 
-def grouped(batches, codes: Codes):
-    """(row numbers, codes of their texts, batch) in groups of about _CHUNK_TOKENS tokens."""
+def grouped(batches, most: int):
+    """(from, to, batch) of rows with up to about `most` symbols together."""
     for batch in batches:
-        text, lo = batch.column("text"), 0
-        while lo < len(text):
-            found, n, hi = [], 0, lo
-            while hi < len(text) and n < _CHUNK_TOKENS:
-                part = codes.of(text.slice(hi, 64).to_pylist())
-                found += part
-                n += sum(map(len, part))
-                hi += len(part)
-            yield lo, hi, found, batch
+        size, lo = np.cumsum(batch.column("n_tokens").to_numpy()), 0
+        while lo < len(size):
+            hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + most, "right")))
+            yield lo, hi, batch
             lo = hi
 
 
+def symbols_of(batch, lo: int, hi: int) -> list:
+    return [np.frombuffer(x.as_buffer(), np.uint16).astype(np.int32) for x in batch.column("symbols").slice(lo, hi - lo)]
+
+
+def encoded(docs: DataFrame, layout: Layout) -> DataFrame:
+    """Every row once in numbers: uid, n_tokens, near (tokens of the broadcast table), log and inside (their
+    logs for the base and within tail classes), keys and ns (the other words), symbols (uint16 bytes)."""
+    send = docs.sparkSession.sparkContext.broadcast(layout)
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        lay = send.value
+        known = Known(lay.rank())
+        uid = TaskContext.get().partitionId() << 40
+        log_n, tail_log = np.log10(lay.counts + ALPHA), lay.tail_log()
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                rows: list = [[] for _ in range(7)]
+                for text in part.column("text"):
+                    c = known.of(text.as_py())
+                    near, far = c[c >= 0], c[c < 0]
+                    rare = near[near >= lay.words]
+                    # within their classes: known rare words here, unknown and rarest ones after the join
+                    inside = log_n[rare].sum() - tail_log[tail_of(lay.keys[rare])].sum() - tail_log[tail_of(far)].sum()
+                    k, n = np.unique(far, return_counts=True)
+                    for col, x in zip(rows, (len(c), len(near), log_n[near].sum(), inside, k, n, lay.symbols(c).astype(np.uint16).tobytes())):
+                        col.append(x)
+                m = part.num_rows
+                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(range(uid, uid + m), pa.int64()), *(pa.array(c, t) for c, t in zip(rows, kinds))],
+                    ["doc_id", "uid", "n_tokens", "near", "log", "inside", "keys", "ns", "symbols"],
+                )
+                uid += m
+
+    schema = f"doc_id {kind}, uid long, n_tokens long, near long, log double, inside double, keys array<long>, ns array<long>, symbols binary"
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
 def pack(p: dict) -> np.ndarray:
     return np.concatenate([p[k].ravel() for k in sorted(p)]).astype(np.float32)
 
@@ -338,12 +402,12 @@ def averaged(rows: DataFrame) -> np.ndarray:
     return np.concatenate([np.frombuffer(r.v, np.float64) / r.w for r in two]).astype(np.float32)
 
 
-def train(docs: DataFrame, layout: Layout, rounds: int = ROUNDS) -> dict:
-    """Parameters after `rounds` slices of docs; every document is in one of them."""
-    spark = docs.sparkSession
+def train(rows: DataFrame, layout: Layout, rounds: int = ROUNDS) -> dict:
+    """Parameters after `rounds` slices of encoded rows; every row is in one of them."""
+    spark = rows.sparkSession
     p = initial(layout)
     tasks = 2 * spark.sparkContext.defaultParallelism
-    slot = F.pmod(F.xxhash64("text"), F.lit(1 << rounds)) + 1  # slices of 1/2^rounds, ..., 1/4, 1/2 of the documents
+    slot = F.pmod(F.xxhash64("symbols"), F.lit(1 << rounds)) + 1  # slices of 1/4, 1/4 and 1/2 of the documents
     for i in range(rounds):
         lo, hi = (0 if i == 0 else 1 << i), 1 << (i + 1)
         send = spark.sparkContext.broadcast((pack(p), layout))
@@ -354,16 +418,17 @@ def train(docs: DataFrame, layout: Layout, rounds: int = ROUNDS) -> dict:
             own = unpack(flat, initial(lay))
             g2 = {k: np.full_like(v, 1e-8) for k, v in own.items()}
             tokens = 0
-            for _, _, codes, _ in grouped(batches, Codes(lay.rank())):
-                learn(own, g2, [lay.symbols(c) for c in codes], rate)
-                tokens += sum(map(len, codes))
+            for a, b, batch in grouped(batches, 1 << 20):
+                docs = symbols_of(batch, a, b)
+                learn(own, g2, docs, rate)
+                tokens += sum(map(len, docs))
             if tokens:
                 v, salt = pack(own).astype(np.float64) * tokens, tokens % 16
                 parts = [v[a : a + _PART].tobytes() for a in range(0, len(v), _PART)]
                 n = len(parts)
                 yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([salt] * n, pa.int32()), pa.array([float(tokens)] * n), pa.array(parts, pa.binary())], ["part", "salt", "w", "v"])
 
-        own = docs.filter((slot > lo) & (slot <= hi)).select("text").coalesce(tasks)
+        own = rows.filter((slot > lo) & (slot <= hi)).select("n_tokens", "symbols").coalesce(tasks)
         flat = averaged(own.mapInArrow(run, "part int, salt int, w double, v binary"))
         if len(flat):
             p = unpack(flat, p)
@@ -371,9 +436,8 @@ def train(docs: DataFrame, layout: Layout, rounds: int = ROUNDS) -> dict:
     return p
 
 
-def fit(docs: DataFrame) -> tuple:
-    """(layout, parameters, counts table) learnt from docs."""
-    counts = stage(corpus_counts(docs), "lm-counts")
+def layout_of(counts: DataFrame) -> Layout:
+    """Ranks, counts and tail sums from the counts table."""
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     end = word_key(END)
     top = counts.orderBy(F.col("key") != end, F.desc("n"), "key").limit(COUNTED).collect()  # a fixed number of words
@@ -381,59 +445,34 @@ def fit(docs: DataFrame) -> tuple:
     at = next((i for i, r in enumerate(top) if r.key == end), None)
     if at is not None and at >= WORDS:
         top.insert(WORDS - 1, top.pop(at))
-    own = {r.key for r in top[:WORDS]}
     tail = F.shiftrightunsigned("key", 59).bitwiseAND(F.lit(TAILS - 1))
     tails = {r.k: [r.n, r.v] for r in counts.groupBy(tail.alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
-    for r in top:
-        if r.key in own:
-            k = int(tail_of(np.array([r.key]))[0])
-            tails[k][0] -= r.n
-            tails[k][1] -= 1
-    layout = Layout([r.key for r in top], [r.n for r in top], WORDS, int(n), int(v), tails)
-    return layout, train(docs, layout), counts
+    for r in top[:WORDS]:
+        k = int(tail_of(np.array([r.key]))[0])
+        tails[k][0] -= r.n
+        tails[k][1] -= 1
+    return Layout([r.key for r in top], [r.n for r in top], WORDS, int(n), int(v), tails)
 
 
 def held_out(folds: int = 10):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 0, F.lit(True))
 
 
-def scored(docs: DataFrame, layout: Layout, p: dict, counts: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score and score (log10) of every row."""
-    spark = docs.sparkSession
-    send = spark.sparkContext.broadcast((pack(p), layout))
-    kind = dict(docs.dtypes)["doc_id"]
+def scored(rows: DataFrame, layout: Layout, p: dict, counts: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score and score (log10) of every encoded row."""
+    send = rows.sparkSession.sparkContext.broadcast((pack(p), layout))
 
     def run(batches):
-        from pyspark import TaskContext
-
         flat, lay = send.value
-        own, codes = unpack(flat, initial(lay)), Codes(lay.rank())
-        uid = TaskContext.get().partitionId() << 40
-        log_n, tail_log = np.log10(lay.counts + ALPHA), lay.tail_log()
-        for lo, hi, found, batch in grouped(batches, codes):
-            natural = score(own, [lay.symbols(c) for c in found])
-            rows: list = [[] for _ in range(6)]
-            for c in found:
-                near = c[c >= 0]
-                far = c[c < 0]
-                rare = near[near >= lay.words]
-                log = log_n[near].sum()
-                # within their classes: known rare words here, unknown and rarest ones after the join
-                inside = log_n[rare].sum() - tail_log[tail_of(lay.keys[rare])].sum() - tail_log[tail_of(far)].sum()
-                k, n = np.unique(far, return_counts=True)
-                for col, x in zip(rows, (len(c), len(near), log, inside, k, n)):
-                    col.append(x)
-            m = hi - lo
-            ids = pa.array(range(uid, uid + m), pa.int64())
-            uid += m
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(lo, m), ids, pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.float64()), pa.array(natural / np.log(10) + np.array(rows[3])),
-                 pa.array(rows[4], pa.list_(pa.int64())), pa.array(rows[5], pa.list_(pa.int64()))],
-                ["doc_id", "uid", "n_tokens", "near", "log", "part", "keys", "ns"],
-            )
-
-    schema = f"doc_id {kind}, uid long, n_tokens long, near long, log double, part double, keys array<long>, ns array<long>"
-    rows = stage(docs.select("doc_id", "text").mapInArrow(run, schema), "lm-scored")
+        own = unpack(flat, initial(lay))
+        for lo, hi, batch in grouped(batches, _CHUNK_TOKENS):
+            part = score(own, symbols_of(batch, lo, hi)) / np.log(10)
+            names = ["doc_id", "uid", "n_tokens", "near", "log", "inside"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in names), pa.array(part)], [*names, "part"])
+
+    kinds = dict(rows.dtypes)
+    names = ["doc_id", "uid", "n_tokens", "near", "log", "inside"]
+    parts = rows.select(*names, "symbols").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names) + ", part double")
     rare = rows.select("uid", F.explode(F.arrays_zip("keys", "ns")).alias("x")).select("uid", F.col("x.keys").alias("key"), F.col("x.ns").alias("m"))
     seen = rare.join(counts, "key", "left").groupBy("uid").agg(
         F.sum(F.when(F.col("n").isNotNull(), F.col("m")).otherwise(0)).alias("far"),
@@ -441,8 +480,12 @@ def scored(docs: DataFrame, layout: Layout, p: dict, counts: DataFrame) -> DataF
     )
     norm = float(np.log10(layout.total + ALPHA * (layout.distinct + 1)))
     far, far_log = F.coalesce("far", F.lit(0)), F.coalesce("far_log", F.lit(0.0))
-    return rows.join(seen, "uid", "left").select(
-        "doc_id", "n_tokens", (F.col("near") + far).alias("n_known"), (F.col("log") + far_log - F.col("n_tokens") * norm).alias("base_score"), (F.col("part") + far_log).alias("score")
+    return parts.join(seen, "uid", "left").select(
+        "doc_id",
+        "n_tokens",
+        (F.col("near") + far).alias("n_known"),
+        (F.col("log") + far_log - F.col("n_tokens") * norm).alias("base_score"),
+        (F.col("part") + F.col("inside") + far_log).alias("score"),
     )
 
 
@@ -453,8 +496,11 @@ def score_documents(docs: DataFrame, folds: int = 10) -> DataFrame:
     Without training documents all tokens are unknown and the model's probabilities are its initial
     ones. An empty table gives no rows. Extra columns are ignored.
     """
-    layout, p, counts = fit(docs.filter(~held_out(folds)))
-    out = scored(docs, layout, p, counts)
+    counts = stage(corpus_counts(docs.filter(~held_out(folds))), "lm-counts")
+    layout = layout_of(counts)
+    rows = stage(encoded(docs, layout), "lm-rows")
+    p = train(rows.filter(~held_out(folds)), layout)
+    out = scored(rows, layout, p, counts)
     return out.select("doc_id", held_out(folds).alias("held_out"), "n_tokens", "n_known", F.lit(layout.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 

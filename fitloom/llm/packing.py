@@ -15,10 +15,11 @@ An empty table gives no rows. Extra columns are ignored.
 from __future__ import annotations
 
 import heapq
-import re
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,6 @@ END = 1
 SALTS = 16
 VOCABULARY = "word_bpe_49k.json"
 _CACHE_WORDS = 400_000
-_SPACE = re.compile(rb"[\x20\x09-\x0D]+")
 
 
 def tokenizer_path(name: str = VOCABULARY) -> str:
@@ -45,26 +45,77 @@ def tokenizer_path(name: str = VOCABULARY) -> str:
 class WordEncoder:
     """Token ids of whole texts as little-endian uint32 bytes.
 
-    The vocabulary's pattern never joins across white space, so a text's ids are those of its
-    space-separated chunks in a row, and each chunk is encoded once per task (bounded cache).
+    The vocabulary drops white space, lower-cases, and never joins across white space or between letters
+    and punctuation. So a text's ids are those of its chunks in a row, and each chunk is encoded once per
+    worker (bounded cache). Texts that may hold a special token's string are encoded as they are.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
+        self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+
+    def _whole(self, texts: list) -> list:
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: set) -> None:
+        """Encode chunks: single words of letters many at a time, others with their closing marks split off."""
+        known, plain, other, split = self.known, set(), [], []
+        for chunk in words:
+            w = chunk.decode()
+            if w.isalpha():
+                plain.add(w)
+                continue
+            core = w.rstrip(".,!?;:")
+            if core != w and core.isalpha():
+                if (c := core.encode()) not in known:
+                    plain.add(core)
+                split.append((chunk, c, w[len(core) :].encode()))
+            else:
+                other.append(chunk)
+        other += {m for _, _, m in split if m not in known}
+        words = [w for w in plain if w.lower().isalpha()]
+        other += [w.encode() for w in plain if not w.lower().isalpha()]
+        for i in range(0, len(words), 512):
+            part = words[i : i + 512]
+            ids = np.asarray(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = (np.flatnonzero(self.last[ids]) + 1) * 4
+            if len(ends) != len(part):
+                other += [w.encode() for w in part]
+                continue
+            data, at = ids.tobytes(), 0
+            for w, end in zip(part, ends.tolist()):
+                known[w.encode()] = data[at:end]
+                at = end
+        for i in range(0, len(other), 512):
+            part = other[i : i + 512]
+            known.update(zip(part, self._whole([w.decode() for w in part])))
+        for chunk, core, marks in split:
+            known[chunk] = known[core] + known[marks]
 
     def encode(self, texts: list) -> list:
-        split = [(t or "").encode().split() for t in texts]
+        texts = [t or "" for t in texts]
+        odd = [i for i, t in enumerate(texts) if "<|" in t]
+        split = [() if "<|" in t else t.encode().lower().split() for t in texts]
         if len(self.known) > _CACHE_WORDS:
             self.known.clear()
         known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                known[w] = np.asarray(e.ids, "<u4").tobytes()
-        return [b"".join([known[w] for w in words]) for words in split]
+        new = set().union(*split).difference(known)
+        if new:
+            self._learn(new)
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        for i, data in zip(odd, self._whole([texts[i] for i in odd])):
+            out[i] = data
+        return out
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
@@ -72,13 +123,11 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
     stop = np.asarray([end], "<u4").tobytes()
 
     def run(batches):
-        enc = None
         for batch in batches:
-            enc = enc or WordEncoder(path)
-            ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
+            ids, texts = batch.column("doc_id"), batch.column("text")
             rows, out = [], [[], [], [], []]
             for lo in range(0, len(texts), 256):
-                for i, data in enumerate(enc.encode(texts[lo : lo + 256]), lo):
+                for i, data in enumerate(encoder(path).encode(texts.slice(lo, 256).to_pylist()), lo):
                     data += stop
                     for k, at in enumerate(range(0, len(data), 4 * capacity)):
                         part = data[at : at + 4 * capacity]

@@ -1,8 +1,8 @@
 """The ten operators' queries, and SQL for those that it can express."""
 
 from .chat import op7_chat
-from .media import op1_media
 from .language import op5_language
+from .media import op1_media
 from .mixing import op10_mixing
 from .neighbours import op2_neighbours
 from .packing import op9_packing
@@ -11,5 +11,27 @@ from .secrets import op6_secrets
 from .simhash import op3_simhash
 from .toxicity import op8_toxicity
 
-QUERIES = {"op1_media": op1_media, "op2_neighbours": op2_neighbours, "op3_simhash": op3_simhash, "op4_repeats": op4_repeats, "op5_language": op5_language, "op6_secrets": op6_secrets, "op7_chat": op7_chat, "op8_toxicity": op8_toxicity, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
-ORACLE = {}
+QUERIES = {
+    "op1_media": op1_media,
+    "op2_neighbours": op2_neighbours,
+    "op3_simhash": op3_simhash,
+    "op4_repeats": op4_repeats,
+    "op5_language": op5_language,
+    "op6_secrets": op6_secrets,
+    "op7_chat": op7_chat,
+    "op8_toxicity": op8_toxicity,
+    "op9_packing": op9_packing,
+    "op10_mixing": op10_mixing,
+}
+
+ORACLE = {
+    "op7_chat": r"""
+WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(14 + length(regexp_replace(role, '(\\|### |</turn>|: )', '#\1', 'g')) + length(regexp_replace(text, '(\\|### |</turn>)', '#\1', 'g')))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id""",
+}

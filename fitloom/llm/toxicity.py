@@ -23,6 +23,7 @@ FIT_DOCS = 12_000
 FIT_BYTES = 64_000_000
 BITS = 20
 PRIOR = 0.02
+UNTAUGHT = -30.0  # bias without labels of both kinds: even long texts score near 0
 EPOCHS = 12
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+|!!\s+|\s\|\s")
 _WORD = re.compile(r"[^\W_]+")
@@ -92,7 +93,7 @@ def combined(logit: np.ndarray, d: np.ndarray, docs: int) -> tuple:
 def fit(texts: list, labels: np.ndarray, l2: float = 1e-4, rate: float = 0.3) -> tuple:
     """(weights, bias) from document labels. Features of fewer than 3 documents get no weight."""
     if not len(labels) or not 0 < labels.sum() < len(labels):
-        return np.zeros(1 << BITS), float(np.log(PRIOR / (1 - PRIOR)) - 4)
+        return np.zeros(1 << BITS), UNTAUGHT
     f, s, d = bags(texts)
     pair = np.unique(d[s].astype(np.int64) << BITS | f)
     df = np.bincount(pair & ((1 << BITS) - 1), minlength=1 << BITS)
@@ -153,7 +154,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_docs: in
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(w[at], bias))], ["f", "w"])
 
-    weights, bias = np.zeros(1 << BITS), 0.0
+    weights, bias = np.zeros(1 << BITS), UNTAUGHT
     for f, w in sample.mapInArrow(run, "f long, w double").collect():
         if f < 0:
             bias = w

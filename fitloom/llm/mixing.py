@@ -4,8 +4,9 @@ A source's documents get rates r_i = min(cap, exp(lambda_s * z_i)), z_i = size_i
 source: the rates closest in relative entropy to 1 for which the source's tokens meet its target.
 lambda is the root of the convex dual's gradient; all sources take a safeguarded Newton step together
 in one aggregate a round, over (source, size, count) classes rather than documents. Rates are rounded
-into whole copies by systematic rounding along sizes, then a few repairs change the copies of single
-documents whose size is nearest to what the source still lacks.
+into whole copies by systematic rounding along sizes, then repairs change copies by one: of many
+documents where a source is far from its target, then of single ones whose size is nearest to what it
+still lacks.
 
 Nulls: a null text has size 0 and takes nothing; a null source is a source of its own, last in order.
 Repeated rows are mixed each on its own. An empty table gives no rows. Columns besides id, text and
@@ -24,6 +25,7 @@ from .common import WORD, read, stage, text_key
 CAP = 3.0
 SALTS = 16
 REPAIRS = 4
+NEAR = 0.01
 WEIGHTS = (1, 2, 3)
 
 
@@ -142,12 +144,47 @@ def assign(rows: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
     return repair(stage(out, "mix-copies"), want, int(cap), REPAIRS).drop("salt", "k", "before").withColumn("taken", F.col("copies") * F.col("size"))
 
 
+def lacking(rows: DataFrame, want: dict) -> dict:
+    got = {r.source: r.t for r in rows.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("t")).collect()}
+    return {s: want[s] - got.get(s, 0) for s in want}
+
+
+def in_bulk(rows: DataFrame, lack: dict, cap: int) -> DataFrame:
+    """Give or take one copy of as many documents, the largest that fit first, as fill what each source lacks."""
+    table = by_source(rows.sparkSession, [(s, float(x)) for s, x in lack.items()], "lack double")
+    room = F.when(F.col("lack") > 0, F.col("copies") < cap).otherwise(F.col("copies") > 0)
+    able = on_source(rows, table).filter(room & (F.col("size") > 0) & (F.col("size") <= F.abs("lack"))).select("source", "size", "salt", "k", "lack")
+    run = W.partitionBy("source").orderBy(F.desc("size"), "salt").rowsBetween(W.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.col("n") * F.col("size")).over(run), F.lit(0))
+    few = able.groupBy("source", "size", "salt").agg(F.count("*").alias("n"), F.first("lack").alias("lack"))
+    few = few.withColumn("m", F.least("n", F.floor((F.abs("lack") - before) / F.col("size")))).filter("m > 0")
+    few = few.select(F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("salt").alias("_t"), "m")
+    rank = F.row_number().over(W.partitionBy("source", "size", "salt").orderBy("k"))
+    cell = lambda: same("source", "_s") & (F.col("size") == F.col("_z")) & (F.col("salt") == F.col("_t"))
+    step = able.withColumn("r", rank).join(few, cell()).filter("r <= m")
+    step = step.select("_s", "_z", "_t", F.col("k").alias("_k"), F.signum("lack").cast("long").alias("_c"))
+    return rows.join(step, cell() & (F.col("k") == F.col("_k")), "left").withColumn("copies", F.col("copies") + F.coalesce("_c", F.lit(0))).drop("_s", "_z", "_t", "_k", "_c")
+
+
 def repair(rows: DataFrame, want: dict, cap: int, rounds: int) -> DataFrame:
-    """Give or take a copy of the one document, per source and round, whose size best fills what is missing."""
+    """Bring each source nearer to its target.
+
+    Rounding errs by half the longest document at most. Where that is over NEAR of the target, which takes
+    a small source with a very long document, copies of many documents are changed at once. Then, per
+    source and round, the one document whose size best fills what is missing gains or loses a copy.
+    """
     spark = rows.sparkSession
     changed: dict = {}
-    got = {r.source: r.t for r in rows.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("t")).collect()}
-    lack = {s: want[s] - got.get(s, 0) for s in want}
+    lack = lacking(rows, want)
+    for _ in range(cap):
+        far = {s: x for s, x in lack.items() if abs(x) > NEAR * want[s] and abs(x) >= 1}
+        if not far:
+            break
+        new = stage(in_bulk(rows, far, cap), "mix-copies")
+        less = lacking(new, want)
+        if less == lack:
+            break
+        rows, lack = new, less
     one = ["doc_id", "size", "salt", "k"]
     for _ in range(rounds):
         todo = {s: x for s, x in lack.items() if abs(x) >= 1}

@@ -239,7 +239,10 @@ def test_secret_patterns(spark):
     got = {r.doc_id: r for r in secrets.scan(df, None, ("doc_id", "text"), "#").collect()}
     assert len(got) == len(data) and len(got[900].findings) == 4 and got[900].findings == got[902].findings
     assert got[900].text.count("#") == 4 and "1234567890" not in got[900].text and got[901].text is None
-    assert all(got[i].text == t for i, t in data[:-3])
+    for i, t in data[:-3]:  # two of the fixture's texts are long runs of hex digits
+        found = secrets.base_findings(t or "")
+        assert [(f.s, f.e) for f in got[i].findings] == [x[1:] for x in found]
+        assert got[i].text == (t if not found else "#")
     import pyarrow as pa
 
     every = [t or "" for _, t in data]
@@ -334,6 +337,18 @@ def test_encoder_agrees_with_the_tokenizer():
     assert enc.encode(texts) == enc._whole(texts)
 
 
+def best_fit(counts, capacity):
+    """Sequences that best fit takes with one piece after another, longest first."""
+    gaps: list = []
+    for length in sorted(collections.Counter(counts).elements(), reverse=True):
+        fits = [i for i, g in enumerate(gaps) if g >= length]
+        if fits:
+            gaps[min(fits, key=gaps.__getitem__)] -= length
+        else:
+            gaps.append(capacity - length)
+    return len(gaps)
+
+
 def test_supersteps_are_best_fit():
     r = np.random.default_rng(5)
     for top in (1000, 100, 30):
@@ -346,7 +361,7 @@ def test_supersteps_are_best_fit():
                 assert gaps.get(s, 0) == at
                 gaps[s] = at + length
                 assert gaps[s] <= 1000
-        assert sum(gaps.values()) == total and len(gaps) <= math.ceil(total / 1000) + 1
+        assert sum(gaps.values()) == total and len(gaps) == best_fit(counts, 1000) <= math.ceil(total / 1000 * 1.02) + 1
 
 
 # ---- mixing ----
@@ -358,6 +373,15 @@ def test_targets_share_the_excess():
     assert mixing.targets({"a": 0}, {"a": 1}) == {"a": 0.0}
 
 
+def nearest(sizes, target, cap=3):
+    """How near to the target up to cap copies of each size can come."""
+    sums = 1
+    for n in sizes:
+        for _ in range(cap):
+            sums |= sums << n
+    return min(abs(i - target) for i in range(sums.bit_length()) if sums >> i & 1)
+
+
 def test_mix(spark):
     data = rows()
     got = mixing.mix(table(spark)).collect()
@@ -367,7 +391,8 @@ def test_mix(spark):
     for s in {r.source for r in got}:
         own = [r for r in got if r.source == s]
         assert len({r.target for r in own}) == 1 and own[0].source_size == sum(r.size for r in own)
-        assert abs(sum(r.taken for r in own) - own[0].target) <= max(60, 0.02 * own[0].target)
+        off = nearest([r.size for r in own], own[0].target)  # over 0 where one document is most of its source
+        assert abs(sum(r.taken for r in own) - own[0].target) <= off + max(60, 0.02 * own[0].target)
     assert all(r.taken == r.copies * r.size <= 3 * r.size for r in got)
     again = mixing.mix(table(spark).repartition(3)).collect()
     assert sorted((str(r.doc_id), r.size, r.taken) for r in got) == sorted((str(r.doc_id), r.size, r.taken) for r in again)

@@ -47,17 +47,41 @@ def features(word: str) -> tuple:
     return tuple(zlib.crc32(x.encode()) >> (32 - BITS) for x in forms)
 
 
-def bags(texts: list) -> tuple:
-    """(features, their sentences, sentences' documents)"""
-    feats, sent, doc, cache = [], [], [], {}
+class Forms(dict):
+    """Features of words that `use` marks (all without it). Remembers a bounded number of words."""
+
+    def __init__(self, use: np.ndarray | None = None):
+        super().__init__()
+        self.use = use
+
+    def __missing__(self, word: str) -> tuple:
+        if len(self) > 200_000:
+            self.clear()
+        found = features(word)
+        self[word] = found = found if self.use is None else tuple(f for f in found if self.use[f])
+        return found
+
+
+def associations(texts: list, labels: np.ndarray) -> tuple:
+    """Documents, and documents with the label, of each feature."""
+    df, pos, forms = np.zeros(1 << BITS), np.zeros(1 << BITS), Forms()
+    for text, y in zip(texts, labels):
+        own = {w for a, b in sentences(text) for w in _WORD.findall(text[a:b].lower())}
+        ids = list({f for w in own for f in forms[w]})
+        df[ids] += 1
+        pos[ids] += y
+    return df, pos
+
+
+def bags(texts: list, use: np.ndarray) -> tuple:
+    """(features that `use` marks, their sentences, sentences' documents)"""
+    feats, sent, doc, forms = [], [], [], Forms(use)
     for i, text in enumerate(texts):
         for a, b in sentences(text):
             for w in _WORD.findall(text[a:b].lower()):
-                f = cache.get(w)
-                if f is None:
-                    f = cache[w] = features(w)
-                feats.extend(f)
-                sent.extend([len(doc)] * len(f))
+                if f := forms[w]:
+                    feats.extend(f)
+                    sent.extend([len(doc)] * len(f))
             doc.append(i)
     return np.array(feats, np.int32), np.array(sent, np.int32), np.array(doc, np.int64)
 
@@ -94,16 +118,11 @@ def fit(texts: list, labels: np.ndarray, l2: float = 1e-4, rate: float = 0.3) ->
     """(weights, bias) from document labels. Features of fewer than 3 documents get no weight."""
     if not len(labels) or not 0 < labels.sum() < len(labels):
         return np.zeros(1 << BITS), UNTAUGHT
-    f, s, d = bags(texts)
-    pair = np.unique(d[s].astype(np.int64) << BITS | f)
-    df = np.bincount(pair & ((1 << BITS) - 1), minlength=1 << BITS)
-    pos = np.bincount(pair & ((1 << BITS) - 1), labels[pair >> BITS], minlength=1 << BITS)
+    df, pos = associations(texts, labels)
     # start from the words' association with the label; one threshold for all, by the size of the sample
     base = labels.mean()
     z = (pos - df * base) / np.sqrt(np.maximum(df, 1) * base * (1 - base))
-    use = (df >= 3) & (np.abs(z) > np.sqrt(2 * np.log(1 << BITS)))
-    keep = use[f]
-    f, s = f[keep], s[keep]
+    f, s, d = bags(texts, (df >= 3) & (np.abs(z) > np.sqrt(2 * np.log(1 << BITS))))
     order = np.random.default_rng(0).permutation(len(labels))
     first_sentence = np.searchsorted(d, np.arange(len(labels) + 1))
     first_feature = np.searchsorted(s, first_sentence)

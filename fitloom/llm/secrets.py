@@ -32,6 +32,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{12,}")
 _DIGIT = re.compile(r"[0-9]")
+_LOOK = 1 << 20
 _STEMS = (b"passw", b"secret", b"token", b"api", b"akia")
 _TOKEN = np.zeros(256, bool)
 _TOKEN[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.-"]] = True
@@ -62,8 +63,18 @@ def candidates(text: str, base: list) -> list:
 
 
 def worth(column) -> np.ndarray:
-    """Which texts can hold a finding or a candidate; one vectorised look at the bytes of all."""
+    """Which texts can hold a finding or a candidate; whole texts are looked at together, about _LOOK bytes at a time."""
     data, offsets = utf8(column)
+    hit, i, n = [], 0, len(offsets) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + _LOOK, "right")) - 1)
+        hit.append(worth_together(data, offsets[i : j + 1]))
+        i = j
+    return np.concatenate(hit) if hit else np.zeros(0, bool)
+
+
+def worth_together(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """One vectorised look at the bytes of several texts."""
     n = len(offsets) - 1
     lo, hi = int(offsets[0]), int(offsets[-1])
     data = data[lo:hi]

@@ -28,10 +28,11 @@ class Model:
     variables: tuple = ("x",)
     start: Callable | None = None
     bounds: dict | None = None
+    jac: tuple | None = None
 
     @property
     def gradient(self) -> list:
-        return [E.diff(self.expr, p) for p in self.params]
+        return list(self.jac) if self.jac else [E.diff(self.expr, p) for p in self.params]
 
     @property
     def linear(self) -> bool:
@@ -44,14 +45,28 @@ class Model:
 
     def numpy(self):
         """f(theta, {variable: array})."""
-        f = E.to_numpy(self.expr)
-        return lambda theta, v: f(dict(zip(self.params, theta)), v)
+        return self.values
 
+    def values(self, theta, v: dict) -> np.ndarray:
+        return E.to_numpy(self.expr)(dict(zip(self.params, theta)), v)
 
-def formula(text: str, params: tuple | None = None, variables: tuple = ("x",), name: str = "formula", **more) -> Model:
-    """A model from text; parameters in the order of their first use unless given."""
+    def jacobian(self, theta, v: dict) -> np.ndarray:
+        p, n = dict(zip(self.params, theta)), np.shape(v[self.variables[0]])
+        return np.stack([np.broadcast_to(E.to_numpy(g)(p, v), n) for g in self.gradient], 1)
+
+    def column(self, theta, columns: dict):
+        return E.to_column(self.expr, dict(zip(self.params, theta)), columns)
+
+    def slopes(self, theta, columns: dict) -> list:
+        return [E.to_column(g, dict(zip(self.params, theta)), columns) for g in self.gradient]
+
+
+def formula(text: str, params: tuple | None = None, variables: tuple = ("x",), name: str = "formula", jac: tuple | None = None, **more) -> Model:
+    """A model from text; parameters in the order of their first use unless given. jac: its derivatives as
+    text, in the parameters' order, in place of the symbolic ones."""
     e = E.parse(text, variables)
-    return Model(name, e, tuple(params or E.names(e, "param")), tuple(variables), **more)
+    given = tuple(E.parse(g, variables) for g in jac) if jac else None
+    return Model(name, e, tuple(params or E.names(e, "param")), tuple(variables), jac=given, **more)
 
 
 # ---- starting values: each rule takes a frame of x, y, ord (finite rows) ----
@@ -191,8 +206,8 @@ def safe_divide(a: E.Expr, b: E.Expr, eps: float = 1e-10) -> E.Expr:
 
 
 def named(model, degree: int | None = None) -> Model:
-    """A Model, a registered name, "polynomial" with a degree, or a formula."""
-    if isinstance(model, Model):
+    """A Model or numeric model as it is; a registered name, "polynomial" with a degree, or a formula."""
+    if not isinstance(model, str):
         return model
     if model == "polynomial":
         return polynomial(degree or 1)

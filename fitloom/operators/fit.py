@@ -9,10 +9,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import expr as E
-from ..functions.models import Model, named
+from ..functions.models import Model, named, summary
 from ..functions.special import t_quantile
-from . import frame, normal, solve
+from . import frame, normal, precision, solve
 
 
 def covariance(state, absolute: bool = False) -> tuple:
@@ -76,9 +75,8 @@ class FitResult:
         dof = state.n - k
         t = t_quantile(1 - alpha / 2, dof)
         s2 = state.ssr / dof if dof > 0 else math.nan
-        p, cols = self.params, normal.columns(self.model)
-        f = E.to_column(self.model.expr, p, cols)
-        g = [E.to_column(x, p, cols) for x in self.model.gradient]
+        cols = normal.columns(self.model)
+        f, g = self.model.column(self.popt, cols), self.model.slopes(self.popt, cols)
         var = F.lit(0.0)
         for i in range(k):
             for j in range(k):
@@ -161,12 +159,15 @@ def curve_fit(
     max_nfev: int | None = None,
     callback=None,
     local_rows: int = normal.LOCAL_ROWS,
+    auto_bounds: bool = False,
 ) -> FitResult:
-    """Fit `model` (a Model, a registered name or a formula) to columns of df.
+    """Fit `model` (a Model, a numeric model, a registered name or a formula) to columns of df.
 
-    bounds: (lower, upper) numbers or vectors; default the model's own. p0: numbers, or None for the
-    model's starting rule. nan_policy: raise, omit, propagate or mean. local_rows: up to so many rows
-    are fetched once and summed on the driver; more stay where they are.
+    bounds: (lower, upper) numbers or vectors; default the model's own; auto_bounds puts bounds inferred
+    from the data where none are given. p0: numbers, None for the model's starting rule, or "auto" for
+    that rule or, without one, values by position from the data. nan_policy: raise, omit, propagate or
+    mean. local_rows: up to so many rows are fetched once and summed on the driver; more stay where
+    they are.
     """
     model = named(model)
     roles = frame.Roles.of(x, y, model.variables, sigma=sigma, mask=mask, order=order)
@@ -174,9 +175,15 @@ def curve_fit(
     lo, hi = model.limits() if bounds is None else (np.broadcast_to(np.asarray(b, float), len(model.params)).copy() for b in bounds)
     problem = normal.Problem(pts, model, loss, f_scale, local_rows)
     try:
-        theta = start_values(model, pts, lo, hi) if p0 is None else np.asarray(p0, float)
+        curve = frame.curve(pts, model.variables[0])
+        if isinstance(p0, str) and p0 == "auto" and model.start is None:
+            theta = np.asarray(precision.generic_start(summary(curve), len(model.params)), float)
+        else:
+            theta = start_values(model, pts, lo, hi) if p0 is None or isinstance(p0, str) else np.asarray(p0, float)
         if len(theta) != len(model.params):
             raise ValueError(f"{len(theta)} starting values for {len(model.params)} parameters")
+        if auto_bounds:
+            lo, hi = precision.merge_bounds((lo, hi), precision.infer_bounds(theta, summary(curve)))
         theta = np.clip(theta, lo, hi)
         out = solve.minimise(problem, theta, lo, hi, ftol, xtol, gtol, max_nfev, callback)
     finally:

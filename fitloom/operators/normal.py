@@ -79,10 +79,9 @@ def unpacked(row, theta) -> State:
 
 def block_terms(model: Model, theta: np.ndarray, v: dict, y: np.ndarray, w: np.ndarray, which, scale: float) -> tuple:
     """(scaled residuals, scaled Jacobian, cost, ssr, bad) of a block in numpy."""
-    p = dict(zip(model.params, theta))
     with np.errstate(all="ignore"):
-        r = w * (E.to_numpy(model.expr)(p, v) - y)
-        j = np.stack([w * np.broadcast_to(E.to_numpy(g)(p, v), y.shape) for g in model.gradient], 1)
+        r = w * (model.values(theta, v) - y)
+        j = w[:, None] * model.jacobian(theta, v)
         if which == "linear":
             return r, j, 0.5 * r @ r, r @ r, int((~np.isfinite(r)).sum())
         z = (r / scale) ** 2
@@ -113,7 +112,7 @@ class Problem:
         if self.block is not None:
             r, j, cost, ssr, bad = block_terms(self.model, theta, *self.block, self.which, self.scale)
             return State(theta, float(cost), j.T @ r, j.T @ j, len(r), bad, float(ssr))
-        if len(theta) <= SQL_WIDTH:
+        if len(theta) <= SQL_WIDTH and self.model.expr is not None:
             return unpacked(self.pts.agg(*aggregates(terms(self.model, theta, self.which, self.scale))).first(), theta)
         return self.by_blocks(theta)
 
@@ -170,4 +169,4 @@ class Problem:
 
 def residual_column(model: Model, theta) -> Column:
     """y - f, unweighted, over a frame of points()."""
-    return F.col("y") - E.to_column(model.expr, dict(zip(model.params, theta)), columns(model))
+    return F.col("y") - model.column(theta, columns(model))

@@ -113,11 +113,11 @@ def to_bounded(z: np.ndarray, lo, hi) -> np.ndarray:
 
 def block_costs(model: Model, thetas: np.ndarray, v: dict, y: np.ndarray, w: np.ndarray, which, scale: float) -> np.ndarray:
     """(candidates, 2): cost and rows of a block."""
-    f, rho = E.to_numpy(model.expr), E.to_numpy(loss(which)[0])
+    rho = E.to_numpy(loss(which)[0])
     out = np.zeros((len(thetas), 2))
     for i, theta in enumerate(thetas):
         with np.errstate(all="ignore"):
-            r = w * (f(dict(zip(model.params, theta)), v) - y)
+            r = w * (model.values(theta, v) - y)
             out[i] = 0.5 * scale * scale * np.sum(rho({}, {"z": (r / scale) ** 2})), len(y)
     return out
 

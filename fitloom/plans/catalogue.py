@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 from ..functions import expr as E
 from ..functions.losses import loss
 from ..functions.models import MODELS, formula, named
-from ..operators import chunked, diagnose, frame, normal, precision, search
+from ..functions.numeric import Numeric
+from ..operators import chunked, correlated, diagnose, frame, normal, precision, search
 from ..operators.fit import FitResult, curve_fit
 from ..operators.grouped import fit_by_key
+from ..operators.hybrid import hybrid_fit
+from ..plans import workflows
 from ..sources import writers
 from ..streaming.incremental import Incremental, windowed_linear
 
@@ -497,6 +500,40 @@ def _cma_es(spark, d):
     return values(spark, [tuple(f.popt.tolist())], "a double, b double").select(rnd("a", 2).alias("a"), rnd("b", 6).alias("b"))
 
 
+@query(ORACLE["exp_decay_fit"].replace("round(a, 4)", "round(a, 2)").replace("round(b, 8)", "round(b, 6)"), "hybrid_decay_fit")
+def _hybrid(spark, d):
+    s = bins(spark, d)
+    f = hybrid_fit(s, DECAY, "x", "y", p0=[s.agg(F.max("y")).first()[0] / 2, 0.05])
+    return values(spark, [tuple(f.popt.tolist())], "a double, b double").select(rnd("a", 2).alias("a"), rnd("b", 6).alias("b"))
+
+
+@query(ORACLE["exp_decay_fit"].replace("round(a, 4)", "round(a, 2)").replace("round(b, 8)", "round(b, 6)"), "auto_global_fit")
+def _auto_global(spark, d):
+    f = workflows.fit(bins(spark, d), DECAY, "x", "y", "auto_global", bounds=([0.0, 1e-3], [1e6, 1.0]), preset="fast")
+    return values(spark, [tuple(f.popt.tolist())], "a double, b double").select(rnd("a", 2).alias("a"), rnd("b", 6).alias("b"))
+
+
+def _line(x, a, b):
+    return a * x + b
+
+
+def _line_slopes(x, a, b):
+    return np.stack([x, np.ones_like(x)], 1)
+
+
+@query(ORACLE["linear_fit"])
+def numeric_model_fit(spark, d):
+    """A model and derivatives given as numpy functions."""
+    f = curve_fit(read(spark, d, "lineitem"), Numeric("line", _line, ("a", "b"), jac=_line_slopes), "l_quantity", "l_extendedprice", p0=[1.0, 1.0])
+    return values(spark, list(f.params.items()), "param string, value double").select("param", rnd("value", 4).alias("value"))
+
+
+@query("SELECT round(sum(power(l_extendedprice - 900 * l_quantity - 1000, 2) / l_linenumber) / sum(1.0::DOUBLE / l_linenumber), 1) AS loss FROM lineitem", "group_weighted_loss")
+def _group_weighted(spark, d):
+    got = correlated.group_weighted_loss(read(spark, d, "lineitem"), "linear", "l_quantity", "l_extendedprice", [900.0, 1000.0], "l_linenumber", {i: 1 / i for i in range(1, 8)})
+    return values(spark, [(got,)], "loss double").select(rnd("loss", 1).alias("loss"))
+
+
 # ---- histories: each user's events in order stand for a history of costs ----
 
 HISTORY = "h AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS iteration, value AS cost FROM events)"

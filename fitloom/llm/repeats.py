@@ -181,6 +181,7 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, heavy: int = HEAVY) -> D
     """did, th, s, e: byte spans whose every window of depth bytes also starts elsewhere. docs: did, th, text."""
     found = stage(anchored(docs, depth), "repeats-anchors")
     groups = found.groupBy("khash").agg(F.count("*").alias("n"), (F.min("chash") != F.max("chash")).alias("mixed")).filter("n > 1")
+    groups = stage(groups, "repeats-groups")  # written, so that the join can split a very common anchor among tasks
     hits = stage(found.join(groups, "khash"), "repeats-hits")
     whole = hits.filter(~F.col("mixed")).select("did", "th", F.col("p0").alias("s"), (F.col("p0") + F.col("span")).alias("e"))
     lists = hits.filter("mixed").groupBy("did", "th").agg(F.collect_list(F.struct("khash", "p0", "span", (F.col("n") > heavy).alias("heavy"))).alias("cs"))

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from .common import WORD, read, stage, text_key
 
 CAP = 3.0
-SALTS = 16
+SALTS, RUN = 16, 1 << 20
 REPAIRS = 4
 NEAR = 0.01
 WEIGHTS = (1, 2, 3)
@@ -103,6 +103,17 @@ def solve(classes: DataFrame, want: dict, size: dict, mean: dict, cap: float, ro
     return out
 
 
+def salted(rows: DataFrame) -> DataFrame:
+    """Deal the documents of one source and size out: in SALTS parts, or in more where these would hold over RUN rows."""
+    salts = F.lit(SALTS)
+    many = rows.groupBy("source", "size").agg(F.count("*").alias("n")).filter(F.col("n") > SALTS * RUN).collect()  # rows / (SALTS x RUN) at most
+    if many:
+        table = by_source(rows.sparkSession, [(r.source, r.size, -(-r.n // RUN)) for r in many], "_z long, _n long").withColumnRenamed("source", "_s")
+        rows = rows.join(F.broadcast(table), same("source", "_s") & (F.col("size") == F.col("_z")), "left").drop("_s", "_z")
+        salts = F.coalesce("_n", F.lit(SALTS))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), salts).cast("long")).drop("_n")
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies and taken for every row of docs."""
     return assign(stage(sized(docs), "mix-sizes"), weights, cap)
@@ -111,8 +122,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
 def assign(rows: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
     """mix() for rows of doc_id, source and size (other columns are kept) read from a written table."""
     spark = rows.sparkSession
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")
-    classes = stage(rows.groupBy("source", "size", salt).agg(F.count("*").alias("n")), "mix-classes")
+    rows = salted(rows)
+    classes = stage(rows.groupBy("source", "size", "salt").agg(F.count("*").alias("n")), "mix-classes")
     per = classes.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("t"), F.sum("n").alias("n")).collect()
     # bytes order is code point order; null comes last
     per = sorted(per, key=lambda r: (r.source is None, (r.source or "").encode()))
@@ -135,7 +146,7 @@ def assign(rows: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
     edges = on_source(classes, table).withColumn("rate", rate).withColumn("before", F.coalesce(F.sum(F.col("n") * F.col("rate")).over(run), F.lit(0.0)))
     edges = stage(edges.select("source", "size", "salt", "rate", "before", "source_size", "target"), "mix-edges")
     rank = W.partitionBy("source", "size", "salt").orderBy("doc_id")
-    ranked = rows.withColumn("salt", salt).withColumn("k", F.row_number().over(rank))
+    ranked = rows.withColumn("k", F.row_number().over(rank))
     e = edges.select(F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("salt").alias("_t"), "rate", "before", "source_size", "target")
     placed = ranked.join(e, same("source", "_s") & (F.col("size") == F.col("_z")) & (F.col("salt") == F.col("_t")))
     at = lambda k: F.floor(F.col("before") + k * F.col("rate") + F.lit(0.5))

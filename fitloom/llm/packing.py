@@ -6,7 +6,8 @@ successor sweep gives each the smallest gap that holds it, pieces and gaps of eq
 the next superstep goes on with the shorter pieces. Pieces of one length and gaps of one size are
 interchangeable, so runs (size, ranks from - to) are swept rather than rows: their number is bounded
 by the capacity, not by the corpus. Ranking the pieces and placing each by its rank is done by Spark.
-Every run is keyed by (length, salt), so a length shared by a third of the corpus is still dealt out.
+Every run is keyed by (length, salt), so a length shared by a third of the corpus is still dealt out: in
+SALTS runs, or in more where these would hold over RUN pieces.
 
 Nulls: a null text is empty and still has the end token. Repeated rows are packed each on its own.
 An empty table gives no rows. Extra columns are ignored.
@@ -31,7 +32,7 @@ from .common import read, stage
 
 CAPACITY = 4096
 END = 1
-SALTS = 16
+SALTS, RUN = 16, 1 << 20
 VOCABULARY = "word_bpe_49k.json"
 _CACHE_WORDS = 400_000
 
@@ -198,8 +199,12 @@ def supersteps(counts: dict, capacity: int) -> list:
 def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add sequence_id and offset to a written table with a column length (1 to capacity)."""
     spark = items.sparkSession
-    salted = items.withColumn("_t", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    runs = salted.groupBy("length", "_t").agg(F.count("*").alias("n")).collect()  # capacity x SALTS rows at most
+    many = items.groupBy("length").agg(F.count("*").alias("n")).filter(F.col("n") > SALTS * RUN).collect()  # capacity rows at most
+    salts = F.lit(SALTS)
+    for r in many:
+        salts = F.when(F.col("length") == r.length, -(-r.n // RUN)).otherwise(salts)
+    salted = items.withColumn("_t", F.pmod(F.xxhash64("doc_id", "piece"), salts).cast("int"))
+    runs = salted.groupBy("length", "_t").agg(F.count("*").alias("n")).collect()  # capacity x SALTS + pieces / RUN rows at most
     counts, base = defaultdict(int), {}
     for r in sorted(runs):
         base[(r.length, r._t)] = counts[r.length]

@@ -318,7 +318,10 @@ def check_packing(pieces, capacity):
     return len(by)
 
 
-def test_packing_documents(spark):
+@pytest.mark.parametrize("run", [1, 1 << 20])
+def test_packing_documents(spark, run, monkeypatch):
+    monkeypatch.setattr(packing, "RUN", run)
+    monkeypatch.setattr(packing, "SALTS", 2)
     got = packing.pack_documents(table(spark), 64).collect()
     n = check_packing(got, 64)
     assert n <= math.ceil(sum(r.length for r in got) / 64) * 1.05 + 1
@@ -382,7 +385,10 @@ def nearest(sizes, target, cap=3):
     return min(abs(i - target) for i in range(sums.bit_length()) if sums >> i & 1)
 
 
-def test_mix(spark):
+@pytest.mark.parametrize("run", [1, 1 << 20])
+def test_mix(spark, run, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN", run)
+    monkeypatch.setattr(mixing, "SALTS", 2)
     data = rows()
     got = mixing.mix(table(spark)).collect()
     assert len(got) == len(data)

@@ -185,7 +185,7 @@ def curve_fit(
         if auto_bounds:
             lo, hi = precision.merge_bounds((lo, hi), precision.infer_bounds(theta, summary(curve)))
         theta = np.clip(theta, lo, hi)
-        out = solve.minimise(problem, theta, lo, hi, ftol, xtol, gtol, max_nfev, callback)
+        out = solve.minimise(problem, theta, lo, hi, ftol, xtol, gtol, max_nfev, callback, loss == "linear" and model.linear)
     finally:
         problem.close()
     if out.state.n < len(theta):

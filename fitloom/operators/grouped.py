@@ -48,7 +48,7 @@ def fit_by_key(
     pts = frame.points(df, frame.Roles.of(x, y, model.variables, sigma=sigma, keys=tuple(keys)), nan_policy)
     kinds = {k: t for k, t in pts.dtypes if k in keys}
     lo, hi = model.limits() if bounds is None else (np.broadcast_to(np.asarray(b, float), len(model.params)).copy() for b in bounds)
-    p0 = np.asarray(p0, float)
+    p0, linear = np.asarray(p0, float), loss == "linear" and model.linear
     schema = result_schema(kinds)
     names = [c.split()[0].strip("`") for c in schema.split(", ")]
     sizes = pts.groupBy(*keys).agg(F.count("*").alias("_n"))
@@ -60,7 +60,7 @@ def fit_by_key(
         try:
             if len(pdf) < len(model.params):
                 raise ValueError("fewer points than parameters")
-            row = row_of(key, len(pdf), solve.minimise(problem, np.clip(p0, lo, hi), lo, hi), absolute_sigma)
+            row = row_of(key, len(pdf), solve.minimise(problem, np.clip(p0, lo, hi), lo, hi, linear=linear), absolute_sigma)
         except (ValueError, np.linalg.LinAlgError) as e:
             row = row_of(key, len(pdf), None, absolute_sigma, str(e))
         return pd.DataFrame([row], columns=names)
@@ -71,11 +71,11 @@ def fit_by_key(
     is_large = spark.createDataFrame([tuple(r) for r in large], ", ".join(f"`{k}` {t}" for k, t in kinds.items()))
     on = [F.col(f"p.{k}").eqNullSafe(F.col(f"q.{k}")) for k in keys]
     small = pts.alias("p").join(F.broadcast(is_large.alias("q")), on, "left_anti").groupBy(*keys).applyInPandas(one, schema)
-    rows = large_keys(pts, model, [tuple(r) for r in large], kinds, p0, lo, hi, loss, f_scale, steps)
+    rows = large_keys(pts, model, [tuple(r) for r in large], kinds, p0, lo, hi, loss, f_scale, steps, linear)
     return small.unionByName(spark.createDataFrame([row_of(k, o.state.n, o, absolute_sigma) for k, o in rows], schema))
 
 
-def large_keys(pts: DataFrame, model: Model, large: list, kinds: dict, p0, lo, hi, which, scale: float, steps: int) -> list:
+def large_keys(pts: DataFrame, model: Model, large: list, kinds: dict, p0, lo, hi, which, scale: float, steps: int, linear: bool = False) -> list:
     """[(key, Outcome)]: every key's solver asks for one evaluation; all are answered by one grouped aggregate."""
     spark, k = pts.sparkSession, len(model.params)
     rows = pts.persist()
@@ -91,10 +91,10 @@ def large_keys(pts: DataFrame, model: Model, large: list, kinds: dict, p0, lo, h
         got = joined.groupBy(*kinds).agg(*normal.aggregates(t)).collect()
         return {tuple(r[c] for c in kinds): r for r in got}
 
-    return lockstep(answer, large, p0, lo, hi, steps)
+    return lockstep(answer, large, p0, lo, hi, steps, linear)
 
 
-def lockstep(answer, keys: list, p0, lo, hi, steps: int) -> list:
+def lockstep(answer, keys: list, p0, lo, hi, steps: int, linear: bool = False) -> list:
     """Run one solver per key in turns: each blocks on its evaluation until all have asked."""
     import queue
     import threading
@@ -114,7 +114,7 @@ def lockstep(answer, keys: list, p0, lo, hi, steps: int) -> list:
             return normal.unpacked(got, theta)
 
         try:
-            out = solve.minimise(problem, np.clip(p0, lo, hi), lo, hi, max_nfev=steps)
+            out = solve.minimise(problem, np.clip(p0, lo, hi), lo, hi, max_nfev=steps, linear=linear)
         except Exception as e:  # handed to the caller below
             out = e
         with turn:

@@ -97,8 +97,25 @@ def shortened(theta: np.ndarray, s: np.ndarray, lo: np.ndarray, hi: np.ndarray)
     return float(min(1.0, np.nanmin(t, initial=np.inf)))
 
 
-def minimise(problem, theta, lo=None, hi=None, ftol=1e-10, xtol=1e-10, gtol=1e-10, max_nfev: int | None = None, callback=None) -> Outcome:
-    """Fit from theta. callback(iteration, cost, theta, info) may raise Stop."""
+def solved(problem, state) -> Outcome:
+    """For residuals linear in the parameters: the normal equations' solution, and once more for what rounding left."""
+    note = lambda i: {"iteration": i, "cost": state.cost, "g_norm": float(np.abs(state.g).max()), "theta": state.theta.copy()}
+    history, k = [note(0)], len(state.theta)
+    for i in (1, 2):
+        d = np.sqrt(np.maximum(np.diag(state.a), 0))
+        d = np.where(d > 0, d, 1.0)
+        lam, q = np.linalg.eigh(state.a / np.outer(d, d))
+        keep = lam > np.finfo(float).eps * k * max(lam[-1], 0)
+        trial = problem(state.theta - (q[:, keep] / lam[keep]) @ (q[:, keep].T @ (state.g / d)) / d)
+        if not trial.usable or trial.cost > state.cost:
+            break
+        state = trial
+        history.append(note(i))
+    return Outcome(state.theta, state, 2, i + 1, len(history) - 1, history[-1]["g_norm"], history)
+
+
+def minimise(problem, theta, lo=None, hi=None, ftol=1e-10, xtol=1e-10, gtol=1e-10, max_nfev: int | None = None, callback=None, linear: bool = False) -> Outcome:
+    """Fit from theta. callback(iteration, cost, theta, info) may raise Stop. linear: the residuals are linear in theta."""
     theta = np.asarray(theta, float)
     k = len(theta)
     lo = np.full(k, -np.inf) if lo is None else np.asarray(lo, float)
@@ -110,6 +127,8 @@ def minimise(problem, theta, lo=None, hi=None, ftol=1e-10, xtol=1e-10, gtol=1e-1
     state = problem(theta)
     if not state.usable:
         raise ValueError("the model is not finite at the starting values")
+    if linear and not bounded and callback is None:
+        return solved(problem, state)
     nfev, nit, status, history = 1, 0, None, []
     limit = max_nfev or 100 * k
     norms = np.zeros(k)

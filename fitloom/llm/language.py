@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import read, stage
 
-WORDS = 1024
+WORDS = 4096
 CLASS_SIZE = 64
 TAILS = 16
 COUNTED = 1 << 17

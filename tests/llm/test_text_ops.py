@@ -211,6 +211,21 @@ def test_gradients_agree_with_differences():
     assert abs(-(language.outputs(p, h, target, None)[0].sum() - lp.sum()) / 1e-6 - dh[3, 4]) < 1e-4
 
 
+def test_words_down_to_rank_4095_have_outputs_of_their_own():
+    n = 5000
+    lay = language.Layout([language.word_key(f"w{i}".encode()) for i in range(n)], list(range(n, 0, -1)), language.WORDS, n * (n + 1) // 2, n, {})
+    np.testing.assert_array_equal(lay.symbols(np.array([0, 1024, 3000, 4095])), [0, 1024, 3000, 4095])
+    p, every = language.initial(lay), np.arange(language.WORDS + language.TAILS)
+    h = np.zeros((len(every), language.HIDDEN), np.float32)
+    assert abs(np.exp(language.outputs(p, h, every, None)[0].astype(float)).sum() - 1) < 1e-3
+    # a word of rank 3000 is learnt from its context, as no class of looks can
+    docs = [np.resize([7, 3000, 9, 3500], 64).astype(np.int32)] * 8
+    g2, before = {k: np.full_like(v, 1e-8) for k, v in p.items()}, language.score(p, docs).sum()
+    for _ in range(30):
+        language.learn(p, g2, docs, language.RATE)
+    assert language.score(p, docs).sum() > 0.5 * before
+
+
 def test_state_is_carried_and_training_helps():
     lay, r = small_layout(), np.random.default_rng(1)
     docs = [np.array([*np.resize([1, 2, 3, 4], n), 0]) for n in r.integers(3, 150, 60)]

@@ -147,7 +147,7 @@ def initial(layout: Layout) -> dict:
 
 
 def lanes(docs: list, most: int = LANES) -> tuple:
-    """Documents' symbols laid end to end in lanes: (symbols, document, starts a document), each a list of lanes by falling length."""
+    """Documents laid end to end in lanes: (symbols, document, starts a document), all lanes one after another, and the lanes' lengths, falling."""
     most = max(1, min(most, len(docs)))
     load, held = [(0, i) for i in range(most)], [[] for _ in range(most)]
     import heapq
@@ -157,17 +157,12 @@ def lanes(docs: list, most: int = LANES) -> tuple:
         held[i].append(d)
         heapq.heappush(load, (n + len(docs[d]), i))
     held = sorted((x for x in held if x), key=lambda x: -sum(len(docs[d]) for d in x))
-    size = [sum(len(docs[d]) for d in x) for x in held]
-    sym = np.zeros((size[0], len(held)), np.int32)
-    doc = np.full((size[0], len(held)), -1, np.int32)
-    new = np.zeros((size[0], len(held)), bool)
-    for j, x in enumerate(held):
-        at = 0
-        for d in x:
-            n = len(docs[d])
-            sym[at : at + n, j], doc[at : at + n, j], new[at, j] = docs[d], d, True
-            at += n
-    return sym, doc, new, np.array(size)
+    order = [d for x in held for d in x]
+    n = np.array([len(docs[d]) for d in order])
+    sym = np.concatenate([docs[d] for d in order]).astype(np.int32, copy=False)
+    new = np.zeros(len(sym), bool)
+    new[np.cumsum(n) - n] = True
+    return sym, np.repeat(np.array(order, np.int32), n), new, np.array([sum(len(docs[d]) for d in x) for x in held])
 
 
 def sigmoid(x):
@@ -249,10 +244,17 @@ def windows(docs: list, length: int, heads: np.ndarray | None = None):
     before = np.empty_like(sym)
     before[1:] = sym[:-1]
     before[new] = WORDS + TAILS if heads is None else heads[doc[new]]
-    for lo in range(0, len(sym), length):
-        hi = min(len(sym), lo + length)
+    start = np.cumsum(size) - size
+    for lo in range(0, int(size[0]), length):
+        hi = min(int(size[0]), lo + length)
         b = int((size > lo).sum())
-        yield sym[lo:hi, :b], before[lo:hi, :b], new[lo:hi, :b], doc[lo:hi, :b], b
+        # only this window is laid out: a long text beside short ones takes no room beyond its own
+        step = np.arange(lo, hi)[:, None]
+        ended = step >= size[:b]
+        at = np.minimum(step, size[:b] - 1) + start[:b]
+        d, w = doc[at], new[at]
+        d[ended], w[ended] = -1, False
+        yield sym[at], before[at], w, d, b
 
 
 def segments(docs: list, length: int = SEGMENT) -> tuple:

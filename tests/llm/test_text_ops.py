@@ -241,6 +241,30 @@ def test_state_is_carried_and_training_helps():
     np.testing.assert_allclose(after, [language.score(p, [d])[0] for d in docs], rtol=1e-4)
 
 
+def test_a_long_text_beside_short_ones_takes_little_memory():
+    import tracemalloc
+
+    r = np.random.default_rng(2)
+    docs = [r.integers(0, 40, n).astype(np.int32) for n in [300_000, *r.integers(1, 200, 500)]]
+    tracemalloc.start()
+    laid = language.windows(docs, language.WINDOW)
+    seen = sum(int((doc >= 0).sum()) for _, _, _, doc, _ in (next(laid) for _ in range(50)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen > 50 * language.WINDOW and peak < 30_000_000
+    # every symbol comes once, in order, after the one before it
+    some = [np.arange(n, dtype=np.int32) + 1000 * i for i, n in enumerate([500, 1, 33, 32, 64])]
+    got = collections.defaultdict(list)
+    for sym, before, new, doc, b in language.windows(some, 32):
+        assert sym.shape == before.shape == new.shape == doc.shape and sym.shape[1] == b
+        for j in range(b):
+            for t in np.flatnonzero(doc[:, j] >= 0):
+                got[int(doc[t, j])].append(int(sym[t, j]))
+                first = sym[t, j] == some[doc[t, j]][0]
+                assert new[t, j] == first and before[t, j] == (language.WORDS + language.TAILS if first else sym[t, j] - 1)
+    assert [got[i] for i in range(len(some))] == [d.tolist() for d in some]
+
+
 # ---- secrets ----
 
 

@@ -4,7 +4,7 @@ Base findings (kinds assign, access, hex) come from fixed patterns. Every other
 with a digit is a candidate: the network reads its characters with CONTEXT around them. It is trained on
 labelled findings: candidates inside base findings are positive, the others negative; half of the
 positives are shown without their left context, so that the token itself must tell. The fit takes a
-bounded sample (FIT of each label, least hash first); calibration (Platt) and threshold (the highest
+bounded sample (FIT different windows of each label, least hash first); calibration (Platt) and threshold (the highest
 that keeps RECALL of the held-out positives) are computed from the scores of all held-out candidates.
 Candidates at the threshold or above that touch no base finding are added as kind `model`.
 """
@@ -192,12 +192,18 @@ def labelled(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "label int, window string").withColumn("h", F.xxhash64("window"))
 
 
+def fitting_sample(found: DataFrame, fit: int) -> DataFrame:
+    """At most `fit` different windows of each label, least hash first: copies of a window count once."""
+    once = found.select("label", "window", "h").distinct()
+    some = lambda y: once.filter(F.col("label") == y).orderBy("h", "window").limit(fit)
+    return some(0).unionByName(some(1))
+
+
 def train(docs: DataFrame, fit: int = FIT, recall: float = RECALL) -> dict | None:
     """Network parameters, calibration and threshold; None without candidates of both labels."""
     found = stage(labelled(docs), "secrets-candidates")
     held = F.pmod("h", F.lit(FOLDS)) == 0
-    some = lambda y: found.filter(~held & (F.col("label") == y)).select("label", "window", "h").orderBy("h", "window").limit(fit)
-    sample = some(0).unionByName(some(1)).repartition(1).sortWithinPartitions("h", "window", "label")
+    sample = fitting_sample(found.filter(~held), fit).repartition(1).sortWithinPartitions("h", "window", "label")
 
     def run(batches):
         rows = [batch.to_pydict() for batch in batches]

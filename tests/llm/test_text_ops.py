@@ -309,6 +309,14 @@ def test_network_learns_and_threshold_keeps_recall(spark):
     assert a > 0
 
 
+def test_copies_do_not_fill_the_fitting_sample(spark):
+    texts = [(0, f"window {i % 30}", i % 30) for i in range(60)] + [(1, "the same", -5)] * 500 + [(1, f"key {i}", i) for i in range(30)]
+    found = spark.createDataFrame(texts, "label int, window string, h long")
+    got = [tuple(r) for r in secrets.fitting_sample(found, 20).collect()]
+    assert len(got) == len(set(got)) == 40 and sum(y for y, *_ in got) == 20
+    assert (1, "the same", -5) in got and (1, "key 18", 18) in got
+
+
 # ---- toxicity ----
 
 

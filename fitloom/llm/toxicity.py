@@ -1,8 +1,10 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. A sentence's score is a logistic function of hashed words and word prefixes, a
-document's is the noisy-or 1 - prod(1 - sentence score): one offending sentence suffices. Sentence
-weights are learnt from document labels alone, by minimising the noisy-or's log loss with Adagrad.
+document's is the noisy-or 1 - prod(1 - q): one offending sentence suffices. q is what a sentence's score
+exceeds that of one without learnt words, so that no number of clean sentences makes a text toxic.
+Weights are learnt from document labels alone, by minimising the noisy-or's log loss with Adagrad; there
+each document also has the chance LEAK of its label for no sentence's sake.
 The model is fitted in one task on a bounded sample (FIT_DOCS labelled documents, least hash first);
 scoring covers every sentence of every text.
 """
@@ -22,7 +24,7 @@ from .common import read
 FIT_DOCS = 12_000
 FIT_BYTES = 64_000_000
 BITS = 20
-PRIOR = 0.02
+PRIOR = LEAK = 0.02
 UNTAUGHT = -30.0  # bias without labels of both kinds: even long texts score near 0
 EPOCHS = 12
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+|!!\s+|\s\|\s")
@@ -103,15 +105,22 @@ def logits(texts: list, weights: np.ndarray, cache: dict) -> tuple:
 
 
 def noisy_or(weights: np.ndarray, bias: float, bag: tuple, docs: int) -> tuple:
-    """Score of each document and of each sentence."""
+    """Score of each document, the chance LEAK included, and summed weights of each sentence."""
     f, s, d = bag
-    return combined(np.bincount(s, weights[f], len(d)) + bias, d, docs)
+    z = np.bincount(s, weights[f], len(d))
+    P, _ = combined(z, bias, d, docs)
+    return 1 - (1 - LEAK) * (1 - P), z
 
 
-def combined(logit: np.ndarray, d: np.ndarray, docs: int) -> tuple:
-    p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    none = np.bincount(d, np.log1p(-np.minimum(p, 1 - 1e-12)), docs)
-    return -np.expm1(none), p
+def logistic(x):
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def combined(z: np.ndarray, bias: float, d: np.ndarray, docs: int) -> tuple:
+    """Score of each document and of each sentence: what is over the score of a sentence without learnt words."""
+    p = np.log1p(-np.minimum(logistic(np.append(z, 0.0) + bias), 1 - 1e-12))
+    none = np.minimum(p[:-1] - p[-1], 0)
+    return -np.expm1(np.bincount(d, none, docs)), -np.expm1(none)
 
 
 def fit(texts: list, labels: np.ndarray, l2: float = 1e-4, rate: float = 0.3) -> tuple:
@@ -137,18 +146,19 @@ def fit(texts: list, labels: np.ndarray, l2: float = 1e-4, rate: float = 0.3) ->
             at = np.concatenate([[0], np.cumsum(n)])
             ss = [s[first_feature[i] : first_feature[i + 1]] - first_sentence[i] + at[k] for k, i in enumerate(part)]
             bf, bs, bd = np.concatenate(fs), np.concatenate(ss).astype(np.int64), np.repeat(np.arange(len(part)), n)
-            if not len(bd):
+            if not len(bf):  # nothing to learn from: all sentences are background
                 continue
-            P, p = noisy_or(w, bias, (bf, bs, bd), len(part))
-            y = labels[part]
-            # d loss / d logit of a sentence: p where y is 0, -p (1 - P) / P where it is 1
-            g = np.where(y[bd] > 0, -p * ((1 - P) / np.maximum(P, 1e-9))[bd], p)
+            P, z = noisy_or(w, bias, (bf, bs, bd), len(part))
+            y, p = labels[part], logistic(z + bias)
+            # d loss / d logit of a sentence: p where y is 0, -p (1 - P) / P where it is 1; none below the background
+            per = np.where(y[bd] > 0, -((1 - P) / np.maximum(P, 1e-9))[bd], 1.0) * (z >= 0)
+            g = per * p
             u, inverse = np.unique(bf, return_inverse=True)
             gw = np.bincount(inverse, g[bs], len(u))
             gw += l2 * w[u]
             g2[u] += gw * gw
             w[u] -= rate * gw / np.sqrt(g2[u])
-            gb = g.sum()
+            gb = (per * (p - logistic(bias))).sum()
             b2 += gb * gb
             bias -= rate * gb / np.sqrt(b2)
     return w, bias
@@ -166,7 +176,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_docs: in
         for batch in batches:
             for t, y in zip(batch.column("text"), batch.column("_y").to_pylist()):
                 t = t.as_py() or ""
-                if (left := left - len(t)) >= 0:
+                if len(t) <= left:  # a text that does not fit takes nothing from those after it
+                    left -= len(t)
                     texts.append(t)
                     ys.append(float(y > 0))
         w, bias = fit(texts, np.array(ys))
@@ -199,7 +210,7 @@ def scored(docs: DataFrame, model: tuple, extra: tuple = (), locate: bool = True
             for lo in range(0, len(texts), 512):
                 part = [t or "" for t in texts.slice(lo, 512).to_pylist()]
                 z, d = logits(part, full, cache)
-                P, p = combined(z + bias, d, len(part))
+                P, p = combined(z, bias, d, len(part))
                 score[lo : lo + len(part)] = P
                 found: list = [[] for _ in part]
                 hot = set(d[p >= 0.5].tolist()) if locate else ()

@@ -349,6 +349,25 @@ def test_toxicity_learns_from_document_labels(spark):
     assert {r_.predicted for r_ in toxicity.toxicity(df, lab.limit(0)).collect()} == {0}
 
 
+def test_long_texts_lose_neither_score_nor_sample(spark):
+    r = np.random.default_rng(4)
+    vocabulary = [f"word{i}" for i in range(200)]
+    line = lambda *more: " ".join([*r.choice(vocabulary, 6), *more]) + "."
+    docs = [(i, " ".join([line(), line(*["vilething"] * (i % 5 == 0)), line()])) for i in range(400)]
+    df, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(400)], "doc_id long, toxic int")
+    model = toxicity.learn(df, lab)
+    clean = " ".join([line() for _ in range(1000)] * 100)
+    long = spark.createDataFrame([(1, clean), (2, clean + " " + line("vilething"))], "doc_id long, text string")
+    got = {x.doc_id: x for x in toxicity.scored(long, model).collect()}
+    assert got[1].score < 0.01 and not got[1].offending
+    assert got[2].score >= 0.5 and len(got[2].offending) == 1
+    # an oversized text leaves the others in the sample, wherever it comes
+    huge = df.selectExpr("doc_id", "CASE WHEN doc_id % 40 = 1 THEN repeat('word1 ', 50000) ELSE text END AS text")
+    weights, _ = toxicity.learn(huge, lab, fit_bytes=100_000)
+    assert weights[list(toxicity.features("vilething"))].sum() > 1
+
+
+
 # ---- packing ----
 
 

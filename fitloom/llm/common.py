@@ -46,8 +46,8 @@ def unstage(df: DataFrame) -> None:
 
 
 def text_key(text: Column) -> Column:
-    """20 bits of the text, so that rows sharing an id but not a text stay apart in joins."""
-    return F.crc32(F.coalesce(text, F.lit(""))).bitwiseAND(F.lit((1 << 20) - 1)).cast("long")
+    """64 bits of the text, so that rows sharing an id (or null) but not a text stay apart in joins."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def partitions(spark: SparkSession) -> int:

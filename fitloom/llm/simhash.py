@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, read, stage, unstage
+from .common import partitions, read, stage, text_key, unstage
 
 #: The Golay code's generator polynomial, x^11+x^10+x^6+x^5+x^4+x^2+1.
 GENERATOR = 0b110001110101
@@ -119,15 +119,17 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id, fp long (the 64 bits as a signed number) for every row."""
+def fingerprints(docs: DataFrame, shingle: int = 4, keep: tuple = ()) -> DataFrame:
+    """doc_id, fp long (the 64 bits as a signed number) and the columns `keep` for every row."""
+    kinds = dict(docs.dtypes)
 
     def run(batches):
         for batch in batches:
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column("text")), np.uint64, len(batch))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64)), *(batch.column(c) for c in keep)], ["doc_id", "fp", *keep])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
+    schema = ", ".join([f"doc_id {kinds['doc_id']}", "fp long", *(f"`{c}` {kinds[c]}" for c in keep)])
+    return docs.select("doc_id", "text", *keep).mapInArrow(run, schema)
 
 
 def forest(fps: np.ndarray, left: np.ndarray, right: np.ndarray, most: int) -> list:
@@ -252,29 +254,33 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("dst").alias("node"), F.col("src").alias("component")).union(edges.select(F.col("src").alias("node"), F.col("src").alias("component")).distinct())
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = MAX_BITS) -> DataFrame:
-    """doc_id, fingerprint and component_id (the smallest doc_id reachable by links) for every row.
+def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = MAX_BITS, keep: tuple = ()) -> DataFrame:
+    """doc_id, fingerprint, component_id (the smallest doc_id reachable by links) and the columns `keep` for every row.
 
     A null or wordless text has fingerprint zero and is linked like any other; rows with a null doc_id
     have their own fingerprint and take part only as members (their component is the least id there is,
     null if there is none). Repeated rows get equal results. Extra columns are ignored. Texts with equal
     fingerprints are one node, so a group of copies makes no links.
     """
-    fps = stage(fingerprints(docs, shingle), "simhash-fp")
+    fps = stage(fingerprints(docs, shingle, keep), "simhash-fp")
     nodes = stage(fps.groupBy("fp").agg(F.min("doc_id").cast("long").alias("least")).withColumn("node", F.col("fp")), "simhash-nodes")
     edges = links(nodes.select("node", "fp"), most)
     comp = stage(components(edges), "simhash-cc")
     ids = nodes.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = ids.groupBy("component").agg(F.min("least").alias("component_id"))
     known = ids.join(least, "component").select("fp", "component_id")
-    return fps.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return fps.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", *keep)
 
 
 def representatives(docs: DataFrame, shingle: int = 4, most: int = MAX_BITS) -> DataFrame:
-    """The rows of docs with the smallest doc_id of their component; groups without an id stay whole."""
-    found = near_duplicates(docs, shingle, most)
-    gone = found.filter("doc_id is null and component_id is not null or doc_id != component_id").select(F.col("doc_id").alias("_d")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")), "left_anti").dropDuplicates(["doc_id", "text"])
+    """The rows of docs with the smallest doc_id of their component; groups without an id stay whole but for exact copies.
+
+    Decided by row, which its id and text tell: rows that share an id, or have none, stand for themselves.
+    """
+    found = near_duplicates(docs.withColumn("_th", text_key(F.col("text"))), shingle, most, ("_th",))
+    gone = found.filter("doc_id is null and component_id is not null or doc_id != component_id").select(F.col("doc_id").alias("_d"), F.col("_th").alias("_h")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (text_key(F.col("text")) == F.col("_h"))
+    return docs.join(gone, same, "left_anti").dropDuplicates(["doc_id", "text"])
 
 
 def op3_simhash(spark, sf_dir) -> DataFrame:

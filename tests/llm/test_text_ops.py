@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 
 from fitloom.llm import language, media, mixing, packing, repeats, secrets, simhash, toxicity
-from tests.llm.data import empty, rows, table
+from tests.llm.data import empty, rows, table, words
 
 
 def key(t):
@@ -130,6 +131,38 @@ def test_representatives_leave_one(spark):
     assert len(ids) == len(set(ids)) and 3 in ids and not {65, 66} & set(ids) and None not in ids
 
 
+def test_rows_that_share_an_id_are_decided_each_on_its_own(spark):
+    r = random.Random(5)
+    alone = [words(r, 60) for _ in range(4)]
+    shared = words(r, 60)
+    # a copy without an id of document 1; texts without an id of their own; id 7 on two texts, one of them a copy of 1's
+    data = [(1, shared), (None, shared), (None, alone[0]), (None, alone[1]), (7, shared), (7, alone[2]), (8, alone[3])]
+    kept = simhash.representatives(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    want = [(1, shared), (None, alone[0]), (None, alone[1]), (7, alone[2]), (8, alone[3])]
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, want))
+
+
+def test_texts_without_ids_are_not_taken_for_each_other(spark):
+    pairs, seen = [], {}
+    for i in range(20_000):  # texts that agree in 20 bits of their crc
+        t = words(random.Random(i), 5)
+        pairs += [(seen[k], t)] if (k := zlib.crc32(t.encode()) & 0xFFFFF) in seen else []
+        seen.setdefault(k, t)
+    assert len(pairs) > 20
+    df = spark.createDataFrame([(None, t, "s") for p in pairs for t in p], "doc_id long, text string, source string")
+    assert {r.text for r in mixing.mixed_rows(df).collect()} == {t for p in pairs for t in p}
+    # joined by such a key, op4 cuts one text at the other's spans
+    repeat = words(random.Random(6), 60)
+    one, seen = repeat + " " + repeat + " ", {}
+    for i in range(20_000):
+        seen.setdefault(zlib.crc32(f"{one}{i}".encode()) & 0xFFFFF, f"{one}{i}")
+    clean = (f"{words(random.Random(i), 130)}" for i in range(20_000))
+    other = next(t for t in clean if zlib.crc32(t.encode()) & 0xFFFFF in seen)
+    both = [seen[zlib.crc32(other.encode()) & 0xFFFFF], other]
+    got = repeats.remove_repeats(spark.createDataFrame([(None, t) for t in both], "doc_id long, text string")).collect()
+    assert sorted(r.n_bytes == len(r.kept) for r in got) == [False, True]
+
+
 # ---- repeats ----
 
 

@@ -17,9 +17,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors; a local one only where the session names none."""
+    """The folder shared by driver and executors; on a local master, which has no others, one of this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="fitloom-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -45,9 +47,23 @@ def unstage(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def text_key(text: Column) -> Column:
-    """64 bits of the text, so that rows sharing an id (or null) but not a text stay apart in joins."""
-    return F.xxhash64(F.coalesce(text, F.lit("")))
+ROW = "_row"
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df written once with a number of its own for every row, in the column ROW: rows that share an id, or
+    have none, or are equal, stay apart in joins."""
+    return stage(df.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
+def sample_by_hash(df: DataFrame, h: Column, most: int) -> DataFrame:
+    """About `most` rows (all, if there are no more), those with the least hash: a filter, no sort.
+
+    h: a 64-bit hash. The number varies by chance, so readers that need a strict bound stop at it."""
+    n = df.count()
+    if n <= most:
+        return df
+    return df.filter(F.shiftrightunsigned(h, 1) < int((most - 3 * most**0.5) / n * (1 << 63)))
 
 
 def partitions(spark: SparkSession) -> int:

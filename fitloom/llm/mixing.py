@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, read, stage, text_key
+from .common import ROW, WORD, numbered, read, stage
 
 CAP = 3.0
 SALTS, RUN = 16, 1 << 20
@@ -240,13 +240,13 @@ def op10_mixing(spark, sf_dir) -> DataFrame:
 
 
 def mixed_rows(docs: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
-    """The mix itself: every row of docs as often as its copies say."""
-    th = text_key(F.col("text"))
-    copies = assign(stage(sized(docs, th.alias("th")), "mix-sizes"), weights, cap)
-    copies = copies.groupBy("doc_id", "th").agg(F.sum("copies").alias("_n")).filter("_n > 0").select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"), "_n")
-    rows = docs.withColumn("_th", th)
-    # repeated rows share one sum of copies: leave one of each before the rows are multiplied
-    rank = W.partitionBy("doc_id", "_th").orderBy("text")
-    once = rows.withColumn("_r", F.row_number().over(rank)).filter("_r = 1").drop("_r")
-    out = once.join(copies, same("doc_id", "_d") & (F.col("_th") == F.col("_h")))
+    """The mix itself: every row of docs as often as its copies say.
+
+    Rows are told apart by a number of their own, so equal rows and rows without an id are copied each on
+    its own. Null and empty texts have size 0 and go; one very long text is at most `cap` times its size.
+    """
+    rows = numbered(docs, "mix-rows")
+    sizes = stage(sized(rows, ROW), "mix-sizes")
+    copies = assign(sizes, weights, cap).filter("copies > 0").select(ROW, F.col("copies").alias("_n"))
+    out = rows.join(copies, ROW)
     return out.withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).select(*docs.columns)

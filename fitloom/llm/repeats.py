@@ -8,10 +8,12 @@ go on only with groups of two or more:
 
 1. digit one: the anchor's k bytes. Contexts alone with it hold no repeated window.
 2. digit two: the whole context. If a group has but one context text, all its windows are repeated.
-3. last digit: the single windows of the contexts that are left, ordered in groups of a bounded size;
-   larger groups are ordered by a shuffle of their windows instead, so no group has to fit a task.
+3. last digit: the single windows of the contexts that are left, ordered in groups of a bounded size and
+   compared byte by byte; groups of more than HEAVY contexts are ordered by a shuffle of their windows
+   instead, so no group has to fit a task.
 
-Digits are 64-bit hashes; groups of equal windows agree in at least 128 bits.
+Digits are 64-bit hashes. Contexts taken for equal agree in three (192 bits), windows of the large groups
+in two (128 bits), all other windows in their bytes.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, read, stage, text_key
+from .common import ROW, numbered, partitions, read, stage, unstage
 
 DEPTH = 200
-HEAVY = 50_000
+HEAVY = 2_000
 _SLICE = 1 << 20
 _POS = 26
 _U = np.uint64
@@ -90,9 +92,10 @@ def least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def contexts(data: np.ndarray, left: np.ndarray, depth: int) -> tuple:
-    """(khash, chash, p0, p1) of every run of windows with one anchor. left: bytes from each position to its text's end."""
+    """(khash, head, tail, p0, p1) of every run of windows with one anchor; head and tail are the digits of its
+    first and last window, which cover it. left: bytes from each position to its text's end."""
     k = anchor_length(depth)
-    none = tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
+    none = tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.uint64, np.int64, np.int64))
     if len(data) < depth:
         return none
     h = digits(data, (k, depth))
@@ -110,8 +113,7 @@ def contexts(data: np.ndarray, left: np.ndarray, depth: int) -> tuple:
     start = np.concatenate([[0], new])
     stop = np.concatenate([new, [len(p)]]) - 1
     p0, p1 = p[start], p[stop]
-    chash = _join(wh[p0], wh[p1], 39) ^ ((p1 - p0).astype(np.uint64) * _LEFT[38])
-    return kh[a[start]], chash, p0, p1
+    return kh[a[start]], wh[p0] ^ ((p1 - p0).astype(np.uint64) * _LEFT[38]), wh[p1], p0, p1
 
 
 def utf8(column) -> tuple:
@@ -138,34 +140,70 @@ def slices(offsets: np.ndarray, depth: int):
 
 
 def anchored(docs: DataFrame, depth: int) -> DataFrame:
-    """khash, chash, did, th, p0, span (bytes of the context) of every context. docs: did, th, text."""
+    """khash, head, tail, row, p0, span (bytes of the context) of every context. docs: ROW, text."""
 
     def run(batches):
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            did, th = batch.column("did").to_numpy(), batch.column("th").to_numpy()
+            row = batch.column(ROW).to_numpy()
             for i, j, lo, hi in slices(offsets, depth):
                 ends = np.repeat(offsets[i + 1 : j + 1], np.diff(np.clip(offsets[i : j + 1], lo, hi)))
                 left = np.minimum(ends, hi) - np.arange(lo, hi)
-                kh, ch, p0, p1 = contexts(data[lo:hi], left, depth)
+                kh, head, tail, p0, p1 = contexts(data[lo:hi], left, depth)
                 if len(kh):
                     doc = np.searchsorted(offsets[i : j + 1], p0 + lo, "right") - 1 + i
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(kh.view(np.int64)), pa.array(ch.view(np.int64)), pa.array(did[doc]), pa.array(th[doc]), pa.array(p0 + lo - offsets[doc]), pa.array((p1 - p0 + depth).astype(np.int32))],
-                        ["khash", "chash", "did", "th", "p0", "span"],
-                    )
+                    cols = (kh.view(np.int64), head.view(np.int64), tail.view(np.int64), row[doc], p0 + lo - offsets[doc], (p1 - p0 + depth).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["khash", "head", "tail", "row", "p0", "span"])
 
-    return docs.mapInArrow(run, "khash long, chash long, did long, th long, p0 long, span int")
+    return docs.select(ROW, "text").mapInArrow(run, "khash long, head long, tail long, row long, p0 long, span int")
 
 
 def window_digits(data: np.ndarray, sizes: np.ndarray, khash: np.ndarray, depth: int) -> tuple:
-    """(context, place in it, digit) of every window of contexts that lie one after another in data."""
+    """(context, place in it, place in data, digit) of every window of contexts that lie one after another in data."""
     ends = np.cumsum(sizes)
     wh = digits(data, (depth,))[depth]
     left = np.repeat(ends, sizes) - np.arange(len(data))
     p = np.flatnonzero(left >= depth)
     c = np.repeat(np.arange(len(sizes)), sizes)[p]
-    return c, p - (ends - sizes)[c], wh[p] ^ (khash.view(np.uint64)[c] * _U(0xFF51AFD7ED558CCD))
+    return c, p - (ends - sizes)[c], p, wh[p] ^ (khash.view(np.uint64)[c] * _U(0xFF51AFD7ED558CCD))
+
+
+def equal_windows(data: np.ndarray, p: np.ndarray, digit: np.ndarray, depth: int) -> np.ndarray:
+    """Which windows have an equal one, of windows at rising places p: sorted by digit, then compared by their bytes.
+
+    Every window is compared with the first of its digit: from end to end, or, where the window before it was
+    compared with the place before that one, in the byte that is new.
+    """
+    if not len(p):
+        return np.zeros(0, bool)
+    rank = np.argsort(digit)
+    by = digit[rank]
+    start = np.flatnonzero(np.concatenate([[True], by[1:] != by[:-1]]))
+    size = np.diff(np.append(start, len(by)))
+    first = np.repeat(np.minimum.reduceat(p[rank], start), size)
+    partner = np.empty(len(p), np.int64)
+    partner[rank] = first
+    twice = np.zeros(len(p), bool)
+    twice[rank] = np.repeat(size > 1, size)
+    i = np.flatnonzero(twice & (partner != p))
+    if not len(i):
+        return twice
+    a, b = p[i], partner[i]
+    on = np.concatenate([[False], (np.diff(i) == 1) & (np.diff(a) == 1) & (np.diff(b) == 1)])
+    same = data[a + depth - 1] == data[b + depth - 1]
+    heads, each = np.flatnonzero(~on), np.arange(depth)
+    for lo in range(0, len(heads), 4096):
+        h = heads[lo : lo + 4096]
+        same[h] = (data[a[h][:, None] + each] == data[b[h][:, None] + each]).all(1)
+    if not same.all():  # digits of different strings agree: their windows are told apart by their bytes
+        doubt = np.flatnonzero(np.isin(digit, digit[i[~same]]))
+        seen: dict = {}
+        for j in doubt.tolist():
+            seen.setdefault(data[p[j] : p[j] + depth].tobytes(), []).append(j)
+        twice[doubt] = False
+        for group in seen.values():
+            twice[group] = len(group) > 1
+    return twice
 
 
 def runs(c: np.ndarray, at: np.ndarray, depth: int) -> tuple:
@@ -178,28 +216,31 @@ def runs(c: np.ndarray, at: np.ndarray, depth: int) -> tuple:
 
 
 def repeated_spans(docs: DataFrame, depth: int = DEPTH, heavy: int = HEAVY) -> DataFrame:
-    """did, th, s, e: byte spans whose every window of depth bytes also starts elsewhere. docs: did, th, text."""
+    """row, s, e: byte spans whose every window of depth bytes also starts elsewhere. docs: a written table of ROW, text."""
     found = stage(anchored(docs, depth), "repeats-anchors")
-    groups = found.groupBy("khash").agg(F.count("*").alias("n"), (F.min("chash") != F.max("chash")).alias("mixed")).filter("n > 1")
+    groups = found.groupBy("khash").agg(
+        F.count("*").alias("n"), ((F.min("head") != F.max("head")) | (F.min("tail") != F.max("tail"))).alias("mixed")
+    ).filter("n > 1")
     groups = stage(groups, "repeats-groups")  # written, so that the join can split a very common anchor among tasks
-    hits = stage(found.join(groups, "khash"), "repeats-hits")
-    whole = hits.filter(~F.col("mixed")).select("did", "th", F.col("p0").alias("s"), (F.col("p0") + F.col("span")).alias("e"))
-    lists = hits.filter("mixed").groupBy("did", "th").agg(F.collect_list(F.struct("khash", "p0", "span", (F.col("n") > heavy).alias("heavy"))).alias("cs"))
+    hits = stage(found.join(groups, "khash").select("khash", "row", "p0", "span", "n", "mixed"), "repeats-hits")
+    unstage(found)
+    unstage(groups)
+    whole = hits.filter(~F.col("mixed")).select("row", F.col("p0").alias("s"), (F.col("p0") + F.col("span")).alias("e"))
+    lists = hits.filter("mixed").groupBy("row").agg(F.collect_list(F.struct("khash", "p0", "span", (F.col("n") > heavy).alias("heavy"))).alias("cs"))
 
     def cut(batches):
         for batch in batches:
-            for did, th, text, cs in zip(*(batch.column(c) for c in ("did", "th", "text", "cs"))):
+            for row, text, cs in zip(*(batch.column(c) for c in ("row", "text", "cs"))):
                 data = (text.as_py() or "").encode()
-                cs = cs.values.flatten()
-                kh, p0, span, hv = (x.to_numpy(zero_copy_only=False) for x in cs)
-                parts = pa.array([data[a : a + n] for a, n in zip(p0.tolist(), span.tolist())], pa.binary())
-                m = len(kh)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(kh), pa.array(np.full(m, did.as_py())), pa.array(np.full(m, th.as_py())), pa.array(p0), parts, pa.array(hv)],
-                    ["khash", "did", "th", "p0", "context", "heavy"],
-                )
+                kh, p0, span, hv = (x.to_numpy(zero_copy_only=False) for x in cs.values.flatten())
+                for lo in range(0, len(kh), 4096):  # a very long text's contexts go out a part at a time
+                    part = slice(lo, lo + 4096)
+                    bodies = pa.array([data[a : a + n] for a, n in zip(p0[part].tolist(), span[part].tolist())], pa.binary())
+                    cols = [pa.array(kh[part]), pa.array(np.full(len(bodies), row.as_py())), pa.array(p0[part]), bodies, pa.array(hv[part])]
+                    yield pa.RecordBatch.from_arrays(cols, ["khash", "row", "p0", "context", "heavy"])
 
-    left = stage(docs.join(lists, ["did", "th"]).mapInArrow(cut, "khash long, did long, th long, p0 long, context binary, heavy boolean"), "repeats-contexts")
+    texts = docs.select(F.col(ROW).alias("row"), "text")
+    left = stage(texts.join(lists, "row").mapInArrow(cut, "khash long, row long, p0 long, context binary, heavy boolean"), "repeats-contexts")
 
     def order(batches):
         held = None
@@ -215,24 +256,19 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, heavy: int = HEAVY) -> D
             yield from ordered(held)
 
     def ordered(t):
-        kh = t.column("khash").to_numpy()
-        did, th, p0 = (t.column(c).to_numpy() for c in ("did", "th", "p0"))
+        kh, row, p0 = (t.column(c).to_numpy() for c in ("khash", "row", "p0"))
         lo = 0
         while lo < len(kh):  # whole groups, about 4096 contexts at a time
             hi = min(len(kh), lo + 4096)
             hi = int(np.searchsorted(kh, kh[hi - 1], "right"))
             data, offsets = utf8(t.column("context").slice(lo, hi - lo).combine_chunks().cast(pa.binary()))
             data = data[offsets[0] : offsets[-1]]
-            c, at, digit = window_digits(data, np.diff(offsets), kh[lo:hi], depth)
-            rank = np.argsort(digit)
-            same = digit[rank][1:] == digit[rank][:-1]
-            twice = np.zeros(len(digit), bool)
-            twice[rank[1:][same]] = True
-            twice[rank[:-1][same]] = True
+            c, at, p, digit = window_digits(data, np.diff(offsets), kh[lo:hi], depth)
+            twice = equal_windows(data, p, digit, depth)
             c, s, e = runs(c[twice], at[twice], depth)
             c += lo
             if len(c):
-                yield pa.RecordBatch.from_arrays([pa.array(did[c]), pa.array(th[c]), pa.array(p0[c] + s), pa.array(p0[c] + e)], ["did", "th", "s", "e"])
+                yield pa.RecordBatch.from_arrays([pa.array(row[c]), pa.array(p0[c] + s), pa.array(p0[c] + e)], ["row", "s", "e"])
             lo = hi
 
     def windows(batches):
@@ -241,35 +277,37 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, heavy: int = HEAVY) -> D
                 part = batch.slice(lo, 1024)
                 data, offsets = utf8(part.column("context"))
                 data = data[offsets[0] : offsets[-1]]
-                kh, did, th, p0 = (part.column(x).to_numpy() for x in ("khash", "did", "th", "p0"))
-                c, at, digit = window_digits(data, np.diff(offsets), kh, depth)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(kh[c]), pa.array(digit.view(np.int64)), pa.array(did[c]), pa.array(th[c]), pa.array(p0[c] + at)],
-                    ["khash", "digit", "did", "th", "s"],
-                )
+                kh, row, p0 = (part.column(x).to_numpy() for x in ("khash", "row", "p0"))
+                c, at, _, digit = window_digits(data, np.diff(offsets), kh, depth)
+                yield pa.RecordBatch.from_arrays([pa.array(kh[c]), pa.array(digit.view(np.int64)), pa.array(row[c]), pa.array(p0[c] + at)], ["khash", "digit", "row", "s"])
 
     light = (
         left.filter("not heavy")
         .repartition(partitions(docs.sparkSession), "khash")
         .sortWithinPartitions("khash")
-        .mapInArrow(order, "did long, th long, s long, e long")
+        .mapInArrow(order, "row long, s long, e long")
     )
-    each = left.filter("heavy").mapInArrow(windows, "khash long, digit long, did long, th long, s long")
-    twice = each.groupBy("khash", "digit").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    big = each.join(twice, ["khash", "digit"]).select("did", "th", "s", (F.col("s") + depth).alias("e"))
-    return whole.unionByName(light).unionByName(big)
+    each = left.filter("heavy").mapInArrow(windows, "khash long, digit long, row long, s long")
+    # written like the groups: the join can split a very common window among tasks
+    twice = stage(each.groupBy("khash", "digit").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "repeats-windows")
+    big = each.join(twice, ["khash", "digit"]).select("row", "s", (F.col("s") + depth).alias("e"))
+    spans = stage(whole.unionByName(light).unionByName(big), "repeats-spans")
+    for used in (hits, left, twice):
+        unstage(used)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, depth: int = DEPTH, heavy: int = HEAVY) -> DataFrame:
     """doc_id, n_bytes, kept (the remaining bytes) and spans (array of removed [s, e)) for every row.
 
-    A null text is empty; texts shorter than depth lose nothing; a repeated row repeats all its windows.
-    A null doc_id keeps its row. An empty table gives no rows. Extra columns are ignored.
+    Rows are told apart by a number of their own, so ids may repeat or be null, of any type. A null text is
+    empty; texts shorter than depth lose nothing; a repeated row repeats all its windows. A very long text
+    is looked at in overlapping slices, and its spans are those of the whole. An empty table gives no rows.
+    Extra columns are ignored, whatever their names.
     """
-    none = F.lit(-(1 << 63)).cast("long")
-    keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), none).alias("did"), text_key(F.col("text")).alias("th"), "text")
-    spans = stage(repeated_spans(keyed.select("did", "th", "text"), depth, heavy), "repeats-spans")
-    per = spans.groupBy("did", "th").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("cut"))
+    keyed = numbered(docs.select("doc_id", "text"), "repeats-rows")
+    spans = repeated_spans(keyed, depth, heavy)
+    per = spans.groupBy(F.col("row").alias(ROW)).agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("cut"))
 
     def strip(batches):
         for batch in batches:
@@ -294,7 +332,7 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, heavy: int = HEAVY) -> D
             kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, kind)], ["doc_id", "n_bytes", "kept", "spans"])
 
-    return keyed.join(per, ["did", "th"], "left").select("doc_id", "text", "cut").mapInArrow(
+    return keyed.join(per, ROW, "left").select("doc_id", "text", "cut").mapInArrow(
         strip, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, kept binary, spans array<struct<s:long,e:long>>"
     )
 

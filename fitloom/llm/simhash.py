@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, read, stage, text_key, unstage
+from .common import ROW, numbered, partitions, read, stage, unstage
 
 #: The Golay code's generator polynomial, x^11+x^10+x^6+x^5+x^4+x^2+1.
 GENERATOR = 0b110001110101
@@ -227,10 +227,11 @@ def links(nodes: DataFrame, most: int = MAX_BITS) -> DataFrame:
     return dealt.mapInArrow(meet, "src long, dst long").select(a.alias("src"), b.alias("dst")).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node, component (its least node) for nodes with links: alternating large-star and small-star."""
+def components(edges: DataFrame) -> DataFrame:
+    """node, component (its least node) for nodes with links: alternating large-star and small-star, which
+    ends after about log(n)^2 rounds at most, however long the chains."""
     edges = stage(edges, "cc")
-    for _ in range(most_rounds):
+    while True:
         # large star: every larger neighbour of u goes to u's least neighbour (u included)
         both = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).union(edges.select(F.col("dst").alias("u"), F.col("src").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
@@ -255,12 +256,14 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = MAX_BITS, keep: tuple = ()) -> DataFrame:
-    """doc_id, fingerprint, component_id (the smallest doc_id reachable by links) and the columns `keep` for every row.
-
-    A null or wordless text has fingerprint zero and is linked like any other; rows with a null doc_id
-    have their own fingerprint and take part only as members (their component is the least id there is,
-    null if there is none). Repeated rows get equal results. Extra columns are ignored. Texts with equal
-    fingerprints are one node, so a group of copies makes no links.
+    """doc_id, fingerprint, component_id (the smallest doc_id reachable by links), component (the least
+    fingerprint of the component, a number) and the columns `keep` for every row.
+
+    A null or wordless text has fingerprint zero and is linked like any other; a very long text is hashed
+    whole. Rows with a null doc_id have their own fingerprint and take part only as members (their
+    component_id is the least id there is, null if there is none). Repeated rows get equal results. An
+    empty table gives no rows. Extra columns are ignored. Texts with equal fingerprints are one node, so a
+    group of copies makes no links.
     """
     fps = stage(fingerprints(docs, shingle, keep), "simhash-fp")
     nodes = stage(fps.groupBy("fp").agg(F.min("doc_id").cast("long").alias("least")).withColumn("node", F.col("fp")), "simhash-nodes")
@@ -268,20 +271,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = MAX_BITS, kee
     comp = stage(components(edges), "simhash-cc")
     ids = nodes.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = ids.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = ids.join(least, "component").select("fp", "component_id")
-    return fps.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", *keep)
+    known = ids.join(least, "component").select("fp", "component", "component_id")
+    return fps.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component", *keep)
 
 
 def representatives(docs: DataFrame, shingle: int = 4, most: int = MAX_BITS) -> DataFrame:
-    """The rows of docs with the smallest doc_id of their component; groups without an id stay whole but for exact copies.
+    """Of each component one row of docs: that with the smallest doc_id; of those with one id, or without any, the first.
 
-    Decided by row, which its id and text tell: rows that share an id, or have none, stand for themselves.
+    Decided by row, so rows that share an id but not a component stay. Wordless texts are one component.
     """
-    found = near_duplicates(docs.withColumn("_th", text_key(F.col("text"))), shingle, most, ("_th",))
-    gone = found.filter("doc_id is null and component_id is not null or doc_id != component_id").select(F.col("doc_id").alias("_d"), F.col("_th").alias("_h")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (text_key(F.col("text")) == F.col("_h"))
-    return docs.join(gone, same, "left_anti").dropDuplicates(["doc_id", "text"])
+    rows = numbered(docs, "simhash-rows")
+    found = near_duplicates(rows, shingle, most, (ROW,))
+    chosen = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("c")).select(F.col(f"c.{ROW}").alias(ROW))
+    return rows.join(chosen, ROW, "left_semi").select(*docs.columns)
 
 
 def op3_simhash(spark, sf_dir) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"))
+    return near_duplicates(read(spark, sf_dir, "documents")).drop("component")

@@ -12,6 +12,7 @@ scoring covers every sentence of every text.
 from __future__ import annotations
 
 import re
+import warnings
 import zlib
 
 import numpy as np
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, sample_by_hash
 
 FIT_DOCS = 12_000
 FIT_BYTES = 64_000_000
@@ -154,8 +155,7 @@ def fit(texts: list, labels: np.ndarray, l2: float = 1e-4, rate: float = 0.3) ->
             per = np.where(y[bd] > 0, -((1 - P) / np.maximum(P, 1e-9))[bd], 1.0) * (z >= 0)
             g = per * p
             u, inverse = np.unique(bf, return_inverse=True)
-            gw = np.bincount(inverse, g[bs], len(u))
-            gw += l2 * w[u]
+            gw = np.bincount(inverse, g[bs], len(u)) + l2 * w[u]
             g2[u] += gw * gw
             w[u] -= rate * gw / np.sqrt(g2[u])
             gb = (per * (p - logistic(bias))).sum()
@@ -165,29 +165,38 @@ def fit(texts: list, labels: np.ndarray, l2: float = 1e-4, rate: float = 0.3) ->
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_docs: int = FIT_DOCS, fit_bytes: int = FIT_BYTES) -> tuple:
-    """Fit on at most fit_docs labelled documents and fit_bytes bytes of text, in one task; the driver gets the weights only."""
+    """(weights, bias) fitted in one task on at most fit_docs labelled rows of docs and fit_bytes bytes of their
+    text, least hash of the id first; the driver gets the weights only. A text that does not fit is left
+    out alone, and a warning tells how many were. Without labels of both kinds there is nothing to fit."""
     marked = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")).filter("_y is not null and _id is not null")
     marked = marked.groupBy("_id").agg(F.max("_y").alias("_y"))
-    chosen = marked.orderBy(F.xxhash64("_id"), "_id").limit(fit_docs)
+    known = docs.select("doc_id").join(marked, F.col("doc_id") == F.col("_id")).select("_id", "_y").distinct()
+    chosen = sample_by_hash(known, F.xxhash64("_id"), fit_docs)
     sample = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_y").repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text")
 
     def run(batches):
-        texts, ys, left = [], [], fit_bytes
+        texts, ys, left, skipped = [], [], fit_bytes, 0
         for batch in batches:
             for t, y in zip(batch.column("text"), batch.column("_y").to_pylist()):
                 t = t.as_py() or ""
-                if len(t) <= left:  # a text that does not fit takes nothing from those after it
-                    left -= len(t)
-                    texts.append(t)
-                    ys.append(float(y > 0))
+                size = len(t.encode())
+                if size > left or len(texts) >= fit_docs:  # a text that does not fit takes nothing from those after it
+                    skipped += 1
+                    continue
+                left -= size
+                texts.append(t)
+                ys.append(float(y > 0))
         w, bias = fit(texts, np.array(ys))
         at = np.flatnonzero(w)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(w[at], bias))], ["f", "w"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2]), pa.int64()), pa.array(np.append(w[at], [bias, skipped]))], ["f", "w"])
 
     weights, bias = np.zeros(1 << BITS), UNTAUGHT
     for f, w in sample.mapInArrow(run, "f long, w double").collect():
-        if f < 0:
+        if f == -1:
             bias = w
+        elif f == -2:
+            if w:
+                warnings.warn(f"{int(w)} labelled texts did not fit the sample of {fit_docs} texts and {fit_bytes} bytes", stacklevel=2)
         else:
             weights[f] = w
     return weights, bias
@@ -234,8 +243,10 @@ def held_out(folds: int = 5):
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
     """doc_id, held_out, score, predicted and offending for every row.
 
-    Null and empty texts have no sentence and score 0. Repeated rows score alike. A null doc_id is held
-    out. Without labels of both kinds all scores are near 0. Extra columns are ignored.
+    Null and empty texts have no sentence and score 0. A very long text is scored whole, and its clean
+    sentences add nothing. Repeated rows score alike, rows that share an id each by its text. A null doc_id
+    is held out. Without labels of both kinds all scores are near 0. An empty table gives no rows. Extra
+    columns are ignored.
     """
     model = learn(docs.filter(~held_out(folds)), labels)
     out = scored(docs, model)

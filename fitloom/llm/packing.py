@@ -1,26 +1,29 @@
 """Bulk-synchronous best-fit packing of token sequences.
 
-Pieces and open gaps are ordered by size. A superstep takes the longest pieces not yet placed; the
-successor sweep gives each the smallest gap that holds it, pieces and gaps of equal size meet by rank
-(piece i of the run takes gap i), pieces without a successor open new sequences, the gaps shrink, and
-the next superstep goes on with the shorter pieces. Pieces of one length and gaps of one size are
-interchangeable, so runs (size, ranks from - to) are swept rather than rows: their number is bounded
-by the capacity, not by the corpus. Ranking the pieces and placing each by its rank is done by Spark.
-Every run is keyed by (length, salt), so a length shared by a third of the corpus is still dealt out: in
-SALTS runs, or in more where these would hold over RUN pieces.
-
-Nulls: a null text is empty and still has the end token. Repeated rows are packed each on its own.
-An empty table gives no rows. Extra columns are ignored.
+Pieces are placed in bands of falling length; a band's supersteps go on while they place pieces:
+
+1. Pieces of the band and gaps that may hold one are sorted together by falling size over a range
+   partitioning (gaps before pieces of their size; ids break ties, so one common length is still split).
+2. Successor sweep: each task goes down its range and gives every piece the last gap it met that is not
+   taken, which is the smallest that holds it. Where several pieces have one successor, the first by rank
+   takes it and the next takes the next larger gap.
+3. What a task could not match, pieces without a gap and gaps without a piece, is matched across tasks by
+   rank. For that the driver sees two counts of every task, never a row.
+4. Gaps shrink by what they took. A gap of twice the band's upper edge or more offers several places.
+
+Pieces without a successor then open new sequences, by rank or laid end to end, and the next band follows.
+Every superstep's result is written to the shared folder.
+
+Nulls: a null text is empty and still has the end token. Pieces are told apart by a number of their own, so
+repeated rows, ids and lengths (ties) are each placed once. A very long text is encoded whole, then cut. An
+empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import heapq
 import os
 import zlib
-from bisect import bisect_left, insort
-from collections import defaultdict
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import read, stage
+from .common import ROW, numbered, read, stage, unstage
 
 CAPACITY = 4096
 END = 1
-SALTS, RUN = 16, 1 << 20
+ROWS_A_TASK = 200_000
+SUPERSTEPS = 3  # of a band; what is left then opens new sequences
 VOCABULARY = "word_bpe_49k.json"
 _CACHE_WORDS = 400_000
 
@@ -72,7 +76,7 @@ class WordEncoder:
                 plain.add(w)
                 continue
             core = w.rstrip(".,!?;:")
-            if core != w and core.isalpha():
+            if core != w and core.isalpha() and core.lower().isalpha():  # a mark that joins the next ones keeps the chunk whole
                 if (c := core.encode()) not in known:
                     plain.add(core)
                 split.append((chunk, c, w[len(core) :].encode()))
@@ -144,98 +148,194 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def supersteps(counts: dict, capacity: int) -> list:
-    """Place runs best-fit: [(length, first rank, pieces, first sequence, stride kind, offset)].
+def bands(capacity: int) -> list:
+    """(upper, lower): lengths over the lower and up to the upper edge; falling. The capacity by 1 to 8, then by root 2."""
+    edges = [capacity // k for k in range(1, 9)]
+    while edges[-1] > 16:
+        edges.append(int(edges[-1] / 2**0.5))
+    edges = [e for e in dict.fromkeys(edges) if e > 0]
+    return list(zip(edges, [*edges[1:], 0]))
 
-    counts: pieces by length. A placement (length, rank, m, seq, each, offset) puts piece rank+i into
-    sequence seq + i // each at offset + (i % each) * length.
+
+PLACE, PIECE, GAP = 0, 1, 2  # what a row of a sweep is: a piece with its place, a piece left, a gap left
+SWEPT = "what byte, id long, seq long, length int, part int, rank long, before long"
+
+
+def sweep(batches):
+    """One task's range, sorted by falling size: rows of id, length and gap -> SWEPT. rank: of pieces left from
+    the first, of gaps left from the last; before: the length of the pieces left before a piece."""
+    from pyspark import TaskContext
+
+    part, open_, rank, total = TaskContext.get().partitionId(), [], 0, 0
+    for batch in batches:
+        out: list = [[] for _ in range(6)]
+        for i, n, gap in zip(batch.column("id").to_pylist(), batch.column("length").to_pylist(), batch.column("gap").to_pylist()):
+            if gap:
+                open_.append(i)
+                continue
+            if open_:
+                row = (PLACE, i, open_.pop(), n, 0, 0)
+            else:
+                row = (PIECE, i, None, n, rank, total)
+                rank, total = rank + 1, total + n
+            for c, x in zip(out, row):
+                c.append(x)
+        yield swept_batch(out, part)
+    m = len(open_)
+    yield swept_batch([[GAP] * m, open_, open_, [0] * m, list(range(m - 1, -1, -1)), [0] * m], part)
+
+
+def swept_batch(cols: list, part: int):
+    what, i, seq, n, rank, before = cols
+    kinds = (pa.int8(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((what, i, seq, n, [part] * len(i), rank, before), kinds)], [c.split()[0] for c in SWEPT.split(", ")])
+
+
+def across(counts: list) -> tuple:
+    """Match what tasks left. counts: (part, pieces, gaps) by rising part, that is by falling size.
+
+    (runs, taken): runs are (part of pieces, first rank, number, part of gaps, first rank); taken is the number of
+    each part's pieces that are matched, its first by rank. At most two runs per part.
     """
-    gaps: dict[int, list] = defaultdict(list)  # size -> runs [first sequence, number], used in order
-    sizes: list[int] = []  # sizes that have gaps, rising
-    plan, fresh = [], 0
-
-    def free(size: int, seq: int, n: int) -> None:
-        if size > 0 and n > 0:
-            if not gaps[size]:
-                insort(sizes, size)
-            heapq.heappush(gaps[size], (seq, n))
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            i = bisect_left(sizes, length)  # the successor
-            if i == len(sizes):
-                each = capacity // length
-                full, rest = divmod(left, each)
-                if full:
-                    plan.append((length, rank, full * each, fresh, each, 0))
-                    free(capacity - each * length, fresh, full)
-                if rest:
-                    plan.append((length, rank + full * each, rest, fresh + full, rest, 0))
-                    free(capacity - rest * length, fresh + full, 1)
-                fresh += full + (rest > 0)
-                break
-            size = sizes[i]
-            seq, n = heapq.heappop(gaps[size])
-            if not gaps[size]:
-                sizes.pop(i)
-            each = size // length  # as long as it is the smallest gap that holds the length, best fit stays in it
-            # ... but a smaller one may be found only among equal or larger gaps, so all of them go here
-            full = min(n, left // each)
-            if full:
-                plan.append((length, rank, full * each, seq, each, capacity - size))
-                free(size - each * length, seq, full)
-                rank, left = rank + full * each, left - full * each
-            if n > full and left and left < each:
-                plan.append((length, rank, left, seq + full, left, capacity - size))
-                free(size - left * length, seq + full, 1)
-                free(size, seq + full + 1, n - full - 1)
-                left = 0
-            elif n > full:
-                free(size, seq + full, n - full)
-    return plan
-
-
-def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Add sequence_id and offset to a written table with a column length (1 to capacity)."""
+    free, out, taken = [], [], {}
+    for part, pieces, gaps in counts:
+        at = 0
+        while at < pieces and free:
+            own = free[-1]
+            n = min(pieces - at, own[2])
+            out.append((part, at, n, own[0], own[1]))
+            at, own[1], own[2] = at + n, own[1] + n, own[2] - n
+            if not own[2]:
+                free.pop()
+        taken[part] = at
+        if gaps:
+            free.append([part, 0, gaps])
+    return out, taken
+
+
+def superstep(todo: DataFrame, gaps: DataFrame, rows: int, rows_a_task: int = ROWS_A_TASK) -> tuple:
+    """Match pieces (id, length) with gaps (seq, size), a row for every place: (places, left, numbers, written table).
+
+    places: id, seq, length; left: id, length, rank, before of pieces without a gap, in rank order; numbers: pieces
+    placed and left, and the length of those left. rows: about how many rows both tables have.
+    """
+    spark = todo.sparkSession
+    both = todo.select("id", "length", F.lit(False).alias("gap")).unionByName(gaps.select(F.col("seq").alias("id"), F.col("size").cast("int").alias("length"), F.lit(True).alias("gap")))
+    order = [F.desc("length"), F.desc("gap"), F.asc("id")]
+    dealt = both.repartitionByRange(max(1, -(-rows // rows_a_task)), *order).sortWithinPartitions(*order)
+    swept = stage(dealt.mapInArrow(sweep, SWEPT), "pack-sweep")
+    is_ = lambda w: F.col("what") == w
+    counts = swept.groupBy("part").agg(
+        F.sum(is_(PLACE).cast("long")).alias("placed"), F.sum(is_(PIECE).cast("long")).alias("pieces"), F.sum(is_(GAP).cast("long")).alias("gaps"),
+        F.sum(F.when(is_(PIECE), F.col("length")).otherwise(0)).cast("long").alias("length"),
+    ).orderBy("part").collect()
+    runs, taken = across([(r.part, r.pieces, r.gaps) for r in counts])
+    places = swept.filter(is_(PLACE)).select("id", "seq", "length")
+    before = dict.fromkeys(taken, 0)
+    if runs:
+        # number matched ranks on both sides; the tables hold at most two rows per task
+        number, pieces, free = 0, [], []
+        for p, a, n, q, b in runs:
+            pieces.append((p, a, a + n, number - a))
+            free.append((q, b, b + n, number - b))
+            number += n
+
+        def numbers(what, table):
+            t = F.broadcast(spark.createDataFrame(table, "_p int, _a long, _b long, _m long"))
+            return swept.filter(is_(what)).join(t, (F.col("part") == F.col("_p")) & (F.col("rank") >= F.col("_a")) & (F.col("rank") < F.col("_b"))).withColumn("m", F.col("rank") + F.col("_m"))
+
+        carried = numbers(PIECE, pieces).select("id", "length", "m").join(numbers(GAP, free).select("seq", "m"), "m")
+        places = places.unionByName(carried.select("id", "seq", "length"))
+        some = [(p, n) for p, n in taken.items() if n]
+        edge = F.broadcast(spark.createDataFrame(some, "part int, rank long"))
+        before.update({r.part: r.length for r in counts})
+        before.update({p: 0 for p, n in taken.items() if not n})
+        before.update({r.part: r.before for r in swept.filter(is_(PIECE)).join(edge, ["part", "rank"]).select("part", "before").collect()})
+    rank, total, bases = 0, 0, []
+    for r in counts:
+        bases.append((r.part, taken[r.part], rank - taken[r.part], total - before[r.part]))
+        rank, total = rank + r.pieces - taken[r.part], total + r.length - before[r.part]
+    t = F.broadcast(spark.createDataFrame(bases, "part int, _taken long, _rank long, _before long"))  # a row per task
+    left = swept.filter(is_(PIECE)).join(t, "part").filter("rank >= _taken")
+    left = left.select("id", "length", (F.col("rank") + F.col("_rank")).alias("rank"), (F.col("before") + F.col("_before")).alias("before"))
+    return places, left, (sum(r.placed for r in counts) + sum(n for _, _, n, _, _ in runs), rank, total), swept
+
+
+def opened(left: DataFrame, first: int, upper: int, capacity: int) -> DataFrame:
+    """Places of pieces of up to `upper` tokens in new sequences: so many by rank as must fit, or, where these are
+    8 or more, all that start before the last `upper` tokens, laid end to end."""
+    each = capacity // upper
+    i = F.floor(F.col("rank") / each) if each < 8 else F.floor(F.col("before") / (capacity - upper + 1))
+    return left.select("id", (i + first).cast("long").alias("seq"), "length")
+
+
+def assigned(items: DataFrame, capacity: int = CAPACITY, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
+    """id, seq, length of every row of a written table with the columns ROW and length (1 to capacity)."""
     spark = items.sparkSession
-    many = items.groupBy("length").agg(F.count("*").alias("n")).filter(F.col("n") > SALTS * RUN).collect()  # capacity rows at most
-    salts = F.lit(SALTS)
-    for r in many:
-        salts = F.when(F.col("length") == r.length, -(-r.n // RUN)).otherwise(salts)
-    salted = items.withColumn("_t", F.pmod(F.xxhash64("doc_id", "piece"), salts).cast("int"))
-    runs = salted.groupBy("length", "_t").agg(F.count("*").alias("n")).collect()  # capacity x SALTS + pieces / RUN rows at most
-    counts, base = defaultdict(int), {}
-    for r in sorted(runs):
-        base[(r.length, r._t)] = counts[r.length]
-        counts[r.length] += r.n
-    plan = supersteps(counts, capacity)
-    starts, rows = defaultdict(list), []
-    for p in plan:
-        starts[p[0]].append(p)
-    # cut the plan at the salts' edges, so that a piece finds its placement by (length, salt) and rank
-    for r in runs:
-        lo = base[(r.length, r._t)]
-        for length, rank, m, seq, each, offset in starts[r.length]:
-            a, b = max(lo, rank), min(lo + r.n, rank + m)
-            if a < b:
-                rows.append((length, r._t, a - lo, b - lo, a - rank, seq, each, offset))
-    table = spark.createDataFrame(rows, "_l long, _s int, _a long, _b long, _skip long, _seq long, _each long, _off long")
-    rank = W.partitionBy("length", "_t").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = salted.withColumn("_r", F.row_number().over(rank) - 1)
-    on = (F.col("length") == F.col("_l")) & (F.col("_t") == F.col("_s")) & (F.col("_r") >= F.col("_a")) & (F.col("_r") < F.col("_b"))
-    i = F.col("_r") - F.col("_a") + F.col("_skip")
-    return (
-        ranked.join(F.broadcast(table), on)
-        .withColumn("sequence_id", F.col("_seq") + F.floor(i / F.col("_each")).cast("long"))
-        .withColumn("offset", F.col("_off") + F.pmod(i, F.col("_each")) * F.col("length"))
-        .drop("_t", "_l", "_s", "_a", "_b", "_skip", "_seq", "_each", "_off", "_r")
-    )
+    edges = bands(capacity)
+    inside = lambda hi, lo, c="length": (F.col(c) > lo) & (F.col(c) <= hi)
+    sizes = items.select(*(F.count(F.when(inside(*e), 1)).alias(f"n{i}") for i, e in enumerate(edges))).first()
+    gaps, parts, first, known = None, [], 0, 0
+    for (hi, lo), n in zip(edges, sizes):
+        if not n:
+            continue
+        todo = items.filter(inside(hi, lo)).select(F.col(ROW).alias("id"), F.col("length").cast("int").alias("length"))
+        scratch = []
+        for step in range(SUPERSTEPS):
+            small = big = 0
+            if gaps is not None:
+                able = (F.col("size") > lo) & (F.lit(step == 0) | F.col("new"))  # others were left by the step before
+                small, big = gaps.agg(F.count(F.when(able & (F.col("size") < 2 * hi), 1)), F.count(F.when(able & (F.col("size") >= 2 * hi), 1))).first()
+            places, again = [], False
+            if small + big or step == 0:
+                offered = empty_gaps(spark)
+                if small + big:
+                    several = F.least(F.floor(F.col("size") / hi), F.lit(-(-n // max(1, big)))).cast("int")
+                    offered = gaps.filter(able).select("seq", F.explode(F.array_repeat(F.least("size", F.lit(hi)), F.when(F.col("size") < 2 * hi, 1).otherwise(several))).alias("size"))
+                placed, left, (m, n, length), table = superstep(todo, offered, 2 * n + small + big, rows_a_task)
+                scratch.append(table)
+                places.append(placed)
+                again = bool(m and n) and step + 1 < SUPERSTEPS
+            if n and not again:
+                places.append(opened(left, first, hi, capacity))
+                first += n // (capacity // hi) + 1 if capacity // hi < 8 else length // (capacity - hi + 1) + 1
+            done = stage(reduce(DataFrame.unionByName, places), "pack-places")
+            parts.append(done)
+            took = done.groupBy("seq").agg(F.sum("length").alias("took"))
+            if gaps is None:
+                new = took.select("seq", (capacity - F.col("took")).alias("size"), F.lit(True).alias("new"))
+            else:
+                new = gaps.join(took, "seq", "full").select("seq", (F.coalesce("size", F.lit(capacity)) - F.coalesce("took", F.lit(0))).alias("size"), F.col("took").isNotNull().alias("new"))
+            old, gaps = gaps, stage(new.filter("size > 0"), "pack-gaps")
+            if old is not None:
+                unstage(old)
+            if not again:
+                break
+            todo = stage(left.select("id", "length"), "pack-left")
+            scratch.append(todo)
+        for table in scratch:
+            unstage(table)
+    if gaps is not None:
+        unstage(gaps)
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "id long, seq long, length int")
+
+
+def empty_gaps(spark) -> DataFrame:
+    return spark.createDataFrame([], "seq long, size long")
+
+
+def pack(items: DataFrame, capacity: int = CAPACITY, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
+    """Add sequence_id and offset to a written table with the columns ROW and length (1 to capacity)."""
+    places = assigned(items, capacity, rows_a_task)
+    upto = W.partitionBy("seq").orderBy("id").rowsBetween(W.unboundedPreceding, W.currentRow)  # capacity rows at most
+    offset = (F.sum("length").over(upto) - F.col("length")).cast("long")
+    where = places.select(F.col("id").alias(ROW), F.col("seq").alias("sequence_id"), offset.alias("offset"))
+    return items.join(where, ROW).drop(ROW)
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
-    items = stage(pieces(docs, path or tokenizer_path(), capacity), "pack-pieces")
-    return pack(items, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", F.col("offset").cast("long").alias("offset"))
+    items = numbered(pieces(docs, path or tokenizer_path(), capacity), "pack-pieces")
+    return pack(items, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op9_packing(spark, sf_dir) -> DataFrame:

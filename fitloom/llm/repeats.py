@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import ROW, numbered, partitions, read, stage, unstage
 
 DEPTH = 200
-HEAVY = 2_000
+HEAVY = 50_000
 _SLICE = 1 << 20
 _POS = 26
 _U = np.uint64

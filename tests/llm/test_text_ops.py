@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from fitloom.llm import language, media, mixing, packing, repeats, secrets, simhash, toxicity
+from fitloom.llm import common, language, media, mixing, packing, repeats, secrets, simhash, toxicity
 from tests.llm.data import empty, rows, table, words
 
 
@@ -417,10 +417,7 @@ def check_packing(pieces, capacity):
     return len(by)
 
 
-@pytest.mark.parametrize("run", [1, 1 << 20])
-def test_packing_documents(spark, run, monkeypatch):
-    monkeypatch.setattr(packing, "RUN", run)
-    monkeypatch.setattr(packing, "SALTS", 2)
+def test_packing_documents(spark):
     got = packing.pack_documents(table(spark), 64).collect()
     n = check_packing(got, 64)
     assert n <= math.ceil(sum(r.length for r in got) / 64) * 1.05 + 1
@@ -435,14 +432,18 @@ def test_packing_documents(spark, run, monkeypatch):
 
 def test_encoder_agrees_with_the_tokenizer():
     enc = packing.WordEncoder(packing.tokenizer_path())
-    texts = ["it's. Don't! İstanbul. “q”. Á. \x1c.z ßẞ ﬁ. ǅ, ᾈ; can't. l'a. 's. x's! ª. ⅷ. 한국어. 한", "", " ", "''s 'S don'T. 'LL", "a<|endoftext|>b <|ENDOFTEXT|>", "12.5% ...", "word, word; Word!"]
+    texts = ["it's. Don't! İstanbul. “q”. Á. \x1c.z ßẞ ﬁ. ǅ, ᾈ; can't. l'a. 's. x's! ª. ⅷ. 한국어. 한", "", " ", "''s 'S don'T. 'LL", "a<|endoftext|>b <|ENDOFTEXT|>", "12.5% ...", "word, word; Word!", "İ, İ. aİ! İ"]
     assert enc.encode(texts) == enc._whole(texts)
+    r = random.Random(7)
+    chars = [*"aAzZ.,!?;:'-_019 \n\t", *"İıßẞéÉüñ한ªⅷﬁ", "\u0307", "\u0301", "“", "”"]
+    odd = ["".join(r.choice(chars) for _ in range(r.randint(0, 12))) for _ in range(5000)]
+    assert enc.encode(odd) == enc._whole(odd)
 
 
-def best_fit(counts, capacity):
+def best_fit(lengths, capacity):
     """Sequences that best fit takes with one piece after another, longest first."""
     gaps: list = []
-    for length in sorted(collections.Counter(counts).elements(), reverse=True):
+    for length in sorted(lengths, reverse=True):
         fits = [i for i, g in enumerate(gaps) if g >= length]
         if fits:
             gaps[min(fits, key=gaps.__getitem__)] -= length
@@ -451,19 +452,39 @@ def best_fit(counts, capacity):
     return len(gaps)
 
 
-def test_supersteps_are_best_fit():
+@pytest.mark.parametrize("rows_a_task", [3, 7, 1000])
+def test_one_superstep_agrees_with_brute_force(spark, rows_a_task):
+    """Longest first, each piece takes the smallest gap left that holds it, at most one piece to a gap."""
+    r = np.random.default_rng(rows_a_task)
+    pieces = [(i, int(n)) for i, n in enumerate(r.integers(10, 40, 60))]
+    gaps = [(1000 + i, int(n)) for i, n in enumerate(r.integers(5, 45, 35))]
+    todo, offered = spark.createDataFrame(pieces, "id long, length int"), spark.createDataFrame(gaps, "seq long, size long")
+    places, left, (m, n, total), _ = packing.superstep(todo, offered, len(pieces) + len(gaps), rows_a_task)
+    free, want, rest = dict(gaps), [], []
+    for i, length in sorted(pieces, key=lambda x: (-x[1], x[0])):
+        fits = [s for s, g in free.items() if g >= length]
+        if fits:
+            want.append((length, free.pop(min(fits, key=lambda s: free[s]))))
+        else:
+            rest.append(length)
+    got = places.collect()
+    sizes = dict(gaps)
+    assert len(got) == len({x.id for x in got}) == len({x.seq for x in got}) == m == len(want)
+    assert sorted((x.length, sizes[x.seq]) for x in got) == sorted(want)
+    left = sorted(left.collect(), key=lambda x: x["rank"])
+    assert [x.length for x in left] == rest and n == len(rest) and total == sum(rest)
+    assert [x["rank"] for x in left] == list(range(n)) and [x.before for x in left] == np.cumsum([0, *rest])[:-1].tolist()
+
+
+def test_packing_comes_near_best_fit(spark):
     r = np.random.default_rng(5)
-    for top in (1000, 100, 30):
-        counts = collections.Counter(r.integers(1, top, 400).tolist())
-        total = sum(k * n for k, n in counts.items())
-        gaps: dict = {}
-        for length, rank, m, seq, each, offset in packing.supersteps(counts, 1000):
-            for i in range(m):
-                s, at = seq + i // each, offset + i % each * length
-                assert gaps.get(s, 0) == at
-                gaps[s] = at + length
-                assert gaps[s] <= 1000
-        assert sum(gaps.values()) == total and len(gaps) == best_fit(counts, 1000) <= math.ceil(total / 1000 * 1.02) + 1
+    for lengths, rows_a_task in ((r.integers(1, 300, 400), 40), ([64] * 300, 50), ([*r.integers(550, 700, 20), *r.integers(1, 30, 200)], 1000)):
+        rows = [(i % 3, int(n)) for i, n in enumerate(lengths)]  # ids repeat
+        items = common.numbered(spark.createDataFrame(rows, "doc_id long, length long"), "test-pack")
+        got = packing.pack(items, 1000, rows_a_task).collect()
+        assert sorted((x.doc_id, x.length) for x in got) == sorted(rows)
+        n = check_packing(got, 1000)
+        assert n <= best_fit([n for _, n in rows], 1000) * 1.03 + 1
 
 
 # ---- mixing ----

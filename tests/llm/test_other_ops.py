@@ -76,6 +76,29 @@ def test_search_is_exact(spark, block, monkeypatch):
     assert neighbours.search(df.limit(0), F.col("id") % 5 == 0).count() == 0
 
 
+@pytest.mark.parametrize("copies", [2, 60])
+def test_an_id_with_several_vectors_is_listed_once(spark, copies):
+    r = np.random.default_rng(8)
+    vec = lambda: [float(np.float32(x)) for x in r.normal(size=6)]
+    data = [(i, vec()) for i in range(40)]
+    near = data[0][1]
+    data += [(7, [float(np.float32(x + 1e-3 * r.normal())) for x in near]) for _ in range(copies)]  # crowd query 0
+    data += [(20, vec()), (9, data[11][1]), (9, data[11][1])]  # a query with two vectors; a vector of two ids
+    got = {}
+    for x in neighbours.search(spark.createDataFrame(data, "vec_id long, embedding array<float>"), F.col("id") % 20 == 0).collect():
+        got.setdefault(x.query_id, []).append((x["rank"], x.vec_id, x.score))
+    for q in (0, 20):
+        best: dict = {}
+        for i, v in data:
+            for j, w in data:
+                if i == q != j:
+                    a, b = np.array(v), np.array(w)
+                    best[j] = max(best.get(j, -2), float(a @ b / np.linalg.norm(a) / np.linalg.norm(b)))
+        want = sorted(best.items(), key=lambda x: (-round(x[1], 10), x[0]))[:5]
+        assert [(i, n) for i, n, _ in sorted(got[q])] == [(k + 1, n) for k, (n, _) in enumerate(want)]
+        np.testing.assert_allclose([s for *_, s in sorted(got[q])], [s for _, s in want], rtol=1e-12)
+
+
 def test_bounds_hold():
     r = np.random.default_rng(7)
     a = neighbours.unit(r.normal(size=(40, 1500)))

@@ -1,17 +1,23 @@
 """Secret scans: base patterns and a character convolutional network.
 
-Base findings (kinds assign, access, hex) come from fixed patterns. Every other run of token characters
-with a digit is a candidate: the network reads its characters with CONTEXT around them. It is trained on
-labelled findings: candidates inside base findings are positive, the others negative; half of the
-positives are shown without their left context, so that the token itself must tell. The fit takes a
-bounded sample (FIT different windows of each label, least hash first); calibration (Platt) and threshold (the highest
-that keeps RECALL of the held-out positives) are computed from the scores of all held-out candidates.
+Base findings (kinds assign, access, hex) come from fixed patterns. Every other run of 8 or more token
+characters with a digit, or with small and inner capital letters, is a candidate: the network reads its
+characters with CONTEXT around them, a long run in overlapping windows of which the highest counts.
+
+It is trained on labelled findings: candidates inside base findings, and secrets of other shapes planted
+into the corpus's own contexts (one beside every candidate, at a place of the text that its hash picks), are
+positive; the other candidates, of which few are secrets, are negative. Half of the positives are shown
+without their left context, so that the token itself must tell. The fit takes a bounded sample (FIT
+different windows of each kind, least hash first); calibration (Platt) and threshold (the highest that keeps
+RECALL of the held-out positives of either kind) are computed from the scores of all held-out candidates.
 Candidates at the threshold or above that touch no base finding are added as kind `model`.
 """
 
 from __future__ import annotations
 
+import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +25,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, stage
+from .common import read, sample_by_hash, stage, unstage
 from .repeats import utf8
 
 KINDS = ("assign", "access", "hex", "model")
@@ -30,16 +36,22 @@ LEFT, BODY, RIGHT = 24, 56, 16
 _ASSIGN = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{12,}")
-_DIGIT = re.compile(r"[0-9]")
+LEAST = 8
+OTHER, BASE, PLANTED = 0, 1, 2  # labels of windows
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{8,}")
+_LIKELY = re.compile(r"[0-9]|[a-z].*[A-Z]|.[A-Z].*[a-z]")
+_GAP = re.compile(r"(?<![A-Za-z0-9+/_=.-])\s")
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LOOK = 1 << 20
 _STEMS = (b"passw", b"secret", b"token", b"api", b"akia")
 _TOKEN = np.zeros(256, bool)
 _TOKEN[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.-"]] = True
 _HEXES = np.zeros(256, bool)
 _HEXES[[ord(c) for c in "0123456789abcdef"]] = True
-_DIGITS = np.zeros(256, bool)
+_DIGITS, _CAPITALS, _SMALL = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
 _DIGITS[[ord(c) for c in "0123456789"]] = True
+_CAPITALS[[ord(c) for c in _UPPER]] = True
+_SMALL[[ord(c) for c in _LOWER]] = True
 
 
 def base_findings(text: str) -> list:
@@ -50,18 +62,60 @@ def base_findings(text: str) -> list:
     return sorted(out, key=lambda x: (x[1], x[0]))
 
 
+def window(text: str, a: int, b: int, body: str) -> str:
+    """`body` with what stands before a and after b."""
+    return text[max(0, a - LEFT) : a].rjust(LEFT, "\0") + body.ljust(BODY, "\0") + text[b : b + RIGHT].ljust(RIGHT, "\0")
+
+
 def candidates(text: str, base: list) -> list:
-    """[(start, end, in a base finding, window)] of every candidate."""
-    out = []
+    """[(start, end, in a base finding, windows)] of every candidate. base: as base_findings() gives it, by start."""
+    out, k, reach = [], 0, -1
     for m in _CANDIDATE.finditer(text):
-        if _DIGIT.search(m.group()):
+        if _LIKELY.search(m.group()):
             a, b = m.span()
-            body = m.group() if b - a <= BODY else text[a : a + BODY // 2] + text[b - BODY // 2 : b]
-            window = text[max(0, a - LEFT) : a].rjust(LEFT, "\0") + body.ljust(BODY, "\0") + text[b : b + RIGHT].ljust(RIGHT, "\0")
-            out.append((a, b, any(s < b and a < e for _, s, e in base), window))
+            while k < len(base) and base[k][1] < b:
+                reach = max(reach, base[k][2])
+                k += 1
+            starts = range(a, max(a + 1, b - BODY // 2), BODY // 2)  # all of the run, by windows that overlap
+            out.append((a, b, a < reach, [window(text, i, min(b, i + BODY), text[i : min(b, i + BODY)]) for i in starts]))
     return out
 
 
+def synthetic(r: random.Random) -> str:
+    """A secret of a shape that the base patterns need not know: keys of letters and digits in several alphabets
+    and lengths, with and without a prefix, in groups, or in three parts. Never of digits alone."""
+    some = lambda alphabet, n: "".join(r.choices(alphabet, k=n))
+    both = _UPPER + _LOWER + "0123456789"
+    shape = r.randrange(8)
+    if shape == 0:
+        return some("0123456789ABCDEF", r.choice((32, 40, 64)))
+    if shape == 1:
+        return some(both + "+/", r.randrange(24, 65)) + r.choice(("", "=", "=="))
+    if shape == 2:
+        return some(both + "-_", r.randrange(20, 57))
+    if shape == 3:
+        return "-".join(some(r.choice(("0123456789abcdef", both)), n) for n in (8, 4, 4, 4, 12))
+    if shape == 4:
+        return some(_LOWER, r.randrange(2, 5)) + r.choice("_-") + r.choice(("", "live_", "test-", "pat_")) + some(both, r.randrange(20, 41))
+    if shape == 5:
+        return ".".join(some(both + "-_", n) for n in (r.randrange(12, 37), r.randrange(20, 61), r.randrange(20, 44)))
+    if shape == 6:
+        return some(_UPPER, r.randrange(2, 5)) + some(_UPPER + "0123456789", r.randrange(16, 33))
+    return "".join(r.sample(some(_UPPER, 3) + some(_LOWER, 5) + some("0123456789", 3) + some("+/_=.-", r.randrange(0, 3)), k=11))
+
+
+def planted(text: str, seed: int) -> str:
+    """A window of a synthetic secret at a place between words of the text; seed tells which secret and place."""
+    r = random.Random(seed)
+    at = r.randrange(len(text))
+    gap = _GAP.search(text, at) or _GAP.search(text)
+    at = gap.end() if gap else 0
+    quote = r.choice(("", "", '"', "'", ": ", "= "))
+    body = synthetic(r)
+    left = (text[max(0, at - LEFT) : at] + quote)[-LEFT:]
+    return left.rjust(LEFT, "\0") + body[:BODY].ljust(BODY, "\0") + (quote[:1].strip(":= ") + " " + text[at : at + RIGHT])[:RIGHT].ljust(RIGHT, "\0")
+
+
 def worth(column) -> np.ndarray:
     """Which texts can hold a finding or a candidate; whole texts are looked at together, about _LOOK bytes at a time."""
     data, offsets = utf8(column)
@@ -83,14 +137,15 @@ def worth_together(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return hit
     first = np.zeros(len(data) + 1, bool)
     first[offsets[:-1] - lo] = True
-    digits = np.concatenate([[0], np.cumsum(_DIGITS[data])])
-    for table, least, digit in ((_TOKEN, 12, True), (_HEXES, 32, False)):
+    digits, capitals, small = (np.concatenate([[0], np.cumsum(t[data])]) for t in (_DIGITS, _CAPITALS, _SMALL))
+    for table, least, likely in ((_TOKEN, LEAST, True), (_HEXES, 32, False)):
         m = table[data]
         edge = np.flatnonzero(m & (first[:-1] | ~np.concatenate([[False], m[:-1]])))
         stop = np.flatnonzero(m & (first[1:] | ~np.concatenate([m[1:], [False]]))) + 1
         long = stop - edge >= least
-        if digit:
-            long &= digits[stop] > digits[edge]
+        if likely:
+            mixed = (capitals[stop] > capitals[edge + 1]) & (small[stop] > small[edge])
+            long &= (digits[stop] > digits[edge]) | mixed
         hit[np.searchsorted(offsets, edge[long] + lo, "right") - 1] = True
     low = data.tobytes().lower()
     for stem in _STEMS:
@@ -176,47 +231,62 @@ class Network:
 
 
 def labelled(docs: DataFrame) -> DataFrame:
-    """label, window and h (a hash of the window) of every candidate of every text."""
+    """label (OTHER, BASE or PLANTED), window and h (a hash of the window) of every candidate of every text, and of
+    as many planted secrets."""
 
     def run(batches):
         for batch in batches:
             text = batch.column("text")
-            label, window = [], []
+            label, found = [], []
             for i in np.flatnonzero(worth(text)).tolist():
                 t = text[i].as_py()
-                for *_, y, w in candidates(t, base_findings(t)):
-                    label.append(int(y))
-                    window.append(w)
-            yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(window, pa.string())], ["label", "window"])
+                for *_, y, ws in candidates(t, base_findings(t)):
+                    label += [BASE if y else OTHER] * len(ws) + [PLANTED]
+                    found += [*ws, planted(t, zlib.crc32(ws[0].encode()))]
+            yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(found, pa.string())], ["label", "window"])
 
     return docs.select("text").mapInArrow(run, "label int, window string").withColumn("h", F.xxhash64("window"))
 
 
 def fitting_sample(found: DataFrame, fit: int) -> DataFrame:
-    """At most `fit` different windows of each label, least hash first: copies of a window count once."""
+    """About `fit` different windows of each label, least hash first: copies of a window count once."""
     once = found.select("label", "window", "h").distinct()
-    some = lambda y: once.filter(F.col("label") == y).orderBy("h", "window").limit(fit)
-    return some(0).unionByName(some(1))
+    some = lambda y: sample_by_hash(once.filter(F.col("label") == y), F.col("h"), fit)
+    return some(OTHER).unionByName(some(BASE)).unionByName(some(PLANTED))
 
 
 def train(docs: DataFrame, fit: int = FIT, recall: float = RECALL) -> dict | None:
-    """Network parameters, calibration and threshold; None without candidates of both labels."""
+    """Network parameters, calibration and threshold; None without candidates of either label.
+
+    Null and empty texts have no candidates. All windows of a very long text take part. Copies of a text
+    count once in the fit, each in calibration and threshold. Extra columns are ignored.
+    """
     found = stage(labelled(docs), "secrets-candidates")
-    held = F.pmod("h", F.lit(FOLDS)) == 0
-    sample = fitting_sample(found.filter(~held), fit).repartition(1).sortWithinPartitions("h", "window", "label")
+    held = F.pmod(F.col("h"), F.lit(FOLDS)) == 0
+    # the sample is of the least hashes, the folds of the last digits: both are kept apart by another hash
+    sample = fitting_sample(found.filter(~held).withColumn("h", F.xxhash64("h")), fit).repartition(1).sortWithinPartitions("h", "window", "label")
 
     def run(batches):
-        rows = [batch.to_pydict() for batch in batches]
-        y = np.array([v for r in rows for v in r["label"]], float)
+        windows: list = []
+        labels: list = []
+        left = {OTHER: fit, BASE: fit, PLANTED: fit}
+        for batch in batches:
+            for y, w in zip(batch.column("label").to_pylist(), batch.column("window").to_pylist()):
+                if left[y]:
+                    left[y] -= 1
+                    windows.append(w)
+                    labels.append(float(y != OTHER))
+        y = np.array(labels)
         if not 0 < y.sum() < len(y):
             return
         net = Network()
-        net.fit([w for r in rows for w in r["window"]], y)
+        net.fit(windows, y)
         names = list(net.p)
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([net.p[k].ravel() for k in names], pa.list_(pa.float64()))], ["name", "value"])
 
     weights = {r.name: np.array(r.value) for r in sample.mapInArrow(run, "name string, value array<double>").collect()}
     if not weights:
+        unstage(found)
         return None
     shapes = {k: v.shape for k, v in Network().p.items()}
     model = {k: v.reshape(shapes[k]) for k, v in weights.items()}
@@ -230,18 +300,25 @@ def train(docs: DataFrame, fit: int = FIT, recall: float = RECALL) -> dict | Non
             bins = pa.array(np.floor(np.clip(z, -40, 40) * 25).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("held"), bins], ["label", "held", "bin"])
 
-    # scores of all candidates, as counts in bins of 0.04; the held-out ones decide if any is positive
+    # scores of all candidates, as counts in bins of 0.04; the held-out ones decide for each label that has any
     scored = found.withColumn("held", held).select("label", "held", "window").mapInArrow(score, "label int, held boolean, bin int")
-    bins = scored.groupBy("label", "held", "bin").count().collect()
-    bins = [x for x in bins if x.held] if any(x.held and x.label for x in bins) else bins
-    at = np.array([x.bin for x in bins]) / 25
-    n, y = np.array([x["count"] for x in bins], float), np.array([x.label for x in bins], float)
-    order = np.argsort(-at)
-    pos = np.cumsum((n * y)[order])
-    cut = float(at[order][np.searchsorted(pos, recall * pos[-1] - 1e-9)]) if y.any() else 40.0
+    bins = scored.groupBy("label", "held", "bin").agg(F.count("*").alias("n")).collect()
+    unstage(found)
+    own = {y: [x for x in bins if x.label == y and x.held] or [x for x in bins if x.label == y] for y in (OTHER, BASE, PLANTED)}
+    cut = min(kept(own[y], recall) for y in (BASE, PLANTED) if own[y])
+    every = [x for rows in own.values() for x in rows]
+    at, n, y = (np.array(c, float) for c in zip(*((x.bin / 25, x.n, x.label != OTHER) for x in every)))
     return model | {"cut": cut, "platt": platt(at, n, y)}
 
 
+def kept(bins: list, recall: float) -> float:
+    """The highest score that keeps the share `recall` of the counted ones."""
+    at, n = np.array([x.bin for x in bins]) / 25, np.array([x.n for x in bins], float)
+    order = np.argsort(-at)
+    total = np.cumsum(n[order])
+    return float(at[order][np.searchsorted(total, recall * total[-1] - 1e-9)])
+
+
 def platt(z: np.ndarray, n: np.ndarray, y: np.ndarray) -> tuple:
     """Slope and offset of the logistic that turns scores into probabilities, by Newton steps with a small ridge."""
     a, b = 1.0, 0.0
@@ -261,8 +338,8 @@ def scan(docs: DataFrame, model: dict | None, keep: tuple, redact: str | None =
     """The columns `keep` and findings: array of kind, s, e, p (code points, end exclusive; p is 1 for base kinds).
 
     With redact, `text` among them has every finding replaced by that string and stays null where it was.
-    A null text is empty. Repeated rows give repeated results; an empty table gives no rows. Extra
-    columns are ignored.
+    A null text is empty. A very long text is read whole. Repeated rows give repeated results, rows that
+    share an id each its own; an empty table gives no rows. Extra columns are ignored.
     """
     send = docs.sparkSession.sparkContext.broadcast(model)
     kinds = dict(docs.dtypes)
@@ -281,11 +358,12 @@ def scan(docs: DataFrame, model: dict | None, keep: tuple, redact: str | None =
                 base = base_findings(t)
                 found[i] = [(k, s, e, 1.0) for k, s, e in base]
                 if model:
-                    new += [(i, a, b, w) for a, b, y, w in candidates(t, base) if not y]
+                    new += [(i, a, b, ws) for a, b, y, ws in candidates(t, base) if not y]
             if new:
-                z = net.logit([w for *_, w in new])
+                z = net.logit([w for *_, ws in new for w in ws])
+                first = np.cumsum([0, *(len(ws) for *_, ws in new)])[:-1]
                 a, b = model["platt"]
-                for (i, s, e, _), v in zip(new, z):
+                for (i, s, e, _), v in zip(new, np.maximum.reduceat(z, first)):
                     if v >= model["cut"]:
                         found[i].append((3, s, e, float(1 / (1 + np.exp(-np.clip(a * v + b, -30, 30))))))
             for i, spans in enumerate(found):

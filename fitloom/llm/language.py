@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from .common import read, stage
 
@@ -36,16 +37,21 @@ _CHUNK_TOKENS = 1 << 22
 _TOP = 1 << 63
 
 
+_CLOSING = frozenset(b".,!?;:|")
+_SIZES = [(n > 4) + (n > 7) + (n > 11) for n in range(13)]
+
+
 def word_key(word: bytes) -> int:
     """A negative number: 4 bits for the tail class, 59 of the word's XXH64."""
-    import xxhash
-
     if word == END:
-        tail = 0
-    else:
-        n = len(word)
-        tail = (word[-1:] in b".,!?;:|") * 8 + (not word.isascii()) * 4 + (n > 4) + (n > 7) + (n > 11)
-    return (_TOP | tail << 59 | xxhash.xxh64_intdigest(word) >> 5) - (1 << 64)
+        return (_TOP | xxh64_intdigest(word) >> 5) - (1 << 64)
+    n = len(word)
+    tail = _SIZES[n if n < 12 else 12]
+    if word[-1] in _CLOSING:
+        tail += 8
+    if not word.isascii():
+        tail += 4
+    return (_TOP | tail << 59 | xxh64_intdigest(word) >> 5) - (1 << 64)
 
 
 def tail_of(keys: np.ndarray) -> np.ndarray:
@@ -176,18 +182,24 @@ def recur(p: dict, inputs: np.ndarray, new: np.ndarray, h: np.ndarray, keep: boo
     """States before each target, the state at the end and, with keep, what backpropagation needs."""
     H, (T, B) = HIDDEN, inputs.shape
     xs = p["x"][inputs]
-    u, out, saved = p["u"], np.empty((T, B, H), np.float32), []
+    u, out, saved = p["u"], np.empty((T, B, H), xs.dtype), []
+    starts = new.any(1).tolist()
     for t in range(T):
-        if new[t].any():
+        if starts[t]:
             h = h * ~new[t][:, None]
         hu = h @ u
-        zr = sigmoid(xs[t, :, : 2 * H] + hu[:, : 2 * H])
+        x = xs[t]
+        zr = hu[:, : 2 * H] + x[:, : 2 * H]
+        sigmoid(zr)
         z, r = zr[:, :H], zr[:, H:]
-        n = np.tanh(xs[t, :, 2 * H :] + r * hu[:, 2 * H :])
+        n = r * hu[:, 2 * H :]
+        n += x[:, 2 * H :]
+        np.tanh(n, out=n)
         if keep:
             saved.append((h, hu[:, 2 * H :], z, r, n))
-        h = n + z * (h - n)
-        out[t] = h
+        h = np.subtract(h, n, out=out[t])
+        h *= z
+        h += n
     return out, h, saved
 
 
@@ -200,31 +212,27 @@ def outputs(p: dict, h: np.ndarray, target: np.ndarray, grads: dict | None) -> t
     cls = np.where(target < WORDS, target // CLASS_SIZE, n_words + target - WORDS).astype(np.int16)
     order = np.argsort(cls, kind="stable")  # rows by class, so that a class is a slice
     h, target, cls = h[order], target[order], cls[order]
-    logit = np.minimum(h @ p["c"] + p["cb"], 60)
-    e = np.exp(logit)
-    total = e @ np.ones(e.shape[1], np.float32)
     rows = np.arange(len(h))
-    lp = logit[rows, cls] - np.log(total)
+    e, lp, total = likelihood(h, p["c"], p["cb"], rows, cls)
     dh = None
     if grads is not None:
         e /= total[:, None]
         e[rows, cls] -= 1
-        grads["c"], grads["cb"] = h.T @ e, e.sum(0)
+        grads["c"], grads["cb"] = h.T @ e, np.ones(len(e), e.dtype) @ e
         dh = e @ p["c"].T
         grads["w"], grads["wb"] = np.zeros_like(p["w"]), np.zeros_like(p["wb"])
     edge = np.searchsorted(cls, np.arange(n_words + 1))
-    ones = np.ones(CLASS_SIZE, np.float32)
+    own, ones = target % CLASS_SIZE, np.ones(len(h), h.dtype)
     for k, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())):
         if a < b:
-            own, i = target[a:b] % CLASS_SIZE, rows[: b - a]
-            logit = np.minimum(h[a:b] @ p["w"][k] + p["wb"][k], 60)
-            e = np.exp(logit)
-            total = e @ ones
-            lp[a:b] += logit[i, own] - np.log(total)
+            i, j, hk = rows[: b - a], own[a:b], h[a:b]
+            e, inner, total = likelihood(hk, p["w"][k], p["wb"][k], i, j)
+            lp[a:b] += inner
             if grads is not None:
                 e /= total[:, None]
-                e[i, own] -= 1
-                grads["w"][k], grads["wb"][k] = h[a:b].T @ e, e.sum(0)
+                e[i, j] -= 1
+                np.matmul(hk.T, e, out=grads["w"][k])
+                np.matmul(ones[: b - a], e, out=grads["wb"][k])
                 dh[a:b] += e @ p["w"][k].T
     back = np.empty_like(lp)
     back[order] = lp
@@ -235,6 +243,18 @@ def outputs(p: dict, h: np.ndarray, target: np.ndarray, grads: dict | None) -> t
     return back, dh
 
 
+def likelihood(h: np.ndarray, w: np.ndarray, bias: np.ndarray, rows: np.ndarray, at: np.ndarray) -> tuple:
+    """(exp of the logits, log probability of the column `at` of each row, sums of the exps), in place."""
+    e = h @ w
+    e += bias
+    np.minimum(e, 60, out=e)
+    lp = e[rows, at]
+    np.exp(e, out=e)
+    total = e @ np.ones(e.shape[1], e.dtype)
+    lp -= np.log(total)
+    return e, lp, total
+
+
 def windows(docs: list, length: int, heads: np.ndarray | None = None):
     """(symbols, inputs, new, document, lanes) of each window; lanes that have ended drop out.
 
@@ -291,22 +311,27 @@ def learn(p: dict, g2: dict, docs: list, rate: float) -> None:
         dout = np.zeros((T * b, H), np.float32)
         dout[live] = dh_live
         dout = dout.reshape(T, b, H)
-        dx = np.empty((T, b, 3 * H), np.float32)
-        du, dh, u, dhu = np.zeros_like(p["u"]), np.zeros((b, H), np.float32), p["u"], np.empty((b, 3 * H), np.float32)
+        # what each step's gradient is multiplied by, for all steps at once
+        hp, hn, z, r, n = (np.stack(x) for x in zip(*saved))
+        to_n = (1 - z) * (1 - n * n)
+        to_z = (hp - n) * z * (1 - z)
+        to_r = hn * r * (1 - r)
+        dx, dhu = np.empty((T, b, 3 * H), np.float32), np.empty((T, b, 3 * H), np.float32)
+        dh, back, ended = np.zeros((b, H), np.float32), np.ascontiguousarray(p["u"].T), new.any(1).tolist()
         for t in reversed(range(T)):
-            hp, hn, z, r, n = saved[t]
-            dh = dh + dout[t]
-            dn = dh * (1 - z)
-            dz = dh * (hp - n) * z * (1 - z)
-            da = dn * (1 - n * n)
-            dr = da * hn * r * (1 - r)
-            dx[t, :, :H], dx[t, :, H : 2 * H], dx[t, :, 2 * H :] = dz, dr, da
-            dhu[:, :H], dhu[:, H : 2 * H], dhu[:, 2 * H :] = dz, dr, da * r
-            du += hp.T @ dhu
-            dh = dh * z + dhu @ u.T
-            if new[t].any():
+            dh += dout[t]
+            da = dh * to_n[t]
+            g_t, x_t = dhu[t], dx[t]
+            np.multiply(dh, to_z[t], out=g_t[:, :H])
+            np.multiply(da, to_r[t], out=g_t[:, H : 2 * H])
+            np.multiply(da, r[t], out=g_t[:, 2 * H :])
+            x_t[:, : 2 * H] = g_t[:, : 2 * H]
+            x_t[:, 2 * H :] = da
+            dh *= z[t]
+            dh += g_t @ back
+            if ended[t]:
                 dh *= ~new[t][:, None]
-        g["u"] = du
+        g["u"] = hp.reshape(-1, H).T @ dhu.reshape(-1, 3 * H)
         ids = inputs.ravel().astype(np.int16)
         order = np.argsort(ids, kind="stable")
         first = np.flatnonzero(np.concatenate([[True], np.diff(ids[order]) != 0]))
@@ -438,11 +463,26 @@ def train(rows: DataFrame, layout: Layout, rounds: int = ROUNDS) -> dict:
     return p
 
 
+def commonest(counts: DataFrame, most: int) -> list:
+    """Rows of at most `most` of the commonest words and of the end mark. Words are told by a filter on their
+    counts, from a histogram over logarithmic bins of counts (16,384 at most), so the driver gets no more
+    than it keeps. A bin that would exceed `most` stays out whole; its words are counted by the join."""
+    end = word_key(END)
+    level = F.floor(F.log2(F.col("n").cast("double")) * 256).cast("int")
+    bins = counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect()
+    cut, left = 1 << 20, most - 1
+    for r in sorted(bins, reverse=True):
+        if r.words > left:
+            break
+        cut, left = r.level, left - r.words
+    return counts.filter((level >= cut) | (F.col("key") == end)).collect()
+
+
 def layout_of(counts: DataFrame) -> Layout:
     """Ranks, counts and tail sums from the counts table."""
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     end = word_key(END)
-    top = counts.orderBy(F.col("key") != end, F.desc("n"), "key").limit(COUNTED).collect()  # a fixed number of words
+    top = commonest(counts, COUNTED)
     top.sort(key=lambda r: (-r.n, r.key))
     at = next((i for i, r in enumerate(top) if r.key == end), None)
     if at is not None and at >= WORDS:
@@ -494,8 +534,9 @@ def scored(rows: DataFrame, layout: Layout, p: dict, counts: DataFrame) -> DataF
 def score_documents(docs: DataFrame, folds: int = 10) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row.
 
-    A null or empty text has one token, the end. A null doc_id is held out. Repeated rows score alike.
-    Without training documents all tokens are unknown and the model's probabilities are its initial
+    A null or empty text has one token, the end. A very long text is scored from its first word to its end,
+    the state carried through. A null doc_id is held out. Repeated rows score alike. Words of equal counts
+    (ties) are ranked by their keys. Without training documents all tokens are unknown and the model's probabilities are its initial
     ones. An empty table gives no rows. Extra columns are ignored.
     """
     counts = stage(corpus_counts(docs.filter(~held_out(folds))), "lm-counts")

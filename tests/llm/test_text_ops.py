@@ -244,6 +244,57 @@ def test_gradients_agree_with_differences():
     assert abs(-(language.outputs(p, h, target, None)[0].sum() - lp.sum()) / 1e-6 - dh[3, 4]) < 1e-4
 
 
+def test_recurrent_gradients_agree_with_differences():
+    lay, r = small_layout(), np.random.default_rng(3)
+    p = {k: v.astype(np.float64) for k, v in language.initial(lay).items()}
+    p["c"], p["w"] = r.normal(0, 0.3, p["c"].shape), r.normal(0, 0.3, p["w"].shape)
+    docs = [r.integers(0, 40, n).astype(np.int32) for n in (9, 14, 5)]
+    big = 1e12  # so that a step of Adagrad is the gradient times a known factor
+    g2, own = {k: np.full_like(v, big) for k, v in p.items()}, {k: v.copy() for k, v in p.items()}
+    language.learn(own, g2, docs, 1.0)
+    n = sum(map(len, docs))
+    for k, at in (("u", (2, 5)), ("u", (7, 20)), ("u", (3, 40)), ("x", (int(docs[0][0]), 4)), ("x", (int(docs[1][2]), 40)), ("c", (1, 0)), ("wb", (0, int(docs[0][3])))):
+        got, step, loss = (p[k][at] - own[k][at]) * big**0.5, 1e-5, []
+        for d in (step, -step):
+            moved = {i: v.copy() for i, v in p.items()}
+            moved[k][at] += d
+            loss.append(-language.score(moved, docs).sum() / n)
+        assert abs(got - (loss[0] - loss[1]) / (2 * step)) < 2e-5, (k, at)
+
+
+def test_probabilities_of_all_symbols_sum_to_one_in_any_state():
+    lay, r = small_layout(), np.random.default_rng(4)
+    p = {k: v + r.normal(0, 0.3, v.shape).astype(np.float32) for k, v in language.initial(lay).items()}
+    p["wb"][lay.words // language.CLASS_SIZE + 1 :] = language.initial(lay)["wb"][lay.words // language.CLASS_SIZE + 1 :]
+    every = np.arange(language.WORDS + language.TAILS)
+    for _ in range(3):
+        h = np.tile(r.normal(size=language.HIDDEN).astype(np.float32), (len(every), 1))
+        assert abs(np.exp(language.outputs(p, h, every, None)[0].astype(float)).sum() - 1) < 1e-3
+    # within a tail class: all counted words and one unknown
+    n, v = np.array([5.0, 2, 1]), 3
+    assert abs(((n + language.ALPHA).sum() + language.ALPHA) / (n.sum() + language.ALPHA * (v + 1)) - 1) < 1e-12
+
+
+def test_model_beats_the_base_on_held_out_documents(spark):
+    r = random.Random(8)
+    docs = []
+    for i in range(600):  # words follow each other in a fixed order most of the time
+        w, ws = r.randrange(40), []
+        for _ in range(120):
+            w = (w * 7 + 3) % 40 if r.random() < 0.9 else r.randrange(40)
+            ws.append(f"w{w}")
+        docs.append((i, " ".join(ws), 1.0))
+    got = [x for x in language.score_documents(spark.createDataFrame(docs, "doc_id long, text string, score double")).collect() if x.held_out]
+    n = sum(x.n_tokens for x in got)
+    assert len(got) > 30 and sum(x.score for x in got) / n > sum(x.base_score for x in got) / n + 0.1
+
+
+def test_commonest_words_come_by_a_filter(spark):
+    rows = [(language.word_key(f"w{i}".encode()), 1000 // (i + 1) + 1) for i in range(500)] + [(language.word_key(language.END), 1)]
+    got = language.commonest(spark.createDataFrame(rows, "key long, n long"), 60)
+    assert 40 <= len(got) <= 60 and min(x.n for x in got if x.key != rows[-1][0]) > 15 and rows[-1][0] in {x.key for x in got}
+
+
 def test_words_down_to_rank_4095_have_outputs_of_their_own():
     n = 5000
     lay = language.Layout([language.word_key(f"w{i}".encode()) for i in range(n)], list(range(n, 0, -1)), language.WORDS, n * (n + 1) // 2, n, {})
@@ -324,30 +375,65 @@ def test_secret_patterns(spark):
         assert w or not b and not secrets.candidates(t, b)
 
 
-def test_network_learns_and_threshold_keeps_recall(spark):
-    r = np.random.default_rng(3)
-    hexes = lambda: "".join(r.choice(list("0123456789abcdef"), 40))
-    data = [(i, f'some words token = "{hexes()}" more words') for i in range(150)]
-    data += [(1000 + i, f"call {r.integers(10**15, 10**16)} or mail.example{i % 7}.com now") for i in range(150)]
-    df = spark.createDataFrame(data, "doc_id long, text string")
+def spaced(r, texts, secret):
+    """A text with the secret between two of its words, and where it lies."""
+    ws = r.choice(texts).split(" ")
+    at = r.randrange(len(ws) + 1)
+    before = "".join(w + " " for w in ws[:at])
+    return before + secret + "".join(" " + w for w in ws[at:]), len(before), len(before) + len(secret)
+
+
+def test_network_finds_planted_secrets_and_leaves_clean_texts_alone(spark):
+    r = random.Random(3)
+    base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    some = lambda alphabet, n: "".join(r.choices(alphabet, k=n))
+    clean = []
+    for i in range(400):
+        more = [f"mail{i % 7}.name{i}@example{i % 5}.com", f"{r.randrange(10**15, 10**16)}", ".".join(str(r.randrange(256)) for _ in range(4)), f"(0{r.randrange(100)}) 555-{r.randrange(1000, 9999)}", f"2024-0{r.randrange(1, 9)}-1{r.randrange(10)}"]
+        clean.append(f"{words(r, 20)} {r.choice(more)} {words(r, 15)} {r.choice(more)} {words(r, 9)}")
+    assigned = [f'{words(r, 9)} token = "{some("0123456789abcdef", 40)}" {words(r, 9)}' for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(clean + assigned)), "doc_id long, text string")
     model = secrets.train(df)
     assert model is not None
-    upper = spark.createDataFrame([(1, "see " + hexes()[:31].upper() + " there"), (2, "call 1234567890123456 now")], "doc_id long, text string")
-    p = secrets.scan(df, model, ("doc_id",)).collect()
-    assert sum(any(f.kind == "model" for f in x.findings) for x in p if x.doc_id >= 1000) <= 3
-    assert secrets.scan(upper, model, ("doc_id",)).count() == 2
-    assert secrets.train(empty(spark)) is None
-    z = np.array([-3.0, -1, 1, 3])
-    a, b = secrets.platt(z, np.array([50.0, 20, 20, 50]), np.array([0.0, 0, 1, 1]))
+    shapes = (  # none of them made by the module
+        lambda: "AIza" + some(base62 + "-_", 35),
+        lambda: "xoxb-" + some("0123456789", 11) + "-" + some(base62, 24),
+        lambda: "glpat-" + some(base62, 20),
+        lambda: some(base62 + "+/", 40),
+        lambda: "eyJ" + some(base62, 17) + ".eyJ" + some(base62, 40) + "." + some(base62, 30) + " ",
+    )
+    placed = [spaced(r, clean, shapes[i % len(shapes)]().strip()) for i in range(200)]
+    long = words(r, 40_000) + " " + shapes[0]() + " " + words(r, 40_000)
+    rows_ = [(i, t) for i, (t, *_) in enumerate(placed)] + [(1000, long)] + [(2000 + i, t) for i, t in enumerate(clean)]
+    got = {x.doc_id: x.findings for x in secrets.scan(spark.createDataFrame(rows_, "doc_id long, text string"), model, ("doc_id",)).collect()}
+    found = [any(f.kind == "model" and f.s < e and s < f.e for f in got[i]) for i, (_, s, e) in enumerate(placed)]
+    assert sum(found) >= 0.9 * len(found)
+    assert [f.kind for f in got[1000]] == ["model"]
+    assert sum(bool(got[2000 + i]) for i in range(len(clean))) <= 4
+    assert all(0 <= f.p <= 1 for x in got.values() for f in x)
+    assert secrets.train(df.limit(0)) is None
+
+
+def test_threshold_keeps_recall_and_calibration_is_rising():
+    bins = [collections.namedtuple("B", "bin n")(b, 10) for b in range(-50, 50)]
+    cut = secrets.kept(bins, 0.9)
+    assert sum(x.n for x in bins if x.bin / 25 >= cut) >= 900 > sum(x.n for x in bins if x.bin / 25 > cut)
+    a, b = secrets.platt(np.array([-3.0, -1, 1, 3]), np.array([50.0, 20, 20, 50]), np.array([0.0, 0, 1, 1]))
     assert a > 0
 
 
+def test_long_runs_are_read_to_their_end():
+    text = "x " + "/".join(["path"] * 30) + "/A1" + "z" * 300 + " y"
+    ((a, b, inside, windows),) = secrets.candidates(text, [])
+    assert (text[a - 1], text[b], inside) == (" ", " ", False) and len(windows) > 10
+    assert "".join(w[secrets.LEFT : secrets.LEFT + secrets.BODY // 2] for w in windows[:-1]) + windows[-1][secrets.LEFT : secrets.LEFT + secrets.BODY].rstrip("\0") == text[a:b]
+
+
 def test_copies_do_not_fill_the_fitting_sample(spark):
-    texts = [(0, f"window {i % 30}", i % 30) for i in range(60)] + [(1, "the same", -5)] * 500 + [(1, f"key {i}", i) for i in range(30)]
+    texts = [(0, f"window {i % 30}", i % 30) for i in range(60)] + [(1, "the same", -5)] * 500 + [(1, f"key {i}", i) for i in range(10)]
     found = spark.createDataFrame(texts, "label int, window string, h long")
-    got = [tuple(r) for r in secrets.fitting_sample(found, 20).collect()]
-    assert len(got) == len(set(got)) == 40 and sum(y for y, *_ in got) == 20
-    assert (1, "the same", -5) in got and (1, "key 18", 18) in got
+    got = [tuple(r) for r in secrets.fitting_sample(found, 40).collect()]
+    assert len(got) == len(set(got)) == 41 and sum(y for y, *_ in got) == 11
 
 
 # ---- toxicity ----

@@ -7,6 +7,7 @@ import io
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 MISSING = ("", "NA", "null", "NaN", "nan")
@@ -25,30 +26,65 @@ def number(c):
     return F.when(F.trim(c).isin(*MISSING), F.lit(None)).otherwise(F.trim(c).try_cast("double"))
 
 
+def numbered_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """value, file, at and ord of every line: `at` rises along each file, `ord` by file, then along it.
+
+    A line's `at` is where its split begins plus its number in the split, so it rises from split to split
+    whatever the order in which Spark reads splits and files. Files are numbered from a row per split.
+    """
+    lines = spark.read.option("encoding", encoding).text(path)
+    lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_id"))
+    splits = lines.groupBy("file", "_b").agg(F.min("_id").alias("_first"))
+    splits = splits.withColumn("_f", F.dense_rank().over(W.orderBy("file")).cast("long"))
+    at = F.col("_b") + F.col("_id") - F.col("_first")
+    return lines.join(splits, ["file", "_b"]).select("value", "file", at.alias("at"), (F.shiftleft(F.col("_f"), 42) + at).alias("ord"))
+
+
+def without_edges(lines: DataFrame, first: int, last: int) -> DataFrame:
+    """Lines but for the first and the last so many of every file: the edges are found by a limited rank per file."""
+    for n, order, inner in ((first, F.col("at"), F.max), (last, F.desc("at"), F.min)):
+        if n:
+            rank = F.row_number().over(W.partitionBy("file").orderBy(order))
+            edge = lines.select("file", "at").withColumn("_r", rank).filter(F.col("_r") <= n).groupBy("file").agg(inner("at").alias("_edge"))
+            beyond = F.col("at") > F.col("_edge") if inner is F.max else F.col("at") < F.col("_edge")
+            lines = lines.join(edge, "file").filter(beyond).drop("_edge")
+    return lines
+
+
 def ascii_table(spark: SparkSession, path: str, columns: dict, delimiter: str | None = None, comment: str = "#", skip_header: int = 0, skip_footer: int = 0) -> DataFrame:
-    """Whitespace or delimited text. columns: name -> 0-based position. Lines keep their order in `ord`."""
-    lines = spark.read.text(path).withColumn("ord", F.monotonically_increasing_id())
-    lines = lines.filter(F.trim("value") != "")
+    """Whitespace or delimited text. columns: name -> 0-based position. Lines keep their order in `ord`; headers
+    and footers are skipped in every file."""
+    lines = numbered_lines(spark, path).filter(F.trim("value") != "")
     if comment:
         lines = lines.withColumn("value", F.split("value", "\\Q" + comment + "\\E")[0]).filter(F.trim("value") != "")
-    if skip_header:
-        first = [r.ord for r in lines.select("ord").orderBy("ord").limit(skip_header).collect()]
-        lines = lines.filter(F.col("ord") > max(first, default=-1))
-    if skip_footer:
-        last = [r.ord for r in lines.select("ord").orderBy(F.desc("ord")).limit(skip_footer).collect()]
-        lines = lines.filter(F.col("ord") < min(last, default=1 << 62))
+    lines = without_edges(lines, skip_header, skip_footer)
     parts = F.split(F.trim("value"), "\\Q" + delimiter + "\\E" if delimiter else "\\s+")
     return lines.select(*(number(F.get(parts, F.lit(i))).alias(n) for n, i in columns.items()), "ord")
 
 
 def csv_table(spark: SparkSession, path: str, columns: dict, header: bool = True, delimiter: str = ",", comment: str = "#", encoding: str = "UTF-8", skip_header: int = 0) -> DataFrame:
-    """columns: name -> header name or 0-based position. Missing marks become null."""
-    raw = spark.read.csv(path, header=header, sep=delimiter, comment=comment, encoding=encoding, inferSchema=False, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-    raw = raw.withColumn("ord", F.monotonically_increasing_id())
+    """columns: name -> header name or 0-based position. Missing marks become null. skip_header: lines of every
+    file before its header (or first row); cells may then hold no line breaks."""
+    options = {"sep": delimiter, "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
     if skip_header:
-        first = [r.ord for r in raw.select("ord").orderBy("ord").limit(skip_header).collect()]
-        raw = raw.filter(F.col("ord") > max(first, default=-1))
-    names = raw.columns
+        lines = without_edges(numbered_lines(spark, path, encoding), skip_header, 0).filter(F.trim("value") != "")
+        if comment:
+            lines = lines.filter(~F.trim("value").startswith(comment))
+        head = lines.orderBy("ord").limit(1).collect()  # one line
+        cells = head[0].value if head else ""
+        width = len(spark.range(1).select(F.schema_of_csv(F.lit(cells or "a"), options).alias("s")).first().s.split(","))
+        schema = ", ".join(f"_c{i} string" for i in range(width))
+        parse = lambda c: F.from_csv(c, schema, options)
+        names = [f"_c{i}" for i in range(width)]
+        if header:
+            titles = list(spark.createDataFrame([(cells,)], "v string").select(parse(F.col("v")).alias("s")).first().s)
+            lines = without_edges(lines, 1, 0)
+            columns = {n: titles.index(c) if isinstance(c, str) else c for n, c in columns.items()}
+        raw = lines.select(parse(F.col("value")).alias("s"), "ord").select("s.*", "ord")
+    else:
+        raw = spark.read.csv(path, header=header, comment=comment, encoding=encoding, inferSchema=False, **options)
+        names = raw.columns
+        raw = raw.withColumn("ord", F.monotonically_increasing_id())
     return raw.select(*(number(F.col(f"`{names[c] if isinstance(c, int) else c}`")).alias(n) for n, c in columns.items()), "ord")
 
 

@@ -51,3 +51,22 @@ export: {{results_file: {tmp_path}/out, format: json}}
     assert {r.dataset_id for r in got} == {"one", "two"} and all(r.success for r in got)
     with pytest.raises(ValueError):
         run_workflow(spark, job.replace("p0:", "unknown:"))
+
+
+def test_titles_headers_and_footers_of_several_files(spark, tmp_path):
+    text = tmp_path / "t"
+    text.mkdir()
+    for f, n in (("b.txt", 2000), ("a.txt", 3)):  # the larger file is read first
+        body = "".join(f"{i} {2 * i}\n" for i in range(n))
+        (text / f).write_text(f"# note\nx y\n\n{body}sum {n}\n")
+    got = readers.ascii_table(spark, str(text), {"x": 0, "y": 1}, skip_header=1, skip_footer=1).orderBy("ord").collect()
+    assert [r.x for r in got] == [0.0, 1.0, 2.0, *map(float, range(2000))] and all(r.y == 2 * r.x for r in got)
+    sheet = tmp_path / "c"
+    sheet.mkdir()
+    for f, n in (("b.csv", 4), ("a.csv", 2)):
+        rows = "".join(f'{i},"{i}.5",NA\n' for i in range(n))
+        (sheet / f).write_text(f"title of {f}\nsecond, line\nx,\"y, named\",z\n# note\n{rows}")
+    got = readers.csv_table(spark, str(sheet), {"x": "x", "y": "y, named", "z": 2}, skip_header=2).orderBy("ord").collect()
+    assert [(r.x, r.y, r.z) for r in got] == [(float(i), i + 0.5, None) for i in (0, 1, 0, 1, 2, 3)]
+    got = readers.csv_table(spark, str(sheet), {"y": 1}, header=False, skip_header=3).orderBy("ord").collect()
+    assert [r.y for r in got] == [0.5, 1.5, 0.5, 1.5, 2.5, 3.5]

@@ -36,7 +36,7 @@ from .common import ROW, numbered, read, stage, unstage
 CAPACITY = 4096
 END = 1
 ROWS_A_TASK = 200_000
-SUPERSTEPS = 3  # of a band; what is left then opens new sequences
+SUPERSTEPS = 2  # of a band; what is left then opens new sequences
 VOCABULARY = "word_bpe_49k.json"
 _CACHE_WORDS = 400_000
 
@@ -149,24 +149,26 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
 
 
 def bands(capacity: int) -> list:
-    """(upper, lower): lengths over the lower and up to the upper edge; falling. The capacity by 1 to 8, then by root 2."""
-    edges = [capacity // k for k in range(1, 9)]
-    while edges[-1] > 16:
+    """(upper, lower): lengths over the lower and up to the upper edge; falling. The capacity by 1 to 4, then by root
+    2 down to a 32nd, and by 4 once more: few bands, for each takes supersteps."""
+    edges = [capacity // k for k in range(1, 5)]
+    while edges[-1] > capacity // 32:
         edges.append(int(edges[-1] / 2**0.5))
-    edges = [e for e in dict.fromkeys(edges) if e > 0]
+    edges = [e for e in dict.fromkeys([*edges, capacity // 128]) if e > 0]
     return list(zip(edges, [*edges[1:], 0]))
 
 
-PLACE, PIECE, GAP = 0, 1, 2  # what a row of a sweep is: a piece with its place, a piece left, a gap left
+PLACE, PIECE, GAP, TALLY = range(4)  # what a row of a sweep is: a piece with its place, a piece left, a gap left; what a task counted
 SWEPT = "what byte, id long, seq long, length int, part int, rank long, before long"
 
 
 def sweep(batches):
     """One task's range, sorted by falling size: rows of id, length and gap -> SWEPT. rank: of pieces left from
-    the first, of gaps left from the last; before: the length of the pieces left before a piece."""
+    the first, of gaps left from the last; before: the length of the pieces left before a piece. A last row tallies
+    the pieces placed (id), the pieces left (rank) and their length (before) and the gaps left (seq)."""
     from pyspark import TaskContext
 
-    part, open_, rank, total = TaskContext.get().partitionId(), [], 0, 0
+    part, open_, rank, total, placed = TaskContext.get().partitionId(), [], 0, 0, 0
     for batch in batches:
         out: list = [[] for _ in range(6)]
         for i, n, gap in zip(batch.column("id").to_pylist(), batch.column("length").to_pylist(), batch.column("gap").to_pylist()):
@@ -175,6 +177,7 @@ def sweep(batches):
                 continue
             if open_:
                 row = (PLACE, i, open_.pop(), n, 0, 0)
+                placed += 1
             else:
                 row = (PIECE, i, None, n, rank, total)
                 rank, total = rank + 1, total + n
@@ -182,7 +185,10 @@ def sweep(batches):
                 c.append(x)
         yield swept_batch(out, part)
     m = len(open_)
-    yield swept_batch([[GAP] * m, open_, open_, [0] * m, list(range(m - 1, -1, -1)), [0] * m], part)
+    if m + rank + placed:
+        last = ([TALLY], [placed], [m], [0], [rank], [total])
+        gaps = ([GAP] * m, open_, open_, [0] * m, list(range(m - 1, -1, -1)), [0] * m)
+        yield swept_batch([a + b for a, b in zip(gaps, last)], part)
 
 
 def swept_batch(cols: list, part: int):
@@ -225,10 +231,8 @@ def superstep(todo: DataFrame, gaps: DataFrame, rows: int, rows_a_task: int = RO
     dealt = both.repartitionByRange(max(1, -(-rows // rows_a_task)), *order).sortWithinPartitions(*order)
     swept = stage(dealt.mapInArrow(sweep, SWEPT), "pack-sweep")
     is_ = lambda w: F.col("what") == w
-    counts = swept.groupBy("part").agg(
-        F.sum(is_(PLACE).cast("long")).alias("placed"), F.sum(is_(PIECE).cast("long")).alias("pieces"), F.sum(is_(GAP).cast("long")).alias("gaps"),
-        F.sum(F.when(is_(PIECE), F.col("length")).otherwise(0)).cast("long").alias("length"),
-    ).orderBy("part").collect()
+    tally = swept.filter(is_(TALLY)).select("part", F.col("id").alias("placed"), F.col("rank").alias("pieces"), F.col("seq").alias("gaps"), F.col("before").alias("length"))
+    counts = sorted(tally.collect(), key=lambda r: r.part)  # a row per task
     runs, taken = across([(r.part, r.pieces, r.gaps) for r in counts])
     places = swept.filter(is_(PLACE)).select("id", "seq", "length")
     before = dict.fromkeys(taken, 0)
@@ -275,10 +279,15 @@ def assigned(items: DataFrame, capacity: int = CAPACITY, rows_a_task: int = ROWS
     edges = bands(capacity)
     inside = lambda hi, lo, c="length": (F.col(c) > lo) & (F.col(c) <= hi)
     sizes = items.select(*(F.count(F.when(inside(*e), 1)).alias(f"n{i}") for i, e in enumerate(edges))).first()
-    gaps, parts, first, known = None, [], 0, 0
+    gaps, parts, first = None, [], 0
     for (hi, lo), n in zip(edges, sizes):
         if not n:
             continue
+        if 2 * lo >= capacity - 1 and gaps is None:  # no two of these share a sequence: each opens its own
+            alone = items.filter(inside(hi, lo)).select(F.col(ROW).alias("id"), (-1 - F.col(ROW)).alias("seq"), F.col("length").cast("int").alias("length"))
+            parts.append(alone)
+            gaps = stage(alone.select("seq", (capacity - F.col("length")).cast("long").alias("size"), F.lit(True).alias("new")).filter("size > 0"), "pack-gaps")
+            continue
         todo = items.filter(inside(hi, lo)).select(F.col(ROW).alias("id"), F.col("length").cast("int").alias("length"))
         scratch = []
         for step in range(SUPERSTEPS):
@@ -295,7 +304,7 @@ def assigned(items: DataFrame, capacity: int = CAPACITY, rows_a_task: int = ROWS
                 placed, left, (m, n, length), table = superstep(todo, offered, 2 * n + small + big, rows_a_task)
                 scratch.append(table)
                 places.append(placed)
-                again = bool(m and n) and step + 1 < SUPERSTEPS
+                again = bool(m and n and big) and step + 1 < SUPERSTEPS  # gaps with several places may hold more
             if n and not again:
                 places.append(opened(left, first, hi, capacity))
                 first += n // (capacity // hi) + 1 if capacity // hi < 8 else length // (capacity - hi + 1) + 1

@@ -10,19 +10,33 @@ from pyspark.sql import functions as F
 from ..functions.models import named
 from . import frame, normal, solve
 from .fit import covariance
-from .grouped import Block
+from .grouped import Block, linear_states, outcome_of
 
 
 def chunk_fits(df: DataFrame, model, x, y: str, chunk: Column, p0, sigma: str | None = None, retries: int = 2, nan_policy: str = "omit") -> DataFrame:
     """chunk_id, n, theta, cov, success, error_type. A failed chunk is tried again from seeded perturbations.
 
-    chunk: a column that deals rows into chunks of a size that fits a task.
+    Models linear in their parameters are summed where their rows are, so chunks may have any size; for others,
+    `chunk` has to deal rows into chunks of a size that fits a task (chunk_count gives a number for it).
     """
     model = named(model)
     pts = frame.points(df.withColumn("chunk_id", chunk.cast("long")), frame.Roles.of(x, y, model.variables, sigma=sigma, keys=("chunk_id",)), nan_policy)
     lo, hi = model.limits()
     p0 = np.asarray(p0, float)
 
+    schema = "chunk_id long, n long, theta array<double>, cov array<array<double>>, success boolean, error_type string"
+    if model.linear and model.expr is not None and len(p0) <= normal.SQL_WIDTH and not np.isfinite(np.concatenate([lo, hi])).any():
+
+        def row(key, state):
+            n, out, _, error = outcome_of(state, sigma is not None)
+            if out is None:
+                return key[0], n, None, None, False, "ValueError"
+            cov, _ = covariance(out.state, sigma is not None)
+            good = bool(np.isfinite(cov).all())
+            return (key[0], n, out.theta.tolist() if good else None, cov.tolist() if good else None, good, None if good else "singular")
+
+        return linear_states(pts, model, ["chunk_id"], p0, row, schema)
+
     def one(key, pdf):
         v = {x: pdf[f"v_{x}"].to_numpy(float) for x in model.variables}
         problem, error = Block(model, v, pdf["y"].to_numpy(float), pdf["w"].to_numpy(float)), None
@@ -40,7 +54,17 @@ def chunk_fits(df: DataFrame, model, x, y: str, chunk: Column, p0, sigma: str |
         return pd.DataFrame([(key[0], len(pdf), None, None, False, error)], columns=cols)
 
     cols = ["chunk_id", "n", "theta", "cov", "success", "error_type"]
-    return pts.groupBy("chunk_id").applyInPandas(one, "chunk_id long, n long, theta array<double>, cov array<array<double>>, success boolean, error_type string")
+    return pts.groupBy("chunk_id").applyInPandas(one, schema)
+
+
+def chunk_count(df: DataFrame, rows: int = 1_000_000) -> int:
+    """Chunks of about `rows` rows each."""
+    return max(1, -(-df.count() // rows))
+
+
+def shuffled_chunk(order: Column, chunks: int, seed: int = 0) -> Column:
+    """A seeded chunk number from 0 of each row: an even deal whatever the order of rows, the same for equal seeds."""
+    return F.pmod(F.xxhash64(order, F.lit(seed)), F.lit(chunks))
 
 
 def merge(fits: DataFrame, least_success: float = 0.5) -> tuple:

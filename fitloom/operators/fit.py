@@ -139,6 +139,23 @@ def start_values(model: Model, pts: DataFrame, lo: np.ndarray, hi: np.ndarray) -
     return out
 
 
+def linear_fit(df: DataFrame, model: Model, roles: frame.Roles, nan_policy: str, absolute: bool) -> FitResult:
+    """A model that is linear in its parameters, without bounds: sums at 0, which also count what is not finite, and
+    sums at the solution. No start is needed, and rows are neither kept nor fetched."""
+    pts = frame.points(df, roles, nan_policy if roles.sigma or nan_policy != "raise" else "propagate")
+
+    def problem(theta):
+        state = normal.unpacked(pts.agg(*normal.aggregates(normal.terms(model, theta))).first(), theta)
+        if state.bad and nan_policy != "propagate":
+            raise ValueError(f"{state.bad} rows hold null, NaN or infinite values")
+        if state.n < len(theta):
+            raise ValueError(f"{state.n} points cannot determine {len(theta)} parameters")
+        return state
+
+    out = solve.minimise(problem, np.zeros(len(model.params)), linear=True)
+    return FitResult(model, out.theta, covariance(out.state, absolute)[0], out, pts, absolute)
+
+
 def curve_fit(
     df: DataFrame,
     model,
@@ -171,6 +188,9 @@ def curve_fit(
     """
     model = named(model)
     roles = frame.Roles.of(x, y, model.variables, sigma=sigma, mask=mask, order=order)
+    free = bounds is None and not np.isfinite(np.concatenate(model.limits())).any()
+    if model.linear and loss == "linear" and free and p0 is None and callback is None and not auto_bounds and model.expr is not None and len(model.params) <= normal.SQL_WIDTH:
+        return linear_fit(df, model, roles, nan_policy, absolute_sigma)
     pts = frame.points(df, roles, nan_policy)
     lo, hi = model.limits() if bounds is None else (np.broadcast_to(np.asarray(b, float), len(model.params)).copy() for b in bounds)
     problem = normal.Problem(pts, model, loss, f_scale, local_rows)

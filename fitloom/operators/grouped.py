@@ -1,5 +1,10 @@
-"""One fit per key. Small groups are fitted where they are, by the same solver on numpy blocks; keys with
-more than group_rows rows advance together, one grouped aggregate per step, and are never gathered."""
+"""One fit per key.
+
+A model that is linear in its parameters takes two grouped aggregates (sums at the start, sums at the
+solution) and a small solve per key, so rows are summed where they are. Otherwise small groups are fitted
+where they are, by the same solver on numpy blocks; keys with more than group_rows rows advance together,
+one grouped aggregate per step, and are never gathered.
+"""
 
 from __future__ import annotations
 
@@ -46,6 +51,10 @@ def fit_by_key(
     """keys, n, status, success, cost, nfev, params, stderr, error: a row per key."""
     model = named(model)
     pts = frame.points(df, frame.Roles.of(x, y, model.variables, sigma=sigma, keys=tuple(keys)), nan_policy)
+    plain = loss == "linear" and model.linear and model.expr is not None and len(model.params) <= normal.SQL_WIDTH
+    if plain and bounds is None and not np.isfinite(np.concatenate(model.limits())).any():
+        kinds = {k: t for k, t in pts.dtypes if k in keys}
+        return linear_states(pts, model, keys, p0, lambda key, state: row_of(key, *outcome_of(state, absolute_sigma)), result_schema(kinds))
     kinds = {k: t for k, t in pts.dtypes if k in keys}
     lo, hi = model.limits() if bounds is None else (np.broadcast_to(np.asarray(b, float), len(model.params)).copy() for b in bounds)
     p0, linear = np.asarray(p0, float), loss == "linear" and model.linear
@@ -72,7 +81,8 @@ def fit_by_key(
     on = [F.col(f"p.{k}").eqNullSafe(F.col(f"q.{k}")) for k in keys]
     small = pts.alias("p").join(F.broadcast(is_large.alias("q")), on, "left_anti").groupBy(*keys).applyInPandas(one, schema)
     rows = large_keys(pts, model, [tuple(r) for r in large], kinds, p0, lo, hi, loss, f_scale, steps, linear)
-    return small.unionByName(spark.createDataFrame([row_of(k, o.state.n, o, absolute_sigma) for k, o in rows], schema))
+    done = [row_of(k, 0, None, absolute_sigma, str(o)) if isinstance(o, Exception) else row_of(k, o.state.n, o, absolute_sigma) for k, o in rows]
+    return small.unionByName(spark.createDataFrame(done, schema))
 
 
 def large_keys(pts: DataFrame, model: Model, large: list, kinds: dict, p0, lo, hi, which, scale: float, steps: int, linear: bool = False) -> list:
@@ -91,51 +101,52 @@ def large_keys(pts: DataFrame, model: Model, large: list, kinds: dict, p0, lo, h
         got = joined.groupBy(*kinds).agg(*normal.aggregates(t)).collect()
         return {tuple(r[c] for c in kinds): r for r in got}
 
-    return lockstep(answer, large, p0, lo, hi, steps, linear)
-
-
-def lockstep(answer, keys: list, p0, lo, hi, steps: int, linear: bool = False) -> list:
-    """Run one solver per key in turns: each blocks on its evaluation until all have asked."""
-    import queue
-    import threading
-
-    asks, results = {}, {}
-    turn = threading.Condition()
-    inbox = {key: queue.Queue(1) for key in keys}
-
-    def solver(key):
-        def problem(theta):
-            with turn:
-                asks[key] = np.asarray(theta, float)
-                turn.notify()
-            got = inbox[key].get()
-            if isinstance(got, Exception):
-                raise got
-            return normal.unpacked(got, theta)
-
-        try:
-            out = solve.minimise(problem, np.clip(p0, lo, hi), lo, hi, max_nfev=steps, linear=linear)
-        except Exception as e:  # handed to the caller below
-            out = e
-        with turn:
-            results[key] = out
-            turn.notify()
-
-    for key in keys:
-        threading.Thread(target=solver, args=(key,), daemon=True).start()
-    while len(results) < len(keys):
-        with turn:
-            turn.wait_for(lambda: len(asks) + len(results) == len(keys))
-            batch = dict(asks)
-            asks.clear()
-        if batch:
-            try:
-                found = answer(batch)
-            except Exception as e:
-                found = dict.fromkeys(batch, e)
-            for key in batch:
-                inbox[key].put(found[key])
-    for out in results.values():
-        if isinstance(out, Exception):
-            raise out
-    return list(results.items())
+    def states(asked):
+        return {key: normal.unpacked(row, asked[key]) for key, row in answer(asked).items()}
+
+    found = solve.lockstep(states, {key: solve.iterate(np.clip(p0, lo, hi), lo, hi, max_nfev=steps, linear=linear) for key in large})
+    return list(found.items())
+
+
+def outcome_of(state, absolute: bool) -> tuple:
+    """(n, Outcome or None, absolute, error) of the sums at a linear model's solution."""
+    k = len(state.theta)
+    if state.n < k:
+        return state.n, None, absolute, "fewer points than parameters"
+    if not state.usable:
+        return state.n, None, absolute, "the model is not finite at the starting values"
+    return state.n, solve.Outcome(state.theta, state, 2, 2, 1, float(np.abs(state.g).max())), absolute, None
+
+
+def linear_states(pts: DataFrame, model: Model, keys: list, p0, row, schema: str) -> DataFrame:
+    """row(key, State at the solution) of every key, for models linear in their parameters: two grouped aggregates."""
+    p0, k = np.asarray(p0, float), len(model.params)
+    kinds = {c: t for c, t in pts.dtypes if c in keys}
+    names, thetas = list(kinds), [f"_p{i}" for i in range(k)]
+    columns = [c.split()[0].strip("`") for c in schema.split(", ")]
+    sums = lambda rows, theta, by: rows.groupBy(*by).agg(*normal.aggregates(normal.terms(model, theta)))
+
+    def solutions(pdfs):
+        for pdf in pdfs:
+            out = []
+            for r in pdf.to_dict("records"):
+                s = normal.unpacked(r, p0)
+                theta = solve.linear_solution(s) if s.n >= k and s.usable else np.full(k, np.nan)
+                out.append((*(r[c] for c in names), *theta.tolist()))
+            yield pd.DataFrame(out, columns=[f"_k_{c}" for c in names] + thetas)
+
+    def rows(pdfs):
+        for pdf in pdfs:
+            made = []
+            for r in pdf.to_dict("records"):
+                theta = np.array([r[t] for t in thetas], float)
+                s = normal.unpacked(r, theta)
+                again = solve.linear_solution(s) if s.n >= k and s.usable else theta  # what rounding left
+                s.theta = again if np.isfinite(again).all() else theta
+                made.append(row(tuple(r[c] for c in names), s))
+            yield pd.DataFrame(made, columns=columns)
+
+    first = sums(pts, p0, keys).mapInPandas(solutions, ", ".join([f"`_k_{c}` {t}" for c, t in kinds.items()] + [f"{t} double" for t in thetas]))
+    on = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in names]
+    at = sums(pts.join(first, on), [F.col(t) for t in thetas], [*names, *thetas])
+    return at.mapInPandas(rows, schema)

@@ -97,10 +97,11 @@ class Problem:
         self.pts, self.model, self.which, self.scale = pts, model, which, scale
         self.calls, self.block = 0, None
         cols = [f"v_{v}" for v in model.variables] + ["y", "w"]
-        self.pts = pts.select(*cols).persist()
-        head = self.pts.limit(local_rows + 1).count()
-        if head <= local_rows:
-            t = self.pts.toPandas()
+        self.pts = pts.select(*cols)
+        t = self.pts.limit(local_rows + 1).toPandas() if local_rows else None
+        if t is None or len(t) > local_rows:
+            self.pts = self.pts.persist()
+        else:
             self.block = {v: t[f"v_{v}"].to_numpy(float) for v in model.variables}, t["y"].to_numpy(float), t["w"].to_numpy(float)
 
     def close(self) -> None:
@@ -136,6 +137,30 @@ class Problem:
             t[r.i] = r.s
         return State(theta, t[2], t[4 : 4 + k], t[4 + k :].reshape(k, k), int(t[0]), int(t[1]), t[3])
 
+    def population(self, thetas: dict) -> dict:
+        """key -> State at each theta: one job for all; a row of sums per task and theta, added up by Spark."""
+        if self.block is not None:
+            return {key: self(theta) for key, theta in thetas.items()}
+        model, which, scale = self.model, self.which, self.scale
+        every, k = [np.asarray(t, float) for t in thetas.values()], len(self.model.params)
+
+        def run(batches):
+            total = np.zeros((len(every), 4 + k + k * k))
+            for b in batches:
+                v = {x: b.column(f"v_{x}").to_numpy() for x in model.variables}
+                y, w = b.column("y").to_numpy(), b.column("w").to_numpy()
+                for i, theta in enumerate(every):
+                    r, j, cost, ssr, bad = block_terms(model, theta, v, y, w, which, scale)
+                    total[i] += np.concatenate([[len(r), bad, cost, ssr], j.T @ r, (j.T @ j).ravel()])
+            at = np.indices(total.shape, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(at[0].ravel()), pa.array(at[1].ravel()), pa.array(total.ravel())], ["t", "i", "s"])
+
+        t = np.zeros((len(every), 4 + k + k * k))
+        for r in self.pts.mapInArrow(run, "t int, i int, s double").groupBy("t", "i").agg(F.sum("s").alias("s")).collect():
+            t[r.t, r.i] = r.s
+        self.calls += 1
+        return {key: State(theta, s[2], s[4 : 4 + k], s[4 + k :].reshape(k, k), int(s[0]), int(s[1]), s[3]) for key, theta, s in zip(thetas, every, t)}
+
     def triangle(self, theta) -> np.ndarray:
         """R of the QR of [J | r]: each task's triangle, stacked once more in groups, then here. Keeps cond(J) unsquared."""
         model, which, scale = self.model, self.which, self.scale

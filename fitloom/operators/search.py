@@ -155,6 +155,7 @@ class Setup:
     lo: np.ndarray
     hi: np.ndarray
     block: tuple | None = None
+    local_rows: int = normal.LOCAL_ROWS
 
     def costs(self, thetas: np.ndarray, which="linear", scale: float = 1.0) -> np.ndarray:
         """Costs of a population: here if the points are few, else one job."""
@@ -164,22 +165,22 @@ class Setup:
         return np.where(np.isfinite(c), c, np.inf)
 
 
-def prepared(df, model, x, y, bounds, sigma, nan_policy) -> Setup:
+def prepared(df, model, x, y, bounds, sigma, nan_policy, local_rows: int = normal.LOCAL_ROWS) -> Setup:
     model = named(model)
     pts = frame.points(df, frame.Roles.of(x, y, model.variables, sigma=sigma), nan_policy)
     lo, hi = (np.broadcast_to(np.asarray(b, float), len(model.params)).copy() for b in bounds)
     if not (np.isfinite(lo).all() and np.isfinite(hi).all()):
         raise ValueError("a global search needs finite bounds")
     block = None
-    if pts.limit(normal.LOCAL_ROWS + 1).count() <= normal.LOCAL_ROWS:
-        t = pts.toPandas()
+    t = pts.limit(local_rows + 1).toPandas() if local_rows else None
+    if t is not None and len(t) <= local_rows:
         block = {v: t[f"v_{v}"].to_numpy(float) for v in model.variables}, t["y"].to_numpy(float), t["w"].to_numpy(float)
-    return Setup(model, pts, lo, hi, block)
+    return Setup(model, pts, lo, hi, block, local_rows)
 
 
 def finish(s: Setup, theta: np.ndarray, which, f_scale: float, nfev: int = 0) -> FitResult:
     """Local fit from the best candidate."""
-    problem = normal.Problem(s.pts, s.model, which, f_scale)
+    problem = normal.Problem(s.pts, s.model, which, f_scale, s.local_rows)
     try:
         out = solve.minimise(problem, theta, s.lo, s.hi)
     finally:
@@ -188,30 +189,31 @@ def finish(s: Setup, theta: np.ndarray, which, f_scale: float, nfev: int = 0) ->
     return FitResult(s.model, out.theta, covariance(out.state)[0], out, s.pts)
 
 
-def multi_start(df, model, x, y, bounds, n_starts: int = 20, sampler: str = "lhs", p0=None, keep: int = 3, sigma=None, which="linear", f_scale: float = 1.0, seed: int = 0, nan_policy="raise") -> FitResult:
-    """All starts are costed in one job; the `keep` best are fitted, and the best of those is returned."""
-    s = prepared(df, model, x, y, bounds, sigma, nan_policy)
+def multi_start(df, model, x, y, bounds, n_starts: int = 20, sampler: str = "lhs", p0=None, keep: int | None = None, sigma=None, which="linear", f_scale: float = 1.0, seed: int = 0, nan_policy="raise", local_rows: int = normal.LOCAL_ROWS) -> FitResult:
+    """Every start is fitted and the best fit is returned. The fits advance together, one job a round for all that
+    are still on their way. keep: fit only so many starts, those of least cost; None fits all."""
+    s = prepared(df, model, x, y, bounds, sigma, nan_policy, local_rows)
     thetas = scaled(SAMPLERS[sampler](n_starts, len(s.lo), seed=seed), s.lo, s.hi)
     if p0 is not None:
         thetas = np.vstack([np.clip(p0, s.lo, s.hi), thetas])
-    costs = s.costs(thetas, which, f_scale)
-    best = None
-    for i in np.argsort(costs, kind="stable")[:keep]:
-        if np.isfinite(costs[i]):
-            try:
-                got = finish(s, thetas[i], which, f_scale)
-            except ValueError:
-                continue
-            if best is None or got.outcome.state.cost < best.outcome.state.cost:
-                best = got
-    if best is None:
+    if keep is not None:
+        thetas = thetas[np.argsort(s.costs(thetas, which, f_scale), kind="stable")[:keep]]
+    problem = normal.Problem(s.pts, s.model, which, f_scale, local_rows)
+    try:
+        found = solve.lockstep(problem.population, {i: solve.iterate(t, s.lo, s.hi) for i, t in enumerate(thetas)})
+    finally:
+        problem.close()
+    fitted = [(o.state.cost, i, o) for i, o in found.items() if isinstance(o, solve.Outcome)]
+    if not fitted:
         raise ValueError("the model is finite at no starting point")
-    return best
+    out = min(fitted, key=lambda x: x[:2])[2]
+    out.nfev = sum(o.nfev for *_, o in fitted)
+    return FitResult(s.model, out.theta, covariance(out.state)[0], out, s.pts)
 
 
-def tournament(df, model, x, y, bounds, n_candidates: int = 64, rounds: int = 4, drop: float = 0.5, batches: int = 8, sampler: str = "halton", sigma=None, seed: int = 0, nan_policy="raise") -> tuple:
+def tournament(df, model, x, y, bounds, n_candidates: int = 64, rounds: int = 4, drop: float = 0.5, batches: int = 8, sampler: str = "halton", sigma=None, seed: int = 0, nan_policy="raise", local_rows: int = normal.LOCAL_ROWS) -> tuple:
     """(fit, survivors per round): each round costs the candidates on a further batch of rows and drops the worst."""
-    s = prepared(df, model, x, y, bounds, sigma, nan_policy)
+    s = prepared(df, model, x, y, bounds, sigma, nan_policy, local_rows)
     alive = scaled(SAMPLERS[sampler](n_candidates, len(s.lo), seed=seed), s.lo, s.hi)
     total, history = np.zeros((len(alive), 2)), []
     for r in range(rounds):
@@ -268,10 +270,10 @@ class CMA:
 PRESETS = {"fast": (60, 0), "default": (120, 2), "global": (200, 9)}
 
 
-def cma_es(df, model, x, y, bounds, p0=None, preset: str = "default", size: int | None = None, tol_x: float = 1e-8, tol_f: float = 1e-12, sigma=None, seed: int = 0, refine: bool = True, nan_policy="raise") -> FitResult:
+def cma_es(df, model, x, y, bounds, p0=None, preset: str = "default", size: int | None = None, tol_x: float = 1e-8, tol_f: float = 1e-12, sigma=None, seed: int = 0, refine: bool = True, nan_policy="raise", local_rows: int = normal.LOCAL_ROWS) -> FitResult:
     """CMA-ES over the logits of bounded parameters, one job a generation, restarted with alternately doubled
     and small populations; the best point is refined by the local solver."""
-    s = prepared(df, model, x, y, bounds, sigma, nan_policy)
+    s = prepared(df, model, x, y, bounds, sigma, nan_policy, local_rows)
     generations, restarts = PRESETS[preset]
     rng, k = np.random.default_rng(seed), len(s.lo)
     base = size or 4 + int(3 * math.log(k))
@@ -304,7 +306,7 @@ def cma_es(df, model, x, y, bounds, p0=None, preset: str = "default", size: int
             return finish(s, best, "linear", 1.0, nfev)
         except ValueError:
             pass
-    state = normal.Problem(s.pts, s.model)(best)
+    state = normal.Problem(s.pts, s.model, local_rows=local_rows)(best)
     out = solve.Outcome(best, state, 0, nfev, 0, float(np.abs(state.g).max()))
     return FitResult(s.model, best, np.diag(np.full(k, math.inf)), out, s.pts)
 

@@ -97,16 +97,23 @@ def shortened(theta: np.ndarray, s: np.ndarray, lo: np.ndarray, hi: np.ndarray)
     return float(min(1.0, np.nanmin(t, initial=np.inf)))
 
 
-def solved(problem, state) -> Outcome:
-    """For residuals linear in the parameters: the normal equations' solution, and once more for what rounding left."""
+def linear_solution(state) -> np.ndarray:
+    """Minimum of the quadratic that a State describes, by the eigenvalues of the scaled J'J."""
+    k = len(state.theta)
+    d = np.sqrt(np.maximum(np.diag(state.a), 0))
+    d = np.where(d > 0, d, 1.0)
+    lam, q = np.linalg.eigh(state.a / np.outer(d, d))
+    keep = lam > np.finfo(float).eps * k * max(lam[-1], 0)
+    return state.theta - (q[:, keep] / lam[keep]) @ (q[:, keep].T @ (state.g / d)) / d
+
+
+def solved(state):
+    """Generator, like iterate(). For residuals linear in the parameters: the normal equations' solution, and once
+    more for what rounding left."""
     note = lambda i: {"iteration": i, "cost": state.cost, "g_norm": float(np.abs(state.g).max()), "theta": state.theta.copy()}
-    history, k = [note(0)], len(state.theta)
+    history = [note(0)]
     for i in (1, 2):
-        d = np.sqrt(np.maximum(np.diag(state.a), 0))
-        d = np.where(d > 0, d, 1.0)
-        lam, q = np.linalg.eigh(state.a / np.outer(d, d))
-        keep = lam > np.finfo(float).eps * k * max(lam[-1], 0)
-        trial = problem(state.theta - (q[:, keep] / lam[keep]) @ (q[:, keep].T @ (state.g / d)) / d)
+        trial = yield linear_solution(state)
         if not trial.usable or trial.cost > state.cost:
             break
         state = trial
@@ -116,6 +123,34 @@ def solved(problem, state) -> Outcome:
 
 def minimise(problem, theta, lo=None, hi=None, ftol=1e-10, xtol=1e-10, gtol=1e-10, max_nfev: int | None = None, callback=None, linear: bool = False) -> Outcome:
     """Fit from theta. callback(iteration, cost, theta, info) may raise Stop. linear: the residuals are linear in theta."""
+    solver = iterate(theta, lo, hi, ftol, xtol, gtol, max_nfev, callback, linear)
+    ask = next(solver)
+    while True:
+        try:
+            ask = solver.send(problem(ask))
+        except StopIteration as end:
+            return end.value
+
+
+def lockstep(answer, solvers: dict) -> dict:
+    """key -> Outcome, or the ValueError it ended with. Solvers go on together: answer({key: theta}) gives all States
+    that one round asks for, whatever the number of keys."""
+    asks, out = {key: next(s) for key, s in solvers.items()}, {}
+    while asks:
+        states, new = answer(asks), {}
+        for key in asks:
+            try:
+                new[key] = solvers[key].send(states[key])
+            except StopIteration as end:
+                out[key] = end.value
+            except (ValueError, np.linalg.LinAlgError) as e:
+                out[key] = e
+        asks = new
+    return out
+
+
+def iterate(theta, lo=None, hi=None, ftol=1e-10, xtol=1e-10, gtol=1e-10, max_nfev: int | None = None, callback=None, linear: bool = False):
+    """Generator of one fit: yields the theta it needs the State of, takes it by send(), returns an Outcome."""
     theta = np.asarray(theta, float)
     k = len(theta)
     lo = np.full(k, -np.inf) if lo is None else np.asarray(lo, float)
@@ -124,11 +159,11 @@ def minimise(problem, theta, lo=None, hi=None, ftol=1e-10, xtol=1e-10, gtol=1e-1
         raise ValueError("every lower bound must lie below its upper bound")
     bounded = bool(np.isfinite(lo).any() or np.isfinite(hi).any())
     theta = inside(theta, lo, hi) if bounded else theta
-    state = problem(theta)
+    state = yield theta
     if not state.usable:
         raise ValueError("the model is not finite at the starting values")
     if linear and not bounded and callback is None:
-        return solved(problem, state)
+        return (yield from solved(state))
     nfev, nit, status, history = 1, 0, None, []
     limit = max_nfev or 100 * k
     norms = np.zeros(k)
@@ -168,7 +203,7 @@ def minimise(problem, theta, lo=None, hi=None, ftol=1e-10, xtol=1e-10, gtol=1e-1
                     s, step, t = cauchy, d * cauchy, tc
             s, step = t * s, t * step
             predicted = -(g @ s + s @ a @ s / 2)
-            trial = problem(inside(theta + step, lo, hi) if bounded else theta + step)
+            trial = yield (inside(theta + step, lo, hi) if bounded else theta + step)
             nfev += 1
             if not trial.usable:
                 radius = 0.25 * np.linalg.norm(s)

@@ -11,6 +11,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import expr as E
@@ -149,6 +150,38 @@ def start_polynomial(degree: int):
     return rule
 
 
+def turns(df: DataFrame, centre: float = 0.0) -> DataFrame:
+    """x, y - centre, whether the row is a peak of |y - centre|, and where y crosses the centre before the next row
+    (null where it doesn't). A curve's rows are ordered by one window: it is for starting rules on short series."""
+    w = W.orderBy("x", "ord")
+    c = df.select("x", "ord", (F.col("y") - centre).alias("y"))
+    a = F.abs("y")
+    peak = (a > F.lag(a).over(w)) & (a > F.lead(a).over(w))
+    nx, ny = F.lead("x").over(w), F.lead("y").over(w)
+    cross = F.when(F.col("y") * ny < 0, F.col("x") - F.col("y") * (nx - F.col("x")) / (ny - F.col("y")))
+    return c.select("x", "y", F.coalesce(peak, F.lit(False)).alias("peak"), cross.alias("crossing"))
+
+
+def start_oscillation(df, bins: int = 2000):
+    """Amplitude from the largest |y|, decay from the peaks' logarithms, frequency from the mean distance of zero
+    crossings, phase from the first value; around the mean of y. Longer series are averaged in `bins` first."""
+    s = summary(df)
+    span = s["x1"] - s["x0"]
+    if s["n"] > bins and span > 0:
+        i = F.least(F.floor((F.col("x") - s["x0"]) / (span / bins)), F.lit(bins - 1))
+        df = df.groupBy(i.alias("ord")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    t = turns(df, s["ym"]).agg(
+        F.max(F.abs("y")).alias("top"), F.count(F.when(F.col("peak") & (F.col("y") != 0), 1)).alias("peaks"),
+        F.regr_slope(F.when(F.col("peak") & (F.col("y") != 0), F.log(F.abs("y"))), F.col("x")).alias("slope"),
+        F.count("crossing").alias("n"), F.min("crossing").alias("c0"), F.max("crossing").alias("c1"), F.min_by("y", "x").alias("first"),
+    ).first()
+    size = t.top or 1.0
+    decay = max(-t.slope, 0.01) if t.peaks >= 2 and t.slope is not None else 1 / span if span > 0 else 0.1
+    gap = (t.c1 - t.c0) / (t.n - 1) if t.n >= 2 else 0.0
+    omega = math.pi / gap if gap > 0 else 2 * math.pi / span if span > 0 else 1.0
+    return [size, decay, omega, math.acos(max(-1.0, min(1.0, t.first / size))) - omega * s["x0"], s["ym"]]
+
+
 def _m(name, text, params, **more) -> Model:
     return formula(text, tuple(params.split()), name=name, **more)
 
@@ -175,7 +208,7 @@ MODELS = {
         _m("power_law", "a*x^b", "a b", start=start_power, bounds={"a": POSITIVE}),
         polynomial(2),
         polynomial(3),
-        _m("damped_oscillator", "A*exp(-g*x)*cos(w*x + phi) + c", "A g w phi c"),
+        _m("damped_oscillator", "A*exp(-g*x)*cos(w*x + phi) + c", "A g w phi c", start=start_oscillation),
         _m("gaussian_peak", "amp*exp(-(x - mu)^2/(2*sigma^2)) + base", "amp mu sigma base"),
         _m("lorentzian_peak", "amp*gamma^2/((x - x0)^2 + gamma^2) + base", "amp x0 gamma base"),
         _m("pseudo_voigt", "amp*(eta/(1 + ((x - x0)/(w/2))^2) + (1 - eta)*exp(-4*log(2)*((x - x0)/w)^2)) + base", "amp x0 w eta base", bounds={"eta": (0.0, 1.0)}),
@@ -200,6 +233,26 @@ MODELS = {
 }
 
 
+def safe_log(e: E.Expr, floor: float = 1e-10) -> E.Expr:
+    """log of e, or of floor where e is less."""
+    return E.log(E.make("max", e, E.const(floor)))
+
+
+def safe_sqrt(e: E.Expr, floor: float = 0.0) -> E.Expr:
+    """Square root of e, or of floor where e is less."""
+    return E.sqrt(E.make("max", e, E.const(floor)))
+
+
+def safe_exp(e: E.Expr, most: float = 700.0) -> E.Expr:
+    """exp of e kept within +-most, so that it stays finite."""
+    return E.exp(E.clip(e, E.const(-most), E.const(most)))
+
+
+def safe_power(base: E.Expr, exponent: E.Expr, floor: float = 1e-10) -> E.Expr:
+    """|base| (floor at least) to the exponent."""
+    return E.make("^", E.make("max", E.abs_(base), E.const(floor)), exponent)
+
+
 def safe_divide(a: E.Expr, b: E.Expr, eps: float = 1e-10) -> E.Expr:
     """a / b with denominators nearer to 0 than eps replaced by eps."""
     return a / E.where(E.abs_(b) < E.const(eps), E.const(eps), b)

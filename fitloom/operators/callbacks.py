@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import sys
 import time
 
@@ -17,19 +18,52 @@ class Chain:
             c(*a)
 
 
+def stopped_at(costs: list, patience: int, min_delta: float) -> int | None:
+    """Place of the cost at which a history stops: the first after which `patience` finite costs in a row did not fall
+    by more than min_delta below the best that had."""
+    best = last = None
+    for i, c in enumerate(costs):
+        if not math.isfinite(c):
+            continue
+        if best is None or c < best - min_delta:
+            best, last = c, 0
+        else:
+            last += 1
+            if last >= patience:
+                return i
+    return None
+
+
 class EarlyStopping:
-    """Stops after `patience` iterations without an improvement of min_delta."""
+    """Ends a fit whose costs, as far as they are finite, no longer improve; see stopped_at()."""
 
     def __init__(self, patience: int = 10, min_delta: float = 1e-6):
-        self.patience, self.min_delta, self.best, self.wait = patience, min_delta, float("inf"), 0
+        self.patience, self.min_delta, self.costs = patience, min_delta, []
 
     def __call__(self, iteration, cost, theta, info):
-        if cost < self.best - self.min_delta:
-            self.best, self.wait = cost, 0
-        else:
-            self.wait += 1
-            if self.wait >= self.patience:
-                raise Stop
+        self.costs.append(float(cost))
+        if stopped_at(self.costs, self.patience, self.min_delta) is not None:
+            raise Stop
+
+
+class Telemetry:
+    """Counts of events by name and the costs at which they came, for reports of hybrid fits and searches."""
+
+    def __init__(self):
+        self.events: list = []
+
+    def record(self, name: str, **values) -> None:
+        self.events.append((name, values))
+
+    def __call__(self, iteration, cost, theta, info):
+        self.record("iteration", iteration=iteration, cost=float(cost), g_norm=float(info.get("g_norm", math.nan)))
+
+    def summary(self) -> dict:
+        """count by name, and of iterations the first and last cost and the share of steps that lowered it."""
+        names = [n for n, _ in self.events]
+        costs = [v["cost"] for n, v in self.events if n == "iteration"]
+        down = [b < a for a, b in zip(costs, costs[1:])]
+        return {"counts": {n: names.count(n) for n in dict.fromkeys(names)}, "first": costs[0] if costs else None, "last": costs[-1] if costs else None, "falling": sum(down) / len(down) if down else None}
 
 
 class IterationLog:

@@ -140,6 +140,38 @@ def gradient_health(norms: list, costs: list, gradients: np.ndarray | None = Non
     return {"score": max(score, 0.0), "issues": issues}
 
 
+def early_stops(history: DataFrame, patience: int, min_delta: float = 0.0, by: list | None = None, order: str = "iteration", cost: str = "cost") -> DataFrame:
+    """by, stop: the place in order at which each history would end by callbacks.stopped_at(), null if it would not.
+
+    One pass over each history's array; histories are short."""
+    costs = F.transform(F.array_sort(F.collect_list(F.struct(order, cost))), lambda x: F.struct(x[order].cast("long").alias("i"), x[cost].cast("double").alias("c")))
+    start = F.struct(F.lit(None).cast("double").alias("best"), F.lit(0).alias("wait"), F.lit(None).cast("long").alias("stop"))
+
+    def step(acc, x):
+        better = acc["best"].isNull() | (x["c"] < acc["best"] - min_delta)
+        wait = F.when(better, F.lit(0)).otherwise(acc["wait"] + 1)
+        skip = x["c"].isNull() | F.isnan(x["c"]) | (F.abs(x["c"]) == float("inf")) | acc["stop"].isNotNull()
+        new = F.struct(F.when(better, x["c"]).otherwise(acc["best"]).alias("best"), wait.alias("wait"), F.when(wait >= patience, x["i"]).alias("stop"))
+        return F.when(skip, acc).otherwise(new)
+
+    return history.groupBy(*(by or [])).agg(costs.alias("_h")).select(*(by or []), F.aggregate("_h", start, step, lambda acc: acc["stop"]).alias("stop"))
+
+
+def gradient_flags(history: DataFrame, by: list | None = None, order: str = "iteration", norm: str = "g_norm", cost: str = "cost") -> DataFrame:
+    """Per history of gradient norms and costs: n, vanishing (the last ten norms under 1e-6 of the first at a cost
+    that is not 0) and stagnant (their spread under 1 % of their mean)."""
+    by = by or []
+    keys = by or [F.lit(1)]
+    late = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(order))) <= 10
+    h = history.withColumn("_late", late)
+    n, c = F.when(F.col("_late"), F.col(norm)), F.when(F.col("_late"), F.col(cost))
+    return h.groupBy(*by).agg(
+        F.count("*").alias("n"),
+        ((F.avg(n) < 1e-6 * F.min_by(norm, order)) & (F.avg(c) > 1e-10) & (F.count("*") >= 5)).alias("vanishing"),
+        ((F.stddev_pop(n) < 0.01 * F.avg(n)) & (F.count("*") >= 5)).alias("stagnant"),
+    )
+
+
 PLUGINS: dict = {}
 
 

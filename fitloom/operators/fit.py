@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,6 +43,17 @@ class FitResult:
     def __iter__(self):
         return iter((self.popt, self.pcov))
 
+    def full(self) -> tuple:
+        """(popt, pcov, info, message, status): info holds nfev, the cost and the points with their residuals."""
+        o = self.outcome
+        info = {"nfev": o.nfev, "nit": o.nit, "cost": o.state.cost, "gradient": o.state.g, "fvec": self.points.withColumn("residual", normal.residual_column(self.model, self.popt))}
+        return self.popt, self.pcov, info, o.message, o.status
+
+    def evaluated(self) -> tuple:
+        """(popt, pcov, points with y_hat and residual)."""
+        f = self.model.column(self.popt, normal.columns(self.model))
+        return self.popt, self.pcov, self.points.withColumn("y_hat", f).withColumn("residual", F.col("y") - F.col("y_hat"))
+
     @property
     def params(self) -> dict:
         return dict(zip(self.model.params, self.popt.tolist()))
@@ -177,7 +189,24 @@ def curve_fit(
     callback=None,
     local_rows: int = normal.LOCAL_ROWS,
     auto_bounds: bool = False,
-) -> FitResult:
+    full_output: bool = False,
+    return_eval: bool = False,
+    timeit: bool = False,
+):
+    """A FitResult, or with full_output its full(), with return_eval its evaluated(); timeit adds the seconds the
+    fit took as the last of those. Other options as in fitted()."""
+    began = time.perf_counter()
+    found = fitted(df, model, x, y, sigma, p0, bounds, loss, f_scale, absolute_sigma, nan_policy, mask, order, ftol, xtol, gtol, max_nfev, callback, local_rows, auto_bounds)
+    if not (full_output or return_eval or timeit):
+        return found
+    out = found.full() if full_output else found.evaluated() if return_eval else tuple(found)
+    return (*out, time.perf_counter() - began) if timeit else out
+
+
+def fitted(
+    df: DataFrame, model, x, y: str, sigma=None, p0=None, bounds=None, loss="linear", f_scale: float = 1.0, absolute_sigma: bool = False, nan_policy: str = "raise", mask=None, order=None,
+    ftol: float = 1e-10, xtol: float = 1e-10, gtol: float = 1e-10, max_nfev=None, callback=None, local_rows: int = normal.LOCAL_ROWS, auto_bounds: bool = False,
+) -> FitResult:
     """Fit `model` (a Model, a numeric model, a registered name or a formula) to columns of df.
 
     bounds: (lower, upper) numbers or vectors; default the model's own; auto_bounds puts bounds inferred

@@ -81,21 +81,77 @@ def describe(df: DataFrame, columns: list) -> DataFrame:
     return df.agg(F.array(*stats).alias("s")).select(F.inline("s"))
 
 
+def quantiles(df: DataFrame, value: Column, shares: list, collect: int = 10_000) -> list:
+    """Exact interpolated quantiles of the finite values, by histograms that close in on the ranks they need: each
+    pass counts 1,024 cells of the interval that holds a rank and keeps that cell, until it holds one value
+    or at most `collect` rows, which are fetched. No task orders or keeps all distinct values.
+    """
+    rows = df.select(value.cast("double").alias("v")).filter(finite(F.col("v")))
+    lo, hi, n = rows.agg(F.min("v"), F.max("v"), F.count("*")).first()
+    if not n:
+        return [None] * len(shares)
+    known: dict = {}
+
+    def at(rank: int) -> float:
+        """The value of rank `rank` from 0."""
+        if rank in known:
+            return known[rank]
+        a, b, before, inside = lo, hi, 0, n
+        while a < b and inside > collect:
+            cell = F.least(F.floor((F.col("v") - a) / ((b - a) / 1024)), F.lit(1023))
+            cells = rows.filter((F.col("v") >= a) & (F.col("v") <= b)).groupBy(cell.alias("c")).agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).collect()
+            for c in sorted(cells, key=lambda c: c.a):
+                if rank < before + c.n:
+                    if (c.a, c.b) == (a, b):  # cells can't be told apart any more
+                        return known.setdefault(rank, a)
+                    a, b, inside = c.a, c.b, c.n
+                    break
+                before += c.n
+        if a == b:
+            return known.setdefault(rank, a)
+        for i, r in enumerate(sorted(x.v for x in rows.filter((F.col("v") >= a) & (F.col("v") <= b)).collect())):
+            known[before + i] = r
+        return known[rank]
+
+    out = []
+    for q in shares:
+        h = (n - 1) * q
+        low, high = at(int(h)), at(min(n - 1, int(h) + 1))
+        out.append(low + (high - low) * (h - int(h)))
+    return out
+
+
+def ranked_rows(df: DataFrame, order: list) -> DataFrame:
+    """df with `_rank` (from 0) by `order`: rows are numbered inside range partitions, and each partition from the
+    sum of the counts before it (a row per partition). Rows are kept on disk between the two looks."""
+    from pyspark import StorageLevel
+
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
+    part = F.shiftrightunsigned("_id", 33)
+    total, bases = 0, []
+    for r in dealt.groupBy(part.alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect():
+        bases.append((r.p, total))
+        total += r.n
+    table = df.sparkSession.createDataFrame(bases, "_p long, _base long")
+    place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return dealt.join(F.broadcast(table), part == F.col("_p")).withColumn("_rank", F.col("_base") + place).drop("_id", "_p", "_base")
+
+
 def iqr_outliers(df: DataFrame, column: str, k: float = 3.0) -> DataFrame:
     """Rows outside [q1 - k iqr, q3 + k iqr]; exact interpolated quartiles."""
-    q = df.agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.75))).alias("q")).select(F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3")).first()
-    if q.q1 is None:
+    q1, q3 = quantiles(df, F.col(column), [0.25, 0.75])
+    if q1 is None:
         return df.limit(0)
-    iqr = q.q3 - q.q1
-    return df.filter((F.col(column) < q.q1 - k * iqr) | (F.col(column) > q.q3 + k * iqr))
+    iqr = q3 - q1
+    return df.filter((F.col(column) < q1 - k * iqr) | (F.col(column) > q3 + k * iqr))
 
 
 def mad_outliers(df: DataFrame, column: str, k: float = 5.0) -> DataFrame:
     """Rows further than k robust deviations (1.4826 MAD) from the median; none if that is 0."""
-    m = df.agg(F.median(column)).first()[0]
+    (m,) = quantiles(df, F.col(column), [0.5])
     if m is None:
         return df.limit(0)
-    s = 1.4826 * df.agg(F.median(F.abs(F.col(column) - m))).first()[0]
+    s = 1.4826 * quantiles(df, F.abs(F.col(column) - m), [0.5])[0]
     return df.filter(F.abs(F.col(column) - m) > k * s) if s > 2.3e-16 else df.limit(0)
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import frame
+
 
 def generic_start(s: dict, k: int) -> list:
     """By position: range of y, 1 / range of x, mean of y, mean of x, then ones. s: fitloom.functions.models.summary."""
@@ -59,36 +61,46 @@ class Normalizer:
 
 
 def analyse(df: DataFrame, x: str, y: str, k: int = 3) -> dict:
-    """n, ratio to parameters, share of outliers, signal to noise, spacing and size class.
+    """n, ratio to parameters, share of outliers, signal to noise, spacing, its uniformity and size class.
 
-    Order-dependent figures use range-sorted neighbours: each range partition orders its own rows, so no
-    task holds all of them; the few pairs across partitions are left out of the averages.
+    Noise and spacing are of neighbours by x; all pairs count, whatever the number of partitions.
     """
-    q = df.agg(F.count("*").alias("n"), F.percentile(y, F.array(F.lit(0.25), F.lit(0.75))).alias("q"), (F.max(y) - F.min(y)).alias("range")).first()
-    if not q.n:
+    p = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    n, span = p.agg(F.count("*"), F.max("y") - F.min("y")).first()
+    if not n:
         return {"n": 0}
-    iqr = q.q[1] - q.q[0]
-    near = neighbours(df, x, y)
-    r = near.agg(
-        F.avg(F.when((F.col("y") < q.q[0] - 3 * iqr) | (F.col("y") > q.q[1] + 3 * iqr), 1.0).otherwise(0.0)).alias("outliers"),
-        F.median(F.abs("dy")).alias("noise"), F.stddev_pop("dx").alias("sd"), F.avg("dx").alias("mean"),
-    ).first()
-    n = q.n
+    q1, q3 = frame.quantiles(p, F.col("y"), [0.25, 0.75])
+    iqr = q3 - q1
+    near = neighbours(p, "x", "y")
+    outliers = p.agg(F.avg(F.when((F.col("y") < q1 - 3 * iqr) | (F.col("y") > q3 + 3 * iqr), 1.0).otherwise(0.0))).first()[0]
+    sd, mean = near.agg(F.stddev_pop("dx"), F.avg("dx")).first()
+    (noise,) = frame.quantiles(near, F.abs("dy"), [0.5])
     return {
         "n": n,
         "ratio": n / k,
-        "outlier_share": r.outliers,
-        "snr": q.range / r.noise if r.noise else math.inf,
-        "uniform": bool(r["mean"]) and r.sd / r["mean"] < 0.01,
+        "outlier_share": outliers,
+        "snr": span / noise if noise else math.inf,
+        "spacing": mean,
+        "spacing_spread": sd / mean if mean else None,
+        "uniform": bool(mean) and sd / mean < 0.01,
         "size": "small" if n <= 100 else "medium" if n < 10_000 else "large" if n < 1_000_000 else "very_large",
     }
 
 
-def neighbours(df: DataFrame, x: str, y: str) -> DataFrame:
-    """y with differences dx and dy to the row before, inside range partitions of x."""
-    p = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).repartitionByRange("x", "y").withColumn("_p", F.spark_partition_id())
-    w = W.partitionBy("_p").orderBy("x", "y")
-    return p.select("y", (F.col("x") - F.lag("x").over(w)).alias("dx"), (F.col("y") - F.lag("y").over(w)).alias("dy"))
+def neighbours(df: DataFrame, x: str, y: str, buckets: int = 200) -> DataFrame:
+    """dx and dy of each row to the row before it by (x, y).
+
+    Rows are ordered inside buckets of x between approximate quantiles (fixed numbers, so that every look at
+    the plan cuts alike); the pairs across buckets come from the buckets' first and last rows.
+    """
+    p = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    edges = p.agg(F.percentile_approx("x", [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
+    p = p.withColumn("_b", sum(((F.col("x") > e).cast("int") for e in sorted(set(edges))), F.lit(0)))
+    w = W.partitionBy("_b").orderBy("x", "y")
+    inner = p.select((F.col("x") - F.lag("x").over(w)).alias("dx"), (F.col("y") - F.lag("y").over(w)).alias("dy")).filter("dx is not null")
+    ends = p.groupBy("_b").agg(F.min(F.struct("x", "y")).alias("a"), F.max(F.struct("x", "y")).alias("z")).orderBy("_b").collect()  # a row per bucket
+    across = [(n.a.x - m.z.x, n.a.y - m.z.y) for m, n in zip(ends, ends[1:])]
+    return inner.unionByName(df.sparkSession.createDataFrame(across, "dx double, dy double"))
 
 
 def tolerance(n: int, quality: str = "balanced") -> float:

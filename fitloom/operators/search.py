@@ -228,6 +228,22 @@ def tournament(df, model, x, y, bounds, n_candidates: int = 64, rounds: int = 4,
     return finish(s, alive[int(np.argmin(costs))], "linear", 1.0), history
 
 
+def tournament_rounds(pts: DataFrame, model, thetas: np.ndarray, batch, rounds: int, drop: float = 0.5) -> list:
+    """[(round, candidate, mean cost)] of the candidates that survive each round.
+
+    Round r adds the costs of the rows for which `batch`, a column, is r, and keeps all but the share `drop` of
+    the highest means (at least one); ties go to the earlier candidate. Each round is one job."""
+    model, alive = named(model), np.arange(len(thetas))
+    total, out = np.zeros((len(thetas), 2)), []
+    for r in range(rounds):
+        total[alive] += population_costs(pts.filter(batch == r), model, np.asarray(thetas, float)[alive])
+        mean = np.where(np.isfinite(total[alive, 0]), total[alive, 0] / np.maximum(total[alive, 1], 1), np.inf)
+        keep = np.argsort(mean, kind="stable")[: max(1, len(alive) - math.floor(drop * len(alive)))]
+        out += [(r + 1, int(alive[i]), float(mean[i])) for i in keep]
+        alive = np.sort(alive[keep])
+    return out
+
+
 class CMA:
     """Covariance matrix adaptation: ask for a population, tell its costs."""
 

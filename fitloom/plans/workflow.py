@@ -75,3 +75,11 @@ def run_batch(spark: SparkSession, jobs: list, p0) -> DataFrame:
     for p in parts[1:]:
         all_ = all_.unionByName(p)
     return fit_by_key(all_, model_of(jobs[0]["model"], tuple(x)), x, y, ["dataset_id"], p0, sigma=sigma)
+
+
+def batch_summary(fits: DataFrame) -> dict:
+    """total, succeeded, failed and errors (message: how often) of run_batch(), from one aggregate by error."""
+    rows = fits.groupBy("success", "error").agg(F.count("*").alias("n")).collect()
+    good = sum(r.n for r in rows if r.success)
+    total = sum(r.n for r in rows)
+    return {"total": total, "succeeded": good, "failed": total - good, "errors": {r.error or "not converged": r.n for r in rows if not r.success}}

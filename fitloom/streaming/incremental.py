@@ -44,6 +44,15 @@ class Incremental:
         d = np.sqrt(np.maximum(np.diag(self.a), 1e-300))
         return self.theta - np.linalg.solve(self.a / np.outer(d, d), self.g / d) / d
 
+    def covariance(self, absolute: bool = False) -> np.ndarray:
+        """Covariance of solve(): (J'J)^-1, times SSR / (n - k) at the solution unless sigma is absolute."""
+        step = self.solve() - self.theta
+        ssr = self.ssr + 2 * self.g @ step + step @ self.a @ step
+        k = len(self.theta)
+        if self.n <= k and not absolute:
+            return np.full((k, k), np.inf)
+        return np.linalg.pinv(self.a, hermitian=True) * (1.0 if absolute else max(ssr, 0.0) / (self.n - k))
+
     def state(self) -> str:
         return json.dumps({"theta": self.theta.tolist(), "a": self.a.tolist(), "g": self.g.tolist(), "ssr": self.ssr, "n": self.n, "seen": self.seen})
 

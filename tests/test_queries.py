@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from fitloom.plans import catalogue
+from fitloom.plans import catalogue, catalogue_more  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()

@@ -228,7 +228,8 @@ def superstep(todo: DataFrame, gaps: DataFrame, rows: int, rows_a_task: int = RO
     spark = todo.sparkSession
     both = todo.select("id", "length", F.lit(False).alias("gap")).unionByName(gaps.select(F.col("seq").alias("id"), F.col("size").cast("int").alias("length"), F.lit(True).alias("gap")))
     order = [F.desc("length"), F.desc("gap"), F.asc("id")]
-    dealt = both.repartitionByRange(max(1, -(-rows // rows_a_task)), *order).sortWithinPartitions(*order)
+    parts = -(-rows // rows_a_task)
+    dealt = (both.repartitionByRange(parts, *order) if parts > 1 else both.coalesce(1)).sortWithinPartitions(*order)
     swept = stage(dealt.mapInArrow(sweep, SWEPT), "pack-sweep")
     is_ = lambda w: F.col("what") == w
     tally = swept.filter(is_(TALLY)).select("part", F.col("id").alias("placed"), F.col("rank").alias("pieces"), F.col("seq").alias("gaps"), F.col("before").alias("length"))
@@ -291,10 +292,12 @@ def assigned(items: DataFrame, capacity: int = CAPACITY, rows_a_task: int = ROWS
         todo = items.filter(inside(hi, lo)).select(F.col(ROW).alias("id"), F.col("length").cast("int").alias("length"))
         scratch = []
         for step in range(SUPERSTEPS):
-            small = big = 0
+            small = big = every = 0
             if gaps is not None:
                 able = (F.col("size") > lo) & (F.lit(step == 0) | F.col("new"))  # others were left by the step before
-                small, big = gaps.agg(F.count(F.when(able & (F.col("size") < 2 * hi), 1)), F.count(F.when(able & (F.col("size") >= 2 * hi), 1))).first()
+                small, big, every = gaps.agg(F.count(F.when(able & (F.col("size") < 2 * hi), 1)), F.count(F.when(able & (F.col("size") >= 2 * hi), 1)), F.count("*")).first()
+            few = every + n <= rows_a_task  # a step that fits a task needs no shuffle
+            whole = (lambda df: df.coalesce(1)) if few else (lambda df: df)
             places, again = [], False
             if small + big or step == 0:
                 offered = empty_gaps(spark)
@@ -310,11 +313,11 @@ def assigned(items: DataFrame, capacity: int = CAPACITY, rows_a_task: int = ROWS
                 first += n // (capacity // hi) + 1 if capacity // hi < 8 else length // (capacity - hi + 1) + 1
             done = stage(reduce(DataFrame.unionByName, places), "pack-places")
             parts.append(done)
-            took = done.groupBy("seq").agg(F.sum("length").alias("took"))
+            took = whole(done).groupBy("seq").agg(F.sum("length").alias("took"))
             if gaps is None:
                 new = took.select("seq", (capacity - F.col("took")).alias("size"), F.lit(True).alias("new"))
             else:
-                new = gaps.join(took, "seq", "full").select("seq", (F.coalesce("size", F.lit(capacity)) - F.coalesce("took", F.lit(0))).alias("size"), F.col("took").isNotNull().alias("new"))
+                new = whole(gaps).join(took, "seq", "full").select("seq", (F.coalesce("size", F.lit(capacity)) - F.coalesce("took", F.lit(0))).alias("size"), F.col("took").isNotNull().alias("new"))
             old, gaps = gaps, stage(new.filter("size > 0"), "pack-gaps")
             if old is not None:
                 unstage(old)

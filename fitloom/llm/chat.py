@@ -106,6 +106,7 @@ def read_back(rows: DataFrame, path: str) -> DataFrame:
             for conv, ids, mask in zip(batch.column("conv_id").to_pylist(), batch.column("ids"), batch.column("mask")):
                 ids, mask = ids.values.to_numpy(), mask.values.to_numpy(zero_copy_only=False)
                 if state is None or conv != at:
+                    own[:] = [batch.column("conv_id").type]
                     if state is not None:
                         rows.append(done())
                     at, state = conv, [0, hashlib.sha256(), hashlib.sha256(), 0, 0]
@@ -127,9 +128,11 @@ def read_back(rows: DataFrame, path: str) -> DataFrame:
         if rows:
             yield batch_of(rows)
 
+    own: list = []  # the Arrow type of conv_id, whichever it is
+
     def batch_of(rows):
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-        kinds = [pa.int32() if kind == "int" else pa.int64() if kind == "bigint" else pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        kinds = [own[0], pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     dealt = rows.repartition(partitions(rows.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "ids")

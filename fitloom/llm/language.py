@@ -531,7 +531,7 @@ def scored(rows: DataFrame, layout: Layout, p: dict, counts: DataFrame) -> DataF
     )
 
 
-def score_documents(docs: DataFrame, folds: int = 10) -> DataFrame:
+def score_documents(docs: DataFrame, folds: int = 10, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row.
 
     A null or empty text has one token, the end. A very long text is scored from its first word to its end,
@@ -542,7 +542,7 @@ def score_documents(docs: DataFrame, folds: int = 10) -> DataFrame:
     counts = stage(corpus_counts(docs.filter(~held_out(folds))), "lm-counts")
     layout = layout_of(counts)
     rows = stage(encoded(docs, layout), "lm-rows")
-    p = train(rows.filter(~held_out(folds)), layout)
+    p = train(rows.filter(~held_out(folds)), layout, rounds)
     out = scored(rows, layout, p, counts)
     return out.select("doc_id", held_out(folds).alias("held_out"), "n_tokens", "n_known", F.lit(layout.total).cast("long").alias("train_tokens"), "base_score", "score")
 

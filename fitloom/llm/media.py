@@ -8,12 +8,15 @@ type, the others are carved out. write_samples/read_samples store bytes as 8-bit
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -155,19 +158,41 @@ def _au(b: bytes, at: int):
     return at + start + size if start >= 24 and 1 <= kind <= 27 and rate and channels and at + start + size <= len(b) else None
 
 
-def _pdf(b: bytes, at: int):
-    end = b.find(b"%%EOF", at)
-    return end + 5 if end >= 0 and b.find(b"startxref", at, end) >= 0 else None
+def _marks(b: bytes, mark: bytes, seen: dict) -> list:
+    """Places of a mark, found once per value."""
+    if mark not in seen:
+        seen[mark], at = [], b.find(mark)
+        while at >= 0:
+            seen[mark].append(at)
+            at = b.find(mark, at + 1)
+    return seen[mark]
 
 
-def _zip(b: bytes, at: int):
-    end = b.find(b"PK\x05\x06", at)
-    while 0 <= end <= len(b) - 22:
-        size, offset = struct.unpack_from("<II", b, end + 12)
-        if at + offset + size == end and b[at + offset : at + offset + 4] in (b"PK\x01\x02", b"PK\x05\x06"):
-            return end + 22 + struct.unpack_from("<H", b, end + 20)[0]
-        end = b.find(b"PK\x05\x06", end + 4)
-    return None
+_UPDATE = re.compile(rb"\s*(\d+ \d+ obj\b|xref\b)")
+
+
+def _pdf(b: bytes, at: int, seen: dict):
+    """To the first end mark after a startxref, or the last one if updates follow it."""
+    ends, refs = _marks(b, b"%%EOF", seen), _marks(b, b"startxref", seen)
+    i, r = bisect_left(ends, at), bisect_left(refs, at)
+    if i == len(ends) or r == len(refs) or refs[r] > ends[i]:
+        return None
+    while i + 1 < len(ends) and _UPDATE.match(b, ends[i] + 5) and bisect_left(refs, ends[i + 1]) > bisect_left(refs, ends[i]):
+        i += 1
+    return ends[i] + 5
+
+
+def _zip(b: bytes, at: int, seen: dict):
+    """By its end record, which tells where the archive begins; records are read once per value."""
+    if "zip" not in seen:
+        seen["zip"] = {}
+        for end in _marks(b, b"PK\x05\x06", seen):
+            if end <= len(b) - 22:
+                size, offset = struct.unpack_from("<II", b, end + 12)
+                start = end - offset - size
+                if start >= 0 and b[start + offset : start + offset + 4] in (b"PK\x01\x02", b"PK\x05\x06"):
+                    seen["zip"].setdefault(start, end + 22 + struct.unpack_from("<H", b, end + 20)[0])
+    return seen["zip"].get(at)
 
 
 def _gzip(b: bytes, at: int):
@@ -213,6 +238,9 @@ CHECKS = {
 }
 
 
+MARKED = ("application/pdf", "application/zip")  # whose ends are searched for
+
+
 @lru_cache(maxsize=1)
 def automaton():
     import ahocorasick
@@ -226,11 +254,11 @@ def automaton():
 
 def sniff(value: bytes) -> list:
     """[(type, start, end)]: leftmost confirmed media that don't overlap."""
-    out, free = [], 0
+    out, free, seen = [], 0, {}
     hits = sorted((end - back, kind) for end, (back, kind) in automaton().iter(value.decode("latin-1")))
     for at, kind in hits:
         if at >= free:
-            end = CHECKS[kind](value, at)
+            end = CHECKS[kind](value, at, seen) if kind in MARKED else CHECKS[kind](value, at)
             if end is not None and end > at:
                 out.append((kind, at, end))
                 free = end
@@ -279,23 +307,38 @@ def read_samples(medium: bytes, kind: str) -> bytes:
 STORED = ("image/bmp", "image/png", "audio/wav")
 
 
+_TOGETHER = 8 << 20  # bytes of values that a task holds at once; a longer value is alone
+
+
+def some(column, most: int = _TOGETHER):
+    """(from, to) of values with up to `most` bytes together, 256 at most."""
+    sizes = np.cumsum([0, *(v or 0 for v in pa.compute.binary_length(column).to_pylist())])
+    lo = 0
+    while lo < len(column):
+        hi = max(lo + 1, min(lo + 256, int(np.searchsorted(sizes, sizes[lo] + most, "right")) - 1))
+        yield lo, hi
+        lo = hi
+
+
 def to_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, value, declared: each text's payload as a medium of a kind chosen by its checksum.
 
     The payload is the UTF-8 text (null: empty) and zero bytes up to a positive multiple of 64. The
-    declared type is always STORED[0], so that two thirds of the values need correction.
+    declared type is always STORED[0], so that two thirds of the values need correction. A very long text is
+    stored whole, alone in memory. Repeated rows give equal media; an empty table gives no rows. Extra columns
+    are ignored.
     """
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
+            for lo, hi in some(batch.column("text")):
                 sizes, values = [], []
-                for t in batch.column("text").slice(lo, 256):
+                for t in batch.column("text").slice(lo, hi - lo):
                     data = (t.as_py() or "").encode()
                     sizes.append(len(data))
                     data += bytes(-len(data) % 64 if data else 64)
                     values.append(write_samples(data, STORED[zlib.crc32(data) % len(STORED)]))
-                ids = batch.column("doc_id").slice(lo, 256)
+                ids = batch.column("doc_id").slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(values, pa.binary()), pa.array([STORED[0]] * len(sizes))], ["doc_id", "n_bytes", "value", "declared"])
 
     kind = dict(docs.dtypes)["doc_id"]
@@ -308,14 +351,15 @@ def media_columns(rows: DataFrame, keep: tuple, value: str = "value", declared:
     kind is the type of the first medium if it spans the value, else the declared type if nothing was
     found, else null. With samples, also `medium` (the first medium's bytes) and `payload` (its 8-bit
     samples, read from those bytes; null for kinds without). A null value is empty: no media, the
-    declared type stays. Repeated rows give repeated results; an empty table gives no rows.
+    declared type stays. A very long value is read whole, alone in memory. Repeated rows give repeated
+    results; an empty table gives no rows. Other columns are ignored, also those named like results.
     """
     kinds = dict(rows.dtypes)
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo, hi in some(batch.column(value)):
+                part = batch.slice(lo, hi - lo)
                 out: list = [[] for _ in range(5)]
                 for v, said in zip(part.column(value), part.column(declared).to_pylist()):
                     v = v.as_py() or b""

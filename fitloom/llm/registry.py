@@ -1,5 +1,9 @@
-"""The ten operators' queries, and SQL for those that it can express."""
+"""The ten operators' queries, queries for those of their columns that SQL can express, and that SQL."""
 
+from pyspark.sql import functions as F
+
+from . import language, media, mixing, secrets
+from .common import read
 from .chat import op7_chat
 from .language import op5_language
 from .media import op1_media
@@ -24,7 +28,74 @@ QUERIES = {
     "op10_mixing": op10_mixing,
 }
 
+
+
+def media_payload(spark, sf_dir):
+    """op1's columns that don't depend on the stored form."""
+    return op1_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32")
+
+
+def language_base(spark, sf_dir):
+    """op5's columns that don't depend on the network."""
+    docs = read(spark, sf_dir, "documents")
+    out = language.score_documents(docs, rounds=0)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def secrets_base(spark, sf_dir):
+    """op6's columns that don't depend on the network."""
+    return secrets.digest(secrets.scan(read(spark, sf_dir, "documents"), None, ("doc_id",))).drop("spans")
+
+
+def mixing_targets(spark, sf_dir):
+    """op10's columns that don't depend on the rates."""
+    return mixing.op10_mixing(spark, sf_dir).select("doc_id", "source", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+QUERIES |= {"media_payload": media_payload, "language_base": language_base, "secrets_base": secrets_base, "mixing_targets": mixing_targets}
+
+#: CRC-32 of a list of bytes: its table by the polynomial, then a fold.
+_CRC_TABLE = "crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) AS c FROM range(256) r(i)))"
+_CRC = "xor(list_reduce({bytes}, lambda c, b: xor(c // 256, t[(xor(c, b) % 256) + 1]), 4294967295::BIGINT), 4294967295)"
+_WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
+
+
+def _found(kind: str, pattern: str, keep: str) -> str:
+    """Rows of matches of one kind: their code points come from the lengths of what lies between them."""
+    return rf"""SELECT doc_id, n, '{kind}' AS kind, {"assign access hex".split().index(kind)} AS o, s, s + length(m) AS e FROM (
+  SELECT doc_id, n, m, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0) AS s FROM (
+  SELECT doc_id, n, ms, gaps, unnest(ms) AS m, unnest(range(1, len(ms) + 1)) AS i FROM (
+  SELECT doc_id, n, regexp_extract_all(text, '{pattern}') AS ms, string_split_regex(text, '{pattern}') AS gaps FROM docs))) WHERE {keep}"""
+
+
+_ASSIGN_SQL = r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+"""
+_EIGHT = r"""length(regexp_extract(m, '[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 8"""
+
 ORACLE = {
+    "media_payload": f"""
+WITH {_CRC_TABLE}, d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+ p AS (SELECT doc_id, octet_length(b) AS n, b || repeat('\\x00'::BLOB, CASE WHEN octet_length(b) = 0 THEN 64 ELSE ((64 - octet_length(b) % 64) % 64) END::BIGINT) AS b FROM d),
+ q AS (SELECT doc_id, n, octet_length(b) AS m, sha256(b) AS h, right(hex(b), 128) AS tail FROM p)
+SELECT doc_id, n::BIGINT AS n_bytes, m::BIGINT AS payload_bytes, lower(h) AS payload_sha256,
+ {_CRC.format(bytes="list_transform(range(64), lambda i: ('0x' || substr(tail, (2 * i + 1)::INTEGER, 2))::BIGINT)")} AS tail_crc32 FROM q, crc""",
+    "language_base": f"""
+WITH {_CRC_TABLE}, w AS (SELECT doc_id, {_CRC.format(bytes="list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)")} % 10 = 0 AS held_out,
+  list_append({_WORDS.replace("text", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}, chr(10)) AS ws FROM documents, crc),
+ t AS (SELECT doc_id, held_out, unnest(ws) AS word FROM w), c AS (SELECT word, count(*) AS n FROM t WHERE NOT held_out GROUP BY 1), s AS (SELECT sum(n) AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c.n) AS n_known, any_value(s.n)::BIGINT AS train_tokens,
+ round(sum(log10((coalesce(c.n, 0) + 0.1::DOUBLE) / (s.n + 0.1::DOUBLE * (s.v + 1)))), 4) AS base_score FROM t LEFT JOIN c ON t.word = c.word, s GROUP BY doc_id, held_out""",
+    "secrets_base": rf"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS n, coalesce(text, '') AS text FROM documents), found AS (
+  {_found("assign", _ASSIGN_SQL, _EIGHT)} UNION ALL {_found("access", "AKIA[A-Z0-9]+", "length(m) >= 16")} UNION ALL {_found("hex", "[0-9a-f]+", "length(m) >= 32")})
+SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  sha256(coalesce(string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, o), '')) AS base_sha256 FROM docs d LEFT JOIN found f ON d.n = f.n GROUP BY d.doc_id, d.n""",
+    "mixing_targets": f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(len({_WORDS}), 0)::BIGINT AS size FROM documents),
+ s AS (SELECT source, sum(size)::BIGINT AS source_size, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w FROM d GROUP BY source),
+ it(i, source, source_size, w, fixed, target) AS (SELECT 0, source, source_size, w, false, 0.0::DOUBLE FROM s
+  UNION ALL SELECT i + 1, source, source_size, w, fixed OR share > 3 * source_size, CASE WHEN fixed OR share > 3 * source_size THEN 3.0 * source_size ELSE share END FROM (
+  SELECT *, (sum(source_size) OVER () - sum(CASE WHEN fixed THEN 3.0 * source_size ELSE 0 END) OVER ()) * w / nullif(sum(CASE WHEN fixed THEN 0 ELSE w END) OVER (), 0) AS share FROM it WHERE i < 30))
+SELECT d.doc_id, d.source, d.size, it.source_size, round(it.target, 3) AS target FROM d JOIN it ON it.i = 30 AND it.source IS NOT DISTINCT FROM d.source""",
     "op7_chat": r"""
 WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')

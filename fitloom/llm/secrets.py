@@ -395,9 +395,13 @@ def joined(findings):
     return F.array_join(F.transform(findings, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def op6_secrets(spark, sf_dir) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    out = scan(docs, train(docs), ("doc_id",))
+def digest(out: DataFrame) -> DataFrame:
+    """doc_id, counts and digest of the base findings, and all spans."""
     base = F.filter("findings", lambda x: x["kind"] != "model")
     count = lambda k: F.size(F.filter("findings", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined("findings").alias("spans"))
+
+
+def op6_secrets(spark, sf_dir) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return digest(scan(docs, train(docs), ("doc_id",)))

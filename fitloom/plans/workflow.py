@@ -10,7 +10,9 @@ from ..operators.fit import FitResult, curve_fit
 from ..operators.grouped import fit_by_key
 from ..operators.precision import choose, analyse
 from ..operators.search import cma_es, method, multi_start
+from ..operators import normal
 from ..sources import readers, writers
+from . import planner
 
 
 def parsed(job) -> dict:
@@ -54,9 +56,10 @@ def run_workflow(spark: SparkSession, job) -> FitResult:
     known = {"p0", "loss", "f_scale", "absolute_sigma", "nan_policy", "ftol", "xtol", "gtol", "max_nfev"}
     if unknown := set(f) - known:
         raise ValueError(f"unknown fitting keys: {sorted(unknown)}")
+    f["local_rows"] = normal.LOCAL_ROWS if planner.plan(n, len(model.params)) == "local" else 0
     if search:
         how = {"multi_start": multi_start, "cma_es": cma_es, "auto": {"multi_start": multi_start, "cma_es": cma_es}[method(*bounds)]}[search]
-        result = how(df, model, x, y, bounds, sigma=sigma, nan_policy=f["nan_policy"])
+        result = how(df, model, x, y, bounds, sigma=sigma, nan_policy=f["nan_policy"], local_rows=f["local_rows"])
     else:
         result = curve_fit(df, model, x, y, sigma=sigma, bounds=bounds, order="ord" if "ord" in df.columns else None, **f)
     out = job.get("export") or {}

@@ -14,6 +14,8 @@ the broadcast table (COUNTED words, a fixed bound) get their counts by a join.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,45 +39,65 @@ _CHUNK_TOKENS = 1 << 22
 _TOP = 1 << 63
 
 
-_CLOSING = frozenset(b".,!?;:|")
-_SIZES = [(n > 4) + (n > 7) + (n > 11) for n in range(13)]
+_CLOSING = np.zeros(256, bool)
+_CLOSING[list(b".,!?;:|")] = True
+
+
+def word_keys(words: list) -> np.ndarray:
+    """For every word a negative number: 4 bits for the tail class, 59 of the word's XXH64."""
+    n = len(words)
+    h = np.fromiter(map(xxh64_intdigest, words), np.uint64, n)
+    size = np.fromiter(map(len, words), np.int64, n)
+    tail = (size > 4).astype(np.uint64) + (size > 7) + (size > 11)
+    tail += np.uint64(8) * _CLOSING[np.fromiter((w[-1] for w in words), np.uint8, n)]
+    tail += np.uint64(4) * ~np.fromiter(map(bytes.isascii, words), bool, n)
+    tail[np.fromiter((w == END for w in words), bool, n)] = 0
+    return (np.uint64(_TOP) | tail << np.uint64(59) | h >> np.uint64(5)).view(np.int64)
 
 
 def word_key(word: bytes) -> int:
-    """A negative number: 4 bits for the tail class, 59 of the word's XXH64."""
-    if word == END:
-        return (_TOP | xxh64_intdigest(word) >> 5) - (1 << 64)
-    n = len(word)
-    tail = _SIZES[n if n < 12 else 12]
-    if word[-1] in _CLOSING:
-        tail += 8
-    if not word.isascii():
-        tail += 4
-    return (_TOP | tail << 59 | xxh64_intdigest(word) >> 5) - (1 << 64)
+    return int(word_keys([word])[0])
 
 
 def tail_of(keys: np.ndarray) -> np.ndarray:
     return (keys.view(np.uint64) >> np.uint64(59)).astype(np.int64) & (TAILS - 1)
 
 
+_NEW = 1 << 62  # numbers from here on stand for words whose own number is still to be found
+
+
 class Known(dict):
     """Numbers of words: the rank below COUNTED, else the key. Remembers a bounded number of words."""
 
-    def __init__(self, rank: dict):
+    def __init__(self, keys: np.ndarray):
         super().__init__()
-        self.rank = rank
+        self.order, self.new = np.argsort(keys), []
+        self.sorted = keys[self.order]
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        key = word_key(word)
-        self[word] = found = self.rank.get(key, key)
+        self[word] = found = _NEW + len(self.new)
+        self.new.append(word)
         return found
 
-    def of(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode().lower().split()
-        words.append(END)
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+    def of(self, texts: list) -> list:
+        """The numbers of each text's words and its end; new words are hashed and looked up together."""
+        if len(self) > 400_000:
+            self.clear()
+        split = [(t or "").encode().lower().split() for t in texts]
+        for ws in split:
+            ws.append(END)
+        ends = np.cumsum([len(ws) for ws in split])
+        codes = np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int64, int(ends[-1]) if len(ends) else 0)
+        if self.new:
+            k = word_keys(self.new)
+            if len(self.sorted):
+                at = np.minimum(np.searchsorted(self.sorted, k), len(self.sorted) - 1)
+                k = np.where(self.sorted[at] == k, self.order[at], k)
+            self.update(zip(self.new, k.tolist()))
+            self.new = []
+            late = codes >= _NEW
+            codes[late] = k[codes[late] - _NEW]
+        return np.split(codes, ends[:-1])
 
 
 def corpus_counts(docs: DataFrame) -> DataFrame:
@@ -98,7 +120,7 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
             yield out(held)
 
     def out(held):
-        return pa.RecordBatch.from_arrays([pa.array([word_key(w) for w in held], pa.int64()), pa.array(list(held.values()), pa.int64())], ["key", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(word_keys(list(held))), pa.array(list(held.values()), pa.int64())], ["key", "n"])
 
     return docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -117,9 +139,6 @@ class Layout:
         self.tail_v = np.array([tails.get(k, (0, 0))[1] for k in range(TAILS)], float)
         self.classes = -(-WORDS // CLASS_SIZE)
 
-    def rank(self) -> dict:
-        return dict(zip(self.keys.tolist(), range(len(self.keys))))
-
     def symbols(self, codes: np.ndarray) -> np.ndarray:
         """Input symbol: rank for common words, WORDS + tail class for others."""
         out = codes.copy()
@@ -211,43 +230,55 @@ def outputs(p: dict, h: np.ndarray, target: np.ndarray, grads: dict | None) -> t
     n_words = WORDS // CLASS_SIZE
     cls = np.where(target < WORDS, target // CLASS_SIZE, n_words + target - WORDS).astype(np.int16)
     order = np.argsort(cls, kind="stable")  # rows by class, so that a class is a slice
-    h, target, cls = h[order], target[order], cls[order]
-    rows = np.arange(len(h))
-    e, lp, total = likelihood(h, p["c"], p["cb"], rows, cls)
+    wide = np.ones((len(h), h.shape[1] + 1), h.dtype)  # a last column of ones carries the biases
+    wide[:, :-1] = h[order]
+    target, cls = target[order], cls[order]
+    top, inner = np.vstack([p["c"], p["cb"]]), np.concatenate([p["w"], p["wb"][:, None]], 1)
+    # states lie within +-1, so the sum of sizes bounds a logit; cut only where that could overflow
+    cut = max(float(np.abs(top).sum(0).max()), float(np.abs(inner).sum(1).max())) > 60
+    rows, lp = np.arange(len(wide)), np.empty(len(wide), h.dtype)
     dh = None
     if grads is not None:
-        e /= total[:, None]
-        e[rows, cls] -= 1
-        grads["c"], grads["cb"] = h.T @ e, np.ones(len(e), e.dtype) @ e
-        dh = e @ p["c"].T
-        grads["w"], grads["wb"] = np.zeros_like(p["w"]), np.zeros_like(p["wb"])
+        dh = np.empty_like(wide)
+        g_top, g_inner = np.zeros_like(top), np.zeros_like(inner)
+    for a in range(0, len(wide), _ROWS):  # so many rows at a time stay in the processor's cache
+        b = min(len(wide), a + _ROWS)
+        e, lp[a:b], total = likelihood(wide[a:b], top, rows[: b - a], cls[a:b], cut)
+        if grads is not None:
+            e /= total[:, None]
+            e[rows[: b - a], cls[a:b]] -= 1
+            g_top += wide[a:b].T @ e
+            np.matmul(e, top.T, out=dh[a:b])
     edge = np.searchsorted(cls, np.arange(n_words + 1))
-    own, ones = target % CLASS_SIZE, np.ones(len(h), h.dtype)
+    own = target % CLASS_SIZE
     for k, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())):
         if a < b:
-            i, j, hk = rows[: b - a], own[a:b], h[a:b]
-            e, inner, total = likelihood(hk, p["w"][k], p["wb"][k], i, j)
-            lp[a:b] += inner
+            i, j, hk = rows[: b - a], own[a:b], wide[a:b]
+            e, more, total = likelihood(hk, inner[k], i, j, cut)
+            lp[a:b] += more
             if grads is not None:
                 e /= total[:, None]
                 e[i, j] -= 1
-                np.matmul(hk.T, e, out=grads["w"][k])
-                np.matmul(ones[: b - a], e, out=grads["wb"][k])
-                dh[a:b] += e @ p["w"][k].T
+                np.matmul(hk.T, e, out=g_inner[k])
+                dh[a:b] += e @ inner[k].T
     back = np.empty_like(lp)
     back[order] = lp
     if dh is not None:
-        out = np.empty_like(dh)
-        out[order] = dh
+        grads["c"], grads["cb"], grads["w"], grads["wb"] = g_top[:-1], g_top[-1], g_inner[:, :-1], g_inner[:, -1]
+        out = np.empty((len(dh), h.shape[1]), h.dtype)
+        out[order] = dh[:, :-1]
         dh = out
     return back, dh
 
 
-def likelihood(h: np.ndarray, w: np.ndarray, bias: np.ndarray, rows: np.ndarray, at: np.ndarray) -> tuple:
+_ROWS = 2048
+
+
+def likelihood(h: np.ndarray, w: np.ndarray, rows: np.ndarray, at: np.ndarray, cut: bool) -> tuple:
     """(exp of the logits, log probability of the column `at` of each row, sums of the exps), in place."""
     e = h @ w
-    e += bias
-    np.minimum(e, 60, out=e)
+    if cut:
+        np.minimum(e, 60, out=e)
     lp = e[rows, at]
     np.exp(e, out=e)
     total = e @ np.ones(e.shape[1], e.dtype)
@@ -371,15 +402,14 @@ def encoded(docs: DataFrame, layout: Layout) -> DataFrame:
         from pyspark import TaskContext
 
         lay = send.value
-        known = Known(lay.rank())
+        known = Known(lay.keys)
         uid = TaskContext.get().partitionId() << 40
         log_n, tail_log = np.log10(lay.counts + ALPHA), lay.tail_log()
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
                 rows: list = [[] for _ in range(7)]
-                for text in part.column("text"):
-                    c = known.of(text.as_py())
+                for c in known.of(part.column("text").to_pylist()):
                     near, far = c[c >= 0], c[c < 0]
                     rare = near[near >= lay.words]
                     # within their classes: known rare words here, unknown and rarest ones after the join

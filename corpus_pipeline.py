@@ -5,6 +5,11 @@
 3. secrets: findings are replaced by REDACTED; n_chars follows.
 4. mixing: documents are repeated, or left out, to meet their source's target weight.
 5. packing: token pieces with their place in sequences of 4096.
+
+Every stage takes any table with the columns of documents, in any order; other columns are dropped. Rows are
+told apart by numbers of their own, so null and repeated ids and repeated rows (ties) are decided row by row.
+Null and empty texts are clean, near copies of each other, hold no secrets, have no words to mix and one token
+to pack. Very long texts are read whole. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -20,30 +25,30 @@ REDACTED = "[REDACTED]"
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the labels of the documents at hand; keeps what it scores below 0.5."""
+    """Learns from the labels of the documents at hand; keeps what it scores below 0.5. Null and empty texts score 0."""
     model = tox.learn(docs, common.read(spark, sf_dir, "labels"))
     return tox.scored(docs, model, COLUMNS, locate=False).filter("score < 0.5").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of fingerprints stays."""
+    """One row of each component of fingerprints stays: the smallest id, of equal or no ids the first row. Wordless texts are one component."""
     return simhash.representatives(docs.select(*COLUMNS))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every finding is replaced; documents without one are untouched."""
+    """Every finding is replaced; documents without one, null texts among them, are untouched."""
     out = secrets.scan(docs, secrets.train(docs), COLUMNS, REDACTED)
     n = F.when(F.size("findings") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", n).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows repeated by their copies."""
+    """Rows repeated by their copies; a row without words has none."""
     return mixing.mixed_rows(docs.select(*COLUMNS))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces with their sequence and offset."""
+    """Pieces with their sequence and offset; every row has one at least."""
     return packing.pack_documents(docs)
 
 

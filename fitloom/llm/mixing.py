@@ -9,7 +9,9 @@ documents where a source is far from its target, then of single ones whose size
 still lacks.
 
 Nulls: a null text has size 0 and takes nothing; a null source is a source of its own, last in order.
-Repeated rows are mixed each on its own. An empty table gives no rows. Columns besides id, text and
+Repeated rows are mixed each on its own; documents of one size (ties) share a rate and take their copies in
+the order of their ids. A very long text is one size among others, at most `cap` times its own. An empty
+table gives no rows. Columns besides id, text and
 source are ignored.
 """
 
@@ -50,8 +52,18 @@ def targets(sizes: dict, weights: dict, cap: float = CAP) -> dict:
     return out
 
 
+FEW = 100_000  # sources whose table, some 10 MB at most, is sent to every task; more are joined by a shuffle
+
+
 def by_source(spark, rows: list, fields: str) -> DataFrame:
-    return spark.createDataFrame(rows, f"source string, {fields}")
+    """A table of one row per source, or per source and size, made on the driver; `few` tells whether it may be broadcast."""
+    table = spark.createDataFrame(rows, f"source string, {fields}")
+    table.few = len(rows) <= FEW
+    return table
+
+
+def sent(table: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(table) if small else table
 
 
 def same(a: str, b: str):
@@ -59,9 +71,9 @@ def same(a: str, b: str):
 
 
 def on_source(df: DataFrame, table: DataFrame) -> DataFrame:
-    """Join a table of one row per source: as many rows as sources, built on the driver."""
-    table = table.withColumnRenamed("source", "_s")
-    return df.join(F.broadcast(table), same("source", "_s")).drop("_s")
+    """Join a table of by_source()."""
+    few = table.few
+    return df.join(sent(table.withColumnRenamed("source", "_s"), few), same("source", "_s")).drop("_s")
 
 
 def solve(classes: DataFrame, want: dict, size: dict, mean: dict, cap: float, rounds: int = 60, tol: float = 1e-9) -> dict:
@@ -108,8 +120,8 @@ def salted(rows: DataFrame) -> DataFrame:
     salts = F.lit(SALTS)
     many = rows.groupBy("source", "size").agg(F.count("*").alias("n")).filter(F.col("n") > SALTS * RUN).collect()  # rows / (SALTS x RUN) at most
     if many:
-        table = by_source(rows.sparkSession, [(r.source, r.size, -(-r.n // RUN)) for r in many], "_z long, _n long").withColumnRenamed("source", "_s")
-        rows = rows.join(F.broadcast(table), same("source", "_s") & (F.col("size") == F.col("_z")), "left").drop("_s", "_z")
+        table = by_source(rows.sparkSession, [(r.source, r.size, -(-r.n // RUN)) for r in many], "_z long, _n long")
+        rows = rows.join(sent(table.withColumnRenamed("source", "_s"), table.few), same("source", "_s") & (F.col("size") == F.col("_z")), "left").drop("_s", "_z")
         salts = F.coalesce("_n", F.lit(SALTS))
     return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), salts).cast("long")).drop("_n")
 
@@ -231,7 +243,7 @@ def apply(rows: DataFrame, changed: dict) -> DataFrame:
     schema = f"_s string, _d {kinds['doc_id']}, _z long, _t {kinds['salt']}, _k int, _c long"
     table = rows.sparkSession.createDataFrame([(*key, c) for key, c in changed.items()], schema)
     on = same("source", "_s") & same("doc_id", "_d") & (F.col("size") == F.col("_z")) & (F.col("salt") == F.col("_t")) & (F.col("k") == F.col("_k"))
-    return rows.join(F.broadcast(table), on, "left").withColumn("copies", F.col("copies") + F.coalesce("_c", F.lit(0))).drop("_s", "_d", "_z", "_t", "_k", "_c")
+    return rows.join(sent(table, len(changed) <= FEW), on, "left").withColumn("copies", F.col("copies") + F.coalesce("_c", F.lit(0))).drop("_s", "_d", "_z", "_t", "_k", "_c")
 
 
 def op10_mixing(spark, sf_dir) -> DataFrame:

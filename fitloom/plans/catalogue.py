@@ -578,7 +578,11 @@ def streaming_incremental_linear(spark, d):
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp()
     stream = spark.readStream.schema(read(spark, d, "events").schema).parquet(f"{d}/event[s].parquet").withColumn("hour", F.hour("ts"))
     inc = Incremental("linear", "hour", "value")
     inc.start(stream, f"{base}/stream-{uuid.uuid4().hex}").awaitTermination()

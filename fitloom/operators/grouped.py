@@ -104,7 +104,10 @@ def large_keys(pts: DataFrame, model: Model, large: list, kinds: dict, p0, lo, h
     def states(asked):
         return {key: normal.unpacked(row, asked[key]) for key, row in answer(asked).items()}
 
-    found = solve.lockstep(states, {key: solve.iterate(np.clip(p0, lo, hi), lo, hi, max_nfev=steps, linear=linear) for key in large})
+    try:
+        found = solve.lockstep(states, {key: solve.iterate(np.clip(p0, lo, hi), lo, hi, max_nfev=steps, linear=linear) for key in large})
+    finally:
+        rows.unpersist()
     return list(found.items())
 
 

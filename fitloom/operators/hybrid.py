@@ -36,6 +36,11 @@ PRESETS = {
     "default": Settings(),
     "aggressive": Settings(steps=60, clip=0.5, rise=1.5),
     "conservative": Settings(steps=15, clip=0.03, rise=1.01),
+    # how far the warm-up's guards go: for starts near the solution, for rough ones, for published work, and none
+    "strict": Settings(steps=25, clip=0.05, rise=1.05, explained=0.01),
+    "relaxed": Settings(steps=50, clip=0.5, rise=1.5, explained=0.5),
+    "science": Settings(steps=35, clip=0.1, rise=1.2, explained=0.05, tolerance=1e-12),
+    "unguarded": Settings(steps=30, clip=1e9, rise=1e9, explained=0.0),
 }
 
 

@@ -57,6 +57,18 @@ def test_sniffing_carves_and_rejects(spark):
     assert (got[2].kind, got[2].corrected, got[3].kind) == ("image/gif", False, "text/plain")
 
 
+def test_updated_documents_are_carved_whole_and_ends_are_looked_up_once():
+    import time
+
+    one = b"%PDF-1.4\n1 0 obj x endobj\nstartxref\n9\n%%EOF"
+    updated = one + b"\n2 0 obj y endobj\nstartxref\n50\n%%EOF"
+    assert media.sniff(updated) == [("application/pdf", 0, len(updated))]
+    assert media.sniff(one + b"\n" + one) == [("application/pdf", 0, len(one)), ("application/pdf", len(one) + 1, 2 * len(one) + 1)]
+    began = time.process_time()
+    assert media.sniff(b"%PDF-1.4 " * 50_000) == media.sniff(b"PK\x03\x04" * 50_000) == []
+    assert time.process_time() - began < 5
+
+
 # ---- near duplicates ----
 
 

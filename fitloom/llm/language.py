@@ -286,12 +286,12 @@ def likelihood(h: np.ndarray, w: np.ndarray, rows: np.ndarray, at: np.ndarray, c
     return e, lp, total
 
 
-def windows(docs: list, length: int, heads: np.ndarray | None = None):
+def windows(docs: list, length: int, heads: np.ndarray | None = None, most: int = LANES):
     """(symbols, inputs, new, document, lanes) of each window; lanes that have ended drop out.
 
     heads: the symbol before each document's first, by default the mark of a beginning.
     """
-    sym, doc, new, size = lanes(docs)
+    sym, doc, new, size = lanes(docs, most)
     before = np.empty_like(sym)
     before[1:] = sym[:-1]
     before[new] = WORDS + TAILS if heads is None else heads[doc[new]]
@@ -319,7 +319,7 @@ def score(p: dict, docs: list) -> np.ndarray:
     """Natural log probability of each document's symbols, the state carried through all of its windows."""
     out = np.zeros(len(docs))
     h = None
-    for target, inputs, new, doc, b in windows(docs, WINDOW):
+    for target, inputs, new, doc, b in windows(docs, WINDOW, most=4 * LANES):  # each document alone, however many abreast
         h = np.zeros((b, HIDDEN), np.float32) if h is None else h[:b]
         states, h, _ = recur(p, inputs, new, h, False)
         live = doc.ravel() >= 0

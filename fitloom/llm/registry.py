@@ -1,19 +1,22 @@
-"""The ten operators' queries, queries for those of their columns that SQL can express, and that SQL."""
+"""The operators' queries, queries for those of their columns that SQL can express, and that SQL."""
 
 from pyspark.sql import functions as F
 
 from . import language, media, mixing, secrets
 from .common import read
 from .chat import op7_chat
+from .exponion import op12_centroids
 from .language import op5_language
 from .media import op1_media
 from .mixing import op10_mixing
 from .neighbours import op2_neighbours
 from .packing import op9_packing
+from .pivots import op13_topk
 from .repeats import op4_repeats
 from .secrets import op6_secrets
 from .simhash import op3_simhash
 from .toxicity import op8_toxicity
+from .whitening import op11_whitening
 
 QUERIES = {
     "op1_media": op1_media,
@@ -26,10 +29,12 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
+    "op11_whitening": op11_whitening,
+    "op12_centroids": op12_centroids,
+    "op13_topk": op13_topk,
 }
 
 
-
 def media_payload(spark, sf_dir):
     """op1's columns that don't depend on the stored form."""
     return op1_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32")
@@ -52,7 +57,12 @@ def mixing_targets(spark, sf_dir):
     return mixing.op10_mixing(spark, sf_dir).select("doc_id", "source", "size", "source_size", F.round("target", 3).alias("target"))
 
 
-QUERIES |= {"media_payload": media_payload, "language_base": language_base, "secrets_base": secrets_base, "mixing_targets": mixing_targets}
+def whitening_deviations(spark, sf_dir):
+    """op11's columns that need no eigenvector, a row per vector."""
+    return op11_whitening(spark, sf_dir).filter("component = 1").select("vec_id", "n", "deviation")
+
+
+QUERIES |= {"whitening_deviations": whitening_deviations, "media_payload": media_payload, "language_base": language_base, "secrets_base": secrets_base, "mixing_targets": mixing_targets}
 
 #: CRC-32 of a list of bytes: its table by the polynomial, then a fold.
 _CRC_TABLE = "crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) AS c FROM range(256) r(i)))"
@@ -70,8 +80,36 @@ def _found(kind: str, pattern: str, keep: str) -> str:
 
 _ASSIGN_SQL = r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+"""
 _EIGHT = r"""length(regexp_extract(m, '[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 8"""
+#: Vectors of finite numbers.
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0"
+
+
+def _kmeans(clusters: int = 8, rounds: int = 10, step: int = 1024, seed: int = 3) -> str:
+    """A pair of common table expressions per round: whose each vector is, and the floors of means."""
+    near = "SELECT i, x, min(struct_pack(d := list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, j := j)) AS m FROM v, c{r} GROUP BY i, x"
+    mean = "SELECT j, list(floor_sum ORDER BY at) AS c FROM (SELECT m.j AS j, at, (sum(x[at]) - ((sum(x[at]) % count(*)) + count(*)) % count(*)) // count(*) AS floor_sum FROM a{r}, range(1, 65) t(at) GROUP BY 1, 2) GROUP BY j"
+    parts = [
+        f"v AS MATERIALIZED (SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda c: floor({step} * c::DOUBLE)::BIGINT) AS x FROM embeddings WHERE len(embedding) = 64 AND {_FINITE})",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS j, x AS c FROM (SELECT sha256('{seed}:' || vec_id) AS h, x FROM v ORDER BY h, x LIMIT {clusters}))",
+    ]
+    for r in range(rounds):
+        parts += [f"a{r} AS MATERIALIZED ({near.format(r=r)})", f"n{r} AS MATERIALIZED ({mean.format(r=r)})", f"c{r + 1} AS MATERIALIZED (SELECT c.j, coalesce(n.c, c.c) AS c FROM c{r} c LEFT JOIN n{r} n ON c.j = n.j)"]
+    return f"""WITH {", ".join(parts)}, a AS (SELECT i, m FROM ({near.format(r=rounds)}))
+SELECT vec_id, m.j::INT AS cluster, m.d AS distance, (sum(m.d) OVER (PARTITION BY m.j))::BIGINT AS cluster_inertia, (sum(m.d) OVER ())::BIGINT AS inertia,
+ sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a JOIN v ON a.i = v.i JOIN c{rounds} k ON k.j = m.j"""
+
 
 ORACLE = {
+    "whitening_deviations": f"""
+WITH r AS (SELECT vec_id, list_transform(embedding, lambda c: floor(64 * c::DOUBLE)::BIGINT + 1000000) AS x FROM embeddings WHERE {_FINITE}),
+ f AS (SELECT DISTINCT x FROM r), s AS (SELECT at, sum(x[at]) AS s, count(*) AS n FROM f, range(1, 65) t(at) GROUP BY at), l AS (SELECT list(s ORDER BY at) AS s, any_value(n) AS n FROM s)
+SELECT vec_id, n, list_sum(list_transform(list_zip(x, s), lambda p: ((n * p[1] - p[2]) * (n * p[1] - p[2]))::BIGINT))::BIGINT AS deviation FROM r, l""",
+    "op12_centroids": _kmeans(),
+    "op13_topk": f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)) AS x FROM embeddings WHERE {_FINITE}),
+ p AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.x, v.x)::BIGINT AS score FROM v q, v WHERE q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM p
+QUALIFY rank <= 10""",
     "media_payload": f"""
 WITH {_CRC_TABLE}, d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
  p AS (SELECT doc_id, octet_length(b) AS n, b || repeat('\\x00'::BLOB, CASE WHEN octet_length(b) = 0 THEN 64 ELSE ((64 - octet_length(b) % 64) % 64) END::BIGINT) AS b FROM d),

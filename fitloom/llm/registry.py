@@ -86,8 +86,8 @@ _FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS N
 
 def _kmeans(clusters: int = 8, rounds: int = 10, step: int = 1024, seed: int = 3) -> str:
     """A pair of common table expressions per round: whose each vector is, and the floors of means."""
-    near = "SELECT i, x, min(struct_pack(d := list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, j := j)) AS m FROM v, c{r} GROUP BY i, x"
-    mean = "SELECT j, list(floor_sum ORDER BY at) AS c FROM (SELECT m.j AS j, at, (sum(x[at]) - ((sum(x[at]) % count(*)) + count(*)) % count(*)) // count(*) AS floor_sum FROM a{r}, range(1, 65) t(at) GROUP BY 1, 2) GROUP BY j"
+    near = "SELECT i, min(struct_pack(d := list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, j := j)) AS m FROM v, c{r} GROUP BY i"
+    mean = "SELECT j, list(floor_sum ORDER BY pos) AS c FROM (SELECT m.j AS j, pos, (sum(x[pos]) - ((sum(x[pos]) % count(*)) + count(*)) % count(*)) // count(*) AS floor_sum FROM a{r} JOIN v ON a{r}.i = v.i, range(1, 65) t(pos) GROUP BY 1, 2) GROUP BY j"
     parts = [
         f"v AS MATERIALIZED (SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda c: floor({step} * c::DOUBLE)::BIGINT) AS x FROM embeddings WHERE len(embedding) = 64 AND {_FINITE})",
         f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS j, x AS c FROM (SELECT sha256('{seed}:' || vec_id) AS h, x FROM v ORDER BY h, x LIMIT {clusters}))",
@@ -102,7 +102,7 @@ SELECT vec_id, m.j::INT AS cluster, m.d AS distance, (sum(m.d) OVER (PARTITION B
 ORACLE = {
     "whitening_deviations": f"""
 WITH r AS (SELECT vec_id, list_transform(embedding, lambda c: floor(64 * c::DOUBLE)::BIGINT + 1000000) AS x FROM embeddings WHERE {_FINITE}),
- f AS (SELECT DISTINCT x FROM r), s AS (SELECT at, sum(x[at]) AS s, count(*) AS n FROM f, range(1, 65) t(at) GROUP BY at), l AS (SELECT list(s ORDER BY at) AS s, any_value(n) AS n FROM s)
+ f AS (SELECT DISTINCT x FROM r), s AS (SELECT pos, sum(x[pos]) AS s, count(*) AS n FROM f, range(1, 65) t(pos) GROUP BY pos), l AS (SELECT list(s ORDER BY pos) AS s, any_value(n) AS n FROM s)
 SELECT vec_id, n, list_sum(list_transform(list_zip(x, s), lambda p: ((n * p[1] - p[2]) * (n * p[1] - p[2]))::BIGINT))::BIGINT AS deviation FROM r, l""",
     "op12_centroids": _kmeans(),
     "op13_topk": f"""

@@ -97,6 +97,34 @@ def shortened(theta: np.ndarray, s: np.ndarray, lo: np.ndarray, hi: np.ndarray)
     return float(min(1.0, np.nanmin(t, initial=np.inf)))
 
 
+class Dense:
+    """The quadratic g's + s'as/2 of one iterate in scaled variables, with a as an array."""
+
+    def __init__(self, a: np.ndarray, g: np.ndarray):
+        self.a, self.g = a, g
+
+    def times(self, s: np.ndarray) -> np.ndarray:
+        return self.a @ s
+
+    def step(self, radius: float) -> tuple:
+        """(s, as) of the step within the radius."""
+        s = trust_step(self.a, self.g, radius)
+        return s, self.a @ s
+
+
+def quadratic(state, d: np.ndarray, extra: np.ndarray | None):
+    """The model of the cost in variables scaled by d; wide states bring their own, which need no k x k array."""
+    g = state.g * d
+    if hasattr(state, "quadratic"):
+        return state.quadratic(d, g, np.zeros_like(d) if extra is None else extra)
+    a = state.a * np.outer(d, d)
+    return Dense(a if extra is None else a + np.diag(extra), g)
+
+
+def diagonal(state) -> np.ndarray:
+    return state.diagonal if hasattr(state, "diagonal") else np.diag(state.a)
+
+
 def linear_solution(state) -> np.ndarray:
     """Minimum of the quadratic that a State describes, by the eigenvalues of the scaled J'J."""
     k = len(state.theta)
@@ -162,7 +190,8 @@ def iterate(theta, lo=None, hi=None, ftol=1e-10, xtol=1e-10, gtol=1e-10, max_nfe
     state = yield theta
     if not state.usable:
         raise ValueError("the model is not finite at the starting values")
-    if linear and not bounded and callback is None:
+    wide = hasattr(state, "quadratic")
+    if linear and not bounded and callback is None and not wide:
         return (yield from solved(state))
     nfev, nit, status, history = 1, 0, None, []
     limit = max_nfev or 100 * k
@@ -181,28 +210,28 @@ def iterate(theta, lo=None, hi=None, ftol=1e-10, xtol=1e-10, gtol=1e-10, max_nfe
             status = 1
         if status is not None or nfev >= limit:
             break
-        norms = np.maximum(norms, np.sqrt(np.maximum(np.diag(state.a), 0)))
+        norms = np.maximum(norms, np.sqrt(np.maximum(diagonal(state), 0)))
         d = np.sqrt(v) / np.where(norms > 0, norms, 1.0)
-        a, g = state.a * np.outer(d, d), state.g * d
-        if bounded:  # what the scaling adds to the Hessian: |g| dv/dtheta
-            a = a + np.diag(np.abs(state.g) * (v != 1) * d * d / v)
+        # in bounds, with what the scaling adds to the Hessian: |g| dv/dtheta
+        local = quadratic(state, d, np.abs(state.g) * (v != 1) * d * d / v if bounded else None)
+        g = local.g
         if radius is None:
-            radius = np.linalg.norm(theta / d) or 1.0
+            radius = np.inf if wide and linear else np.linalg.norm(theta / d) or 1.0
         moved = False
         while not moved and nfev < limit:
-            s = trust_step(a, g, radius)
+            s, bent = local.step(radius)
             step = d * s
             t = 1.0
             if bounded:
                 t = shortened(theta, step, lo, hi)
                 t *= max(0.995, 1 - optimality) if t < 1 else 1
-                cauchy = -g * min(radius / max(np.linalg.norm(g), 1e-300), (g @ g) / max(g @ a @ g, 1e-300))
-                tc = shortened(theta, d * cauchy, lo, hi) * 0.995
-                model = lambda x: g @ x + x @ a @ x / 2
-                if model(tc * cauchy) < model(t * s):
-                    s, step, t = cauchy, d * cauchy, tc
-            s, step = t * s, t * step
-            predicted = -(g @ s + s @ a @ s / 2)
+                down = local.times(g)
+                c = min(radius / max(np.linalg.norm(g), 1e-300), (g @ g) / max(g @ down, 1e-300))
+                tc = shortened(theta, -c * d * g, lo, hi) * 0.995
+                if -tc * c * (g @ g) + (tc * c) ** 2 * (g @ down) / 2 < t * (g @ s) + t * t * (s @ bent) / 2:
+                    s, bent, step, t = -c * g, -c * down, -c * d * g, tc
+            s, bent, step = t * s, t * bent, t * step
+            predicted = -(g @ s + s @ bent / 2)
             trial = yield (inside(theta + step, lo, hi) if bounded else theta + step)
             nfev += 1
             if not trial.usable:

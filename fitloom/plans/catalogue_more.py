@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import expr as E
 from ..functions.models import MODELS, formula, safe_divide, safe_exp, safe_log, safe_power, safe_sqrt, turns
 from ..functions.numeric import Numeric
-from ..operators import diagnose, frame, guard, normal, precision, search, stability
+from ..operators import diagnose, frame, guard, normal, precision, search, stability, wide
 from ..operators.fit import curve_fit
 from ..operators.grouped import fit_by_key
 from ..operators.hybrid import hybrid_fit
@@ -328,6 +328,41 @@ def incremental_covariance(spark, d):
     return row.select(rnd("var_a", 8).alias("var_a"), rnd("cov", 7).alias("cov"), rnd("var_b", 6).alias("var_b"))
 
 
+# ---- many parameters, few a row ----
+
+
+@query("""WITH g AS (SELECT l_partkey, avg(l_quantity) AS mx, avg(l_extendedprice) AS my FROM lineitem GROUP BY 1),
+ b AS (SELECT sum((l_quantity - mx) * (l_extendedprice - my)) / sum(power(l_quantity - mx, 2)) AS b FROM lineitem JOIN g USING (l_partkey))
+ SELECT 'part' AS term, l_partkey::VARCHAR AS member, round(my - b * mx, 1) AS value FROM g, b UNION ALL SELECT 'slope', NULL, round(b, 1) FROM b""")
+def wide_levels_fit(spark, d):
+    """A level per part and one slope, by conjugate gradients inside the trust radius; no array of k x k."""
+    terms = [wide.levels("part", "level", "l_partkey"), wide.shared("slope", "b*x")]
+    t = wide.wide_fit(read(spark, d, "lineitem"), terms, "l_quantity", "l_extendedprice", method="cg").table()
+    return t.select("term", "member", rnd("value", 1).alias("value"))
+
+
+PEAK_X = "l_quantity + ((l_orderkey * 7 + l_linenumber * 13) % 101 - 50) / 101.0"
+_PEAK = "amp*exp(-((x - mid)/wide)^2)"
+
+
+@query("""SELECT member, param, round(value, 4) AS value FROM (SELECT l_quantity::INT - 1 AS member, avg(l_extendedprice) / 1e4 AS amp, l_quantity::DOUBLE AS mid, 0.6::DOUBLE AS wide FROM lineitem GROUP BY l_quantity)
+ UNPIVOT (value FOR param IN (amp, mid, wide))""")
+def local_peaks_fit(spark, d):
+    """The sum of 50 overlapping peaks, one per quantity, each counted within 1.5 of it; J'J as cells of peaks that
+    share rows, factored peak by peak."""
+    rows = read(spark, d, "lineitem")
+    tops = rows.groupBy(F.col("l_quantity").cast("int").alias("c")).agg((F.avg("l_extendedprice") / 1e4).alias("a")).collect()
+    top = F.create_map(*(F.lit(v) for r in tops for v in (r.c, r.a)))
+    x, q = F.expr(PEAK_X).cast("double"), F.col("l_quantity").cast("int")
+    near = F.filter(F.sequence(F.greatest(q - 2, F.lit(1)), F.least(q + 2, F.lit(50))), lambda c: F.abs(x - c) <= 1.5)
+    y = F.aggregate(near, F.lit(0.0), lambda s, c: s + F.coalesce(F.element_at(top, c), F.lit(0.0)) * F.exp(-F.pow((x - c) / 0.6, F.lit(2))))
+    mids = np.array(sorted(r.c for r in tops), float)
+    start = np.stack([np.full(len(mids), 2.0), mids + 0.1, np.full(len(mids), 0.5)], 1)
+    term = wide.local("peak", _PEAK, "x", mids - 1.5, mids + 1.5)
+    t = wide.wide_fit(rows.select(x.alias("x"), y.alias("y")), [term], "x", "y", p0={"peak": start}).table()
+    return t.select(F.col("member").cast("int").alias("member"), "param", rnd("value", 4).alias("value"))
+
+
 # ---- searches ----
 
 SIXTEEN = [(100.0 * (i + 1), 0.01 * (j + 1)) for i in range(4) for j in range(4)]

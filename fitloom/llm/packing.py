@@ -1,18 +1,13 @@
 """Bulk-synchronous best-fit packing of token sequences.
 
-Pieces are placed in bands of falling length; a band's supersteps go on while they place pieces:
-
-1. Pieces of the band and gaps that may hold one are sorted together by falling size over a range
-   partitioning (gaps before pieces of their size; ids break ties, so one common length is still split).
-2. Successor sweep: each task goes down its range and gives every piece the last gap it met that is not
-   taken, which is the smallest that holds it. Where several pieces have one successor, the first by rank
-   takes it and the next takes the next larger gap.
-3. What a task could not match, pieces without a gap and gaps without a piece, is matched across tasks by
-   rank. For that the driver sees two counts of every task, never a row.
-4. Gaps shrink by what they took. A gap of twice the band's upper edge or more offers several places.
-
-Pieces without a successor then open new sequences, by rank or laid end to end, and the next band follows.
-Every superstep's result is written to the shared folder.
+1. Pieces are range-sorted by falling length, equal lengths by a number of their own, and each task numbers its
+   rows of a length. A row per task and length gives every piece its rank among those of its length.
+2. Pieces of one length are a run, and so are sequences with the same room: best fit treats them alike. Supersteps
+   go down the lengths. Each sweeps the runs of gaps for successors, the smallest room that holds a piece, settles
+   by rank which pieces take which sequences, shrinks the gaps and repeats with the next length, until every piece
+   has a place. That is best fit decreasing, with nothing left out: no bands, no limit of rounds. There are at most as
+   many lengths as the capacity, so the runs, whatever the number of pieces, are a small table (supersteps).
+3. Tasks look up the place of each piece by its length and rank.
 
 Nulls: a null text is empty and still has the end token. Pieces are told apart by a number of their own, so
 repeated rows, ids and lengths (ties) are each placed once. A very long text is encoded whole, then cut. An
@@ -23,22 +18,20 @@ from __future__ import annotations
 
 import os
 import zlib
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ROW, numbered, read, stage, unstage
+from .common import ROW, numbered, read, stage
 
 CAPACITY = 4096
 END = 1
-ROWS_A_TASK = 200_000
-SUPERSTEPS = 2  # of a band; what is left then opens new sequences
 VOCABULARY = "word_bpe_49k.json"
 _CACHE_WORDS = 400_000
+_CACHE_BYTES = 64 << 20  # of the words, their ids take about as much
 
 
 def tokenizer_path(name: str = VOCABULARY) -> str:
@@ -59,7 +52,7 @@ class WordEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.size = Tokenizer.from_file(path), {}, 0
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
         self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
@@ -106,12 +99,14 @@ class WordEncoder:
         texts = [t or "" for t in texts]
         odd = [i for i, t in enumerate(texts) if "<|" in t]
         split = [() if "<|" in t else t.encode().lower().split() for t in texts]
-        if len(self.known) > _CACHE_WORDS:
+        if len(self.known) > _CACHE_WORDS or self.size > _CACHE_BYTES:
             self.known.clear()
+            self.size = 0
         known = self.known
         new = set().union(*split).difference(known)
         if new:
             self._learn(new)
+            self.size += sum(map(len, new))
         out = [b"".join(map(known.__getitem__, words)) for words in split]
         for i, data in zip(odd, self._whole([texts[i] for i in odd])):
             out[i] = data
@@ -148,201 +143,111 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def bands(capacity: int) -> list:
-    """(upper, lower): lengths over the lower and up to the upper edge; falling. The capacity by 1 to 4, then by root
-    2 down to a 32nd, and by 4 once more: few bands, for each takes supersteps."""
-    edges = [capacity // k for k in range(1, 5)]
-    while edges[-1] > capacity // 32:
-        edges.append(int(edges[-1] / 2**0.5))
-    edges = [e for e in dict.fromkeys([*edges, capacity // 128]) if e > 0]
-    return list(zip(edges, [*edges[1:], 0]))
+def supersteps(lengths: dict, capacity: int) -> list:
+    """Best fit over runs. lengths: length -> number of pieces. Rows (length, rank, each, seq, offset): the pieces of a
+    length from that rank on go to sequences from seq on, `each` of them laid end to end from offset in every one.
 
-
-PLACE, PIECE, GAP, TALLY = range(4)  # what a row of a sweep is: a piece with its place, a piece left, a gap left; what a task counted
-SWEPT = "what byte, id long, seq long, length int, part int, rank long, before long"
+    A superstep per length, falling. Gaps are runs of sequences that have the same room, sorted by it; the sweep takes
+    the successor, the smallest room that holds a piece, and stays with a sequence while it does. Pieces that want
+    the same gap take their turn by rank. Then gaps have shrunk, and pieces without one have opened sequences.
+    A run's room at least halves whenever it is met, and a superstep cuts at most two runs: the number of rows is at
+    most about 4 log2(capacity) for each length that occurs, whatever the number of pieces.
+    """
+    from bisect import bisect_left, insort
+
+    rooms: list = []  # rising
+    runs: dict = {}  # room -> [(first sequence, number)]
+    out, opened = [], 0
+
+    def keep(room: int, seq: int, n: int) -> None:
+        if room and n:
+            if room not in runs:
+                insort(rooms, room)
+                runs[room] = []
+            runs[room].append((seq, n))
+
+    for length in sorted(lengths, reverse=True):
+        left, rank = lengths[length], 0
+
+        def take(room: int, seq: int, n: int) -> int:
+            """How many of the run's sequences are met, filled with pieces from `rank` on."""
+            nonlocal left, rank
+            each = room // length  # noqa: B023
+            full = min(n, left // each)
+            for per, at, number in ((each, seq, full), (left - full * each, seq + full, 1 if full < n else 0)):
+                if number and 0 < per * number <= left:
+                    out.append((length, rank, per, at, capacity - room))  # noqa: B023
+                    rank, left = rank + per * number, left - per * number
+                    keep(room - per * length, at, number)  # noqa: B023
+                    full = at + number - seq
+            return full
+
+        while left:
+            i = bisect_left(rooms, length)
+            if i == len(rooms):
+                n = -(-left // (capacity // length))
+                opened += take(capacity, opened, n)
+                continue
+            room = rooms[i]
+            seq, n = runs[room].pop()
+            met = take(room, seq, n)
+            keep(room, seq + met, n - met)
+            if not runs.get(room):
+                runs.pop(room, None)
+                rooms.remove(room)
+    return out
 
 
-def sweep(batches):
-    """One task's range, sorted by falling size: rows of id, length and gap -> SWEPT. rank: of pieces left from
-    the first, of gaps left from the last; before: the length of the pieces left before a piece. A last row tallies
-    the pieces placed (id), the pieces left (rank) and their length (before) and the gaps left (seq)."""
-    from pyspark import TaskContext
+def ranked(items: DataFrame, order: list) -> DataFrame:
+    """items, range-sorted and written once, with the task (part) and the number within it of a row's length (rank)."""
 
-    part, open_, rank, total, placed = TaskContext.get().partitionId(), [], 0, 0, 0
-    for batch in batches:
-        out: list = [[] for _ in range(6)]
-        for i, n, gap in zip(batch.column("id").to_pylist(), batch.column("length").to_pylist(), batch.column("gap").to_pylist()):
-            if gap:
-                open_.append(i)
-                continue
-            if open_:
-                row = (PLACE, i, open_.pop(), n, 0, 0)
-                placed += 1
-            else:
-                row = (PIECE, i, None, n, rank, total)
-                rank, total = rank + 1, total + n
-            for c, x in zip(out, row):
-                c.append(x)
-        yield swept_batch(out, part)
-    m = len(open_)
-    if m + rank + placed:
-        last = ([TALLY], [placed], [m], [0], [rank], [total])
-        gaps = ([GAP] * m, open_, open_, [0] * m, list(range(m - 1, -1, -1)), [0] * m)
-        yield swept_batch([a + b for a, b in zip(gaps, last)], part)
+    def number(batches):
+        from pyspark import TaskContext
 
+        part, seen = TaskContext.get().partitionId(), {}
+        for batch in batches:
+            length = batch.column("length").to_numpy()
+            starts = np.flatnonzero(np.diff(length, prepend=-1)) if len(length) else np.zeros(0, int)
+            rank = np.arange(len(length))
+            for at, end in zip(starts.tolist(), [*starts[1:].tolist(), len(length)]):  # rows are sorted by length
+                own = int(length[at])
+                rank[at:end] += seen.get(own, 0) - at
+                seen[own] = seen.get(own, 0) + end - at
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(length), part, np.int32)), pa.array(rank)], [*batch.schema.names, "part", "rank"])
 
-def swept_batch(cols: list, part: int):
-    what, i, seq, n, rank, before = cols
-    kinds = (pa.int8(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((what, i, seq, n, [part] * len(i), rank, before), kinds)], [c.split()[0] for c in SWEPT.split(", ")])
-
+    kinds = ", ".join(f"`{c}` {t}" for c, t in items.dtypes)
+    dealt = items.repartitionByRange(*order).sortWithinPartitions(*order)
+    return stage(dealt.mapInArrow(number, f"{kinds}, part int, rank long"), "pack-ranked")
 
-def across(counts: list) -> tuple:
-    """Match what tasks left. counts: (part, pieces, gaps) by rising part, that is by falling size.
 
-    (runs, taken): runs are (part of pieces, first rank, number, part of gaps, first rank); taken is the number of
-    each part's pieces that are matched, its first by rank. At most two runs per part.
-    """
-    free, out, taken = [], [], {}
-    for part, pieces, gaps in counts:
-        at = 0
-        while at < pieces and free:
-            own = free[-1]
-            n = min(pieces - at, own[2])
-            out.append((part, at, n, own[0], own[1]))
-            at, own[1], own[2] = at + n, own[1] + n, own[2] - n
-            if not own[2]:
-                free.pop()
-        taken[part] = at
-        if gaps:
-            free.append([part, 0, gaps])
-    return out, taken
-
-
-def superstep(todo: DataFrame, gaps: DataFrame, rows: int, rows_a_task: int = ROWS_A_TASK) -> tuple:
-    """Match pieces (id, length) with gaps (seq, size), a row for every place: (places, left, numbers, written table).
-
-    places: id, seq, length; left: id, length, rank, before of pieces without a gap, in rank order; numbers: pieces
-    placed and left, and the length of those left. rows: about how many rows both tables have.
-    """
-    spark = todo.sparkSession
-    both = todo.select("id", "length", F.lit(False).alias("gap")).unionByName(gaps.select(F.col("seq").alias("id"), F.col("size").cast("int").alias("length"), F.lit(True).alias("gap")))
-    order = [F.desc("length"), F.desc("gap"), F.asc("id")]
-    parts = -(-rows // rows_a_task)
-    dealt = (both.repartitionByRange(parts, *order) if parts > 1 else both.coalesce(1)).sortWithinPartitions(*order)
-    swept = stage(dealt.mapInArrow(sweep, SWEPT), "pack-sweep")
-    is_ = lambda w: F.col("what") == w
-    tally = swept.filter(is_(TALLY)).select("part", F.col("id").alias("placed"), F.col("rank").alias("pieces"), F.col("seq").alias("gaps"), F.col("before").alias("length"))
-    counts = sorted(tally.collect(), key=lambda r: r.part)  # a row per task
-    runs, taken = across([(r.part, r.pieces, r.gaps) for r in counts])
-    places = swept.filter(is_(PLACE)).select("id", "seq", "length")
-    before = dict.fromkeys(taken, 0)
-    if runs:
-        # number matched ranks on both sides; the tables hold at most two rows per task
-        number, pieces, free = 0, [], []
-        for p, a, n, q, b in runs:
-            pieces.append((p, a, a + n, number - a))
-            free.append((q, b, b + n, number - b))
-            number += n
-
-        def numbers(what, table):
-            t = F.broadcast(spark.createDataFrame(table, "_p int, _a long, _b long, _m long"))
-            return swept.filter(is_(what)).join(t, (F.col("part") == F.col("_p")) & (F.col("rank") >= F.col("_a")) & (F.col("rank") < F.col("_b"))).withColumn("m", F.col("rank") + F.col("_m"))
-
-        carried = numbers(PIECE, pieces).select("id", "length", "m").join(numbers(GAP, free).select("seq", "m"), "m")
-        places = places.unionByName(carried.select("id", "seq", "length"))
-        some = [(p, n) for p, n in taken.items() if n]
-        edge = F.broadcast(spark.createDataFrame(some, "part int, rank long"))
-        before.update({r.part: r.length for r in counts})
-        before.update({p: 0 for p, n in taken.items() if not n})
-        before.update({r.part: r.before for r in swept.filter(is_(PIECE)).join(edge, ["part", "rank"]).select("part", "before").collect()})
-    rank, total, bases = 0, 0, []
-    for r in counts:
-        bases.append((r.part, taken[r.part], rank - taken[r.part], total - before[r.part]))
-        rank, total = rank + r.pieces - taken[r.part], total + r.length - before[r.part]
-    t = F.broadcast(spark.createDataFrame(bases, "part int, _taken long, _rank long, _before long"))  # a row per task
-    left = swept.filter(is_(PIECE)).join(t, "part").filter("rank >= _taken")
-    left = left.select("id", "length", (F.col("rank") + F.col("_rank")).alias("rank"), (F.col("before") + F.col("_before")).alias("before"))
-    return places, left, (sum(r.placed for r in counts) + sum(n for _, _, n, _, _ in runs), rank, total), swept
-
-
-def opened(left: DataFrame, first: int, upper: int, capacity: int) -> DataFrame:
-    """Places of pieces of up to `upper` tokens in new sequences: so many by rank as must fit, or, where these are
-    8 or more, all that start before the last `upper` tokens, laid end to end."""
-    each = capacity // upper
-    i = F.floor(F.col("rank") / each) if each < 8 else F.floor(F.col("before") / (capacity - upper + 1))
-    return left.select("id", (i + first).cast("long").alias("seq"), "length")
-
-
-def assigned(items: DataFrame, capacity: int = CAPACITY, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
-    """id, seq, length of every row of a written table with the columns ROW and length (1 to capacity)."""
-    spark = items.sparkSession
-    edges = bands(capacity)
-    inside = lambda hi, lo, c="length": (F.col(c) > lo) & (F.col(c) <= hi)
-    sizes = items.select(*(F.count(F.when(inside(*e), 1)).alias(f"n{i}") for i, e in enumerate(edges))).first()
-    gaps, parts, first = None, [], 0
-    for (hi, lo), n in zip(edges, sizes):
-        if not n:
-            continue
-        if 2 * lo >= capacity - 1 and gaps is None:  # no two of these share a sequence: each opens its own
-            alone = items.filter(inside(hi, lo)).select(F.col(ROW).alias("id"), (-1 - F.col(ROW)).alias("seq"), F.col("length").cast("int").alias("length"))
-            parts.append(alone)
-            gaps = stage(alone.select("seq", (capacity - F.col("length")).cast("long").alias("size"), F.lit(True).alias("new")).filter("size > 0"), "pack-gaps")
-            continue
-        todo = items.filter(inside(hi, lo)).select(F.col(ROW).alias("id"), F.col("length").cast("int").alias("length"))
-        scratch = []
-        for step in range(SUPERSTEPS):
-            small = big = every = 0
-            if gaps is not None:
-                able = (F.col("size") > lo) & (F.lit(step == 0) | F.col("new"))  # others were left by the step before
-                small, big, every = gaps.agg(F.count(F.when(able & (F.col("size") < 2 * hi), 1)), F.count(F.when(able & (F.col("size") >= 2 * hi), 1)), F.count("*")).first()
-            few = every + n <= rows_a_task  # a step that fits a task needs no shuffle
-            whole = (lambda df: df.coalesce(1)) if few else (lambda df: df)
-            places, again = [], False
-            if small + big or step == 0:
-                offered = empty_gaps(spark)
-                if small + big:
-                    several = F.least(F.floor(F.col("size") / hi), F.lit(-(-n // max(1, big)))).cast("int")
-                    offered = gaps.filter(able).select("seq", F.explode(F.array_repeat(F.least("size", F.lit(hi)), F.when(F.col("size") < 2 * hi, 1).otherwise(several))).alias("size"))
-                placed, left, (m, n, length), table = superstep(todo, offered, 2 * n + small + big, rows_a_task)
-                scratch.append(table)
-                places.append(placed)
-                again = bool(m and n and big) and step + 1 < SUPERSTEPS  # gaps with several places may hold more
-            if n and not again:
-                places.append(opened(left, first, hi, capacity))
-                first += n // (capacity // hi) + 1 if capacity // hi < 8 else length // (capacity - hi + 1) + 1
-            done = stage(reduce(DataFrame.unionByName, places), "pack-places")
-            parts.append(done)
-            took = whole(done).groupBy("seq").agg(F.sum("length").alias("took"))
-            if gaps is None:
-                new = took.select("seq", (capacity - F.col("took")).alias("size"), F.lit(True).alias("new"))
-            else:
-                new = whole(gaps).join(took, "seq", "full").select("seq", (F.coalesce("size", F.lit(capacity)) - F.coalesce("took", F.lit(0))).alias("size"), F.col("took").isNotNull().alias("new"))
-            old, gaps = gaps, stage(new.filter("size > 0"), "pack-gaps")
-            if old is not None:
-                unstage(old)
-            if not again:
-                break
-            todo = stage(left.select("id", "length"), "pack-left")
-            scratch.append(todo)
-        for table in scratch:
-            unstage(table)
-    if gaps is not None:
-        unstage(gaps)
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "id long, seq long, length int")
-
-
-def empty_gaps(spark) -> DataFrame:
-    return spark.createDataFrame([], "seq long, size long")
-
-
-def pack(items: DataFrame, capacity: int = CAPACITY, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add sequence_id and offset to a written table with the columns ROW and length (1 to capacity)."""
-    places = assigned(items, capacity, rows_a_task)
-    upto = W.partitionBy("seq").orderBy("id").rowsBetween(W.unboundedPreceding, W.currentRow)  # capacity rows at most
-    offset = (F.sum("length").over(upto) - F.col("length")).cast("long")
-    where = places.select(F.col("id").alias(ROW), F.col("seq").alias("sequence_id"), offset.alias("offset"))
-    return items.join(where, ROW).drop(ROW)
+    sorted_ = ranked(items, [F.desc("length"), F.asc(ROW)])
+    base, lengths = {}, {}
+    for r in sorted_.groupBy("part", "length").agg(F.count("*").alias("n")).orderBy("part", "length").collect():  # tasks + lengths rows: ranges overlap at their ends
+        base[r.part, r.length] = lengths.get(r.length, 0)
+        lengths[r.length] = lengths.get(r.length, 0) + r.n
+    plan = np.array(sorted(supersteps(lengths, capacity)), np.int64).reshape(-1, 5)
+    first = {int(n): i for i, n in reversed(list(enumerate(plan[:, 0])))}
+    last = {int(n): i + 1 for i, n in enumerate(plan[:, 0])}
+
+    def place(batches):
+        for batch in batches:
+            length, part, rank = (batch.column(c).to_numpy() for c in ("length", "part", "rank"))
+            seq, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
+            cuts = np.flatnonzero((np.diff(length, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))
+            for at, end in zip(cuts.tolist(), [*cuts[1:].tolist(), len(rank)]):
+                n = int(length[at])
+                rows = plan[first[n] : last[n]]
+                own = rank[at:end] + base[int(part[at]), n]
+                _, begin, each, to, start = rows[np.searchsorted(rows[:, 1], own, side="right") - 1].T
+                seq[at:end] = to + (own - begin) // each
+                offset[at:end] = start + (own - begin) % each * n
+            names = [c for c in batch.schema.names if c not in ("part", "rank", ROW)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(seq), pa.array(offset)], [*names, "sequence_id", "offset"])
+
+    kinds = ", ".join(f"`{c}` {t}" for c, t in items.dtypes if c != ROW)
+    return sorted_.mapInArrow(place, f"{kinds}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:

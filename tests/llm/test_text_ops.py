@@ -550,39 +550,33 @@ def best_fit(lengths, capacity):
     return len(gaps)
 
 
-@pytest.mark.parametrize("rows_a_task", [3, 7, 1000])
-def test_one_superstep_agrees_with_brute_force(spark, rows_a_task):
-    """Longest first, each piece takes the smallest gap left that holds it, at most one piece to a gap."""
-    r = np.random.default_rng(rows_a_task)
-    pieces = [(i, int(n)) for i, n in enumerate(r.integers(10, 40, 60))]
-    gaps = [(1000 + i, int(n)) for i, n in enumerate(r.integers(5, 45, 35))]
-    todo, offered = spark.createDataFrame(pieces, "id long, length int"), spark.createDataFrame(gaps, "seq long, size long")
-    places, left, (m, n, total), _ = packing.superstep(todo, offered, len(pieces) + len(gaps), rows_a_task)
-    free, want, rest = dict(gaps), [], []
-    for i, length in sorted(pieces, key=lambda x: (-x[1], x[0])):
-        fits = [s for s, g in free.items() if g >= length]
-        if fits:
-            want.append((length, free.pop(min(fits, key=lambda s: free[s]))))
-        else:
-            rest.append(length)
-    got = places.collect()
-    sizes = dict(gaps)
-    assert len(got) == len({x.id for x in got}) == len({x.seq for x in got}) == m == len(want)
-    assert sorted((x.length, sizes[x.seq]) for x in got) == sorted(want)
-    left = sorted(left.collect(), key=lambda x: x["rank"])
-    assert [x.length for x in left] == rest and n == len(rest) and total == sum(rest)
-    assert [x["rank"] for x in left] == list(range(n)) and [x.before for x in left] == np.cumsum([0, *rest])[:-1].tolist()
-
-
-def test_packing_comes_near_best_fit(spark):
+def test_supersteps_over_runs_are_best_fit():
+    r = np.random.default_rng(1)
+    tables = [(r.integers(700, 1500, 6000), 4096), (r.integers(300, 900, 8000), 4096), (r.integers(1, 40, 3000), 64), (np.full(500, 7), 50), ([64] * 9 + [1], 64), ([1], 4096)]
+    for lengths, capacity in tables:
+        counts = collections.Counter(int(n) for n in lengths)
+        rows = sorted(packing.supersteps(counts, capacity))
+        room: dict = {}
+        for (length, rank, each, seq, offset), after in zip(rows, [*rows[1:], (0, 0)]):
+            end = after[1] if after[0] == length else counts[length]
+            for i in range(end - rank):
+                room.setdefault(seq + i // each, []).append((offset + i % each * length, length))
+        assert sum(map(len, room.values())) == len(lengths)
+        for spans in room.values():
+            spans.sort()
+            assert [a for a, _ in spans] == np.cumsum([0, *(n for _, n in spans)])[:-1].tolist() and sum(n for _, n in spans) <= capacity
+        assert len(room) == best_fit([int(n) for n in lengths], capacity) and max(room) == len(room) - 1
+        assert len(rows) <= 4 * math.log2(capacity) * len(counts)
+
+
+def test_packing_is_best_fit(spark):
     r = np.random.default_rng(5)
-    for lengths, rows_a_task in ((r.integers(1, 300, 400), 40), ([64] * 300, 50), ([*r.integers(550, 700, 20), *r.integers(1, 30, 200)], 1000)):
+    for lengths in (r.integers(1, 300, 400), [64] * 300, [*r.integers(550, 700, 20), *r.integers(1, 30, 200)]):
         rows = [(i % 3, int(n)) for i, n in enumerate(lengths)]  # ids repeat
-        items = common.numbered(spark.createDataFrame(rows, "doc_id long, length long"), "test-pack")
-        got = packing.pack(items, 1000, rows_a_task).collect()
+        items = common.numbered(spark.createDataFrame(rows, "doc_id long, length long").repartition(7), "test-pack")
+        got = packing.pack(items, 1000).collect()
         assert sorted((x.doc_id, x.length) for x in got) == sorted(rows)
-        n = check_packing(got, 1000)
-        assert n <= best_fit([n for _, n in rows], 1000) * 1.03 + 1
+        assert check_packing(got, 1000) == best_fit([n for _, n in rows], 1000)
 
 
 # ---- mixing ----

@@ -18,12 +18,15 @@ from . import frame, normal, precision, solve
 def covariance(state, absolute: bool = False) -> tuple:
     """(covariance, rank): pseudo-inverse of J'J, times SSR / (n - k) unless sigma is absolute."""
     k = len(state.theta)
-    d = np.sqrt(np.maximum(np.diag(state.a), 0))
-    d = np.where(d > 0, d, 1.0)
-    lam, q = np.linalg.eigh(state.a / np.outer(d, d))
-    keep = lam > np.finfo(float).eps * max(state.n, k) * max(lam[-1], 0)
-    inverse = (q[:, keep] / lam[keep]) @ q[:, keep].T / np.outer(d, d)
-    rank = int(keep.sum())
+    if isinstance(state, normal.TriangleState):
+        inverse, rank = state.inverse()
+    else:
+        d = np.sqrt(np.maximum(np.diag(state.a), 0))
+        d = np.where(d > 0, d, 1.0)
+        lam, q = np.linalg.eigh(state.a / np.outer(d, d))
+        keep = lam > np.finfo(float).eps * max(state.n, k) * max(lam[-1], 0)
+        inverse = (q[:, keep] / lam[keep]) @ q[:, keep].T / np.outer(d, d)
+        rank = int(keep.sum())
     if rank < k or (not absolute and state.n <= k):
         return np.full((k, k), math.inf), rank
     return inverse * (1.0 if absolute else state.ssr / (state.n - k)), rank
@@ -192,11 +195,12 @@ def curve_fit(
     full_output: bool = False,
     return_eval: bool = False,
     timeit: bool = False,
+    solver: str = "normal",
 ):
     """A FitResult, or with full_output its full(), with return_eval its evaluated(); timeit adds the seconds the
     fit took as the last of those. Other options as in fitted()."""
     began = time.perf_counter()
-    found = fitted(df, model, x, y, sigma, p0, bounds, loss, f_scale, absolute_sigma, nan_policy, mask, order, ftol, xtol, gtol, max_nfev, callback, local_rows, auto_bounds)
+    found = fitted(df, model, x, y, sigma, p0, bounds, loss, f_scale, absolute_sigma, nan_policy, mask, order, ftol, xtol, gtol, max_nfev, callback, local_rows, auto_bounds, solver)
     if not (full_output or return_eval or timeit):
         return found
     out = found.full() if full_output else found.evaluated() if return_eval else tuple(found)
@@ -205,7 +209,7 @@ def curve_fit(
 
 def fitted(
     df: DataFrame, model, x, y: str, sigma=None, p0=None, bounds=None, loss="linear", f_scale: float = 1.0, absolute_sigma: bool = False, nan_policy: str = "raise", mask=None, order=None,
-    ftol: float = 1e-10, xtol: float = 1e-10, gtol: float = 1e-10, max_nfev=None, callback=None, local_rows: int = normal.LOCAL_ROWS, auto_bounds: bool = False,
+    ftol: float = 1e-10, xtol: float = 1e-10, gtol: float = 1e-10, max_nfev=None, callback=None, local_rows: int = normal.LOCAL_ROWS, auto_bounds: bool = False, solver: str = "normal",
 ) -> FitResult:
     """Fit `model` (a Model, a numeric model, a registered name or a formula) to columns of df.
 
@@ -213,16 +217,19 @@ def fitted(
     from the data where none are given. p0: numbers, None for the model's starting rule, or "auto" for
     that rule or, without one, values by position from the data. nan_policy: raise, omit, propagate or
     mean. local_rows: up to so many rows are fetched once and summed on the driver; more stay where
-    they are.
+    they are. solver: "normal" steps from J'J; "qr" from a tree of triangles of J, which keeps twice the digits at
+    one more pass per step; "auto" takes qr once the condition of J is beyond 1e6.
     """
+    if solver not in ("normal", "qr", "auto"):
+        raise ValueError(f"unknown solver {solver}")
     model = named(model)
     roles = frame.Roles.of(x, y, model.variables, sigma=sigma, mask=mask, order=order)
     free = bounds is None and not np.isfinite(np.concatenate(model.limits())).any()
-    if model.linear and loss == "linear" and free and p0 is None and callback is None and not auto_bounds and model.expr is not None and len(model.params) <= normal.SQL_WIDTH:
+    if solver == "normal" and model.linear and loss == "linear" and free and p0 is None and callback is None and not auto_bounds and model.expr is not None and len(model.params) <= normal.SQL_WIDTH:
         return linear_fit(df, model, roles, nan_policy, absolute_sigma)
     pts = frame.points(df, roles, nan_policy)
     lo, hi = model.limits() if bounds is None else (np.broadcast_to(np.asarray(b, float), len(model.params)).copy() for b in bounds)
-    problem = normal.Problem(pts, model, loss, f_scale, local_rows)
+    problem = normal.Problem(pts, model, loss, f_scale, local_rows, solver)
     try:
         curve = frame.curve(pts, model.variables[0])
         if isinstance(p0, str) and p0 == "auto" and model.start is None:

@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 from ..functions.models import Model, named
 from . import frame, normal, solve
 from .fit import covariance
+from .storage import written
 
 GROUP_ROWS = 100_000
+FEW = 200_000  # keys up to which their solutions, some 10 MB, are sent to every task
+SALTS = 32  # parts of a key's rows where there are more keys than that
 
 
 class Block:
@@ -149,7 +152,50 @@ def linear_states(pts: DataFrame, model: Model, keys: list, p0, row, schema: str
                 made.append(row(tuple(r[c] for c in names), s))
             yield pd.DataFrame(made, columns=columns)
 
-    first = sums(pts, p0, keys).mapInPandas(solutions, ", ".join([f"`_k_{c}` {t}" for c, t in kinds.items()] + [f"{t} double" for t in thetas]))
+    fields = ", ".join([f"`_k_{c}` {t}" for c, t in kinds.items()] + [f"{t} double" for t in thetas])
+    first = written(sums(pts, p0, keys).mapInPandas(solutions, fields), "key-solutions")
     on = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in names]
-    at = sums(pts.join(first, on), [F.col(t) for t in thetas], [*names, *thetas])
+    if first.count() <= FEW:
+        joined = pts.join(F.broadcast(first), on)
+    else:  # a key may hold any share of the rows: they are dealt over SALTS tasks, and its solution goes to each
+        salt = F.pmod(F.xxhash64(*(c for c in pts.columns if c not in names)), F.lit(SALTS))
+        each = first.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        joined = pts.withColumn("_part", salt).join(each, [*on, F.col("_part") == F.col("_salt")])
+    at = sums(joined, [F.col(t) for t in thetas], [*names, *thetas])
     return at.mapInPandas(rows, schema)
+
+
+def hierarchical_fit(df: DataFrame, model, x, y: str, keys: list, sets="rollup", p0=None, sigma: str | None = None, absolute_sigma: bool = False, nan_policy: str = "omit") -> DataFrame:
+    """keys, level, n, status, success, cost, nfev, params, stderr, error: a fit at every level of keys.
+
+    sets: "rollup", "cube", or lists of keys. Sums are additive, so one scan feeds all levels: rows are expanded once per
+    level, added up where they are, and each sum is solved. A key that a level leaves out is null there, and
+    its bit in `level` (the grouping id) is 1, which tells it from a null in the data. For models linear in their
+    parameters and without bounds. p0: where sums are taken; the nearer to the solutions, the less rounding.
+    """
+    model = named(model)
+    if not model.linear or model.expr is None or np.isfinite(np.concatenate(model.limits())).any():
+        raise ValueError("levels share sums only for models that are linear in their parameters and unbounded")
+    pts = frame.points(df, frame.Roles.of(x, y, model.variables, sigma=sigma, keys=tuple(keys)), nan_policy)
+    k = len(model.params)
+    at = np.zeros(k) if p0 is None else np.asarray(p0, float)
+    by = pts.rollup(*keys) if sets == "rollup" else pts.cube(*keys) if sets == "cube" else pts.groupingSets([[F.col(c) for c in s] for s in sets], *(F.col(c) for c in keys))
+    sums = by.agg(F.grouping_id().cast("long").alias("level"), *normal.aggregates(normal.terms(model, at)))
+    kinds = {c: t for c, t in pts.dtypes if c in keys} | {"level": "long"}
+    schema = result_schema(kinds)
+    columns = [c.split()[0].strip("`") for c in schema.split(", ")]
+
+    def rows(pdfs):
+        for pdf in pdfs:
+            made = []
+            for r in pdf.astype(object).where(pdf.notna(), None).to_dict("records"):
+                s = normal.unpacked(r, at)
+                if s.n >= k and s.usable:
+                    theta = solve.linear_solution(s)
+                    step = theta - at
+                    drop = s.g @ step + step @ s.a @ step / 2
+                    s = normal.State(theta, max(s.cost + drop, 0.0), s.g + s.a @ step, s.a, s.n, s.bad, max(s.ssr + 2 * drop, 0.0))
+                made.append(row_of(tuple(r[c] for c in kinds), *outcome_of(s, absolute_sigma)))
+            yield pd.DataFrame(made, columns=columns)
+
+    return sums.mapInPandas(rows, schema)

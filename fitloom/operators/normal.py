@@ -19,6 +19,8 @@ from ..functions.models import Model
 
 SQL_WIDTH = 12
 LOCAL_ROWS = 50_000
+FAN = 64  # triangles that one task stacks
+LOST = 1e6  # condition of J beyond which J'J has lost most of its digits
 _EPS = float(np.finfo(float).eps)
 
 
@@ -93,7 +95,8 @@ def block_terms(model: Model, theta: np.ndarray, v: dict, y: np.ndarray, w: np.n
 class Problem:
     """Evaluates a model on points(). Frames of up to LOCAL_ROWS rows are fetched once and summed here."""
 
-    def __init__(self, pts: DataFrame, model: Model, which="linear", scale: float = 1.0, local_rows: int = LOCAL_ROWS):
+    def __init__(self, pts: DataFrame, model: Model, which="linear", scale: float = 1.0, local_rows: int = LOCAL_ROWS, solver: str = "normal"):
+        self.solver = solver
         self.pts, self.model, self.which, self.scale = pts, model, which, scale
         self.calls, self.block = 0, None
         cols = [f"v_{v}" for v in model.variables] + ["y", "w"]
@@ -108,6 +111,15 @@ class Problem:
         self.pts.unpersist()
 
     def __call__(self, theta) -> State:
+        """With solver "qr", steps come from a triangle; with "auto", from the first point on where J'J loses digits."""
+        state = self.summed(theta)
+        if self.solver == "auto" and state.usable and condition(state) > LOST:
+            self.solver = "qr"
+        if self.solver != "qr" or not state.usable:
+            return state
+        return TriangleState(state.theta, state.cost, state.g, state.a, state.n, state.bad, state.ssr, self.triangle(state.theta))
+
+    def summed(self, theta) -> State:
         self.calls += 1
         theta = np.asarray(theta, float)
         if self.block is not None:
@@ -162,34 +174,102 @@ class Problem:
         return {key: State(theta, s[2], s[4 : 4 + k], s[4 + k :].reshape(k, k), int(s[0]), int(s[1]), s[3]) for key, theta, s in zip(thetas, every, t)}
 
     def triangle(self, theta) -> np.ndarray:
-        """R of the QR of [J | r]: each task's triangle, stacked once more in groups, then here. Keeps cond(J) unsquared."""
+        """R of the QR of [J | r]: each task's triangle, then triangles of FAN triangles, twice over, then here: the driver
+        gets one of every FAN^2 tasks. Keeps cond(J) unsquared."""
         model, which, scale = self.model, self.which, self.scale
         theta = np.asarray(theta, float)
         if self.block is not None:
             r, j, *_ = block_terms(model, theta, *self.block, which, scale)
-            return np.linalg.qr(np.column_stack([j, r]), mode="r")
+            return stacked([np.column_stack([j, r])], len(theta) + 1)
+        width = len(theta) + 1
 
         def run(batches):
-            top = None
+            from pyspark import TaskContext
+
+            top = []
             for b in batches:
                 v = {x: b.column(f"v_{x}").to_numpy() for x in model.variables}
                 r, j, *_ = block_terms(model, theta, v, b.column("y").to_numpy(), b.column("w").to_numpy(), which, scale)
-                m = np.column_stack([j, r])
-                top = np.linalg.qr(m if top is None else np.vstack([top, m]), mode="r")
-            if top is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([top.ravel()], pa.list_(pa.float64()))], ["r"])
+                top = [stacked([*top, np.column_stack([j, r])], width)]
+            if top:
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([top[0].ravel()], pa.list_(pa.float64()))], ["part", "r"])
+
+        def merge(table):
+            rows = [np.array(x).reshape(-1, width) for x in table.column("r").to_pylist()]
+            return pa.table([pa.array([table.column("part")[0].as_py()], pa.int64()), pa.array([stacked(rows, width).ravel()], pa.list_(pa.float64()))], ["part", "r"])
+
+        parts = self.pts.mapInArrow(run, "part long, r array<double>")
+        for _ in range(2):
+            parts = parts.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("part").applyInArrow(merge, "part long, r array<double>")
+        return stacked([np.array(x.r).reshape(-1, width) for x in parts.orderBy("part").collect()], width)
+
+
+def stacked(blocks: list, width: int) -> np.ndarray:
+    """The upper triangle, width x width, of the QR of blocks of rows; a block that is not finite makes it NaN."""
+    m = np.vstack([*blocks, np.zeros((0, width))])
+    if not np.isfinite(m).all():
+        return np.full((width, width), np.nan)
+    r = np.linalg.qr(m, mode="r")
+    return np.vstack([r, np.zeros((width - len(r), width))])
+
+
+class Triangle:
+    """Steps from R of [J | r] in scaled variables, by its singular values, which are those of J and not their squares."""
+
+    def __init__(self, r: np.ndarray, d: np.ndarray, extra: np.ndarray):
+        k = len(d)
+        self.top, self.z = np.vstack([r[:k, :k] * d, np.diag(np.sqrt(extra))]), np.concatenate([r[:k, k], np.zeros(k)])
+        self.g = self.top.T @ self.z
+
+    def times(self, s: np.ndarray) -> np.ndarray:
+        return self.top.T @ (self.top @ s)
+
+    def step(self, radius: float) -> tuple:
+        u, w, v = np.linalg.svd(self.top, full_matrices=False)
+        b = u.T @ self.z
+        keep = w > _EPS * len(w) * w[0]
+        s = np.where(keep, -b / np.where(keep, w, 1.0), 0.0)
+        if np.linalg.norm(s) > radius:  # w b / (w^2 + mu), with mu by bisection on a falling length
+            lo, hi = 0.0, np.linalg.norm(w * b) / radius
+            for _ in range(200):
+                mu = (lo + hi) / 2
+                s = -w * b / (w * w + mu)
+                n = np.linalg.norm(s)
+                if abs(n - radius) <= 1e-9 * radius or hi - lo <= 1e-15 * hi:
+                    break
+                lo, hi = (mu, hi) if n > radius else (lo, mu)
+        s = v.T @ s
+        return s, self.times(s)
 
-        def merge(batches):
-            top = None
-            for b in batches:
-                for x in b.column("r").to_pylist():
-                    m = np.array(x).reshape(-1, len(theta) + 1)
-                    top = np.linalg.qr(m if top is None else np.vstack([top, m]), mode="r")
-            if top is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([top.ravel()], pa.list_(pa.float64()))], ["r"])
-
-        parts = self.pts.mapInArrow(run, "r array<double>").coalesce(16).mapInArrow(merge, "r array<double>").collect()
-        return np.linalg.qr(np.vstack([np.array(x.r).reshape(-1, len(theta) + 1) for x in parts]), mode="r")
+
+@dataclass
+class TriangleState(State):
+    """A State whose steps and covariance come from R of [J | r] rather than from J'J."""
+
+    r: np.ndarray | None = None
+
+    @property
+    def diagonal(self) -> np.ndarray:
+        return np.diag(self.a)
+
+    def quadratic(self, d: np.ndarray, g: np.ndarray, extra: np.ndarray) -> Triangle:
+        return Triangle(self.r, d, extra)
+
+    def inverse(self) -> tuple:
+        """(pseudo-inverse of J'J, rank), by the singular values of R with columns of unit length."""
+        k = len(self.theta)
+        d = np.sqrt(np.maximum(np.diag(self.a), 0))
+        d = np.where(d > 0, d, 1.0)
+        _, w, v = np.linalg.svd(self.r[:k, :k] / d)
+        keep = w > _EPS * k * w[0]
+        return (v[keep].T / w[keep] ** 2) @ v[keep] / np.outer(d, d), int(keep.sum())
+
+
+def condition(state: State) -> float:
+    """Condition of J with columns of unit length, as far as J'J can tell."""
+    d = np.sqrt(np.maximum(np.diag(state.a), 0))
+    lam = np.linalg.eigvalsh(state.a / np.outer(np.where(d > 0, d, 1.0), np.where(d > 0, d, 1.0)))
+    return float(np.sqrt(lam[-1] / lam[0])) if lam[0] > 0 else np.inf
 
 
 def residual_column(model: Model, theta) -> Column:

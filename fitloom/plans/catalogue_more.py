@@ -9,19 +9,20 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
-from ..functions.models import MODELS, formula, safe_divide, safe_exp, safe_log, safe_power, safe_sqrt, turns
+from ..functions.models import MODELS, formula, polynomial, safe_divide, safe_exp, safe_log, safe_power, safe_sqrt, turns
 from ..functions.numeric import Numeric
-from ..operators import diagnose, frame, guard, normal, precision, search, stability, wide
+from ..operators import chunked, diagnose, frame, grouped, guard, normal, precision, search, stability, storage, wide
 from ..operators.fit import curve_fit
 from ..operators.grouped import fit_by_key
 from ..operators.hybrid import hybrid_fit
 from ..sources import writers
-from ..streaming.incremental import Incremental
+from ..streaming.incremental import Incremental, stream_fits, windowed_linear
 from .catalogue import BINS, DECAY, HISTORY, LINE, ORACLE, bins, gauss_newton, history, price_on_quantity, query, read, rnd, values
 from .workflow import batch_summary
 
@@ -363,6 +364,96 @@ def local_peaks_fit(spark, d):
     return t.select(F.col("member").cast("int").alias("member"), "param", rnd("value", 4).alias("value"))
 
 
+# ---- levels of groups, waves of chunks, triangles ----
+
+
+def _level_sql(level: int, flag: str, status: str, by: str) -> str:
+    return f"SELECT {flag} AS l_returnflag, {status} AS l_linestatus, {level}::BIGINT AS level, count(*) AS n, round(regr_slope(l_extendedprice, l_quantity), 4) AS a, round(regr_intercept(l_extendedprice, l_quantity), 4) AS b FROM lineitem{by}"
+
+
+LEVELS = {0: ("l_returnflag", "l_linestatus", " GROUP BY 1, 2"), 1: ("l_returnflag", "NULL", " GROUP BY l_returnflag"), 2: ("NULL", "l_linestatus", " GROUP BY l_linestatus"), 3: ("NULL", "NULL", "")}
+
+
+def _hierarchical(sets):
+    def run(spark, d):
+        g = grouped.hierarchical_fit(read(spark, d, "lineitem"), "linear", "l_quantity", "l_extendedprice", ["l_returnflag", "l_linestatus"], sets)
+        return g.select("l_returnflag", "l_linestatus", "level", "n", rnd(F.col("params")[0], 4).alias("a"), rnd(F.col("params")[1], 4).alias("b"))
+
+    return run
+
+
+for _name, _sets, _levels in (("hierarchical_fit", "rollup", (0, 1, 3)), ("cube_fit", "cube", (0, 1, 2, 3)), ("grouping_sets_fit", [["l_returnflag"], ["l_linestatus"]], (1, 2))):
+    query(" UNION ALL ".join(_level_sql(i, *LEVELS[i]) for i in _levels), _name)(_hierarchical(_sets))
+
+
+@query(fit_sql("exponential_decay_fit", 5))
+def wave_fit(spark, d):
+    """Chunks in waves, each from the estimate that the precision of those before it gives; then all rows, from the merged one."""
+    m, f, _, truth, start = FITS["exponential_decay_fit"]
+    rows = noisy(spark, d, f, truth)
+    w = chunked.wave_fits(rows, m, "x", "y", F.col("l_orderkey") % 12, start, waves=3)
+    return three(spark, curve_fit(rows, m, "x", "y", p0=w.theta, local_rows=0, **TIGHT).popt, 5)
+
+
+_CHEBYSHEV = "128*power(u, 8) - 256*power(u, 6) + 160*power(u, 4) - 32*power(u, 2) + 1"
+
+
+@query(f"""WITH m AS (SELECT avg(l_extendedprice) / 1e4 AS m FROM lineitem)
+ SELECT l_quantity + 50 AS x, round(m * ({_CHEBYSHEV}), 3) + 0.0 AS y_hat, round(128 * m, 3) AS leading FROM (SELECT DISTINCT l_quantity, (l_quantity - 25.5) / 24.5 AS u FROM lineitem), m""")
+def triangle_polynomial_fit(spark, d):
+    """Degree 8 in uncentred quantities: a tree of triangles holds what J'J, whose condition is beyond 1e16, does not."""
+    rows = read(spark, d, "lineitem").select((F.col("l_quantity") + 50).alias("x"), ((F.col("l_quantity") - 25.5) / 24.5).alias("u"))
+    m = read(spark, d, "lineitem").agg(F.avg("l_extendedprice") / 1e4).first()[0]
+    fit = curve_fit(rows.withColumn("y", m * F.expr(_CHEBYSHEV)), polynomial(8), "x", "y", solver="auto", local_rows=0)
+    seen = rows.select("x").distinct().withColumn("v_x", F.col("x"))
+    leading = F.lit(float(fit.popt[0] * 24.5**8))
+    return seen.select("x", (rnd(fit.model.column(fit.popt, {"x": "v_x"}), 3) + 0.0).alias("y_hat"), rnd(leading, 3).alias("leading"))
+
+
+# ---- streams ----
+
+#: Rows arrive in six batches by time, one in seven of them three batches late; windows close two days after their end.
+ARRIVAL = "least(floor((epoch(ts) - epoch(t0)) / (epoch(t1) - epoch(t0) + 1) * 5), 4) + CASE WHEN event_id % 7 = 0 THEN 3 ELSE 0 END"
+
+
+@query(f"""WITH s AS (SELECT min(ts) AS t0, max(ts) AS t1 FROM events), e AS (SELECT events.*, ({ARRIVAL})::INT AS b FROM events, s), m AS (SELECT b, max(ts) AS top FROM e GROUP BY b),
+ w AS (SELECT b.b, date_trunc('milliseconds', (SELECT max(top) FROM m WHERE m.b < b.b - 1)) - INTERVAL 2 DAY AS mark FROM (SELECT DISTINCT b FROM e) b), k AS (SELECT e.* FROM e JOIN w ON e.b = w.b WHERE w.mark IS NULL OR date_trunc('day', ts) + INTERVAL 1 DAY > w.mark)
+ SELECT date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS n, round(regr_slope(value, hour(ts)), 6) AS slope FROM k, s WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= date_trunc('milliseconds', t1) - INTERVAL 2 DAY GROUP BY 1""")
+def late_rows_fit(spark, d):
+    """A fit per day on a stream in append mode: rows that come after their window was closed are dropped, windows
+    that the watermark has not passed are not given out."""
+    base = storage.scratch_dir(spark) + f"/late-{uuid.uuid4().hex}"
+    e = read(spark, d, "events")
+    at = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")
+    e = e.withColumn("hour", F.hour("ts")).withColumn("at", F.timestamp_micros(at))  # watermarks need instants; these are days of any zone
+    t0, t1 = e.agg(F.min(at), F.max(at)).first()
+    step = F.least(F.floor((at - t0) / (t1 - t0 + 1_000_000) * 5), F.lit(4))
+    e = e.withColumn("b", (step + F.when(F.col("event_id") % 7 == 0, 3).otherwise(0)).cast("int"))
+    for b in range(8):  # files in the order of their arrival
+        e.filter(F.col("b") == b).drop("b").coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(e.drop("b").schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    fits = windowed_linear(stream, "at", "hour", "value", "1 day", late="2 days")
+    q = fits.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/check").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    out = spark.read.schema("window struct<start:timestamp,end:timestamp>, slope double, intercept double, n long").parquet(f"{base}/out")
+    return out.select(F.expr("timestampadd(MICROSECOND, unix_micros(window.start), TIMESTAMP_NTZ '1970-01-01 00:00:00')").alias("day"), "n", rnd("slope").alias("slope"))
+
+
+@query("SELECT event_type, count(*) AS n, round(regr_slope(value, hour(ts)), 6) AS a, round(regr_intercept(value, hour(ts)), 6) AS b FROM events GROUP BY 1")
+def durable_stream_fit(spark, d):
+    """A fit per type whose sums live in Spark's state store; the query is stopped after half of the rows, and started again."""
+    base = storage.scratch_dir(spark) + f"/durable-{uuid.uuid4().hex}"
+    e = read(spark, d, "events")
+    for half in (0, 1):
+        e.filter(F.col("event_id") % 2 == half).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(e.schema).parquet(f"{base}/in").withColumn("hour", F.hour("ts"))
+        fits = stream_fits(stream, "linear", "hour", "value", ["event_type"])
+        keep = lambda batch, i, half=half: batch.write.mode("overwrite").parquet(f"{base}/out{half}")
+        fits.writeStream.foreachBatch(keep).outputMode("complete").option("checkpointLocation", f"{base}/check").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema("event_type string, n long, success boolean, params array<double>, ssr double").parquet(f"{base}/out1")
+    return out.select("event_type", "n", rnd(F.col("params")[0]).alias("a"), rnd(F.col("params")[1]).alias("b"))
+
+
 # ---- searches ----
 
 SIXTEEN = [(100.0 * (i + 1), 0.01 * (j + 1)) for i in range(4) for j in range(4)]

@@ -56,6 +56,19 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return stage(df.withColumn(ROW, F.monotonically_increasing_id()), name)
 
 
+def set_aside(df: DataFrame, name: str, needed: tuple) -> tuple:
+    """(rows, view): df written once under names that no column of ours has, with ROW, and its columns `needed` by their
+    own names, with ROW. given_back() restores rows."""
+    names = [f"u{i}" for i in range(len(df.columns))]
+    rows = numbered(df.toDF(*names), name)
+    at = dict(zip(df.columns, names))
+    return rows, rows.select(ROW, *(F.col(at[c]).alias(c) for c in needed))
+
+
+def given_back(rows: DataFrame, columns: list) -> DataFrame:
+    return rows.select(*(f"u{i}" for i in range(len(columns)))).toDF(*columns)
+
+
 def sample_by_hash(df: DataFrame, h: Column, most: int) -> DataFrame:
     """About `most` rows (all, if there are no more), those with the least hash: a filter, no sort.
 

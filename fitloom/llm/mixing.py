@@ -10,7 +10,7 @@ still lacks.
 
 Nulls: a null text has size 0 and takes nothing; a null source is a source of its own, last in order.
 Repeated rows are mixed each on its own; documents of one size (ties) share a rate and take their copies in
-the order of their ids. A very long text is one size among others, at most `cap` times its own. An empty
+the order of their ids, then of a hash of their texts, then of rows that are equal in both. A very long text is one size among others, at most `cap` times its own. An empty
 table gives no rows. Columns besides id, text and
 source are ignored.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ROW, WORD, numbered, read, stage
+from .common import ROW, WORD, given_back, numbered, read, set_aside, stage
 
 CAP = 3.0
 SALTS, RUN = 16, 1 << 20
@@ -32,8 +32,8 @@ WEIGHTS = (1, 2, 3)
 
 
 def sized(docs: DataFrame, *more) -> DataFrame:
-    """doc_id, source, size (the number of words of the whole text) and the columns `more`."""
-    return docs.select("doc_id", "source", *more, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    """doc_id, source, size (the number of words of the whole text), a hash of the text and the columns `more`."""
+    return docs.select("doc_id", "source", *more, F.xxhash64("text").alias(TEXT), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
 def targets(sizes: dict, weights: dict, cap: float = CAP) -> dict:
@@ -115,24 +115,35 @@ def solve(classes: DataFrame, want: dict, size: dict, mean: dict, cap: float, ro
     return out
 
 
+TEXT = "_text"
+
+
 def salted(rows: DataFrame) -> DataFrame:
-    """Deal the documents of one source and size out: in SALTS parts, or in more where these would hold over RUN rows."""
+    """Deal the documents of one source and size out by id and text: in SALTS parts, or in more where these would hold
+    over RUN rows. Parts that still hold more than twice as many, rows that are equal in both, are dealt by row."""
     salts = F.lit(SALTS)
     many = rows.groupBy("source", "size").agg(F.count("*").alias("n")).filter(F.col("n") > SALTS * RUN).collect()  # rows / (SALTS x RUN) at most
     if many:
         table = by_source(rows.sparkSession, [(r.source, r.size, -(-r.n // RUN)) for r in many], "_z long, _n long")
         rows = rows.join(sent(table.withColumnRenamed("source", "_s"), table.few), same("source", "_s") & (F.col("size") == F.col("_z")), "left").drop("_s", "_z")
         salts = F.coalesce("_n", F.lit(SALTS))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), salts).cast("long")).drop("_n")
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", TEXT), salts).cast("long")).drop("_n")
+    equal = rows.groupBy("source", "size", "salt").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * RUN).collect()  # rows / (2 x RUN) at most
+    if equal:
+        table = rows.sparkSession.createDataFrame([(r.source, r.size, r.salt, -(-r.n // RUN)) for r in equal], "_s string, _z long, _t long, _n long")
+        rows = rows.join(sent(table, len(equal) <= FEW), same("source", "_s") & (F.col("size") == F.col("_z")) & (F.col("salt") == F.col("_t")), "left")
+        part = F.shiftleft(F.pmod(F.xxhash64(ROW), F.coalesce("_n", F.lit(1))), 32)
+        rows = rows.withColumn("salt", F.col("salt") + part).drop("_s", "_z", "_t", "_n")
+    return rows
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies and taken for every row of docs."""
-    return assign(stage(sized(docs), "mix-sizes"), weights, cap)
+    return assign(numbered(sized(docs), "mix-sizes"), weights, cap).drop(ROW)
 
 
 def assign(rows: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
-    """mix() for rows of doc_id, source and size (other columns are kept) read from a written table."""
+    """mix() for rows of sized() with ROW (other columns are kept) read from a written table."""
     spark = rows.sparkSession
     rows = salted(rows)
     classes = stage(rows.groupBy("source", "size", "salt").agg(F.count("*").alias("n")), "mix-classes")
@@ -157,14 +168,14 @@ def assign(rows: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
     run = W.partitionBy("source").orderBy(F.desc("size"), "salt").rowsBetween(W.unboundedPreceding, -1)
     edges = on_source(classes, table).withColumn("rate", rate).withColumn("before", F.coalesce(F.sum(F.col("n") * F.col("rate")).over(run), F.lit(0.0)))
     edges = stage(edges.select("source", "size", "salt", "rate", "before", "source_size", "target"), "mix-edges")
-    rank = W.partitionBy("source", "size", "salt").orderBy("doc_id")
+    rank = W.partitionBy("source", "size", "salt").orderBy("doc_id", TEXT, ROW)
     ranked = rows.withColumn("k", F.row_number().over(rank))
     e = edges.select(F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("salt").alias("_t"), "rate", "before", "source_size", "target")
     placed = ranked.join(e, same("source", "_s") & (F.col("size") == F.col("_z")) & (F.col("salt") == F.col("_t")))
     at = lambda k: F.floor(F.col("before") + k * F.col("rate") + F.lit(0.5))
     copies = F.least(top, at(F.col("k")) - at(F.col("k") - 1)).cast("long")
     out = placed.drop("_s", "_z", "_t").withColumn("copies", copies)
-    return repair(stage(out, "mix-copies"), want, int(cap), REPAIRS).drop("salt", "k", "before").withColumn("taken", F.col("copies") * F.col("size"))
+    return repair(stage(out, "mix-copies"), want, int(cap), REPAIRS).drop("salt", "k", "before", TEXT).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def lacking(rows: DataFrame, want: dict) -> dict:
@@ -255,10 +266,10 @@ def mixed_rows(docs: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
     """The mix itself: every row of docs as often as its copies say.
 
     Rows are told apart by a number of their own, so equal rows and rows without an id are copied each on
-    its own. Null and empty texts have size 0 and go; one very long text is at most `cap` times its size.
+    its own; columns may have any names. Null and empty texts have size 0 and go; one very long text is at most `cap` times its size.
     """
-    rows = numbered(docs, "mix-rows")
-    sizes = stage(sized(rows, ROW), "mix-sizes")
+    rows, view = set_aside(docs, "mix-rows", ("doc_id", "source", "text"))
+    sizes = stage(sized(view, ROW), "mix-sizes")
     copies = assign(sizes, weights, cap).filter("copies > 0").select(ROW, F.col("copies").alias("_n"))
     out = rows.join(copies, ROW)
-    return out.withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).select(*docs.columns)
+    return given_back(out.withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))), docs.columns)

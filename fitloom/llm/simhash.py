@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, numbered, partitions, read, stage, unstage
+from .common import ROW, given_back, partitions, read, set_aside, stage, unstage
 
 #: The Golay code's generator polynomial, x^11+x^10+x^6+x^5+x^4+x^2+1.
 GENERATOR = 0b110001110101
@@ -279,11 +279,12 @@ def representatives(docs: DataFrame, shingle: int = 4, most: int = MAX_BITS) ->
     """Of each component one row of docs: that with the smallest doc_id; of those with one id, or without any, the first.
 
     Decided by row, so rows that share an id but not a component stay. Wordless texts are one component.
+    Columns may have any names.
     """
-    rows = numbered(docs, "simhash-rows")
-    found = near_duplicates(rows, shingle, most, (ROW,))
+    rows, view = set_aside(docs, "simhash-rows", ("doc_id", "text"))
+    found = near_duplicates(view, shingle, most, (ROW,))
     chosen = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("c")).select(F.col(f"c.{ROW}").alias(ROW))
-    return rows.join(chosen, ROW, "left_semi").select(*docs.columns)
+    return given_back(rows.join(chosen, ROW, "left_semi"), docs.columns)
 
 
 def op3_simhash(spark, sf_dir) -> DataFrame:

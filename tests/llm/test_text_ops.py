@@ -582,6 +582,35 @@ def test_packing_is_best_fit(spark):
 # ---- mixing ----
 
 
+CLASHING = "doc_id long, text string, source string, _n long, _c long, _row long, _s string, component string, fp long, salt long, k int, u0 int, _text string"
+
+
+def clashing(spark, n=80):
+    r = random.Random(3)
+    data = [(None if i % 2 else i // 4, words(r, 3 + i % 3) if i % 5 else "the same text again and again", f"s{i % 2}", i, -i, 7 * i, "x", "y", 1, 2, 3, 4, "z") for i in range(n)]
+    return spark.createDataFrame(data, CLASHING), data
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    df, data = clashing(spark)
+    kept = simhash.representatives(df)
+    assert kept.columns == df.columns and {tuple(r) for r in kept.collect()} <= set(data) and kept.count() == 65
+    mixed = mixing.mixed_rows(df)
+    assert mixed.columns == df.columns and {tuple(r) for r in mixed.collect()} <= set(data)
+
+
+@pytest.mark.parametrize("run", [1 << 20, 4])
+def test_rows_without_ids_are_dealt_out_and_mixed_alike_again(spark, run, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN", run)
+    monkeypatch.setattr(mixing, "SALTS", 2)
+    data = [(None, f"word {i % 7} and {i % 3} more", "a", 0) for i in range(120)] + [(5, "one text for all", "b", 0)] * 90
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, x int").repartition(6, "text")
+    dealt = mixing.salted(common.numbered(mixing.sized(df), "test-mix")).groupBy("salt").count().collect()
+    assert run > 4 or max(r["count"] for r in dealt) < 40  # no part holds all equal rows
+    one, two = (collections.Counter(r.text for r in mixing.mixed_rows(df).collect()) for _ in range(2))
+    assert one == two and abs(sum(n * len(t.split()) for t, n in one.items()) - (120 * 5 + 90 * 4)) <= 10
+
+
 def test_targets_share_the_excess():
     got = mixing.targets({"a": 10, "b": 1000, "c": 1000}, {"a": 3, "b": 1, "c": 2})
     assert got["a"] == 30 and math.isclose(sum(got.values()), 2010) and math.isclose(got["c"], 2 * got["b"])

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.models import Model, named, summary
 from ..functions.special import t_quantile
 from . import frame, normal, precision, solve
+from .storage import Log
 
 
 def covariance(state, absolute: bool = False) -> tuple:
@@ -196,11 +197,12 @@ def curve_fit(
     return_eval: bool = False,
     timeit: bool = False,
     solver: str = "normal",
+    log: str | None = None,
 ):
     """A FitResult, or with full_output its full(), with return_eval its evaluated(); timeit adds the seconds the
     fit took as the last of those. Other options as in fitted()."""
     began = time.perf_counter()
-    found = fitted(df, model, x, y, sigma, p0, bounds, loss, f_scale, absolute_sigma, nan_policy, mask, order, ftol, xtol, gtol, max_nfev, callback, local_rows, auto_bounds, solver)
+    found = fitted(df, model, x, y, sigma, p0, bounds, loss, f_scale, absolute_sigma, nan_policy, mask, order, ftol, xtol, gtol, max_nfev, callback, local_rows, auto_bounds, solver, log)
     if not (full_output or return_eval or timeit):
         return found
     out = found.full() if full_output else found.evaluated() if return_eval else tuple(found)
@@ -209,7 +211,7 @@ def curve_fit(
 
 def fitted(
     df: DataFrame, model, x, y: str, sigma=None, p0=None, bounds=None, loss="linear", f_scale: float = 1.0, absolute_sigma: bool = False, nan_policy: str = "raise", mask=None, order=None,
-    ftol: float = 1e-10, xtol: float = 1e-10, gtol: float = 1e-10, max_nfev=None, callback=None, local_rows: int = normal.LOCAL_ROWS, auto_bounds: bool = False, solver: str = "normal",
+    ftol: float = 1e-10, xtol: float = 1e-10, gtol: float = 1e-10, max_nfev=None, callback=None, local_rows: int = normal.LOCAL_ROWS, auto_bounds: bool = False, solver: str = "normal", log: str | None = None,
 ) -> FitResult:
     """Fit `model` (a Model, a numeric model, a registered name or a formula) to columns of df.
 
@@ -219,17 +221,19 @@ def fitted(
     mean. local_rows: up to so many rows are fetched once and summed on the driver; more stay where
     they are. solver: "normal" steps from J'J; "qr" from a tree of triangles of J, which keeps twice the digits at
     one more pass per step; "auto" takes qr once the condition of J is beyond 1e6.
+    log: a shared folder that keeps every evaluation; a fit that was stopped goes on from it.
     """
     if solver not in ("normal", "qr", "auto"):
         raise ValueError(f"unknown solver {solver}")
     model = named(model)
     roles = frame.Roles.of(x, y, model.variables, sigma=sigma, mask=mask, order=order)
     free = bounds is None and not np.isfinite(np.concatenate(model.limits())).any()
-    if solver == "normal" and model.linear and loss == "linear" and free and p0 is None and callback is None and not auto_bounds and model.expr is not None and len(model.params) <= normal.SQL_WIDTH:
+    if solver == "normal" and log is None and model.linear and loss == "linear" and free and p0 is None and callback is None and not auto_bounds and model.expr is not None and len(model.params) <= normal.SQL_WIDTH:
         return linear_fit(df, model, roles, nan_policy, absolute_sigma)
     pts = frame.points(df, roles, nan_policy)
     lo, hi = model.limits() if bounds is None else (np.broadcast_to(np.asarray(b, float), len(model.params)).copy() for b in bounds)
     problem = normal.Problem(pts, model, loss, f_scale, local_rows, solver)
+    problem = problem if log is None else normal.Logged(problem, Log(df.sparkSession, log))
     try:
         curve = frame.curve(pts, model.variables[0])
         if isinstance(p0, str) and p0 == "auto" and model.start is None:

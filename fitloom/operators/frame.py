@@ -5,8 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .storage import written
+
 
 @dataclass(frozen=True)
 class Roles:
@@ -123,10 +126,8 @@ def quantiles(df: DataFrame, value: Column, shares: list, collect: int = 10_000)
 
 def ranked_rows(df: DataFrame, order: list) -> DataFrame:
     """df with `_rank` (from 0) by `order`: rows are numbered inside range partitions, and each partition from the
-    sum of the counts before it (a row per partition). Rows are kept on disk between the two looks."""
-    from pyspark import StorageLevel
-
-    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
+    sum of the counts before it (a row per partition). The numbered rows are written once to the shared folder."""
+    dealt = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), "ranked")
     part = F.shiftrightunsigned("_id", 33)
     total, bases = 0, []
     for r in dealt.groupBy(part.alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect():
@@ -137,6 +138,28 @@ def ranked_rows(df: DataFrame, order: list) -> DataFrame:
     return dealt.join(F.broadcast(table), part == F.col("_p")).withColumn("_rank", F.col("_base") + place).drop("_id", "_p", "_base")
 
 
+def lagged(df: DataFrame, order: list, columns: list, lags: int, keys: tuple = (), block: int = 100_000) -> DataFrame:
+    """df with <column>_1 ... <column>_<lags>, of the rows before it by `order` within its keys (null where there are
+    none), and `_t`, how many of those there are.
+
+    Rows are ranked by range partitions and cut into blocks of `block` ranks; the last rows of a block also go to
+    the next one, as its halo. So each window holds a block, and one long series needs no task of its own."""
+    ranks = ranked_rows(df, [*(F.col(k) for k in keys), *order])
+    own = F.floor(F.col("_rank") / block)
+    near = F.when((F.col("_rank") % block >= block - lags), F.array(own, own + 1)).otherwise(F.array(own))
+    rows = ranks.withColumn("_block", F.explode(near))
+    w = W.partitionBy("_block").orderBy("_rank")
+    back = lambda c, i: F.lag(c, i).over(w)
+    for i in range(1, lags + 1):
+        same = back("_rank", i).isNotNull()
+        for k in keys:
+            same = same & back(F.col(k), i).eqNullSafe(F.col(k))
+        rows = rows.withColumn(f"_same{i}", same)
+    rows = rows.select("*", *(F.when(F.col(f"_same{i}"), back(c, i)).alias(f"{c}_{i}") for c in columns for i in range(1, lags + 1)))
+    seen = sum((F.col(f"_same{i}").cast("int") for i in range(1, lags + 1)), F.lit(0))
+    return rows.filter(F.col("_block") == own).withColumn("_t", seen).drop("_block", "_rank", *(f"_same{i}" for i in range(1, lags + 1)))
+
+
 def iqr_outliers(df: DataFrame, column: str, k: float = 3.0) -> DataFrame:
     """Rows outside [q1 - k iqr, q3 + k iqr]; exact interpolated quartiles."""
     q1, q3 = quantiles(df, F.col(column), [0.25, 0.75])

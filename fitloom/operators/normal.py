@@ -242,6 +242,39 @@ class Triangle:
         return s, self.times(s)
 
 
+class Logged:
+    """A Problem whose evaluations go through a storage.Log."""
+
+    def __init__(self, problem: Problem, log):
+        self.problem, self.log = problem, log
+
+    def close(self) -> None:
+        self.problem.close()
+
+    @staticmethod
+    def packed(s: State) -> dict:
+        more = {"r": s.r.tolist()} if isinstance(s, TriangleState) else {}
+        return {"theta": s.theta.tolist(), "cost": float(s.cost), "g": s.g.tolist(), "a": s.a.tolist(), "n": int(s.n), "bad": int(s.bad), "ssr": float(s.ssr)} | more
+
+    @staticmethod
+    def unpacked(e: dict) -> State:
+        make = TriangleState if "r" in e else State
+        return make(**{k: np.array(v, float) if isinstance(v, list) else v for k, v in e.items()})
+
+    def __call__(self, theta) -> State:
+        asked = np.asarray(theta, float).tolist()
+        return self.unpacked(self.log.answer("point", asked, lambda: self.packed(self.problem(theta))))
+
+    def population(self, thetas: dict) -> dict:
+        keys, asked = list(thetas), [np.asarray(t, float).tolist() for t in thetas.values()]
+
+        def compute():
+            found = self.problem.population(thetas)
+            return [self.packed(found[k]) for k in keys]
+
+        return dict(zip(keys, map(self.unpacked, self.log.answer("points", asked, compute))))
+
+
 @dataclass
 class TriangleState(State):
     """A State whose steps and covariance come from R of [J | r] rather than from J'J."""

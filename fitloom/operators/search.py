@@ -15,6 +15,7 @@ from ..functions.losses import loss
 from ..functions.models import Model, named
 from . import frame, normal, solve
 from .fit import FitResult, covariance
+from .storage import Log
 
 PRIMES = (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37, 41, 43, 47, 53, 59, 61, 67, 71)
 #: Joe and Kuo's primitive polynomials (degree, coefficients) and initial direction numbers.
@@ -156,16 +157,28 @@ class Setup:
     hi: np.ndarray
     block: tuple | None = None
     local_rows: int = normal.LOCAL_ROWS
+    log: Log | None = None
+
+    def logged(self, kind: str, thetas: np.ndarray, compute) -> np.ndarray:
+        return compute() if self.log is None else np.array(self.log.answer(kind, np.asarray(thetas, float).tolist(), lambda: compute().tolist()), float)
+
+    def problem(self, which="linear", scale: float = 1.0):
+        found = normal.Problem(self.pts, self.model, which, scale, self.local_rows)
+        return found if self.log is None else normal.Logged(found, self.log)
 
     def costs(self, thetas: np.ndarray, which="linear", scale: float = 1.0) -> np.ndarray:
         """Costs of a population: here if the points are few, else one job."""
+        return self.logged("costs", thetas, lambda: self.costs_now(thetas, which, scale))
+
+    def costs_now(self, thetas: np.ndarray, which, scale: float) -> np.ndarray:
         if self.block is None:
             return population_costs(self.pts, self.model, thetas, which, scale)[:, 0]
         c = block_costs(self.model, thetas, *self.block, which, scale)[:, 0]
         return np.where(np.isfinite(c), c, np.inf)
 
 
-def prepared(df, model, x, y, bounds, sigma, nan_policy, local_rows: int = normal.LOCAL_ROWS) -> Setup:
+def prepared(df, model, x, y, bounds, sigma, nan_policy, local_rows: int = normal.LOCAL_ROWS, log: str | None = None) -> Setup:
+    """log: a folder shared by driver and executors; a search that is stopped and started again with it goes on from there."""
     model = named(model)
     pts = frame.points(df, frame.Roles.of(x, y, model.variables, sigma=sigma), nan_policy)
     lo, hi = (np.broadcast_to(np.asarray(b, float), len(model.params)).copy() for b in bounds)
@@ -175,12 +188,12 @@ def prepared(df, model, x, y, bounds, sigma, nan_policy, local_rows: int = norma
     t = pts.limit(local_rows + 1).toPandas() if local_rows else None
     if t is not None and len(t) <= local_rows:
         block = {v: t[f"v_{v}"].to_numpy(float) for v in model.variables}, t["y"].to_numpy(float), t["w"].to_numpy(float)
-    return Setup(model, pts, lo, hi, block, local_rows)
+    return Setup(model, pts, lo, hi, block, local_rows, None if log is None else Log(df.sparkSession, log))
 
 
 def finish(s: Setup, theta: np.ndarray, which, f_scale: float, nfev: int = 0) -> FitResult:
     """Local fit from the best candidate."""
-    problem = normal.Problem(s.pts, s.model, which, f_scale, s.local_rows)
+    problem = s.problem(which, f_scale)
     try:
         out = solve.minimise(problem, theta, s.lo, s.hi)
     finally:
@@ -189,16 +202,16 @@ def finish(s: Setup, theta: np.ndarray, which, f_scale: float, nfev: int = 0) ->
     return FitResult(s.model, out.theta, covariance(out.state)[0], out, s.pts)
 
 
-def multi_start(df, model, x, y, bounds, n_starts: int = 20, sampler: str = "lhs", p0=None, keep: int | None = None, sigma=None, which="linear", f_scale: float = 1.0, seed: int = 0, nan_policy="raise", local_rows: int = normal.LOCAL_ROWS) -> FitResult:
+def multi_start(df, model, x, y, bounds, n_starts: int = 20, sampler: str = "lhs", p0=None, keep: int | None = None, sigma=None, which="linear", f_scale: float = 1.0, seed: int = 0, nan_policy="raise", local_rows: int = normal.LOCAL_ROWS, log: str | None = None) -> FitResult:
     """Every start is fitted and the best fit is returned. The fits advance together, one job a round for all that
     are still on their way. keep: fit only so many starts, those of least cost; None fits all."""
-    s = prepared(df, model, x, y, bounds, sigma, nan_policy, local_rows)
+    s = prepared(df, model, x, y, bounds, sigma, nan_policy, local_rows, log)
     thetas = scaled(SAMPLERS[sampler](n_starts, len(s.lo), seed=seed), s.lo, s.hi)
     if p0 is not None:
         thetas = np.vstack([np.clip(p0, s.lo, s.hi), thetas])
     if keep is not None:
         thetas = thetas[np.argsort(s.costs(thetas, which, f_scale), kind="stable")[:keep]]
-    problem = normal.Problem(s.pts, s.model, which, f_scale, local_rows)
+    problem = s.problem(which, f_scale)
     try:
         found = solve.lockstep(problem.population, {i: solve.iterate(t, s.lo, s.hi) for i, t in enumerate(thetas)})
     finally:
@@ -211,13 +224,13 @@ def multi_start(df, model, x, y, bounds, n_starts: int = 20, sampler: str = "lhs
     return FitResult(s.model, out.theta, covariance(out.state)[0], out, s.pts)
 
 
-def tournament(df, model, x, y, bounds, n_candidates: int = 64, rounds: int = 4, drop: float = 0.5, batches: int = 8, sampler: str = "halton", sigma=None, seed: int = 0, nan_policy="raise", local_rows: int = normal.LOCAL_ROWS) -> tuple:
+def tournament(df, model, x, y, bounds, n_candidates: int = 64, rounds: int = 4, drop: float = 0.5, batches: int = 8, sampler: str = "halton", sigma=None, seed: int = 0, nan_policy="raise", local_rows: int = normal.LOCAL_ROWS, log: str | None = None) -> tuple:
     """(fit, survivors per round): each round costs the candidates on a further batch of rows and drops the worst."""
-    s = prepared(df, model, x, y, bounds, sigma, nan_policy, local_rows)
+    s = prepared(df, model, x, y, bounds, sigma, nan_policy, local_rows, log)
     alive = scaled(SAMPLERS[sampler](n_candidates, len(s.lo), seed=seed), s.lo, s.hi)
     total, history = np.zeros((len(alive), 2)), []
     for r in range(rounds):
-        total += population_costs(s.pts, s.model, alive, batch=(r % batches, batches))
+        total += s.logged(f"batch {r}", alive, lambda alive=alive, r=r: population_costs(s.pts, s.model, alive, batch=(r % batches, batches)))
         mean = np.where(np.isfinite(total[:, 0]), total[:, 0] / np.maximum(total[:, 1], 1), np.inf)
         keep = np.sort(np.argsort(mean, kind="stable")[: max(1, len(alive) - math.floor(drop * len(alive)))])
         alive, total = alive[keep], total[keep]
@@ -286,14 +299,15 @@ class CMA:
 PRESETS = {"fast": (60, 0), "default": (120, 2), "global": (200, 9)}
 
 
-def cma_es(df, model, x, y, bounds, p0=None, preset: str = "default", size: int | None = None, tol_x: float = 1e-8, tol_f: float = 1e-12, sigma=None, seed: int = 0, refine: bool = True, nan_policy="raise", local_rows: int = normal.LOCAL_ROWS) -> FitResult:
+def cma_es(df, model, x, y, bounds, p0=None, preset: str = "default", size: int | None = None, tol_x: float = 1e-8, tol_f: float = 1e-12, sigma=None, seed: int = 0, refine: bool = True, nan_policy="raise", local_rows: int = normal.LOCAL_ROWS, log: str | None = None, callback=None) -> FitResult:
     """CMA-ES over the logits of bounded parameters, one job a generation, restarted with alternately doubled
-    and small populations; the best point is refined by the local solver."""
-    s = prepared(df, model, x, y, bounds, sigma, nan_policy, local_rows)
+    and small populations; the best point is refined by the local solver. callback(generations, best cost) is told
+    after each generation; what it raises ends the search, and with a log the next one goes on from there."""
+    s = prepared(df, model, x, y, bounds, sigma, nan_policy, local_rows, log)
     generations, restarts = PRESETS[preset]
     rng, k = np.random.default_rng(seed), len(s.lo)
     base = size or 4 + int(3 * math.log(k))
-    best, best_cost, nfev, large = None, np.inf, 0, base
+    best, best_cost, nfev, large, turns = None, np.inf, 0, base, 0
     for run in range(restarts + 1):
         n = base if run == 0 else large if run % 2 else max(4, int(base * (0.5 * large / base) ** (rng.random() ** 2)))
         if run % 2:
@@ -311,6 +325,9 @@ def cma_es(df, model, x, y, bounds, p0=None, preset: str = "default", size: int
             i = int(np.argmin(costs))
             if costs[i] < best_cost:
                 best, best_cost = thetas[i], costs[i]
+            turns += 1
+            if callback:
+                callback(turns, best_cost)
             ok = costs[np.isfinite(costs)]
             flat = flat + 1 if len(ok) and np.ptp(ok) <= tol_f * max(1, abs(ok.min())) else 0
             if flat >= 5 or es.sigma * es.d.max() < tol_x:
@@ -322,7 +339,7 @@ def cma_es(df, model, x, y, bounds, p0=None, preset: str = "default", size: int
             return finish(s, best, "linear", 1.0, nfev)
         except ValueError:
             pass
-    state = normal.Problem(s.pts, s.model, local_rows=local_rows)(best)
+    state = s.problem()(best)
     out = solve.Outcome(best, state, 0, nfev, 0, float(np.abs(state.g).max()))
     return FitResult(s.model, best, np.diag(np.full(k, math.inf)), out, s.pts)
 
@@ -331,3 +348,44 @@ def method(lo, hi, ratio: float = 1000.0) -> str:
     """cma_es if the bounds' widths differ beyond ratio, else multi_start."""
     w = np.asarray(hi, float) - np.asarray(lo, float)
     return "cma_es" if w.max() > ratio * w.min() else "multi_start"
+
+
+# ---- grids from SQL ----
+
+
+def register_grid(spark, name: str, model, thetas: np.ndarray, which="linear", scale: float = 1.0) -> None:
+    """Register a table function: SELECT candidate, sum(cost), sum(n) FROM <name>(TABLE(points)) GROUP BY candidate, for
+    points with the model's variables, y and, if the errors differ, w.
+
+    Each task sums its partition of the table in blocks and gives one row per candidate, so no row is multiplied and
+    the shuffle holds candidates x tasks rows. Rows with a null count for nothing."""
+    from pyspark.sql.functions import udtf
+
+    model, thetas = named(model), np.asarray(thetas, float)
+
+    @udtf(returnType="candidate int, cost double, n long")
+    class Costs:
+        def __init__(self):
+            self.rows, self.total, self.seen = [], np.zeros((len(thetas), 2)), False
+
+        def eval(self, row):
+            self.seen = True
+            values = [row[v] for v in model.variables] + [row["y"], row["w"] if "w" in row else 1.0]
+            if None not in values:
+                self.rows.append(values)
+            if len(self.rows) >= 8192:
+                self.add()
+
+        def add(self):
+            if self.rows:
+                m = np.array(self.rows, float)
+                self.total += block_costs(model, thetas, dict(zip(model.variables, m.T)), m[:, -2], m[:, -1], which, scale)
+                self.rows = []
+
+        def terminate(self):
+            self.add()
+            if self.seen:  # Spark has no row to join what an empty partition gives
+                for i, (cost, n) in enumerate(self.total.tolist()):
+                    yield i, cost, int(n)
+
+    spark.udtf.register(name, Costs)

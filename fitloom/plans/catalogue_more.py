@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 from ..functions import expr as E
 from ..functions.models import MODELS, formula, polynomial, safe_divide, safe_exp, safe_log, safe_power, safe_sqrt, turns
 from ..functions.numeric import Numeric
-from ..operators import chunked, diagnose, frame, grouped, guard, normal, precision, search, stability, storage, wide
+from ..operators import chunked, correlated, diagnose, frame, grouped, guard, normal, precision, search, stability, storage, wide
 from ..operators.fit import curve_fit
 from ..operators.grouped import fit_by_key
 from ..operators.hybrid import hybrid_fit
-from ..sources import writers
+from ..sources import arrays, writers
 from ..streaming.incremental import Incremental, stream_fits, windowed_linear
-from .catalogue import BINS, DECAY, HISTORY, LINE, ORACLE, bins, gauss_newton, history, price_on_quantity, query, read, rnd, values
+from .catalogue import BINS, DECAY, GRID, HISTORY, LINE, ORACLE, bins, gauss_newton, history, price_on_quantity, query, read, rnd, values
 from .workflow import batch_summary
 
 # ---- the model library: mean value and mean derivatives over lineitem ----
@@ -410,6 +410,72 @@ def triangle_polynomial_fit(spark, d):
     return seen.select("x", (rnd(fit.model.column(fit.popt, {"x": "v_x"}), 3) + 0.0).alias("y_hat"), rnd(leading, 3).alias("leading"))
 
 
+# ---- arrays, series, grids from SQL ----
+
+
+@query("SELECT count(*) AS n, round(sum(l_quantity), 2) AS q, round(sum(l_extendedprice), 2) AS p, round(sum(l_quantity * l_extendedprice), 0) AS qp FROM lineitem")
+def arrays_there_and_back(spark, d):
+    """lineitem written as numpy archives and read again by ranges of elements."""
+    base = storage.scratch_dir(spark) + f"/arrays-{uuid.uuid4().hex}"
+    arrays.write_arrays(read(spark, d, "lineitem").select("l_quantity", "l_extendedprice"), base, 200_000)
+    t = arrays.read_arrays(spark, base, {"q": "l_quantity", "p": "l_extendedprice"}, 50_000)
+    return t.agg(F.count("*").alias("n"), rnd(F.sum("q"), 2).alias("q"), rnd(F.sum("p"), 2).alias("p"), rnd(F.sum(F.col("q") * F.col("p")), 0).alias("qp"))
+
+
+@query("""WITH e AS (SELECT hour(ts)::DOUBLE AS x, value AS y, lag(hour(ts)::DOUBLE) OVER (ORDER BY event_id) AS x1, lag(value) OVER (ORDER BY event_id) AS y1 FROM events),
+ w AS (SELECT CASE WHEN x1 IS NULL THEN 0.8 ELSE 1 - 0.6 END AS u, CASE WHEN x1 IS NULL THEN 0.8 * x ELSE x - 0.6 * x1 END AS v, CASE WHEN x1 IS NULL THEN 0.8 * y ELSE y - 0.6 * y1 END AS z FROM e),
+ s AS (SELECT sum(v * v) AS vv, sum(u * v) AS uv, sum(u * u) AS uu, sum(v * z) AS vz, sum(u * z) AS uz FROM w)
+ SELECT round((uu * vz - uv * uz) / (vv * uu - uv * uv), 6) AS a, round((vv * uz - uv * vz) / (vv * uu - uv * uv), 6) AS b FROM s""")
+def series_error_fit(spark, d):
+    """A line along all events whose errors follow e_t = 0.6 e_(t-1) + innovation, whitened across range partitions."""
+    e = read(spark, d, "events").withColumn("hour", F.hour("ts"))
+    fit, _ = correlated.series_fit(e, "linear", "hour", "value", ["event_id"], phi=[0.6], block=4096)
+    return values(spark, [tuple(fit.popt.tolist())], "a double, b double").select(rnd("a").alias("a"), rnd("b").alias("b"))
+
+
+@query("""WITH e AS (SELECT event_type, value - (SELECT avg(value) FROM events) AS r, event_id FROM events), l AS (SELECT r, lag(r) OVER (ORDER BY event_type, event_id) AS p, lag(event_type) OVER (ORDER BY event_type, event_id) = event_type AS same FROM e)
+ SELECT round(sum(r * p) FILTER (same) / sum(r * r), 8) AS phi FROM l""")
+def series_coefficient(spark, d):
+    """The first autocorrelation of the residuals of a constant, in a series per type."""
+    e = read(spark, d, "events").select(F.lit(1.0).alias("v_x"), F.col("value").alias("y"), "event_type", "event_id")
+    mean = e.agg(F.avg("y")).first()[0]
+    rows = frame.lagged(e, [F.col("event_id")], ["v_x", "y"], 1, ("event_type",), 1000)
+    phi = correlated.series_coefficients(rows, formula("c*x"), [mean], 1)
+    return values(spark, [(float(phi[0]),)], "phi double").select(rnd("phi", 8).alias("phi"))
+
+
+@query(ORACLE["cost_scan"])
+def grid_udtf(spark, d):
+    """Costs of a grid of starting values from SQL, by a table function."""
+    search.register_grid(spark, "grid_costs", DECAY, np.array(GRID))
+    bins(spark, d).createOrReplaceTempView("grid_points")
+    t = spark.sql("SELECT candidate AS start_id, sum(cost) AS cost FROM grid_costs(TABLE(grid_points)) GROUP BY candidate")
+    return t.select("start_id", rnd("cost", 3).alias("cost"))
+
+
+@query(fit_sql("gaussian_fit", 5))
+def resumed_search(spark, d):
+    """CMA-ES over all rows, stopped after a few generations and started again with its log, which takes the same path."""
+    m, f, _, truth, _ = FITS["gaussian_fit"]
+    path = storage.scratch_dir(spark) + f"/search-{uuid.uuid4().hex}"
+    options = dict(preset="fast", seed=1, local_rows=0, log=path)
+
+    class Lost(Exception):
+        pass
+
+    def lose(generations, cost):
+        if generations == 5:
+            raise Lost
+
+    rows, box = gauss_rows(spark, d), ([0.0, 0.0, 1.0], [10.0, 50.0, 20.0])
+    try:
+        search.cma_es(rows, m, "x", "y", box, callback=lose, **options)
+    except Lost:
+        pass
+    theta = search.cma_es(rows, m, "x", "y", box, **options).popt
+    return three(spark, curve_fit(rows, m, "x", "y", p0=theta, local_rows=0, **TIGHT).popt, 5)
+
+
 # ---- streams ----
 
 #: Rows arrive in six batches by time, one in seven of them three batches late; windows close two days after their end.

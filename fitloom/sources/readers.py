@@ -1,4 +1,4 @@
-"""Point tables from files and strings. Text formats are parsed by Spark; numpy archives by tasks."""
+"""Point tables from files and strings. Text formats are parsed by Spark; numpy archives by ranges of their elements."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import arrays
+
 MISSING = ("", "NA", "null", "NaN", "nan")
 EXTENSIONS = {"csv": "csv", "txt": "ascii", "dat": "ascii", "asc": "ascii", "tsv": "ascii", "npz": "npz", "h5": "hdf5", "hdf5": "hdf5", "parquet": "parquet"}
 
@@ -88,21 +90,9 @@ def csv_table(spark: SparkSession, path: str, columns: dict, header: bool = True
     return raw.select(*(number(F.col(f"`{names[c] if isinstance(c, int) else c}`")).alias(n) for n, c in columns.items()), "ord")
 
 
-def npz_table(spark: SparkSession, path: str, keys: dict) -> DataFrame:
-    """Arrays of numpy archives, one row per element; keys: name -> array in the archive."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def run(it):
-        for pdf in it:
-            for p, content in zip(pdf["path"], pdf["content"]):
-                with np.load(io.BytesIO(content), allow_pickle=False) as z:
-                    cols = {n: np.ravel(z[k]).astype(float) for n, k in keys.items()}
-                n = {len(c) for c in cols.values()}
-                if len(n) != 1:
-                    raise ValueError(f"{p}: arrays of different lengths")
-                yield pd.DataFrame(cols).assign(ord=np.arange(n.pop()))
-
-    return files.mapInPandas(run, ", ".join(f"`{n}` double" for n in keys) + ", ord long")
+def npz_table(spark: SparkSession, path: str, keys: dict, rows: int = arrays.ROWS) -> DataFrame:
+    """Arrays of numpy archives, one row per element; keys: name -> array in the archive. A task reads `rows` elements."""
+    return arrays.read_arrays(spark, path, keys, rows)
 
 
 def hdf5_table(spark: SparkSession, path: str, keys: dict) -> DataFrame:
@@ -159,7 +149,7 @@ def load(spark: SparkSession, path: str, columns: dict, format: str | None = Non
         case "csv":
             return csv_table(spark, path, columns, **options)
         case "npz":
-            return npz_table(spark, path, columns)
+            return npz_table(spark, path, columns, **options)
         case "hdf5":
             return hdf5_table(spark, path, columns)
         case "parquet":

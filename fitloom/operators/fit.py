@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import time
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -43,6 +43,7 @@ class FitResult:
     outcome: solve.Outcome
     points: DataFrame
     absolute: bool = False
+    notes: list = field(default_factory=list)
 
     def __iter__(self):
         return iter((self.popt, self.pcov))
@@ -198,11 +199,26 @@ def curve_fit(
     timeit: bool = False,
     solver: str = "normal",
     log: str | None = None,
+    stability: str | None = None,
+    multistart: int = 0,
+    fallback: bool = False,
 ):
     """A FitResult, or with full_output its full(), with return_eval its evaluated(); timeit adds the seconds the
-    fit took as the last of those. Other options as in fitted()."""
+    fit took as the last of those. stability ("check" or "auto"), multistart (a number of starts) and fallback as in
+    robust.dispatched(); what was found and done is in the result's notes. Other options as in fitted()."""
     began = time.perf_counter()
-    found = fitted(df, model, x, y, sigma, p0, bounds, loss, f_scale, absolute_sigma, nan_policy, mask, order, ftol, xtol, gtol, max_nfev, callback, local_rows, auto_bounds, solver, log)
+    options = dict(
+        sigma=sigma, p0=p0, bounds=bounds, loss=loss, f_scale=f_scale, absolute_sigma=absolute_sigma, nan_policy=nan_policy, mask=mask, order=order, ftol=ftol, xtol=xtol, gtol=gtol,
+        max_nfev=max_nfev, callback=callback, local_rows=local_rows, auto_bounds=auto_bounds, solver=solver, log=log,
+    )
+    if stability not in (None, "check", "auto"):
+        raise ValueError(f"unknown stability {stability}")
+    if stability or multistart or fallback:
+        from .robust import dispatched
+
+        found = dispatched(df, model, x, y, stability, multistart, fallback, options)
+    else:
+        found = fitted(df, model, x, y, **options)
     if not (full_output or return_eval or timeit):
         return found
     out = found.full() if full_output else found.evaluated() if return_eval else tuple(found)
@@ -211,7 +227,7 @@ def curve_fit(
 
 def fitted(
     df: DataFrame, model, x, y: str, sigma=None, p0=None, bounds=None, loss="linear", f_scale: float = 1.0, absolute_sigma: bool = False, nan_policy: str = "raise", mask=None, order=None,
-    ftol: float = 1e-10, xtol: float = 1e-10, gtol: float = 1e-10, max_nfev=None, callback=None, local_rows: int = normal.LOCAL_ROWS, auto_bounds: bool = False, solver: str = "normal", log: str | None = None,
+    ftol: float = 1e-10, xtol: float = 1e-10, gtol: float = 1e-10, max_nfev=None, callback=None, local_rows: int = normal.LOCAL_ROWS, auto_bounds: bool = False, solver: str = "normal", log: str | None = None, guarded: bool = False,
 ) -> FitResult:
     """Fit `model` (a Model, a numeric model, a registered name or a formula) to columns of df.
 
@@ -221,18 +237,25 @@ def fitted(
     mean. local_rows: up to so many rows are fetched once and summed on the driver; more stay where
     they are. solver: "normal" steps from J'J; "qr" from a tree of triangles of J, which keeps twice the digits at
     one more pass per step; "auto" takes qr once the condition of J is beyond 1e6.
-    log: a shared folder that keeps every evaluation; a fit that was stopped goes on from it.
+    log: a shared folder that keeps every evaluation; a fit that was stopped goes on from it. guarded: the model's
+    values are kept within 1e10 and its sums are guarded (robust.Guarded).
     """
     if solver not in ("normal", "qr", "auto"):
         raise ValueError(f"unknown solver {solver}")
     model = named(model)
     roles = frame.Roles.of(x, y, model.variables, sigma=sigma, mask=mask, order=order)
     free = bounds is None and not np.isfinite(np.concatenate(model.limits())).any()
-    if solver == "normal" and log is None and model.linear and loss == "linear" and free and p0 is None and callback is None and not auto_bounds and model.expr is not None and len(model.params) <= normal.SQL_WIDTH:
+    if solver == "normal" and log is None and not guarded and model.linear and loss == "linear" and free and p0 is None and callback is None and not auto_bounds and model.expr is not None and len(model.params) <= normal.SQL_WIDTH:
         return linear_fit(df, model, roles, nan_policy, absolute_sigma)
     pts = frame.points(df, roles, nan_policy)
     lo, hi = model.limits() if bounds is None else (np.broadcast_to(np.asarray(b, float), len(model.params)).copy() for b in bounds)
+    whole = model
+    if guarded:
+        from .robust import Guarded, bounded_model
+
+        model = bounded_model(model) if model.expr is not None else model
     problem = normal.Problem(pts, model, loss, f_scale, local_rows, solver)
+    problem = Guarded(problem) if guarded else problem
     problem = problem if log is None else normal.Logged(problem, Log(df.sparkSession, log))
     try:
         curve = frame.curve(pts, model.variables[0])
@@ -245,10 +268,11 @@ def fitted(
         if auto_bounds:
             lo, hi = precision.merge_bounds((lo, hi), precision.infer_bounds(theta, summary(curve)))
         theta = np.clip(theta, lo, hi)
-        out = solve.minimise(problem, theta, lo, hi, ftol, xtol, gtol, max_nfev, callback, loss == "linear" and model.linear)
+        out = solve.minimise(problem, theta, lo, hi, ftol, xtol, gtol, max_nfev, callback, loss == "linear" and whole.linear and not guarded)
     finally:
         problem.close()
     if out.state.n < len(theta):
         raise ValueError(f"{out.state.n} points cannot determine {len(theta)} parameters")
     pcov, _ = covariance(out.state, absolute_sigma)
-    return FitResult(model, out.theta, pcov, out, pts, absolute_sigma)
+    notes = [f"{len(problem.issues)} guarded evaluations"] if guarded and log is None and problem.issues else []
+    return FitResult(whole, out.theta, pcov, out, pts, absolute_sigma, notes)

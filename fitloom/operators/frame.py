@@ -86,40 +86,50 @@ def describe(df: DataFrame, columns: list) -> DataFrame:
 
 def quantiles(df: DataFrame, value: Column, shares: list, collect: int = 10_000) -> list:
     """Exact interpolated quantiles of the finite values, by histograms that close in on the ranks they need: each
-    pass counts 1,024 cells of the interval that holds a rank and keeps that cell, until it holds one value
-    or at most `collect` rows, which are fetched. No task orders or keeps all distinct values.
+    pass counts 1,024 cells of every interval that holds a rank, all in one aggregate, and keeps those cells, until
+    each holds one value or at most `collect` rows, which are fetched. No task orders or keeps all distinct values.
     """
     rows = df.select(value.cast("double").alias("v")).filter(finite(F.col("v")))
     lo, hi, n = rows.agg(F.min("v"), F.max("v"), F.count("*")).first()
     if not n:
         return [None] * len(shares)
-    known: dict = {}
-
-    def at(rank: int) -> float:
-        """The value of rank `rank` from 0."""
-        if rank in known:
-            return known[rank]
-        a, b, before, inside = lo, hi, 0, n
-        while a < b and inside > collect:
-            cell = F.least(F.floor((F.col("v") - a) / ((b - a) / 1024)), F.lit(1023))
-            cells = rows.filter((F.col("v") >= a) & (F.col("v") <= b)).groupBy(cell.alias("c")).agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).collect()
-            for c in sorted(cells, key=lambda c: c.a):
-                if rank < before + c.n:
-                    if (c.a, c.b) == (a, b):  # cells can't be told apart any more
-                        return known.setdefault(rank, a)
-                    a, b, inside = c.a, c.b, c.n
-                    break
-                before += c.n
-        if a == b:
-            return known.setdefault(rank, a)
-        for i, r in enumerate(sorted(x.v for x in rows.filter((F.col("v") >= a) & (F.col("v") <= b)).collect())):
-            known[before + i] = r
-        return known[rank]
-
+    ranks = sorted({min(n - 1, int((n - 1) * q) + i) for q in shares for i in (0, 1)})
+    held, known = {r: (lo, hi, 0, n) for r in ranks}, {}  # rank -> interval, rows before it, rows in it
+    v = F.col("v")
+    while held:
+        known |= {r: a for r, (a, b, *_) in held.items() if a == b}
+        held = {r: x for r, x in held.items() if r not in known}
+        open_ = sorted({x for x in held.values() if x[3] > collect})
+        if open_:
+            which = cell = F.lit(None).cast("int")
+            for i, (a, b, *_) in enumerate(open_):  # disjoint, at most one for each rank
+                inside = (v >= a) & (v <= b)
+                which, cell = F.when(inside, F.lit(i)).otherwise(which), F.when(inside, F.least(F.floor((v - a) / ((b - a) / 1024)), F.lit(1023)).cast("int")).otherwise(cell)
+            cells = rows.groupBy(which.alias("i"), cell.alias("c")).agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).filter("i is not null").collect()
+            for i, (a, b, before, _) in enumerate(open_):
+                at = before
+                for c in sorted((c for c in cells if c.i == i), key=lambda c: c.a):
+                    for r in [r for r, x in held.items() if x == (a, b, before, _) and at <= r < at + c.n]:
+                        if (c.a, c.b) == (a, b):  # cells can't be told apart any more
+                            known[r] = a
+                        else:
+                            held[r] = (c.a, c.b, at, c.n)
+                    at += c.n
+            continue
+        few = sorted(set(held.values()))
+        if few:
+            some = F.lit(False)
+            for a, b, *_ in few:
+                some = some | ((v >= a) & (v <= b))
+            values = sorted(x.v for x in rows.filter(some).collect())  # at most `collect` for each rank
+            for a, b, before, inside in few:
+                own = [x for x in values if a <= x <= b]
+                known |= {r: own[r - before] for r, x in held.items() if x == (a, b, before, inside)}
+        break
     out = []
     for q in shares:
         h = (n - 1) * q
-        low, high = at(int(h)), at(min(n - 1, int(h) + 1))
+        low, high = known[int(h)], known[min(n - 1, int(h) + 1)]
         out.append(low + (high - low) * (h - int(h)))
     return out
 

@@ -101,8 +101,8 @@ class Problem:
         self.calls, self.block = 0, None
         cols = [f"v_{v}" for v in model.variables] + ["y", "w"]
         self.pts = pts.select(*cols)
-        t = self.pts.limit(local_rows + 1).toPandas() if local_rows else None
-        if t is None or len(t) > local_rows:
+        t = self.pts.toPandas() if local_rows and self.pts.count() <= local_rows else None
+        if t is None:
             self.pts = self.pts.persist()
         else:
             self.block = {v: t[f"v_{v}"].to_numpy(float) for v in model.variables}, t["y"].to_numpy(float), t["w"].to_numpy(float)

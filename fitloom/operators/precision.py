@@ -6,7 +6,6 @@ import math
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import frame
@@ -87,20 +86,12 @@ def analyse(df: DataFrame, x: str, y: str, k: int = 3) -> dict:
     }
 
 
-def neighbours(df: DataFrame, x: str, y: str, buckets: int = 200) -> DataFrame:
-    """dx and dy of each row to the row before it by (x, y).
-
-    Rows are ordered inside buckets of x between approximate quantiles (fixed numbers, so that every look at
-    the plan cuts alike); the pairs across buckets come from the buckets' first and last rows.
-    """
+def neighbours(df: DataFrame, x: str, y: str) -> DataFrame:
+    """dx and dy of each row to the row before it by (x, y), over range partitions and blocks of ranks; equal rows are split
+    like others."""
     p = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    edges = p.agg(F.percentile_approx("x", [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
-    p = p.withColumn("_b", sum(((F.col("x") > e).cast("int") for e in sorted(set(edges))), F.lit(0)))
-    w = W.partitionBy("_b").orderBy("x", "y")
-    inner = p.select((F.col("x") - F.lag("x").over(w)).alias("dx"), (F.col("y") - F.lag("y").over(w)).alias("dy")).filter("dx is not null")
-    ends = p.groupBy("_b").agg(F.min(F.struct("x", "y")).alias("a"), F.max(F.struct("x", "y")).alias("z")).orderBy("_b").collect()  # a row per bucket
-    across = [(n.a.x - m.z.x, n.a.y - m.z.y) for m, n in zip(ends, ends[1:])]
-    return inner.unionByName(df.sparkSession.createDataFrame(across, "dx double, dy double"))
+    near = frame.lagged(p, [F.col("x"), F.col("y")], ["x", "y"], 1)
+    return near.filter("_t = 1").select((F.col("x") - F.col("x_1")).alias("dx"), (F.col("y") - F.col("y_1")).alias("dy"))
 
 
 def tolerance(n: int, quality: str = "balanced") -> float:

@@ -185,8 +185,8 @@ def prepared(df, model, x, y, bounds, sigma, nan_policy, local_rows: int = norma
     if not (np.isfinite(lo).all() and np.isfinite(hi).all()):
         raise ValueError("a global search needs finite bounds")
     block = None
-    t = pts.limit(local_rows + 1).toPandas() if local_rows else None
-    if t is not None and len(t) <= local_rows:
+    t = pts.toPandas() if local_rows and pts.count() <= local_rows else None
+    if t is not None:
         block = {v: t[f"v_{v}"].to_numpy(float) for v in model.variables}, t["y"].to_numpy(float), t["w"].to_numpy(float)
     return Setup(model, pts, lo, hi, block, local_rows, None if log is None else Log(df.sparkSession, log))
 
@@ -299,12 +299,12 @@ class CMA:
 PRESETS = {"fast": (60, 0), "default": (120, 2), "global": (200, 9)}
 
 
-def cma_es(df, model, x, y, bounds, p0=None, preset: str = "default", size: int | None = None, tol_x: float = 1e-8, tol_f: float = 1e-12, sigma=None, seed: int = 0, refine: bool = True, nan_policy="raise", local_rows: int = normal.LOCAL_ROWS, log: str | None = None, callback=None) -> FitResult:
+def cma_es(df, model, x, y, bounds, p0=None, preset="default", size: int | None = None, tol_x: float = 1e-8, tol_f: float = 1e-12, sigma=None, seed: int = 0, refine: bool = True, nan_policy="raise", local_rows: int = normal.LOCAL_ROWS, log: str | None = None, callback=None) -> FitResult:
     """CMA-ES over the logits of bounded parameters, one job a generation, restarted with alternately doubled
     and small populations; the best point is refined by the local solver. callback(generations, best cost) is told
     after each generation; what it raises ends the search, and with a log the next one goes on from there."""
     s = prepared(df, model, x, y, bounds, sigma, nan_policy, local_rows, log)
-    generations, restarts = PRESETS[preset]
+    generations, restarts = PRESETS[preset] if isinstance(preset, str) else preset
     rng, k = np.random.default_rng(seed), len(s.lo)
     base = size or 4 + int(3 * math.log(k))
     best, best_cost, nfev, large, turns = None, np.inf, 0, base, 0

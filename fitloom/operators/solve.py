@@ -107,8 +107,16 @@ class Dense:
         return self.a @ s
 
     def step(self, radius: float) -> tuple:
-        """(s, as) of the step within the radius."""
-        s = trust_step(self.a, self.g, radius)
+        """(s, as) of the step within the radius; where eigenvalues fail, by a decomposition that falls back."""
+        try:
+            s = trust_step(self.a, self.g, radius)
+        except np.linalg.LinAlgError:
+            from .guard import robust_svd
+
+            u, w, v, _ = robust_svd(self.a)
+            s = -v.T @ np.where(w > np.finfo(float).eps * len(w) * w[0], (u.T @ self.g) / np.where(w > 0, w, 1.0), 0.0)
+            n = np.linalg.norm(s)
+            s = s * min(1.0, radius / n) if n > 0 else s
         return s, self.a @ s
 
 

@@ -94,7 +94,7 @@ def turned(model: Model, theta: np.ndarray, x: tuple, y: tuple, tries: int = 400
 
 
 def rescaled_fit(df: DataFrame, model, x: str, y: str, p0=None, sigma: str | None = None, nan_policy: str = "raise", **options):
-    """A FitResult in original units, fitted with x and y in [0, 1]. Parameters are turned back by turned(), their
+    """A FitResult in original units, fitted with x in [0, 1] and y in [-1, 1]. Parameters are turned back by turned(), their
     covariance and the sums by its derivative. p0: values in original units, or None or "auto" for a start from the
     rescaled data. Bounds belong to original units and are not taken."""
     model = named(model)
@@ -106,8 +106,7 @@ def rescaled_fit(df: DataFrame, model, x: str, y: str, p0=None, sigma: str | Non
     r = df.agg(*(f(F.when(frame.finite(F.col(c).cast("double")), F.col(c).cast("double"))) for c in (x, y) for f in (F.min, F.max))).first()
     if None in r:
         raise ValueError("there are no finite rows")
-    unit = [(float(lo), float(hi - lo) or 1.0) for lo, hi in ((r[0], r[1]), (r[2], r[3]))]
-    (ox, sx), (oy, sy) = unit
+    (ox, sx), (oy, sy) = (float(r[0]), float(r[1] - r[0]) or 1.0), (0.0, max(abs(r[2]), abs(r[3])) or 1.0)  # y keeps its zero, which few models can move
     scaled = df.withColumn("_u", (F.col(x).cast("double") - ox) / sx).withColumn("_v", (F.col(y).cast("double") - oy) / sy)
     if sigma is not None:
         scaled = scaled.withColumn("_s", F.col(sigma).cast("double") / sy)
@@ -125,7 +124,7 @@ def rescaled_fit(df: DataFrame, model, x: str, y: str, p0=None, sigma: str | Non
     absolute = options.get("absolute_sigma", False)
     pts = frame.points(df, frame.Roles.of(x, y, model.variables, sigma=sigma), "omit" if nan_policy == "raise" else nan_policy)
     out = replace(found.outcome, theta=theta, state=state)
-    return fits.FitResult(model, theta, move @ found.pcov @ move.T, out, pts, absolute, [*found.notes, f"x scaled by {sx:g} from {ox:g}, y by {sy:g} from {oy:g}"])
+    return fits.FitResult(model, theta, move @ found.pcov @ move.T, out, pts, absolute, [*found.notes, f"x scaled by {sx:g} from {ox:g}, y by {sy:g}"])
 
 
 # ---- one call ----

@@ -148,15 +148,16 @@ def ranked_rows(df: DataFrame, order: list) -> DataFrame:
     return dealt.join(F.broadcast(table), part == F.col("_p")).withColumn("_rank", F.col("_base") + place).drop("_id", "_p", "_base")
 
 
-def lagged(df: DataFrame, order: list, columns: list, lags: int, keys: tuple = (), block: int = 100_000) -> DataFrame:
+def lagged(df: DataFrame, order: list, columns: list, lags: int, keys: tuple = (), block: int = 100_000, leads: int = 0) -> DataFrame:
     """df with <column>_1 ... <column>_<lags>, of the rows before it by `order` within its keys (null where there are
-    none), and `_t`, how many of those there are.
+    none), and `_t`, how many of those there are; with leads, also <column>_next1 ..., of the rows after it.
 
     Rows are ranked by range partitions and cut into blocks of `block` ranks; the last rows of a block also go to
     the next one, as its halo. So each window holds a block, and one long series needs no task of its own."""
     ranks = ranked_rows(df, [*(F.col(k) for k in keys), *order])
     own = F.floor(F.col("_rank") / block)
-    near = F.when((F.col("_rank") % block >= block - lags), F.array(own, own + 1)).otherwise(F.array(own))
+    place = F.col("_rank") % block
+    near = F.array_compact(F.array(own, F.when(place >= block - lags, own + 1), F.when(place < leads, own - 1)))
     rows = ranks.withColumn("_block", F.explode(near))
     w = W.partitionBy("_block").orderBy("_rank")
     back = lambda c, i: F.lag(c, i).over(w)
@@ -166,10 +167,27 @@ def lagged(df: DataFrame, order: list, columns: list, lags: int, keys: tuple = (
             same = same & back(F.col(k), i).eqNullSafe(F.col(k))
         rows = rows.withColumn(f"_same{i}", same)
     rows = rows.select("*", *(F.when(F.col(f"_same{i}"), back(c, i)).alias(f"{c}_{i}") for c in columns for i in range(1, lags + 1)))
+    ahead = lambda c, i: F.lead(c, i).over(w)
+    for i in range(1, leads + 1):
+        same = ahead("_rank", i).isNotNull()
+        for k in keys:
+            same = same & ahead(F.col(k), i).eqNullSafe(F.col(k))
+        rows = rows.select("*", *(F.when(same, ahead(c, i)).alias(f"{c}_next{i}") for c in columns))
     seen = sum((F.col(f"_same{i}").cast("int") for i in range(1, lags + 1)), F.lit(0))
     return rows.filter(F.col("_block") == own).withColumn("_t", seen).drop("_block", "_rank", *(f"_same{i}" for i in range(1, lags + 1)))
 
 
+def turning_points(df: DataFrame, centre: float = 0.0, block: int = 100_000) -> DataFrame:
+    """models.turns for series of any length: x, y - centre, peak and crossing of each row of x, y and ord, over blocks of
+    ranks that see the row before and the row after them."""
+    c = df.select("x", "ord", (F.col("y") - centre).alias("y"))
+    t = lagged(c, [F.col("x"), F.col("ord")], ["x", "y"], 1, block=block, leads=1)
+    y, a = F.col("y"), F.abs("y")
+    peak = (a > F.abs("y_1")) & (a > F.abs("y_next1"))
+    cross = F.when(y * F.col("y_next1") < 0, F.col("x") - y * (F.col("x_next1") - F.col("x")) / (F.col("y_next1") - y))
+    return t.select("x", "y", F.coalesce(peak, F.lit(False)).alias("peak"), cross.alias("crossing"))
+
+
 def iqr_outliers(df: DataFrame, column: str, k: float = 3.0) -> DataFrame:
     """Rows outside [q1 - k iqr, q3 + k iqr]; exact interpolated quartiles."""
     q1, q3 = quantiles(df, F.col(column), [0.25, 0.75])

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import frame
+from .storage import written
+
+FEW = 200_000  # series up to which their ranges are sent to every task
 
 
 def generic_start(s: dict, k: int) -> list:
@@ -110,22 +113,37 @@ def choose(a: dict, quality: str = "balanced") -> dict:
 
 
 def pattern(df: DataFrame, x: str, y: str) -> str:
-    """linear, gaussian, sigmoid, sigmoid_inv, growth, decay, monotonic or unknown, from one aggregate over (x, y)."""
-    s = df.agg(
-        F.corr(x, y).alias("r"), F.min_by(y, x).alias("first"), F.max_by(y, x).alias("last"), F.min(y).alias("lo"), F.max(y).alias("hi"),
-        F.max_by(x, y).alias("top"), F.min(x).alias("x0"), F.max(x).alias("x1"),
-    ).first()
-    if s.r is None or s.hi == s.lo or s.x1 == s.x0:
-        return "unknown"
-    if abs(s.r) > 0.99:
-        return "linear"
-    a, b, at = (s.first - s.lo) / (s.hi - s.lo), (s.last - s.lo) / (s.hi - s.lo), (s.top - s.x0) / (s.x1 - s.x0)
-    if 0.2 < at < 0.8 and a < 0.5 and b < 0.5:
-        return "gaussian"
-    mid = df.filter(F.abs(F.col(x) - (s.x0 + s.x1) / 2) < 0.1 * (s.x1 - s.x0)).agg(F.avg(y)).first()[0]
-    middle = mid is not None and 0.3 < (mid - s.lo) / (s.hi - s.lo) < 0.7
-    if a < 0.2 and b > 0.8:
-        return "sigmoid" if middle else "growth"
-    if a > 0.8 and b < 0.2:
-        return "sigmoid_inv" if middle else "decay"
-    return "monotonic" if abs(s.r) > 0.95 else "unknown"
+    """linear, gaussian, sigmoid, sigmoid_inv, growth, decay, monotonic or unknown."""
+    found = patterns(df.withColumn("_one", F.lit(1)), ["_one"], x, y).first()
+    return found.pattern if found else "unknown"
+
+
+def patterns(df: DataFrame, keys: list, x: str, y: str) -> DataFrame:
+    """keys, pattern: of every series of `keys`, from one grouped aggregate and one over the middle fifth of each series."""
+    by = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    s = df.groupBy(*by).agg(
+        F.corr(x, y).alias("_r"), F.min_by(y, x).alias("_first"), F.max_by(y, x).alias("_last"), F.min(y).alias("_lo"), F.max(y).alias("_hi"),
+        F.max_by(x, y).alias("_top"), F.min(x).alias("_x0"), F.max(x).alias("_x1"),
+    )
+    s = written(s, "patterns")
+    few = (lambda t: F.broadcast(t)) if s.count() <= FEW else (lambda t: t)
+    names = [f"_k{i}" for i in range(len(keys))]
+    rows = df.join(few(s.select(*names, "_x0", "_x1")), [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)])
+    near = F.abs(F.col(x) - (F.col("_x0") + F.col("_x1")) / 2) < 0.1 * (F.col("_x1") - F.col("_x0"))
+    mid = rows.filter(near).groupBy(*names).agg(F.avg(y).alias("_mid"))
+    for i in range(len(keys)):
+        mid = mid.withColumnRenamed(f"_k{i}", f"_m{i}")
+    t = s.join(mid, [F.col(f"_k{i}").eqNullSafe(F.col(f"_m{i}")) for i in range(len(keys))], "left")
+    high = F.col("_hi") - F.col("_lo")
+    a, b, at = (F.col("_first") - F.col("_lo")) / high, (F.col("_last") - F.col("_lo")) / high, (F.col("_top") - F.col("_x0")) / (F.col("_x1") - F.col("_x0"))
+    middle = F.coalesce(((F.col("_mid") - F.col("_lo")) / high > 0.3) & ((F.col("_mid") - F.col("_lo")) / high < 0.7), F.lit(False))
+    kind = (
+        F.when(F.col("_r").isNull() | F.isnan("_r") | (high == 0) | (F.col("_x1") == F.col("_x0")), "unknown")
+        .when(F.abs("_r") > 0.99, "linear")
+        .when((at > 0.2) & (at < 0.8) & (a < 0.5) & (b < 0.5), "gaussian")
+        .when((a < 0.2) & (b > 0.8), F.when(middle, "sigmoid").otherwise("growth"))
+        .when((a > 0.8) & (b < 0.2), F.when(middle, "sigmoid_inv").otherwise("decay"))
+        .when(F.abs("_r") > 0.95, "monotonic")
+        .otherwise("unknown")
+    )
+    return t.select(*(F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)), kind.alias("pattern"))

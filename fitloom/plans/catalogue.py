@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -434,12 +435,17 @@ def bounds_inference(spark, d):
     return values(spark, [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(lo, hi))], "param int, lower double, upper double").select("param", rnd("lower").alias("lower"), rnd("upper").alias("upper"))
 
 
-@query("SELECT i::INTEGER AS i, round(ln((i + 1) / (10.0 - i)), 8) AS z, round(-1 + 11 / (1 + exp(-ln((i + 1) / (10.0 - i)))), 8) AS x FROM range(10) t(i)")
+@query("SELECT round(avg(z), 8) AS z, round(min(z), 8) AS low, round(max(z), 8) AS high, round(avg(-1 + 52 / (1 + exp(-z))), 6) AS x FROM (SELECT ln((l_quantity + 1) / (51.0 - l_quantity)) AS z FROM lineitem)")
 def bounds_transform(spark, d):
-    x = np.arange(10.0)
-    z = search.to_unbounded(x, -1.0, 10.0)
-    back = search.to_bounded(z, -1.0, 10.0)
-    return values(spark, [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(z, back))], "i int, z double, x double").select("i", rnd("z", 8).alias("z"), rnd("x", 8).alias("x"))
+    """Values between bounds to the whole line and back, block by block."""
+
+    def run(pdfs):
+        for pdf in pdfs:
+            z = search.to_unbounded(pdf["x"].to_numpy(float), -1.0, 51.0)
+            yield pd.DataFrame({"z": z, "x": search.to_bounded(z, -1.0, 51.0)})
+
+    t = read(spark, d, "lineitem").select(F.col("l_quantity").alias("x")).mapInPandas(run, "z double, x double")
+    return t.agg(rnd(F.avg("z"), 8).alias("z"), rnd(F.min("z"), 8).alias("low"), rnd(F.max("z"), 8).alias("high"), rnd(F.avg("x")).alias("x"))
 
 
 # ---- chunks ----
@@ -467,11 +473,12 @@ def chunked_precision_merge(spark, d):
 # ---- sampling ----
 
 
-@query("""WITH RECURSIVE p AS (SELECT i AS id, b, i AS n, 1.0::DOUBLE AS f, 0.0::DOUBLE AS s FROM range(1, 65) t(i), (VALUES (2), (3), (5)) q(b)
+@query("""WITH RECURSIVE p AS (SELECT o_orderkey AS id, b, o_orderkey AS n, 1.0::DOUBLE AS f, 0.0::DOUBLE AS s FROM orders, (VALUES (2), (3), (5)) q(b)
  UNION ALL SELECT id, b, n // b, f / b, s + f / b * (n % b) FROM p WHERE n > 0)
  SELECT id, round(max(s) FILTER (b = 2), 10) AS h1, round(max(s) FILTER (b = 3), 10) AS h2, round(max(s) FILTER (b = 5), 10) AS h3 FROM p GROUP BY id""")
 def halton_points(spark, d):
-    t = search.halton_table(spark.range(1, 65), "id", 3)
+    """Halton coordinates by the keys of orders."""
+    t = search.halton_table(read(spark, d, "orders").select(F.col("o_orderkey").alias("id")), "id", 3)
     return t.select("id", *(rnd(f"h{i}", 10).alias(f"h{i}") for i in (1, 2, 3)))
 
 

@@ -15,12 +15,13 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
-from ..functions.models import MODELS, formula, polynomial, safe_divide, safe_exp, safe_log, safe_power, safe_sqrt, turns
+from ..functions.models import MODELS, formula, polynomial, safe_divide, safe_exp, safe_log, safe_power, safe_sqrt
 from ..functions.numeric import Numeric
 from ..operators import chunked, correlated, diagnose, frame, grouped, guard, normal, precision, search, stability, storage, wide
 from ..operators.fit import curve_fit
 from ..operators.grouped import fit_by_key
 from ..operators.hybrid import GroupVariance, hybrid_fit
+from ..operators.solve import Stop
 from ..sources import arrays, readers, writers
 from ..streaming.incremental import Incremental, stream_fits, windowed_linear
 from .catalogue import BINS, DECAY, GRID, HISTORY, LINE, ORACLE, bins, gauss_newton, history, price_on_quantity, query, read, rnd, values
@@ -801,15 +802,68 @@ SHAPES = {
  SELECT series, CASE WHEN abs(r) > 0.99 THEN 'linear' WHEN place > 0.2 AND place < 0.8 AND a < 0.5 AND b < 0.5 THEN 'gaussian' WHEN a < 0.2 AND b > 0.8 THEN CASE WHEN middle THEN 'sigmoid' ELSE 'growth' END
  WHEN a > 0.8 AND b < 0.2 THEN CASE WHEN middle THEN 'sigmoid_inv' ELSE 'decay' END WHEN abs(r) > 0.95 THEN 'monotonic' ELSE 'unknown' END AS pattern FROM u""")
 def function_patterns(spark, d):
+    """Seven series from one look at the rows, told apart by key."""
     x = read(spark, d, "lineitem").select(F.col("l_quantity").cast("double").alias("x"))
-    return values(spark, [(k, precision.pattern(x.withColumn("y", F.expr(v)), "x", "y")) for k, v in SHAPES.items()], "series string, pattern string")
+    all_ = x.select("x", F.explode(F.create_map(*(c for k, v in SHAPES.items() for c in (F.lit(k), F.expr(v).cast("double"))))).alias("series", "y"))
+    return precision.patterns(all_, ["series"], "x", "y")
 
 
 @query(f"""WITH {BINS}, c AS (SELECT x, y - (SELECT avg(y) FROM bins) AS y FROM bins), n AS (SELECT x, y, lag(abs(y)) OVER o AS p, lead(abs(y)) OVER o AS q, lead(x) OVER o AS nx, lead(y) OVER o AS ny FROM c WINDOW o AS (ORDER BY x))
  SELECT x, coalesce(abs(y) > p AND abs(y) > q, false) AS peak, round(CASE WHEN y * ny < 0 THEN x - y * (nx - x) / (ny - y) END, 6) AS crossing FROM n""")
 def peaks_and_crossings(spark, d):
     s = bins(spark, d).withColumn("ord", F.col("x"))
-    return turns(s, s.agg(F.avg("y")).first()[0]).select("x", "peak", rnd("crossing").alias("crossing"))
+    return frame.turning_points(s, s.agg(F.avg("y")).first()[0]).select("x", "peak", rnd("crossing").alias("crossing"))
+
+
+# ---- what a fit tells and leaves behind ----
+
+_START_COST = f"WITH {noisy_sql(GAUSS[1], GAUSS[3])} SELECT {{}} round(sum(power(exp(-power(x - 10, 2) / 18) - y, 2)) / 2, 4) AS cost FROM d"
+
+
+@query(_START_COST.format("5 AS status,"))
+def callback_stop(spark, d):
+    """A callback that ends the fit at its start; the result is the start and its cost."""
+
+    def stop(iteration, cost, theta, info):
+        raise Stop
+
+    o = curve_fit(gauss_rows(spark, d), GAUSS[0], "x", "y", p0=[1.0, 10.0, 3.0], local_rows=0, callback=stop).outcome
+    return values(spark, [(o.status, float(o.state.cost))], "status int, cost double").select("status", rnd("cost", 4).alias("cost"))
+
+
+@query(_START_COST.format("0 AS iteration, 1.0::DOUBLE AS amp, 10.0::DOUBLE AS mu,"))
+def iteration_history(spark, d):
+    """The first line of a fit's history."""
+    h = curve_fit(gauss_rows(spark, d), GAUSS[0], "x", "y", p0=[1.0, 10.0, 3.0], local_rows=0).history().filter("iteration = 0")
+    return h.select("iteration", F.col("params")[0].alias("amp"), F.col("params")[1].alias("mu"), rnd("cost", 4).alias("cost"))
+
+
+@query(f"WITH {LINE} SELECT round(a, 4) AS a, round(b, 4) AS b, round(1 - rss / tss, 6) AS r2, n FROM err")
+def json_there_and_back(spark, d):
+    """A fit exported as JSON and read again by Spark."""
+    path = storage.scratch_dir(spark) + f"/export-{uuid.uuid4().hex}"
+    writers.export(price_on_quantity(spark, d), path, "json")
+    text = spark.read.text(path, wholetext=True).select(F.col("value").alias("j"))
+    at = lambda p: F.get_json_object("j", p).cast("double")
+    r = text.select(rnd(at("$.popt[0]"), 4).alias("a"), rnd(at("$.popt[1]"), 4).alias("b"), rnd(at("$.statistics.r2"), 6).alias("r2"), at("$.statistics.n").cast("long").alias("n"))
+    return r
+
+
+@query("""SELECT what, hits::BIGINT AS hits FROM (SELECT 'range' AS what, (max(l_extendedprice) * 100 - min(l_extendedprice) * 100 > 1e6)::INT AS hits FROM lineitem
+ UNION ALL SELECT 'collinear', (abs(corr(l_quantity, l_quantity * 2 + l_tax)) > 0.95)::INT FROM lineitem UNION ALL SELECT 'start', 1 FROM (SELECT count(*) AS n FROM lineitem) WHERE n > 0)""")
+def problem_warnings(spark, d):
+    """What the check of a problem warns of: a huge range, collinear predictors, starting values far apart."""
+    rows = read(spark, d, "lineitem").select("l_quantity", (F.col("l_quantity") * 2 + F.col("l_tax")).alias("twice"), (F.col("l_extendedprice") * 100).alias("cents"))
+    said = stability.check_problem(rows, ["l_quantity", "twice"], "cents", [1.0, 1e9])
+    marks = {"range": "range", "collinear": "collinear", "start": "starting values"}
+    return values(spark, [(k, sum(m in t for t in said)) for k, m in marks.items()], "what string, hits long")
+
+
+@query("SELECT 'fewer points than parameters' AS error, count(*) AS n, sum(m)::BIGINT AS rows FROM (SELECT l_orderkey, count(*) AS m FROM lineitem GROUP BY 1 HAVING count(*) < 5)")
+def size_limits(spark, d):
+    """Orders with fewer lines than a model has parameters are refused, each on its own."""
+    g = fit_by_key(read(spark, d, "lineitem"), polynomial(4), "l_quantity", "l_extendedprice", ["l_orderkey"], [0.0] * 5)
+    return g.filter("error is not null").groupBy("error").agg(F.count("*").alias("n"), F.sum("n").alias("rows"))
 
 
 # ---- histories ----

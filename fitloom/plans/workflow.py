@@ -53,10 +53,10 @@ def run_workflow(spark: SparkSession, job) -> FitResult:
     f.setdefault("nan_policy", "raise" if rules.get("require_finite", True) else "omit")
     if f.pop("auto", False):
         f |= choose(analyse(df, x[0], y, len(model.params)))
-    known = {"p0", "loss", "f_scale", "absolute_sigma", "nan_policy", "ftol", "xtol", "gtol", "max_nfev"}
+    known = {"p0", "loss", "f_scale", "absolute_sigma", "nan_policy", "ftol", "xtol", "gtol", "max_nfev", "solver", "log", "stability", "multistart", "fallback"}
     if unknown := set(f) - known:
         raise ValueError(f"unknown fitting keys: {sorted(unknown)}")
-    f["local_rows"] = normal.LOCAL_ROWS if planner.plan(n, len(model.params)) == "local" else 0
+    f["local_rows"] = normal.LOCAL_ROWS if planner.plan(n, len(model.params), variables=len(x)) == "local" else 0
     if search:
         how = {"multi_start": multi_start, "cma_es": cma_es, "auto": {"multi_start": multi_start, "cma_es": cma_es}[method(*bounds)]}[search]
         result = how(df, model, x, y, bounds, sigma=sigma, nan_policy=f["nan_policy"], local_rows=f["local_rows"])

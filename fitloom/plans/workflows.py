@@ -8,7 +8,9 @@ from ..functions.models import named
 from ..operators.fit import FitResult, curve_fit
 from ..operators.hybrid import hybrid_fit
 from ..operators.precision import analyse, choose, tolerance
+from ..operators.normal import LOCAL_ROWS
 from ..operators.search import cma_es, method, multi_start
+from .planner import plan
 
 WORKFLOWS = ("auto", "auto_global", "hpc")
 GOALS = ("fast", "balanced", "quality", "robust")
@@ -36,4 +38,6 @@ def fit(df: DataFrame, model, x, y: str, workflow: str = "auto", goal: str | Non
     elif goal is not None:
         t = tolerance(df.count(), goal)
         options = {"ftol": t, "xtol": t, "gtol": t} | options
+    if workflow == "auto" and "local_rows" not in options and len(model.params) > 12:  # many parameters: rows may be few and still too large
+        options["local_rows"] = LOCAL_ROWS if plan(df.count(), len(model.params), variables=len(model.variables)) == "local" else 0
     return curve_fit(df, model, x, y, bounds=bounds, **options)

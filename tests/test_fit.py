@@ -229,6 +229,8 @@ def test_singular_covariance_is_infinite(spark):
 
 def test_planner():
     assert plan(100, 3) == "local" and plan(10**7, 3) == "aggregate" and plan(10**6, 3, 1000) == "grouped"
+    assert plan(40_000, 300) == "aggregate" and plan(40_000, 300, memory=1 << 30) == "local" and plan(40_000, 3, variables=500) == "aggregate"
+    assert plan(10**6, 5000) == "wide" and plan(10**6, 3, least_chunk_success=True) == "chunked" and plan(10**6, 900, 20) == "aggregate"
 
 
 def test_health_of_json(spark):

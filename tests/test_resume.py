@@ -145,6 +145,12 @@ def test_lags_cross_blocks_but_not_keys(spark, block):
     for x in rows:
         assert (x.v_1, x.v_2, x["_t"]) == (own.get((x.k, x.t - 1)), own.get((x.k, x.t - 2)), min(x.t, 2))
     assert frame.lagged(df.limit(0), [F.col("t")], ["v"], 1, ("k",)).count() == 0
+    ahead = frame.lagged(df, [F.col("t")], ["v"], 1, ("k",), block, leads=2).collect()
+    assert len(ahead) == len(data) and all((x.v_1, x.v_next1, x.v_next2) == tuple(own.get((x.k, x.t + i)) for i in (-1, 1, 2)) for x in ahead)
+    from fitloom.functions.models import turns
+
+    wave = spark.createDataFrame([(float(t), float(np.sin(t)), t) for t in range(60)], "x double, y double, ord int").repartition(3)
+    assert sorted(map(tuple, frame.turning_points(wave, 0.1, block).collect())) == sorted(map(tuple, turns(wave, 0.1).collect()))
 
 
 @pytest.mark.parametrize("phi", [[0.7], [0.5, 0.3]])

@@ -104,7 +104,7 @@ def rescaled_fit(df: DataFrame, model, x: str, y: str, p0=None, sigma: str | Non
         raise ValueError("rescaled fits take no bounds")
     free = replace(model, bounds=None)
     r = df.agg(*(f(F.when(frame.finite(F.col(c).cast("double")), F.col(c).cast("double"))) for c in (x, y) for f in (F.min, F.max))).first()
-    if None in r:
+    if None in tuple(r):
         raise ValueError("there are no finite rows")
     (ox, sx), (oy, sy) = (float(r[0]), float(r[1] - r[0]) or 1.0), (0.0, max(abs(r[2]), abs(r[3])) or 1.0)  # y keeps its zero, which few models can move
     scaled = df.withColumn("_u", (F.col(x).cast("double") - ox) / sx).withColumn("_v", (F.col(y).cast("double") - oy) / sy)

@@ -36,5 +36,5 @@ def test_stages_keep_columns_and_clean_documents(spark):
 
 
 def test_registry_names():
-    assert [int(k[2:].split("_")[0]) for k in registry.QUERIES if k.startswith("op")] == list(range(1, 11))
+    assert [int(k[2:].split("_")[0]) for k in registry.QUERIES if k.startswith("op")] == list(range(1, 14))
     assert set(registry.ORACLE) <= set(registry.QUERIES)

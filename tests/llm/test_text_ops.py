@@ -499,6 +499,43 @@ def test_long_texts_lose_neither_score_nor_sample(spark):
 
 
 
+def brute_toxicity(text, weights, bias):
+    """Score and offending spans of one text, sentence by sentence and word by word."""
+    sigma = lambda v: 1 / (1 + math.exp(-max(-30.0, min(30.0, v))))
+    text, at, clean, spans = text or "", 0, 1.0, []
+    ends = [m.span() for m in re.finditer(r"(?<=[.!?])\s+|\n+|!!\s+|\s\|\s", text)] + [(len(text), len(text))]
+    for a, b in ends:
+        z = 0.0
+        for word in re.findall(r"[^\W_]+", text[at:a].lower()):
+            for form in [word + "$", *("^" + word[:k] for k in range(4, min(8, len(word)) + 1))]:
+                z += weights[zlib.crc32(form.encode()) >> 12]
+        q = max(0.0, 1 - (1 - sigma(z + bias)) / (1 - sigma(bias)))
+        if q >= 0.5 and text[at:a].strip():
+            spans.append((at, a))
+        clean *= 1 - q
+        at = b
+    return 1 - clean, spans
+
+
+def test_toxicity_scores_equal_brute_force(spark):
+    r = random.Random(9)
+    foul = ["vilething", "nastyword", "grimspeak"]
+    data = []
+    for i in range(400):
+        parts = [words(r, r.randint(2, 12)) + r.choice([".", "!", "?", "!!", " |", "\n"]) for _ in range(r.randint(1, 6))]
+        if i % 4 == 0:
+            parts[r.randrange(len(parts))] = f"you {r.choice(foul)} and {r.choice(foul)}s."
+        data.append((i, " ".join(parts), int(i % 4 == 0)))
+    df = spark.createDataFrame([*((i, t) for i, t, _ in data), (900, None), (901, ""), (902, " \n! vilethings | vilething!! x"), (903, data[0][1] + " clean words here." * 3000)], "doc_id long, text string")
+    weights, bias = toxicity.learn(df, spark.createDataFrame([(i, y) for i, _, y in data], "doc_id long, toxic int"))
+    got = toxicity.scored(df, (weights, bias)).collect()
+    texts = {x.doc_id: x.text for x in df.collect()}
+    assert len(got) == 404 and sum(x.score >= 0.5 for x in got) >= 90
+    for x in got:
+        score, spans = brute_toxicity(texts[x.doc_id], weights, bias)
+        assert abs(x.score - score) < 1e-9 and [(o.s, o.e) for o in x.offending] == spans
+
+
 # ---- packing ----
 
 

@@ -13,6 +13,7 @@ import corpus_pipeline
 from fitloom.llm import common, mixing, packing, registry, toxicity
 from tests.llm.data import SCHEMA, rows
 from tests.llm.test_text_ops import brute_fingerprint, brute_repeats, check_packing
+from tests.llm.test_vectors import answers, brute_top
 
 SF = "/root/testdata/sf0.001"
 LABELS = "doc_id long, quality int, toxic int, score string"
@@ -196,7 +197,7 @@ def test_queries_with_sql(spark, name):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = c.sql(registry.ORACLE[name]).df()
     got = registry.QUERIES[name](spark, SF).toPandas()
@@ -204,3 +205,14 @@ def test_queries_with_sql(spark, name):
     assert sorted(got.columns) == cols and len(got) == len(want)
     key = lambda df: sorted(map(str, df[cols].itertuples(index=False)))
     assert key(got) == key(want)
+
+
+def test_vector_queries_on_edge_cases(spark, folders):
+    """Null vectors, zero vectors, repeated and null ids; vectors of 8 entries are none of op12's."""
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{folders['edge']}/embeddings.parquet").collect()]
+    assert answers(registry.QUERIES["op13_topk"](spark, folders["edge"])) == brute_top(rows, 10, 100)
+    assert registry.QUERIES["op12_centroids"](spark, folders["edge"]).count() == 0
+    got = registry.QUERIES["op11_whitening"](spark, folders["edge"]).collect()
+    whole = [i for i, v in rows if v is not None]
+    assert sorted(str(r.vec_id) for r in got if r.component == 1) == sorted(map(str, whole)) and len(got) == 8 * len(whole)
+    assert len({r.n for r in got}) == 1 and max(r.identity_error for r in got) < 1e-9

@@ -21,13 +21,27 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_WRITTEN: list = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read back."""
+    """df as a table in the shared folder, read back. It stays, since later plans read it, until clear()."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> int:
+    """Remove every table that written() made in this process; frames that read them can no longer be used."""
+    for path in _WRITTEN:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    n = len(_WRITTEN)
+    _WRITTEN.clear()
+    return n
+
+
 class Log:
     """The evaluations of a fit, in the order they were made, as files in a shared folder: what a solver asked and what it
     was answered. A fit that was stopped anywhere and is started again with its log is answered from it as far as it

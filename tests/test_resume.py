@@ -91,6 +91,15 @@ def test_tournaments_go_on_and_logs_of_other_fits_are_refused(spark, decay, tmp_
         storage.Log(spark, str(tmp_path / "log"))
 
 
+def test_written_tables_can_be_cleared(spark, monkeypatch):
+    monkeypatch.setattr(storage, "_WRITTEN", [])
+    t = storage.written(spark.range(5), "some")
+    path = storage._WRITTEN[0]
+    assert t.count() == 5 and storage.clear(spark) == 1 and storage.clear(spark) == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+
 # ---- arrays ----
 
 

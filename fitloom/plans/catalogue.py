@@ -489,6 +489,11 @@ def lhs_stratified_check(spark, d):
     return rows.groupBy("stratum").agg(F.count("*").cast("int").alias("n"))
 
 
+def decay_box(s: DataFrame) -> tuple:
+    """Bounds of DECAY for a search. Counts grow with the table, so the amplitude's bound does once 1e6 would cut it off."""
+    return [0.0, 1e-3], [max(1e6, 2.0 * (s.agg(F.max("y")).first()[0] or 0.0)), 1.0]
+
+
 @query(ORACLE["exp_decay_fit"].replace("round(a, 4)", "round(a, 2)").replace("round(b, 8)", "round(b, 6)"), "tournament_fit")
 def _tournament(spark, d):
     f, _ = search.tournament(bins(spark, d), DECAY, "x", "y", ([0.0, 1e-3], [1e6, 1.0]))
@@ -516,7 +521,8 @@ def _hybrid(spark, d):
 
 @query(ORACLE["exp_decay_fit"].replace("round(a, 4)", "round(a, 2)").replace("round(b, 8)", "round(b, 6)"), "auto_global_fit")
 def _auto_global(spark, d):
-    f = workflows.fit(bins(spark, d), DECAY, "x", "y", "auto_global", bounds=([0.0, 1e-3], [1e6, 1.0]), preset="fast")
+    s = bins(spark, d)
+    f = workflows.fit(s, DECAY, "x", "y", "auto_global", bounds=decay_box(s), preset="fast")
     return values(spark, [tuple(f.popt.tolist())], "a double, b double").select(rnd("a", 2).alias("a"), rnd("b", 6).alias("b"))
 
 

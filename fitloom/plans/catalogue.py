@@ -508,7 +508,8 @@ def _multi_start(spark, d):
 
 @query(ORACLE["exp_decay_fit"].replace("round(a, 4)", "round(a, 2)").replace("round(b, 8)", "round(b, 6)"), "cma_es_fit")
 def _cma_es(spark, d):
-    f = search.cma_es(bins(spark, d), DECAY, "x", "y", ([0.0, 1e-3], [1e6, 1.0]), preset="fast")
+    s = bins(spark, d)
+    f = search.cma_es(s, DECAY, "x", "y", decay_box(s), preset="fast")
     return values(spark, [tuple(f.popt.tolist())], "a double, b double").select(rnd("a", 2).alias("a"), rnd("b", 6).alias("b"))
 
 

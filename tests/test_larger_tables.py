@@ -26,3 +26,7 @@ def same_as_sql(spark, name: str, d: str, table: str) -> None:
 
 def test_auto_global_beyond_a_million(spark, many_events):
     same_as_sql(spark, "auto_global_fit", many_events, "events")
+
+
+def test_cma_es_beyond_a_million(spark, many_events):
+    same_as_sql(spark, "cma_es_fit", many_events, "events")

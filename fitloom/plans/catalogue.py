@@ -502,7 +502,8 @@ def _tournament(spark, d):
 
 @query(ORACLE["exp_decay_fit"].replace("round(a, 4)", "round(a, 2)").replace("round(b, 8)", "round(b, 6)"), "multi_start_fit")
 def _multi_start(spark, d):
-    f = search.multi_start(bins(spark, d), DECAY, "x", "y", ([0.0, 1e-3], [1e6, 1.0]), n_starts=32)
+    s = bins(spark, d)
+    f = search.multi_start(s, DECAY, "x", "y", decay_box(s), n_starts=32)
     return values(spark, [tuple(f.popt.tolist())], "a double, b double").select(rnd("a", 2).alias("a"), rnd("b", 6).alias("b"))
 
 

@@ -30,3 +30,7 @@ def test_auto_global_beyond_a_million(spark, many_events):
 
 def test_cma_es_beyond_a_million(spark, many_events):
     same_as_sql(spark, "cma_es_fit", many_events, "events")
+
+
+def test_multi_start_beyond_a_million(spark, many_events):
+    same_as_sql(spark, "multi_start_fit", many_events, "events")

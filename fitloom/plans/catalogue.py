@@ -496,7 +496,8 @@ def decay_box(s: DataFrame) -> tuple:
 
 @query(ORACLE["exp_decay_fit"].replace("round(a, 4)", "round(a, 2)").replace("round(b, 8)", "round(b, 6)"), "tournament_fit")
 def _tournament(spark, d):
-    f, _ = search.tournament(bins(spark, d), DECAY, "x", "y", ([0.0, 1e-3], [1e6, 1.0]))
+    s = bins(spark, d)
+    f, _ = search.tournament(s, DECAY, "x", "y", decay_box(s))
     return values(spark, [tuple(f.popt.tolist())], "a double, b double").select(rnd("a", 2).alias("a"), rnd("b", 6).alias("b"))
 
 

@@ -40,3 +40,7 @@ def test_sigma_of_zero(spark, tmp_path):
     rows = [(1, 19.0), (2, 20.0), (3, 20.5), (4, -3.0), (5, 20.0)]
     spark.createDataFrame(rows, "event_id long, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     same_as_sql(spark, "sigma_check", str(tmp_path), "events")
+
+
+def test_tournament_beyond_a_million(spark, many_events):
+    same_as_sql(spark, "tournament_fit", many_events, "events")

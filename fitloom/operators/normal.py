@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import expr as E
 from ..functions.losses import loss
 from ..functions.models import Model
+from . import frame
 
 SQL_WIDTH = 12
 LOCAL_ROWS = 50_000
@@ -58,14 +59,16 @@ def terms(model: Model, theta, which="linear", scale: float = 1.0) -> dict:
     return {"r": r, "cost": 0.5 * scale * scale * rho, "rho1": first, "hess": F.greatest(first + 2 * second * z, F.lit(_EPS)), "j": js}
 
 
-def aggregates(t: dict) -> list:
-    """Sums over rows, in the order that unpacked() reads them."""
+def aggregates(t: dict, m: Column | None = None) -> list:
+    """Sums over rows, each counted m times, in the order that unpacked() reads them."""
     js = t["j"]
     k = len(js)
     ok = ~F.isnan(t["cost"]) & t["cost"].isNotNull() & (F.abs(t["cost"]) < float("inf"))
-    out = [F.count("*").alias("n"), F.count(F.when(~ok | ok.isNull(), 1)).alias("bad"), F.sum(t["cost"]).alias("cost"), F.sum(t["r"] * t["r"]).alias("ssr")]
-    out += [F.sum(t["rho1"] * t["r"] * js[i]).alias(f"g{i}") for i in range(k)]
-    return out + [F.sum(t["hess"] * js[i] * js[j]).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)]
+    count = (lambda c: F.count(c)) if m is None else lambda c: F.coalesce(F.sum(F.when(c.isNotNull(), m)), F.lit(0.0)).cast("long")
+    total = (lambda c: F.sum(c)) if m is None else lambda c: F.sum(m * c)
+    out = [count(F.lit(1)).alias("n"), count(F.when(~ok | ok.isNull(), 1)).alias("bad"), total(t["cost"]).alias("cost"), total(t["r"] * t["r"]).alias("ssr")]
+    out += [total(t["rho1"] * t["r"] * js[i]).alias(f"g{i}") for i in range(k)]
+    return out + [total(t["hess"] * js[i] * js[j]).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)]
 
 
 def unpacked(row, theta) -> State:
@@ -79,36 +82,41 @@ def unpacked(row, theta) -> State:
     return State(np.asarray(theta, float), value(row["cost"]), g, a, row["n"], row["bad"], value(row["ssr"]))
 
 
-def block_terms(model: Model, theta: np.ndarray, v: dict, y: np.ndarray, w: np.ndarray, which, scale: float) -> tuple:
-    """(scaled residuals, scaled Jacobian, cost, ssr, bad) of a block in numpy."""
+def block_terms(model: Model, theta: np.ndarray, v: dict, y: np.ndarray, w: np.ndarray, which, scale: float, m: np.ndarray | None = None) -> tuple:
+    """(scaled residuals, scaled Jacobian, cost, ssr, bad) of a block in numpy, whose rows count m times."""
+    m = np.ones(len(y)) if m is None else m
     with np.errstate(all="ignore"):
         r = w * (model.values(theta, v) - y)
         j = w[:, None] * model.jacobian(theta, v)
+        bad, ssr, often = int(m[~np.isfinite(r)].sum()), (m * r) @ r, np.sqrt(m)
         if which == "linear":
-            return r, j, 0.5 * r @ r, r @ r, int((~np.isfinite(r)).sum())
+            return often * r, often[:, None] * j, 0.5 * ssr, ssr, bad
         z = (r / scale) ** 2
         rho, first, second = (np.broadcast_to(E.to_numpy(e)({}, {"z": z}), z.shape) for e in loss(which))
         h = np.sqrt(np.maximum(first + 2 * second * z, _EPS))
-        return r * first / h, j * h[:, None], 0.5 * scale * scale * rho.sum(), r @ r, int((~np.isfinite(r)).sum())
+        return often * r * first / h, j * (often * h)[:, None], 0.5 * scale * scale * (m * rho).sum(), ssr, bad
 
 
 class Problem:
-    """Evaluates a model on points(). Frames of up to LOCAL_ROWS rows are fetched once and summed here."""
+    """Evaluates a model on points(). Frames of up to LOCAL_ROWS rows are fetched once and summed here; of others, rows
+    that repeat are summed once and counted as often (frame.repeated)."""
 
     def __init__(self, pts: DataFrame, model: Model, which="linear", scale: float = 1.0, local_rows: int = LOCAL_ROWS, solver: str = "normal"):
         self.solver = solver
         self.pts, self.model, self.which, self.scale = pts, model, which, scale
         self.calls, self.block = 0, None
         cols = [f"v_{v}" for v in model.variables] + ["y", "w"]
-        self.pts = pts.select(*cols)
-        t = self.pts.toPandas() if local_rows and self.pts.count() <= local_rows else None
+        self.kept = "_m" in pts.columns  # whoever counted the rows keeps them
+        self.pts = pts if self.kept else pts.select(*cols)
+        t = self.pts.toPandas() if local_rows and not self.kept and self.pts.count() <= local_rows else None
         if t is None:
-            self.pts = self.pts.persist()
+            self.pts = self.pts if self.kept else frame.repeated(self.pts).persist()
         else:
             self.block = {v: t[f"v_{v}"].to_numpy(float) for v in model.variables}, t["y"].to_numpy(float), t["w"].to_numpy(float)
 
     def close(self) -> None:
-        self.pts.unpersist()
+        if not self.kept:
+            self.pts.unpersist()
 
     def __call__(self, theta) -> State:
         """With solver "qr", steps come from a triangle; with "auto", from the first point on where J'J loses digits."""
@@ -126,7 +134,7 @@ class Problem:
             r, j, cost, ssr, bad = block_terms(self.model, theta, *self.block, self.which, self.scale)
             return State(theta, float(cost), j.T @ r, j.T @ j, len(r), bad, float(ssr))
         if len(theta) <= SQL_WIDTH and self.model.expr is not None:
-            return unpacked(self.pts.agg(*aggregates(terms(self.model, theta, self.which, self.scale))).first(), theta)
+            return unpacked(self.pts.agg(*aggregates(terms(self.model, theta, self.which, self.scale), F.col("_m"))).first(), theta)
         return self.by_blocks(theta)
 
     def by_blocks(self, theta: np.ndarray) -> State:
@@ -137,8 +145,9 @@ class Problem:
             total, any_ = np.zeros(4 + k + k * k), False
             for b in batches:
                 v = {x: b.column(f"v_{x}").to_numpy() for x in model.variables}
-                r, j, cost, ssr, bad = block_terms(model, theta, v, b.column("y").to_numpy(), b.column("w").to_numpy(), which, scale)
-                total += np.concatenate([[len(r), bad, cost, ssr], j.T @ r, (j.T @ j).ravel()])
+                m = b.column("_m").to_numpy()
+                r, j, cost, ssr, bad = block_terms(model, theta, v, b.column("y").to_numpy(), b.column("w").to_numpy(), which, scale, m)
+                total += np.concatenate([[m.sum(), bad, cost, ssr], j.T @ r, (j.T @ j).ravel()])
                 any_ = True
             if any_:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["i", "s"])
@@ -160,10 +169,10 @@ class Problem:
             total = np.zeros((len(every), 4 + k + k * k))
             for b in batches:
                 v = {x: b.column(f"v_{x}").to_numpy() for x in model.variables}
-                y, w = b.column("y").to_numpy(), b.column("w").to_numpy()
+                y, w, m = (b.column(c).to_numpy() for c in ("y", "w", "_m"))
                 for i, theta in enumerate(every):
-                    r, j, cost, ssr, bad = block_terms(model, theta, v, y, w, which, scale)
-                    total[i] += np.concatenate([[len(r), bad, cost, ssr], j.T @ r, (j.T @ j).ravel()])
+                    r, j, cost, ssr, bad = block_terms(model, theta, v, y, w, which, scale, m)
+                    total[i] += np.concatenate([[m.sum(), bad, cost, ssr], j.T @ r, (j.T @ j).ravel()])
             at = np.indices(total.shape, np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(at[0].ravel()), pa.array(at[1].ravel()), pa.array(total.ravel())], ["t", "i", "s"])
 
@@ -189,7 +198,7 @@ class Problem:
             top = []
             for b in batches:
                 v = {x: b.column(f"v_{x}").to_numpy() for x in model.variables}
-                r, j, *_ = block_terms(model, theta, v, b.column("y").to_numpy(), b.column("w").to_numpy(), which, scale)
+                r, j, *_ = block_terms(model, theta, v, b.column("y").to_numpy(), b.column("w").to_numpy(), which, scale, b.column("_m").to_numpy())
                 top = [stacked([*top, np.column_stack([j, r])], width)]
             if top:
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([top[0].ravel()], pa.list_(pa.float64()))], ["part", "r"])

@@ -112,14 +112,15 @@ def to_bounded(z: np.ndarray, lo, hi) -> np.ndarray:
     return out
 
 
-def block_costs(model: Model, thetas: np.ndarray, v: dict, y: np.ndarray, w: np.ndarray, which, scale: float) -> np.ndarray:
-    """(candidates, 2): cost and rows of a block."""
+def block_costs(model: Model, thetas: np.ndarray, v: dict, y: np.ndarray, w: np.ndarray, which, scale: float, m: np.ndarray | None = None) -> np.ndarray:
+    """(candidates, 2): cost and rows of a block, whose rows count m times."""
+    m = np.ones(len(y)) if m is None else m
     rho = E.to_numpy(loss(which)[0])
     out = np.zeros((len(thetas), 2))
     for i, theta in enumerate(thetas):
         with np.errstate(all="ignore"):
             r = w * (model.values(theta, v) - y)
-            out[i] = 0.5 * scale * scale * np.sum(rho({}, {"z": (r / scale) ** 2})), len(y)
+            out[i] = 0.5 * scale * scale * np.sum(m * rho({}, {"z": (r / scale) ** 2})), m.sum()
     return out
 
 
@@ -128,11 +129,13 @@ def population_costs(pts: DataFrame, model: Model, thetas: np.ndarray, which="li
     thetas = np.asarray(thetas, float)
     rows = pts if batch is None else pts.filter(F.pmod(F.xxhash64("ord", "y"), F.lit(batch[1])) == batch[0])
 
+    counted = "_m" in pts.columns
+
     def run(batches):
         total = np.zeros((len(thetas), 2))
         for b in batches:
             v = {x: b.column(f"v_{x}").to_numpy() for x in model.variables}
-            total += block_costs(model, thetas, v, b.column("y").to_numpy(), b.column("w").to_numpy(), which, scale)
+            total += block_costs(model, thetas, v, b.column("y").to_numpy(), b.column("w").to_numpy(), which, scale, b.column("_m").to_numpy() if counted else None)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(thetas), dtype=np.int32)), pa.array(total[:, 0]), pa.array(total[:, 1])], ["i", "cost", "n"])
 
     out = np.full((len(thetas), 2), np.inf)
@@ -151,6 +154,8 @@ def ranked(spark, thetas: np.ndarray, costs: np.ndarray, params: tuple) -> DataF
 
 @dataclass
 class Setup:
+    """A search's points; those that stay where they are also counted (frame.repeated), and kept until it ends."""
+
     model: Model
     pts: DataFrame
     lo: np.ndarray
@@ -158,12 +163,20 @@ class Setup:
     block: tuple | None = None
     local_rows: int = normal.LOCAL_ROWS
     log: Log | None = None
+    counted: DataFrame | None = None
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        if self.counted is not None:
+            self.counted.unpersist()
 
     def logged(self, kind: str, thetas: np.ndarray, compute) -> np.ndarray:
         return compute() if self.log is None else np.array(self.log.answer(kind, np.asarray(thetas, float).tolist(), lambda: compute().tolist()), float)
 
     def problem(self, which="linear", scale: float = 1.0):
-        found = normal.Problem(self.pts, self.model, which, scale, self.local_rows)
+        found = normal.Problem(self.pts if self.counted is None else self.counted, self.model, which, scale, self.local_rows)
         return found if self.log is None else normal.Logged(found, self.log)
 
     def costs(self, thetas: np.ndarray, which="linear", scale: float = 1.0) -> np.ndarray:
@@ -172,7 +185,7 @@ class Setup:
 
     def costs_now(self, thetas: np.ndarray, which, scale: float) -> np.ndarray:
         if self.block is None:
-            return population_costs(self.pts, self.model, thetas, which, scale)[:, 0]
+            return population_costs(self.counted, self.model, thetas, which, scale)[:, 0]
         c = block_costs(self.model, thetas, *self.block, which, scale)[:, 0]
         return np.where(np.isfinite(c), c, np.inf)
 
@@ -188,7 +201,9 @@ def prepared(df, model, x, y, bounds, sigma, nan_policy, local_rows: int = norma
     t = pts.toPandas() if local_rows and pts.count() <= local_rows else None
     if t is not None:
         block = {v: t[f"v_{v}"].to_numpy(float) for v in model.variables}, t["y"].to_numpy(float), t["w"].to_numpy(float)
-    return Setup(model, pts, lo, hi, block, local_rows, None if log is None else Log(df.sparkSession, log))
+    log = None if log is None else Log(df.sparkSession, log)
+    counted = frame.repeated(pts.drop("ord")).persist() if block is None else None
+    return Setup(model, pts, lo, hi, block, local_rows, log, counted)
 
 
 def finish(s: Setup, theta: np.ndarray, which, f_scale: float, nfev: int = 0) -> FitResult:
@@ -205,40 +220,40 @@ def finish(s: Setup, theta: np.ndarray, which, f_scale: float, nfev: int = 0) ->
 def multi_start(df, model, x, y, bounds, n_starts: int = 20, sampler: str = "lhs", p0=None, keep: int | None = None, sigma=None, which="linear", f_scale: float = 1.0, seed: int = 0, nan_policy="raise", local_rows: int = normal.LOCAL_ROWS, log: str | None = None) -> FitResult:
     """Every start is fitted and the best fit is returned. The fits advance together, one job a round for all that
     are still on their way. keep: fit only so many starts, those of least cost; None fits all."""
-    s = prepared(df, model, x, y, bounds, sigma, nan_policy, local_rows, log)
-    thetas = scaled(SAMPLERS[sampler](n_starts, len(s.lo), seed=seed), s.lo, s.hi)
-    if p0 is not None:
-        thetas = np.vstack([np.clip(p0, s.lo, s.hi), thetas])
-    if keep is not None:
-        thetas = thetas[np.argsort(s.costs(thetas, which, f_scale), kind="stable")[:keep]]
-    problem = s.problem(which, f_scale)
-    try:
-        found = solve.lockstep(problem.population, {i: solve.iterate(t, s.lo, s.hi) for i, t in enumerate(thetas)})
-    finally:
-        problem.close()
-    fitted = [(o.state.cost, i, o) for i, o in found.items() if isinstance(o, solve.Outcome)]
-    if not fitted:
-        raise ValueError("the model is finite at no starting point")
-    out = min(fitted, key=lambda x: x[:2])[2]
-    out.nfev = sum(o.nfev for *_, o in fitted)
-    return FitResult(s.model, out.theta, covariance(out.state)[0], out, s.pts)
+    with prepared(df, model, x, y, bounds, sigma, nan_policy, local_rows, log) as s:
+        thetas = scaled(SAMPLERS[sampler](n_starts, len(s.lo), seed=seed), s.lo, s.hi)
+        if p0 is not None:
+            thetas = np.vstack([np.clip(p0, s.lo, s.hi), thetas])
+        if keep is not None:
+            thetas = thetas[np.argsort(s.costs(thetas, which, f_scale), kind="stable")[:keep]]
+        problem = s.problem(which, f_scale)
+        try:
+            found = solve.lockstep(problem.population, {i: solve.iterate(t, s.lo, s.hi) for i, t in enumerate(thetas)})
+        finally:
+            problem.close()
+        fitted = [(o.state.cost, i, o) for i, o in found.items() if isinstance(o, solve.Outcome)]
+        if not fitted:
+            raise ValueError("the model is finite at no starting point")
+        out = min(fitted, key=lambda x: x[:2])[2]
+        out.nfev = sum(o.nfev for *_, o in fitted)
+        return FitResult(s.model, out.theta, covariance(out.state)[0], out, s.pts)
 
 
 def tournament(df, model, x, y, bounds, n_candidates: int = 64, rounds: int = 4, drop: float = 0.5, batches: int = 8, sampler: str = "halton", sigma=None, seed: int = 0, nan_policy="raise", local_rows: int = normal.LOCAL_ROWS, log: str | None = None) -> tuple:
     """(fit, survivors per round): each round costs the candidates on a further batch of rows and drops the worst."""
-    s = prepared(df, model, x, y, bounds, sigma, nan_policy, local_rows, log)
-    alive = scaled(SAMPLERS[sampler](n_candidates, len(s.lo), seed=seed), s.lo, s.hi)
-    total, history = np.zeros((len(alive), 2)), []
-    for r in range(rounds):
-        total += s.logged(f"batch {r}", alive, lambda alive=alive, r=r: population_costs(s.pts, s.model, alive, batch=(r % batches, batches)))
-        mean = np.where(np.isfinite(total[:, 0]), total[:, 0] / np.maximum(total[:, 1], 1), np.inf)
-        keep = np.sort(np.argsort(mean, kind="stable")[: max(1, len(alive) - math.floor(drop * len(alive)))])
-        alive, total = alive[keep], total[keep]
-        history.append(len(alive))
-        if len(alive) == 1:
-            break
-    costs = s.costs(alive)
-    return finish(s, alive[int(np.argmin(costs))], "linear", 1.0), history
+    with prepared(df, model, x, y, bounds, sigma, nan_policy, local_rows, log) as s:
+        alive = scaled(SAMPLERS[sampler](n_candidates, len(s.lo), seed=seed), s.lo, s.hi)
+        total, history = np.zeros((len(alive), 2)), []
+        for r in range(rounds):
+            total += s.logged(f"batch {r}", alive, lambda alive=alive, r=r: population_costs(s.pts, s.model, alive, batch=(r % batches, batches)))
+            mean = np.where(np.isfinite(total[:, 0]), total[:, 0] / np.maximum(total[:, 1], 1), np.inf)
+            keep = np.sort(np.argsort(mean, kind="stable")[: max(1, len(alive) - math.floor(drop * len(alive)))])
+            alive, total = alive[keep], total[keep]
+            history.append(len(alive))
+            if len(alive) == 1:
+                break
+        costs = s.costs(alive)
+        return finish(s, alive[int(np.argmin(costs))], "linear", 1.0), history
 
 
 def tournament_rounds(pts: DataFrame, model, thetas: np.ndarray, batch, rounds: int, drop: float = 0.5) -> list:
@@ -303,45 +318,45 @@ def cma_es(df, model, x, y, bounds, p0=None, preset="default", size: int | None
     """CMA-ES over the logits of bounded parameters, one job a generation, restarted with alternately doubled
     and small populations; the best point is refined by the local solver. callback(generations, best cost) is told
     after each generation; what it raises ends the search, and with a log the next one goes on from there."""
-    s = prepared(df, model, x, y, bounds, sigma, nan_policy, local_rows, log)
-    generations, restarts = PRESETS[preset] if isinstance(preset, str) else preset
-    rng, k = np.random.default_rng(seed), len(s.lo)
-    base = size or 4 + int(3 * math.log(k))
-    best, best_cost, nfev, large, turns = None, np.inf, 0, base, 0
-    for run in range(restarts + 1):
-        n = base if run == 0 else large if run % 2 else max(4, int(base * (0.5 * large / base) ** (rng.random() ** 2)))
-        if run % 2:
-            large *= 2
-            n = large
-        start = to_unbounded(np.clip(p0, s.lo, s.hi) if p0 is not None and run == 0 else scaled(rng.random(k), s.lo, s.hi), s.lo, s.hi)
-        es = CMA(start, 1.0 if run % 2 or run == 0 else 2.0 * 10 ** (-2 * rng.random()), n, seed + run)
-        flat = 0
-        for _ in range(generations):
-            z = es.ask()
-            thetas = to_bounded(z, s.lo, s.hi)
-            costs = s.costs(thetas)
-            nfev += len(z)
-            es.tell(z, costs)
-            i = int(np.argmin(costs))
-            if costs[i] < best_cost:
-                best, best_cost = thetas[i], costs[i]
-            turns += 1
-            if callback:
-                callback(turns, best_cost)
-            ok = costs[np.isfinite(costs)]
-            flat = flat + 1 if len(ok) and np.ptp(ok) <= tol_f * max(1, abs(ok.min())) else 0
-            if flat >= 5 or es.sigma * es.d.max() < tol_x:
-                break
-    if best is None:
-        raise ValueError("the model is finite at no candidate")
-    if refine:
-        try:
-            return finish(s, best, "linear", 1.0, nfev)
-        except ValueError:
-            pass
-    state = s.problem()(best)
-    out = solve.Outcome(best, state, 0, nfev, 0, float(np.abs(state.g).max()))
-    return FitResult(s.model, best, np.diag(np.full(k, math.inf)), out, s.pts)
+    with prepared(df, model, x, y, bounds, sigma, nan_policy, local_rows, log) as s:
+        generations, restarts = PRESETS[preset] if isinstance(preset, str) else preset
+        rng, k = np.random.default_rng(seed), len(s.lo)
+        base = size or 4 + int(3 * math.log(k))
+        best, best_cost, nfev, large, turns = None, np.inf, 0, base, 0
+        for run in range(restarts + 1):
+            n = base if run == 0 else large if run % 2 else max(4, int(base * (0.5 * large / base) ** (rng.random() ** 2)))
+            if run % 2:
+                large *= 2
+                n = large
+            start = to_unbounded(np.clip(p0, s.lo, s.hi) if p0 is not None and run == 0 else scaled(rng.random(k), s.lo, s.hi), s.lo, s.hi)
+            es = CMA(start, 1.0 if run % 2 or run == 0 else 2.0 * 10 ** (-2 * rng.random()), n, seed + run)
+            flat = 0
+            for _ in range(generations):
+                z = es.ask()
+                thetas = to_bounded(z, s.lo, s.hi)
+                costs = s.costs(thetas)
+                nfev += len(z)
+                es.tell(z, costs)
+                i = int(np.argmin(costs))
+                if costs[i] < best_cost:
+                    best, best_cost = thetas[i], costs[i]
+                turns += 1
+                if callback:
+                    callback(turns, best_cost)
+                ok = costs[np.isfinite(costs)]
+                flat = flat + 1 if len(ok) and np.ptp(ok) <= tol_f * max(1, abs(ok.min())) else 0
+                if flat >= 5 or es.sigma * es.d.max() < tol_x:
+                    break
+        if best is None:
+            raise ValueError("the model is finite at no candidate")
+        if refine:
+            try:
+                return finish(s, best, "linear", 1.0, nfev)
+            except ValueError:
+                pass
+        state = s.problem()(best)
+        out = solve.Outcome(best, state, 0, nfev, 0, float(np.abs(state.g).max()))
+        return FitResult(s.model, best, np.diag(np.full(k, math.inf)), out, s.pts)
 
 
 def method(lo, hi, ratio: float = 1000.0) -> str:

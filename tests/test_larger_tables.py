@@ -44,3 +44,24 @@ def test_sigma_of_zero(spark, tmp_path):
 
 def test_tournament_beyond_a_million(spark, many_events):
     same_as_sql(spark, "tournament_fit", many_events, "events")
+
+
+def repeating(spark, copies: int = 20):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(40 * copies).select((F.col("id") % 40).cast("double").alias("x"), F.col("id"))
+    return rows.withColumn("y", 5 * F.exp(-((F.col("x") - 20) ** 2) / 50) + (F.col("x") % 3) * 0.1)
+
+
+def test_search_counts_repeated_rows_once(spark):
+    import numpy as np
+
+    from fitloom.operators import search
+
+    box = ([1.0, 5.0, 2.0], [10.0, 35.0, 20.0])
+    with search.prepared(repeating(spark), "gaussian", "x", "y", box, None, "raise", 0) as s:
+        assert s.counted.count() == 40
+        thetas = np.array([[4.0, 18.0, 5.0], [5.0, 22.0, 4.0]])
+        want = search.population_costs(s.pts, s.model, thetas)
+        np.testing.assert_allclose(s.costs(thetas), want[:, 0], rtol=1e-12)
+        assert s.problem()(thetas[0]).n == 800

@@ -65,3 +65,15 @@ def test_search_counts_repeated_rows_once(spark):
         want = search.population_costs(s.pts, s.model, thetas)
         np.testing.assert_allclose(s.costs(thetas), want[:, 0], rtol=1e-12)
         assert s.problem()(thetas[0]).n == 800
+
+
+def test_cma_es_over_counted_rows(spark, monkeypatch):
+    from fitloom.operators import search
+
+    seen, costs = [], search.population_costs
+    monkeypatch.setattr(search, "population_costs", lambda pts, *a, **k: seen.append(pts) or costs(pts, *a, **k))
+    box = ([1.0, 5.0, 2.0], [10.0, 35.0, 20.0])
+    far = search.cma_es(repeating(spark), "gaussian", "x", "y", box, preset=(3, 0), local_rows=0)
+    near = search.cma_es(repeating(spark), "gaussian", "x", "y", box, preset=(3, 0))
+    assert all("_m" in p.columns for p in seen) and len(seen) == 3
+    assert abs(far.popt - near.popt).max() < 1e-6 and far.outcome.state.n == 800

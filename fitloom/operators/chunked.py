@@ -12,15 +12,15 @@ from pyspark.sql import functions as F
 from ..functions.models import named
 from . import frame, normal, solve
 from .fit import covariance
-from .grouped import Block, linear_states, outcome_of
+from .grouped import GROUP_ROWS, Block, advanced, linear_states, outcome_of
 from .storage import written
 
 
-def chunk_fits(df: DataFrame, model, x, y: str, chunk: Column, p0, sigma: str | None = None, retries: int = 2, nan_policy: str = "omit") -> DataFrame:
+def chunk_fits(df: DataFrame, model, x, y: str, chunk: Column, p0, sigma: str | None = None, retries: int = 2, nan_policy: str = "omit", group_rows: int = GROUP_ROWS) -> DataFrame:
     """chunk_id, n, theta, cov, success, error_type, nfev. A failed chunk is tried again from seeded perturbations.
 
-    Models linear in their parameters are summed where their rows are, so chunks may have any size; for others,
-    `chunk` has to deal rows into chunks of a size that fits a task (chunk_count gives a number for it).
+    Chunks may have any size. Models linear in their parameters are summed where their rows are. For others, chunks of
+    up to group_rows rows are fitted in a task; larger ones advance together, one grouped aggregate a step.
     """
     model = named(model)
     pts = frame.points(df.withColumn("chunk_id", chunk.cast("long")), frame.Roles.of(x, y, model.variables, sigma=sigma, keys=("chunk_id",)), nan_policy)
@@ -40,25 +40,36 @@ def chunk_fits(df: DataFrame, model, x, y: str, chunk: Column, p0, sigma: str |
 
         return linear_states(pts, model, ["chunk_id"], p0, row, schema)
 
-    def one(key, pdf):
-        v = {x: pdf[f"v_{x}"].to_numpy(float) for x in model.variables}
-        problem, error, nfev = Block(model, v, pdf["y"].to_numpy(float), pdf["w"].to_numpy(float)), None, 0
-        rng = np.random.default_rng(int(key[0]) & 0x7FFFFFFF)
+    def attempts(key: tuple, n: int):
+        """Generator of a chunk's row: the fit from p0, then from perturbations of it."""
+        rng, error, nfev = np.random.default_rng(int(key[0]) & 0x7FFFFFFF), None, 0
         for i in range(retries + 1):
             try:
                 start = p0 if i == 0 else p0 * (1 + 0.01 * rng.normal(size=len(p0)))
-                out = solve.minimise(problem, np.clip(start, lo, hi), lo, hi)
+                out = yield from solve.iterate(np.clip(start, lo, hi), lo, hi)
                 cov, _ = covariance(out.state, sigma is not None)
                 nfev += out.nfev
                 if out.success and np.isfinite(cov).all():
-                    return pd.DataFrame([(key[0], len(pdf), out.theta.tolist(), cov.tolist(), True, None, nfev)], columns=cols)
+                    return key[0], n, out.theta.tolist(), cov.tolist(), True, None, nfev
                 error = "singular" if out.success else "not converged"
             except (ValueError, np.linalg.LinAlgError) as e:
                 error = type(e).__name__
-        return pd.DataFrame([(key[0], len(pdf), None, None, False, error, nfev)], columns=cols)
+        return key[0], n, None, None, False, error, nfev
+
+    def one(key, pdf):
+        v = {x: pdf[f"v_{x}"].to_numpy(float) for x in model.variables}
+        problem = Block(model, v, pdf["y"].to_numpy(float), pdf["w"].to_numpy(float))
+        return pd.DataFrame([solve.driven(problem, attempts(key, len(pdf)))], columns=cols)
 
     cols = ["chunk_id", "n", "theta", "cov", "success", "error_type", "nfev"]
-    return pts.groupBy("chunk_id").applyInPandas(one, schema)
+    sizes = pts.groupBy("chunk_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > group_rows).collect()  # at most rows / group_rows
+    if not sizes:
+        return pts.groupBy("chunk_id").applyInPandas(one, schema)
+    spark, large = df.sparkSession, F.broadcast(df.sparkSession.createDataFrame([(r.chunk_id,) for r in sizes], "_c long"))
+    same = F.col("chunk_id").eqNullSafe(F.col("_c"))
+    rows = advanced(pts.join(large, same, "left_semi"), model, {(r.chunk_id,): attempts((r.chunk_id or 0,), r._n) for r in sizes}, {"chunk_id": "long"})
+    done = spark.createDataFrame([(key[0], *row[1:]) for key, row in rows.items()], schema)
+    return pts.join(large, same, "left_anti").groupBy("chunk_id").applyInPandas(one, schema).unionByName(done)
 
 
 def chunk_count(df: DataFrame, rows: int = 1_000_000) -> int:

@@ -89,9 +89,14 @@ def fit_by_key(
 
 
 def large_keys(pts: DataFrame, model: Model, large: list, kinds: dict, p0, lo, hi, which, scale: float, steps: int, linear: bool = False) -> list:
-    """[(key, Outcome)]: every key's solver asks for one evaluation; all are answered by one grouped aggregate."""
+    """[(key, Outcome)]: a solver for every key."""
+    return list(advanced(pts, model, {key: solve.iterate(np.clip(p0, lo, hi), lo, hi, max_nfev=steps, linear=linear) for key in large}, kinds, which, scale).items())
+
+
+def advanced(pts: DataFrame, model: Model, solvers: dict, kinds: dict, which="linear", scale: float = 1.0) -> dict:
+    """key -> what its solver ends with: every solver asks for one evaluation; all are answered by one grouped aggregate."""
     spark, k = pts.sparkSession, len(model.params)
-    rows = pts.persist()
+    rows = frame.repeated(pts.select(*kinds, *(f"v_{v}" for v in model.variables), "y", "w")).persist()
 
     def answer(asked: dict) -> dict:
         table = spark.createDataFrame(
@@ -101,17 +106,16 @@ def large_keys(pts: DataFrame, model: Model, large: list, kinds: dict, p0, lo, h
         on = [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in kinds]
         joined = rows.join(F.broadcast(table), on)
         t = normal.terms(model, [F.col(f"p{i}") for i in range(k)], which, scale)
-        got = joined.groupBy(*kinds).agg(*normal.aggregates(t)).collect()
+        got = joined.groupBy(*kinds).agg(*normal.aggregates(t, F.col("_m"))).collect()
         return {tuple(r[c] for c in kinds): r for r in got}
 
     def states(asked):
         return {key: normal.unpacked(row, asked[key]) for key, row in answer(asked).items()}
 
     try:
-        found = solve.lockstep(states, {key: solve.iterate(np.clip(p0, lo, hi), lo, hi, max_nfev=steps, linear=linear) for key in large})
+        return solve.lockstep(states, solvers)
     finally:
         rows.unpersist()
-    return list(found.items())
 
 
 def outcome_of(state, absolute: bool) -> tuple:

@@ -159,7 +159,11 @@ def solved(state):
 
 def minimise(problem, theta, lo=None, hi=None, ftol=1e-10, xtol=1e-10, gtol=1e-10, max_nfev: int | None = None, callback=None, linear: bool = False) -> Outcome:
     """Fit from theta. callback(iteration, cost, theta, info) may raise Stop. linear: the residuals are linear in theta."""
-    solver = iterate(theta, lo, hi, ftol, xtol, gtol, max_nfev, callback, linear)
+    return driven(problem, iterate(theta, lo, hi, ftol, xtol, gtol, max_nfev, callback, linear))
+
+
+def driven(problem, solver):
+    """What a solver returns, answered by problem."""
     ask = next(solver)
     while True:
         try:

@@ -77,3 +77,17 @@ def test_cma_es_over_counted_rows(spark, monkeypatch):
     near = search.cma_es(repeating(spark), "gaussian", "x", "y", box, preset=(3, 0))
     assert all("_m" in p.columns for p in seen) and len(seen) == 3
     assert abs(far.popt - near.popt).max() < 1e-6 and far.outcome.state.n == 800
+
+
+def test_large_chunks_are_not_gathered(spark):
+    from pyspark.sql import functions as F
+
+    from fitloom.operators import chunked
+
+    rows = repeating(spark).withColumn("y", F.when(F.col("id") % 4 == 3, F.lit(float("inf"))).otherwise(F.col("y")))
+    chunk, start = F.col("id") % 3, [4.0, 18.0, 4.0]
+    near = chunked.chunk_fits(rows, "gaussian", "x", "y", chunk, start).orderBy("chunk_id").collect()
+    some = chunked.chunk_fits(rows, "gaussian", "x", "y", chunk, start, group_rows=199).orderBy("chunk_id").collect()
+    assert [(r.chunk_id, r.n, r.success) for r in near] == [(r.chunk_id, r.n, r.success) for r in some] == [(i, 200, True) for i in range(3)]
+    for a, b in zip(near, some):
+        assert max(abs(p - q) for p, q in zip(a.theta, b.theta)) < 1e-6

@@ -13,7 +13,7 @@ intervals, or one set of levels beside shared terms, are there, since these fill
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -91,8 +91,14 @@ def touched(df: DataFrame, term: Term, x: str, out: str) -> tuple:
     spark = df.sparkSession
     if term.by is not None:
         kind = dict(df.dtypes)[term.by]
-        keys = [r[0] for r in df.select(term.by).distinct().orderBy(term.by).collect()]  # as many as parameters
-        table = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], f"_key {kind}, _member int")
+        found = df.select(term.by).distinct().orderBy(term.by)  # as many as parameters
+        if kind in ("tinyint", "smallint", "int", "bigint", "string"):  # as arrays, since they may be many
+            column = found.toArrow().column(0)
+            keys = column.to_pylist()
+            table = spark.createDataFrame(pa.table({"_key": column, "_member": np.arange(len(keys), dtype=np.int32)}), f"_key {kind}, _member int")
+        else:
+            keys = [r[0] for r in found.collect()]
+            table = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], f"_key {kind}, _member int")
         table = F.broadcast(table) if len(keys) <= BROADCAST else table
         joined = df.join(table, F.col(term.by).eqNullSafe(F.col("_key")), "left")
         return joined.withColumn(out, F.array("_member")).drop("_key", "_member"), keys
@@ -133,8 +139,17 @@ class WideState:
         return Blocks(self, d, g, extra) if self.problem.method == "blocks" else Krylov(self, d, g, extra)
 
 
+def add(total: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
+    """total[at] += values, repeats included, at a cost of the values and not of the total."""
+    if len(total) <= len(at):
+        total += np.bincount(at, values, len(total))
+    else:
+        np.add.at(total, at, values)
+
+
 class WideProblem:
-    """Evaluates a sum of parts on rows with v_<variable>, y, w and t<i>, the members touched of part i."""
+    """Evaluates a sum of parts on rows with v_<variable>, y, w, _m (how often a row counts) and t<i>, the members
+    touched of part i."""
 
     def __init__(self, pts: DataFrame, parts: list, variables: tuple, which="linear", scale: float = 1.0, method: str = "cg", forcing: float | None = None):
         self.pts, self.parts, self.variables, self.which, self.scale, self.method = pts.persist(), parts, variables, which, scale, method
@@ -144,12 +159,12 @@ class WideProblem:
         self.pts.unpersist()
 
     def kernel(self):
-        """What tasks need: batch -> (r, gradient weight, Hessian weight, row, position, slope) of a block."""
-        parts, variables, which, scale = self.parts, self.variables, self.which, self.scale
+        """What tasks need: batch -> (r, cost, gradient weight, Hessian weight, row, position, slope) of a block; weights hold _m."""
+        parts, variables, which, scale = [replace(p, keys=()) for p in self.parts], self.variables, self.which, self.scale  # keys may be many
 
         def block(theta: np.ndarray, batch) -> tuple:
             v = {x: batch.column(f"v_{x}").to_numpy() for x in variables}
-            y, w = batch.column("y").to_numpy(), batch.column("w").to_numpy()
+            y, w, m = (batch.column(c).to_numpy() for c in ("y", "w", "_m"))
             f, rows, places, slopes = np.zeros(len(y)), [], [], []
             with np.errstate(all="ignore"):
                 for i, p in enumerate(parts):
@@ -170,10 +185,10 @@ class WideProblem:
                 row = np.concatenate(rows)
                 slope = np.concatenate(slopes) * w[row]
                 if which == "linear":
-                    return r, 0.5 * r * r, np.ones(len(r)), np.ones(len(r)), row, np.concatenate(places), slope
+                    return r, 0.5 * m * r * r, m, m, row, np.concatenate(places), slope
                 z = (r / scale) ** 2
                 rho, first, second = (np.broadcast_to(E.to_numpy(e)({}, {"z": z}), z.shape) for e in loss(which))
-                return r, 0.5 * scale * scale * rho, first, np.maximum(first + 2 * second * z, _EPS), row, np.concatenate(places), slope
+                return r, 0.5 * scale * scale * m * rho, m * first, m * np.maximum(first + 2 * second * z, _EPS), row, np.concatenate(places), slope
 
         return block
 
@@ -185,9 +200,10 @@ class WideProblem:
             total = np.zeros(4 + 2 * k)
             for b in batches:
                 r, cost, first, hess, row, at, slope = block(theta, b)
-                total[:4] += [len(r), (~np.isfinite(r)).sum(), cost.sum(), r @ r]
-                total[4 : 4 + k] += np.bincount(at, slope * (first * r)[row], k)
-                total[4 + k :] += np.bincount(at, slope * slope * hess[row], k)
+                m = b.column("_m").to_numpy()
+                total[:4] += [m.sum(), m[~np.isfinite(r)].sum(), cost.sum(), (m * r) @ r]
+                add(total[4 : 4 + k], at, slope * (first * r)[row])
+                add(total[4 + k :], at, slope * slope * hess[row])
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["i", "s"])
 
@@ -211,7 +227,7 @@ class WideProblem:
             for b in batches:
                 r, _, _, hess, row, at, slope = block(theta, b)
                 along = np.bincount(row, slope * v[at], len(r)) * hess
-                total += np.bincount(at, slope * along[row], k)
+                add(total, at, slope * along[row])
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["i", "s"])
 
@@ -392,12 +408,12 @@ class WideFit:
 
     def table(self) -> DataFrame:
         """term, member (its key as text, its number for intervals), param, value."""
-        rows = []
+        tables = []
         for p in self.parts:
-            for c, key in enumerate(p.keys):
-                label = str(c) if p.term.along else None if key is None else str(key)
-                rows += [(p.term.name, label, name, float(self.theta[p.start + c * len(p.params) + j])) for j, name in enumerate(p.params)]
-        return self.problem.pts.sparkSession.createDataFrame(rows, "term string, member string, param string, value double")
+            labels, n = [str(c) if p.term.along else None if key is None else str(key) for c, key in enumerate(p.keys)], len(p.params)
+            columns = [pa.repeat(p.term.name, p.size), pa.array(labels, pa.string()).take(np.repeat(np.arange(len(labels)), n)), pa.array(list(p.params) * len(labels), pa.string()), pa.array(self.theta[p.start : p.start + p.size])]
+            tables.append(pa.table(columns, ["term", "member", "param", "value"]))
+        return self.problem.pts.sparkSession.createDataFrame(pa.concat_tables(tables), "term string, member string, param string, value double")
 
     def stderr(self, absolute: bool = False) -> np.ndarray:
         """Standard errors, from the factor of the cells; a solve per parameter."""
@@ -429,6 +445,7 @@ def wide_fit(
     for name, column in by:
         df = df.withColumn(name, F.col(column))
     pts = frame.points(df, roles, nan_policy, extra=tuple(n for n, _ in by)).drop("ord")
+    pts = frame.repeated(pts)
     keys, named = [], []
     for i, t in enumerate(terms):
         inner = Term(t.name, t.text, f"_by{i}" if t.by is not None else None, t.along, t.low, t.high)
@@ -437,7 +454,7 @@ def wide_fit(
         named.append(t)
     parts = laid_out(named, keys, tuple(variables))
     order = [named.index(p.term) for p in parts]
-    pts = pts.select(*(f"v_{v}" for v in variables), "y", "w", *(F.col(f"m{i}").alias(f"t{at}") for at, i in enumerate(order)))
+    pts = pts.select(*(f"v_{v}" for v in variables), "y", "w", "_m", *(F.col(f"m{i}").alias(f"t{at}") for at, i in enumerate(order)))
     linear = loss == "linear" and not any(E.names(s, "param") for p in parts for s in p.slopes)
     if method == "auto":
         many = [p for p in parts if len(p.keys) > 1]

@@ -91,3 +91,17 @@ def test_large_chunks_are_not_gathered(spark):
     assert [(r.chunk_id, r.n, r.success) for r in near] == [(r.chunk_id, r.n, r.success) for r in some] == [(i, 200, True) for i in range(3)]
     for a, b in zip(near, some):
         assert max(abs(p - q) for p, q in zip(a.theta, b.theta)) < 1e-6
+
+
+def test_wide_fits_count_repeated_rows_once(spark):
+    from fitloom.operators import wide
+
+    rows = repeating(spark).selectExpr("x", "id % 2 AS side", "3 * x + 10 * (id % 2) + x % 3 AS y")
+    terms = [wide.levels("side", "level", "side"), wide.shared("slope", "b*x")]
+    got = wide.wide_fit(rows, terms, "x", "y")
+    assert got.problem.pts.count() == 40 and got.outcome.state.n == 800
+    import numpy as np
+
+    x, side = np.tile(np.arange(40.0), 20), np.arange(800) % 2
+    want = np.linalg.lstsq(np.stack([side == 0, side == 1, x], 1).astype(float), 3 * x + 10 * side + x % 3, rcond=None)[0]
+    np.testing.assert_allclose([*(v[0] for v in got.member("side").values()), got.member("slope")[None][0]], want, atol=1e-6)

@@ -8,6 +8,8 @@ one grouped aggregate per step, and are never gathered.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,7 +22,6 @@ from .storage import written
 
 GROUP_ROWS = 100_000
 FEW = 200_000  # keys up to which their solutions, some 10 MB, are sent to every task
-SALTS = 32  # parts of a key's rows where there are more keys than that
 
 
 class Block:
@@ -57,7 +58,7 @@ def fit_by_key(
     plain = loss == "linear" and model.linear and model.expr is not None and len(model.params) <= normal.SQL_WIDTH
     if plain and bounds is None and not np.isfinite(np.concatenate(model.limits())).any():
         kinds = {k: t for k, t in pts.dtypes if k in keys}
-        return linear_states(pts, model, keys, p0, lambda key, state: row_of(key, *outcome_of(state, absolute_sigma)), result_schema(kinds))
+        return linear_states(pts, model, keys, p0, lambda key, state: row_of(key, *outcome_of(state, absolute_sigma)), result_schema(kinds), lambda t, s, theta: rows_of(t[list(kinds)], s, theta, absolute_sigma))
     kinds = {k: t for k, t in pts.dtypes if k in keys}
     lo, hi = model.limits() if bounds is None else (np.broadcast_to(np.asarray(b, float), len(model.params)).copy() for b in bounds)
     p0, linear = np.asarray(p0, float), loss == "linear" and model.linear
@@ -128,8 +129,66 @@ def outcome_of(state, absolute: bool) -> tuple:
     return state.n, solve.Outcome(state.theta, state, 2, 2, 1, float(np.abs(state.g).max())), absolute, None
 
 
-def linear_states(pts: DataFrame, model: Model, keys: list, p0, row, schema: str) -> DataFrame:
-    """row(key, State at the solution) of every key, for models linear in their parameters: two grouped aggregates."""
+@dataclass
+class Sums:
+    """The sums of many keys, as arrays by key: what unpacked() gives for one."""
+
+    n: np.ndarray
+    bad: np.ndarray
+    cost: np.ndarray
+    ssr: np.ndarray
+    g: np.ndarray
+    a: np.ndarray
+
+    @classmethod
+    def of(cls, t: pd.DataFrame, k: int) -> Sums:
+        v = lambda c: t[c].to_numpy(float, na_value=np.nan)
+        a = np.empty((len(t), k, k))
+        for i in range(k):
+            for j in range(i, k):
+                a[:, i, j] = a[:, j, i] = v(f"a{i}_{j}")
+        return cls(t["n"].to_numpy(np.int64), t["bad"].to_numpy(np.int64), v("cost"), v("ssr"), np.stack([v(f"g{i}") for i in range(k)], 1), a)
+
+    @property
+    def usable(self) -> np.ndarray:
+        return (self.bad == 0) & np.isfinite(self.cost) & np.isfinite(self.g).all(1) & np.isfinite(self.a).all((1, 2)) & (self.n >= self.g.shape[1])
+
+    def eigen(self) -> tuple:
+        """(column norms, eigenvalues, eigenvectors) of the scaled J'J; of keys that are not usable, those of 1."""
+        d = np.sqrt(np.maximum(np.diagonal(self.a, axis1=1, axis2=2), 0))
+        d = np.where(d > 0, d, 1.0)
+        a = np.where(self.usable[:, None, None], self.a / (d[:, :, None] * d[:, None, :]), np.eye(self.g.shape[1]))
+        return d, *np.linalg.eigh(a)
+
+    def solutions(self, theta: np.ndarray) -> np.ndarray:
+        """solve.linear_solution() of every key; NaN where a key is not usable."""
+        d, lam, q = self.eigen()
+        keep = lam > np.finfo(float).eps * lam.shape[1] * np.maximum(lam[:, -1:], 0)
+        part = np.where(keep, 1 / np.where(keep, lam, 1.0), 0.0) * np.einsum("bij,bi->bj", q, self.g / d)
+        return np.where(self.usable[:, None], theta - np.einsum("bij,bj->bi", q, part) / d, np.nan)
+
+
+def rows_of(keys: pd.DataFrame, s: Sums, theta: np.ndarray, absolute: bool) -> pd.DataFrame:
+    """row_of() of many keys at once."""
+    k, n = theta.shape[1], len(s.n)
+    d, lam, q = s.eigen()
+    keep = lam > np.finfo(float).eps * np.maximum(s.n, k)[:, None] * np.maximum(lam[:, -1:], 0)
+    with np.errstate(all="ignore"):
+        var = np.einsum("bij,bj->bi", q * q, np.where(keep, 1 / np.where(keep, lam, 1.0), 0.0)) / d**2
+        var = var if absolute else var * (s.ssr / (s.n - k))[:, None]
+    var[~keep.all(1) | ((s.n <= k) & (not absolute))] = np.inf
+    good, err = s.usable, np.sqrt(np.maximum(var, 0))
+    none = lambda values: [v if ok else None for v, ok in zip(values, good)]
+    why = np.where(s.n < k, "fewer points than parameters", "the model is not finite at the starting values")
+    return keys.assign(
+        n=s.n, status=np.where(good, 2, -1), success=good, cost=pd.Series(none(s.cost), keys.index, object), nfev=np.where(good, 2, 0), params=pd.Series(none(list(theta)), keys.index, object),
+        stderr=pd.Series(none(list(err)), keys.index, object), error=pd.Series(np.where(good, None, why), keys.index, object),
+    )
+
+
+def linear_states(pts: DataFrame, model: Model, keys: list, p0, row, schema: str, table=None) -> DataFrame:
+    """row(key, State at the solution) of every key, for models linear in their parameters: two grouped aggregates.
+    table(frame with the keys, Sums, solutions) gives the rows of many keys at once instead."""
     p0, k = np.asarray(p0, float), len(model.params)
     kinds = {c: t for c, t in pts.dtypes if c in keys}
     names, thetas = list(kinds), [f"_p{i}" for i in range(k)]
@@ -138,15 +197,16 @@ def linear_states(pts: DataFrame, model: Model, keys: list, p0, row, schema: str
 
     def solutions(pdfs):
         for pdf in pdfs:
-            out = []
-            for r in pdf.to_dict("records"):
-                s = normal.unpacked(r, p0)
-                theta = solve.linear_solution(s) if s.n >= k and s.usable else np.full(k, np.nan)
-                out.append((*(r[c] for c in names), *theta.tolist()))
-            yield pd.DataFrame(out, columns=[f"_k_{c}" for c in names] + thetas)
+            theta = Sums.of(pdf, k).solutions(p0)
+            yield pd.DataFrame({f"_k_{c}": pdf[c] for c in names} | {"_n": pdf["n"]} | {t: theta[:, i] for i, t in enumerate(thetas)})
 
     def rows(pdfs):
         for pdf in pdfs:
+            if table is not None:
+                at, s = pdf[thetas].to_numpy(float), Sums.of(pdf, k)
+                again = s.solutions(at)  # what rounding left
+                yield table(pdf, s, np.where(np.isfinite(again).all(1)[:, None], again, at))[columns]
+                continue
             made = []
             for r in pdf.to_dict("records"):
                 theta = np.array([r[t] for t in thetas], float)
@@ -156,15 +216,15 @@ def linear_states(pts: DataFrame, model: Model, keys: list, p0, row, schema: str
                 made.append(row(tuple(r[c] for c in names), s))
             yield pd.DataFrame(made, columns=columns)
 
-    fields = ", ".join([f"`_k_{c}` {t}" for c, t in kinds.items()] + [f"{t} double" for t in thetas])
+    fields = ", ".join([f"`_k_{c}` {t}" for c, t in kinds.items()] + ["_n long"] + [f"{t} double" for t in thetas])
     first = written(sums(pts, p0, keys).mapInPandas(solutions, fields), "key-solutions")
     on = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in names]
     if first.count() <= FEW:
         joined = pts.join(F.broadcast(first), on)
-    else:  # a key may hold any share of the rows: they are dealt over SALTS tasks, and its solution goes to each
-        salt = F.pmod(F.xxhash64(*(c for c in pts.columns if c not in names)), F.lit(SALTS))
-        each = first.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        joined = pts.withColumn("_part", salt).join(each, [*on, F.col("_part") == F.col("_salt")])
+    else:  # keys of many rows, at most rows / GROUP_ROWS, are sent to every task; rows of others meet their key's
+        large, small = first.filter(F.col("_n") > GROUP_ROWS), first.filter(F.col("_n") <= GROUP_ROWS)
+        rest = pts.join(F.broadcast(large), on, "left_anti")
+        joined = pts.join(F.broadcast(large), on).unionByName(rest.join(small, on))
     at = sums(joined, [F.col(t) for t in thetas], [*names, *thetas])
     return at.mapInPandas(rows, schema)
 

@@ -105,3 +105,27 @@ def test_wide_fits_count_repeated_rows_once(spark):
     x, side = np.tile(np.arange(40.0), 20), np.arange(800) % 2
     want = np.linalg.lstsq(np.stack([side == 0, side == 1, x], 1).astype(float), 3 * x + 10 * side + x % 3, rcond=None)[0]
     np.testing.assert_allclose([*(v[0] for v in got.member("side").values()), got.member("slope")[None][0]], want, atol=1e-6)
+
+
+def test_many_keys_meet_their_solutions_once(spark, monkeypatch):
+    import numpy as np
+
+    from fitloom.operators import grouped
+
+    rows = spark.range(1200).selectExpr("CASE WHEN id < 900 THEN id % 150 ELSE 1000 END AS k", "double(id % 7) AS x", "double(id % 7) * 2 + id % 5 AS y").unionByName(spark.createDataFrame([(None, 1.0, 2.0)], "k long, x double, y double"))
+    want = {r.k: r for r in grouped.fit_by_key(rows, "linear", "x", "y", ["k"], [0.0, 0.0]).collect()}
+    monkeypatch.setattr(grouped, "FEW", 10)
+    monkeypatch.setattr(grouped, "GROUP_ROWS", 100)
+    plan = grouped.fit_by_key(rows, "linear", "x", "y", ["k"], [0.0, 0.0])
+    assert "Generate" not in plan._jdf.queryExecution().optimizedPlan().toString()  # no copies of the solutions
+    got = {r.k: r for r in plan.collect()}
+    assert got.keys() == want.keys() and len(got) == 152
+    assert got[None].error == "fewer points than parameters" and got[None].n == 1 and got[None].params is None
+    pdf = rows.filter("k is not null").toPandas()
+    for k, own in pdf.groupby("k"):
+        cov = np.polyfit(own.x, own.y, 1, cov="unscaled")[1] * np.polyfit(own.x, own.y, 1, full=True)[1] / (len(own) - 2) if own.x.nunique() > 1 else None
+        np.testing.assert_allclose(got[k].params, want[k].params)
+        assert got[k].n == len(own) and got[k].success
+        if cov is not None:
+            np.testing.assert_allclose(got[k].params, np.polyfit(own.x, own.y, 1), atol=1e-8)
+            np.testing.assert_allclose(got[k].stderr, np.sqrt(np.diag(cov)), rtol=1e-6, atol=1e-9)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from .storage import written
 
+PARTITION_ROWS = 8192  # counted rows to a partition, about
+
 
 @dataclass(frozen=True)
 class Roles:
@@ -64,12 +66,14 @@ def points(df: DataFrame, roles: Roles, policy: str = "raise", extra: tuple = ()
 def repeated(pts: DataFrame) -> DataFrame:
     """Rows that agree in all columns once, with their number `_m`, where that leaves at most a quarter of the rows; else
     every row, with 1. Sums over rows, weighted by `_m`, are the same. Takes one pass to count and one to group; 0 and
-    -0 agree, as in any grouping."""
+    -0 agree, as in any grouping. Rows that are counted lie in as few partitions as they need, since every later sum
+    has a task for each, however many the grouping took."""
     if "_m" in pts.columns:
         return pts
     n, distinct = pts.agg(F.count("*"), F.approx_count_distinct(F.xxhash64(*pts.columns))).first()
     if n and 4 * distinct <= n:
-        return pts.groupBy(*pts.columns).agg(F.count("*").cast("double").alias("_m"))
+        most = int(pts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return pts.groupBy(*pts.columns).agg(F.count("*").cast("double").alias("_m")).repartition(min(most, -(-distinct // PARTITION_ROWS)))
     return pts.withColumn("_m", F.lit(1.0))
 
 

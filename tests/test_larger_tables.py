@@ -79,6 +79,22 @@ def test_cma_es_over_counted_rows(spark, monkeypatch):
     assert abs(far.popt - near.popt).max() < 1e-6 and far.outcome.state.n == 800
 
 
+def test_counted_rows_lie_in_few_partitions(spark, monkeypatch):
+    from fitloom.operators import frame
+
+    pts = repeating(spark).select("x", "y")
+    few = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        one = frame.repeated(pts).persist()
+        assert one.rdd.getNumPartitions() == 1 and one.count() == 40 and one.agg({"_m": "sum"}).first()[0] == 800
+        one.unpersist()
+        monkeypatch.setattr(frame, "PARTITION_ROWS", 10)
+        assert 2 < frame.repeated(pts).rdd.getNumPartitions() < 8
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", few)
+
+
 def test_large_chunks_are_not_gathered(spark):
     from pyspark.sql import functions as F
 

@@ -63,14 +63,19 @@ def points(df: DataFrame, roles: Roles, policy: str = "raise", extra: tuple = ()
     return df.select(*roles.keys, *extra, *(c.alias(v) for v, c in cols.items()), w.alias("w"), order.alias("ord"))
 
 
-def repeated(pts: DataFrame) -> DataFrame:
+def variety(pts: DataFrame, *columns: list) -> tuple:
+    """The number of rows, and about how many differ in each list of columns, in one pass."""
+    return tuple(pts.agg(F.count("*"), *(F.approx_count_distinct(F.xxhash64(*c)) for c in columns)).first())
+
+
+def repeated(pts: DataFrame, seen: tuple | None = None) -> DataFrame:
     """Rows that agree in all columns once, with their number `_m`, where that leaves at most a quarter of the rows; else
     every row, with 1. Sums over rows, weighted by `_m`, are the same. Takes one pass to count and one to group; 0 and
     -0 agree, as in any grouping. Rows that are counted lie in as few partitions as they need, since every later sum
-    has a task for each, however many the grouping took."""
+    has a task for each, however many the grouping took. seen: variety() of all columns, if it is known."""
     if "_m" in pts.columns:
         return pts
-    n, distinct = pts.agg(F.count("*"), F.approx_count_distinct(F.xxhash64(*pts.columns))).first()
+    n, distinct = seen or variety(pts, pts.columns)
     if n and 4 * distinct <= n:
         most = int(pts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         return pts.groupBy(*pts.columns).agg(F.count("*").cast("double").alias("_m")).repartition(min(most, -(-distinct // PARTITION_ROWS)))

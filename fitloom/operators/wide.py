@@ -9,6 +9,9 @@ method "cg": the step is found by conjugate gradients cut at the trust radius, e
 sums. method "blocks": J'J is summed as cells (i, j) of parameters that some row touches together, by a
 shuffle, and factored member by member, in an order that leaves few cells to fill. "auto" takes blocks if only
 intervals, or one set of levels beside shared terms, are there, since these fill little; else cg.
+
+Where residuals are linear in the parameters and many rows touch the same levels, these rows are replaced by their
+triangle once (folded): it has the same sums at any parameters, so that steps pass over members and not over rows.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +29,10 @@ from ..functions.losses import loss
 from . import frame, solve
 
 BROADCAST = 500_000  # members up to which their table is sent to all tasks; beyond, rows and members are shuffled
+FOLDED = 50_000  # different rows up to which none are folded
+_COMPARED = ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean", "string", "date")  # keys that Arrow compares
 _EPS = float(np.finfo(float).eps)
+_FLAT = 1e-13  # curvature along a direction, beside 1 along each parameter, that is rounding
 
 
 @dataclass(frozen=True)
@@ -74,18 +81,75 @@ class Part:
         return len(self.keys) * len(self.params)
 
 
+def formula(term: Term, variables: tuple) -> tuple:
+    """Expression, parameters and derivatives of a term."""
+    e = E.parse(term.text, (*variables, *(("low", "high") if term.along else ())))
+    params = tuple(E.names(e, "param"))
+    return e, params, tuple(E.diff(e, p) for p in params)
+
+
 def laid_out(terms: list, keys: list, variables: tuple) -> list:
     """Parts, those with the most members first, so that shared parameters come last."""
     out, start = [], 0
     for term, own in sorted(zip(terms, keys), key=lambda x: -len(x[1])):
-        more = ("low", "high") if term.along else ()
-        e = E.parse(term.text, (*variables, *more))
-        params = tuple(E.names(e, "param"))
-        out.append(Part(term, e, params, tuple(E.diff(e, p) for p in params), tuple(own), start))
+        out.append(Part(term, *formula(term, variables), tuple(own), start))
         start += out[-1].size
     return out
 
 
+def folded(pts: DataFrame, by: list, formulas: list, variables: tuple) -> DataFrame:
+    """Rows of the columns `by`, v_<variable>, y and w, those that agree in `by` replaced by the triangle of their slopes
+    and residuals at 0: columns `by`, s<term>_<parameter>, r and _n, the number of rows that each stands for.
+
+    Rows are range-sorted by their keys, those of a frequent key dealt over several tasks by their hash. Each block of
+    rows is folded alone; that a key has several triangles changes no sum. Rows that are not finite stay as they are.
+    """
+    names = [f"s{i}_{j}" for i, (_, params, _) in enumerate(formulas) for j in range(len(params))]
+    width = len(names) + 1
+
+    def run(batches):
+        for b in batches:
+            v, y, w, n = {x: b.column(f"v_{x}").to_numpy() for x in variables}, b.column("y").to_numpy(), b.column("w").to_numpy(), b.num_rows
+            if not n:
+                continue
+            m, at = np.zeros((n, width)), 0
+            with np.errstate(all="ignore"):
+                for e, params, slopes in formulas:
+                    m[:, -1] += E.to_numpy(e)(dict.fromkeys(params, np.float64(0.0)), v)
+                    for s in slopes:
+                        m[:, at] = w * E.to_numpy(s)({}, v)
+                        at += 1
+                m[:, -1] = w * (m[:, -1] - y)
+            first, odd = np.ones(n, bool), ~np.isfinite(m).all(1)
+            first[1:] = odd[1:] | odd[:-1]
+            for c in by:
+                one, two = b.column(c).slice(0, n - 1), b.column(c).slice(1)
+                same = pc.or_(pc.fill_null(pc.equal(one, two), False), pc.and_(pc.is_null(one), pc.is_null(two)))
+                first[1:] |= ~same.to_numpy(zero_copy_only=False)
+            start = np.flatnonzero(first)
+            size = np.diff(start, append=n)
+            few = np.repeat(size <= width, size)
+            rows, found, count = [np.flatnonzero(few)], [m[few]], [np.ones(int(few.sum()))]
+            padded = 2 ** np.ceil(np.log2(size)).astype(int)
+            for p in np.unique(padded[size > width]):  # groups of about the same size together, filled up with zeros
+                own = (padded == p) & (size > width)
+                grid = np.minimum(start[own][:, None] + np.arange(p), n - 1)
+                block = np.where((np.arange(p) < size[own][:, None])[:, :, None], m[grid], 0.0)
+                r = np.linalg.qr(block, mode="r")
+                stands = np.zeros((len(r), width))
+                stands[:, 0] = size[own]
+                rows.append(np.repeat(start[own], width))
+                found.append(r.reshape(-1, width))
+                count.append(stands.ravel())
+            at, out = pa.array(np.concatenate(rows)), np.concatenate(found)
+            columns = [*(b.column(c).take(at) for c in by), *(pa.array(np.ascontiguousarray(c)) for c in out.T), pa.array(np.concatenate(count))]
+            yield pa.RecordBatch.from_arrays(columns, [*by, *names, "r", "_n"])
+
+    kinds, values = dict(pts.dtypes), [c for c in pts.columns if c not in by]
+    dealt = pts.repartitionByRange(*(F.col(c) for c in by), F.xxhash64(*values)).sortWithinPartitions(*by)
+    return dealt.mapInArrow(run, ", ".join([f"{c} {kinds[c]}" for c in by] + [f"{c} double" for c in (*names, "r", "_n")]))
+
+
 def touched(df: DataFrame, term: Term, x: str, out: str) -> tuple:
     """(df with column `out`, the numbers of the members that each row touches; keys of the members)."""
     spark = df.sparkSession
@@ -149,11 +213,12 @@ def add(total: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
 
 class WideProblem:
     """Evaluates a sum of parts on rows with v_<variable>, y, w, _m (how often a row counts) and t<i>, the members
-    touched of part i."""
+    touched of part i; or on folded rows, with s<i>_<parameter>, r and _n in place of the first four."""
 
     def __init__(self, pts: DataFrame, parts: list, variables: tuple, which="linear", scale: float = 1.0, method: str = "cg", forcing: float | None = None):
         self.pts, self.parts, self.variables, self.which, self.scale, self.method = pts.persist(), parts, variables, which, scale, method
         self.k, self.calls, self.products, self.forcing = sum(p.size for p in parts), 0, 0, forcing
+        self.folded, self.often = "_n" in pts.columns, "_n" if "_n" in pts.columns else "_m"
 
     def close(self) -> None:
         self.pts.unpersist()
@@ -162,6 +227,20 @@ class WideProblem:
         """What tasks need: batch -> (r, cost, gradient weight, Hessian weight, row, position, slope) of a block; weights hold _m."""
         parts, variables, which, scale = [replace(p, keys=()) for p in self.parts], self.variables, self.which, self.scale  # keys may be many
 
+        def triangles(theta: np.ndarray, batch) -> tuple:
+            r, places, slopes = batch.column("r").to_numpy().copy(), [], []
+            for i, p in enumerate(parts):
+                first = p.start + batch.column(f"t{i}").flatten().to_numpy().astype(np.int64) * len(p.params)
+                for j in range(len(p.params)):
+                    places.append(first + j)
+                    slopes.append(batch.column(f"s{i}_{j}").to_numpy())
+                    r += slopes[-1] * theta[places[-1]]
+            one = np.ones(len(r))
+            return r, 0.5 * r * r, one, one, np.tile(np.arange(len(r)), len(places)), np.concatenate(places), np.concatenate(slopes)
+
+        if self.folded:
+            return triangles
+
         def block(theta: np.ndarray, batch) -> tuple:
             v = {x: batch.column(f"v_{x}").to_numpy() for x in variables}
             y, w, m = (batch.column(c).to_numpy() for c in ("y", "w", "_m"))
@@ -193,15 +272,15 @@ class WideProblem:
         return block
 
     def __call__(self, theta) -> WideState:
-        theta, k, block = np.asarray(theta, float), self.k, self.kernel()
+        theta, k, block, often = np.asarray(theta, float), self.k, self.kernel(), self.often
         self.calls += 1
 
         def run(batches):
             total = np.zeros(4 + 2 * k)
             for b in batches:
                 r, cost, first, hess, row, at, slope = block(theta, b)
-                m = b.column("_m").to_numpy()
-                total[:4] += [m.sum(), m[~np.isfinite(r)].sum(), cost.sum(), (m * r) @ r]
+                m = b.column(often).to_numpy()
+                total[:4] += [m.sum(), m[~np.isfinite(r)].sum(), cost.sum(), r @ r if often == "_n" else (m * r) @ r]
                 add(total[4 : 4 + k], at, slope * (first * r)[row])
                 add(total[4 + k :], at, slope * slope * hess[row])
             some = np.flatnonzero(total)
@@ -220,6 +299,7 @@ class WideProblem:
     def product(self, theta: np.ndarray, v: np.ndarray) -> np.ndarray:
         """J'J v, in one job."""
         k, block = self.k, self.kernel()
+        theta = v if self.folded else theta  # of which slopes of triangles do not depend: one vector less to send
         self.products += 1
 
         def run(batches):
@@ -302,6 +382,8 @@ class Krylov:
         p = -r
         while np.linalg.norm(r) > goal and len(self.path) < 2 * len(self.g) + 10:
             ap = self.times(p)
+            if p @ ap <= _FLAT * (p @ p) and not np.isfinite(radius):
+                break  # parameters that the rows do not tell apart: what is left of the gradient along p is rounding
             self.path.append((s, bent, p, ap))
             t = self.reach(s, p, ap)
             if not np.isfinite(t) or np.linalg.norm(s + t * p) >= radius:
@@ -445,7 +527,14 @@ def wide_fit(
     for name, column in by:
         df = df.withColumn(name, F.col(column))
     pts = frame.points(df, roles, nan_policy, extra=tuple(n for n, _ in by)).drop("ord")
-    pts = frame.repeated(pts)
+    own, formulas = [n for n, _ in by], [formula(t, tuple(variables)) for t in terms]
+    linear = loss == "linear" and not any(E.names(s, "param") for _, _, slopes in formulas for s in slopes)
+    seen = frame.variety(pts, pts.columns, own) if own else (*frame.variety(pts, pts.columns), 1)
+    rows, distinct, groups = seen
+    alike = 4 * groups * (1 + sum(len(params) for _, params, _ in formulas)) <= rows  # triangles are a quarter of the rows at most
+    kinds = dict(pts.dtypes)
+    fold = linear and alike and 4 * distinct > rows and distinct > FOLDED and own and all(kinds[c] in _COMPARED for c in own) and not any(t.along for t in terms)
+    pts = base = folded(pts, own, formulas, tuple(variables)).persist() if fold else frame.repeated(pts, seen[:2])
     keys, named = [], []
     for i, t in enumerate(terms):
         inner = Term(t.name, t.text, f"_by{i}" if t.by is not None else None, t.along, t.low, t.high)
@@ -454,8 +543,9 @@ def wide_fit(
         named.append(t)
     parts = laid_out(named, keys, tuple(variables))
     order = [named.index(p.term) for p in parts]
-    pts = pts.select(*(f"v_{v}" for v in variables), "y", "w", "_m", *(F.col(f"m{i}").alias(f"t{at}") for at, i in enumerate(order)))
-    linear = loss == "linear" and not any(E.names(s, "param") for p in parts for s in p.slopes)
+    slopes = [F.col(f"s{i}_{j}").alias(f"s{at}_{j}") for at, i in enumerate(order) for j in range(len(parts[at].params))]
+    values = [*slopes, "r", "_n"] if fold else [*(f"v_{v}" for v in variables), "y", "w", "_m"]
+    pts = pts.select(*values, *(F.col(f"m{i}").alias(f"t{at}") for at, i in enumerate(order)))
     if method == "auto":
         many = [p for p in parts if len(p.keys) > 1]
         method = "blocks" if len(many) <= 1 or all(p.term.along for p in many) else "cg"
@@ -475,4 +565,5 @@ def wide_fit(
         out = solve.minimise(problem, theta, None if free else lo, None if free else hi, linear=linear, **options)
     finally:
         problem.close()
+        base.unpersist()
     return WideFit(out.theta, out, parts, problem)

@@ -113,3 +113,37 @@ def test_empty_tables_and_unknown_methods(spark):
         wide.wide_fit(none, [wide.levels("a", "p", "k")], "x", "y")
     with pytest.raises(ValueError):
         wide.wide_fit(none, [wide.levels("a", "p", "k")], "x", "y", method="qr")
+
+
+def test_rows_of_equal_levels_are_folded_to_triangles(spark, monkeypatch):
+    """The same fit from far fewer rows: null levels, weights, one very frequent pair, two parameters a level."""
+    r = np.random.default_rng(6)
+    data = [(int(a) if a < 9 else None, str(b), float(x), float(a + 0.3 * b + 2.5 * x + e), float(s)) for a, b, x, e, s in zip(r.integers(10, size=4000), r.integers(3, size=4000), r.normal(size=4000), r.normal(size=4000), r.uniform(0.5, 2, 4000))]
+    data += [(3, "1", float(x), float(x * x), 1.0) for x in np.linspace(-3, 3, 12_000)]
+    df = spark.createDataFrame(data, "a int, b string, x double, y double, s double")
+    terms = [wide.levels("a", "p + q*x", "a"), wide.levels("b", "t", "b"), wide.shared("bend", "u*x^2 + x")]
+    plain = wide.wide_fit(df, terms, "x", "y", sigma="s")
+    assert plain.problem.pts.count() == len(data)
+    monkeypatch.setattr(wide, "FOLDED", 100)
+    got = wide.wide_fit(df, terms, "x", "y", sigma="s")
+    assert got.problem.folded and got.problem.pts.count() < len(data) / 10
+    assert got.outcome.state.n == len(data) and got.outcome.state.bad == 0
+    np.testing.assert_allclose(got.outcome.state.cost, plain.outcome.state.cost, rtol=1e-9)
+    np.testing.assert_allclose(got.outcome.state.ssr, 2 * got.outcome.state.cost)
+    for key, (p, q) in plain.member("a").items():  # levels of two sets share a constant
+        mine, shift = got.member("a")[key], plain.member("b")["0"][0] - got.member("b")["0"][0]
+        np.testing.assert_allclose([mine[0] - shift, mine[1]], [p, q], atol=1e-6)
+    assert None in got.member("a") and len(got.member("a")) == 10
+    blocks = wide.wide_fit(df, [terms[0], terms[2]], "x", "y", sigma="s", method="blocks")
+    assert blocks.problem.folded
+    monkeypatch.setattr(wide, "FOLDED", 10**6)
+    np.testing.assert_allclose(blocks.theta, wide.wide_fit(df, [terms[0], terms[2]], "x", "y", sigma="s", method="blocks").theta, atol=1e-6)
+
+
+def test_folded_rows_that_are_not_finite_count_as_bad(spark, monkeypatch):
+    monkeypatch.setattr(wide, "FOLDED", 10)
+    df = spark.range(900).selectExpr("id % 3 AS a", "double(id) AS x", "IF(id = 7, double('nan'), double(id % 11)) AS y")
+    with pytest.raises(ValueError, match="not finite"):
+        wide.wide_fit(df, [wide.levels("a", "p", "a"), wide.shared("slope", "s*x")], "x", "y", nan_policy="propagate")
+    got = wide.wide_fit(df, [wide.levels("a", "p", "a"), wide.shared("slope", "s*x")], "x", "y", nan_policy="omit")
+    assert got.problem.folded and got.outcome.state.n == 899

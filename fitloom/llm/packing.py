@@ -19,6 +19,7 @@ from __future__ import annotations
 import os
 import zlib
 from functools import lru_cache
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from .common import ROW, numbered, read, stage
 CAPACITY = 4096
 END = 1
 VOCABULARY = "word_bpe_49k.json"
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 800_000
 _CACHE_BYTES = 64 << 20  # of the words, their ids take about as much
 
 
@@ -62,33 +63,32 @@ class WordEncoder:
 
     def _learn(self, words: set) -> None:
         """Encode chunks: single words of letters many at a time, others with their closing marks split off."""
-        known, plain, other, split = self.known, set(), [], []
-        for chunk in words:
-            w = chunk.decode()
+        known, plain, other, split, chunks = self.known, {}, [], [], list(words)
+        for chunk, w in zip(chunks, b"\n".join(chunks).decode().split("\n")):  # no chunk holds white space
             if w.isalpha():
-                plain.add(w)
+                plain[w] = chunk
                 continue
             core = w.rstrip(".,!?;:")
             if core != w and core.isalpha() and core.lower().isalpha():  # a mark that joins the next ones keeps the chunk whole
-                if (c := core.encode()) not in known:
-                    plain.add(core)
-                split.append((chunk, c, w[len(core) :].encode()))
+                marks = len(w) - len(core)
+                c = chunk[:-marks]
+                if c not in known:
+                    plain[core] = c
+                split.append((chunk, c, chunk[-marks:]))
             else:
                 other.append(chunk)
         other += {m for _, _, m in split if m not in known}
-        words = [w for w in plain if w.lower().isalpha()]
-        other += [w.encode() for w in plain if not w.lower().isalpha()]
-        for i in range(0, len(words), 512):
-            part = words[i : i + 512]
-            ids = np.asarray(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            ends = (np.flatnonzero(self.last[ids]) + 1) * 4
+        odd = [w for w, c in plain.items() if len(w) < len(c) and not w.lower().isalpha()]  # as long as its bytes: all ASCII
+        other += [plain.pop(w) for w in odd]
+        texts, keys = list(plain), list(plain.values())
+        for i in range(0, len(texts), 512):
+            part, own = texts[i : i + 512], keys[i : i + 512]
+            data = self._whole([" ".join(part)])[0]
+            ends = ((np.flatnonzero(self.last[np.frombuffer(data, "<u4")]) + 1) * 4).tolist()
             if len(ends) != len(part):
-                other += [w.encode() for w in part]
+                other += own
                 continue
-            data, at = ids.tobytes(), 0
-            for w, end in zip(part, ends.tolist()):
-                known[w.encode()] = data[at:end]
-                at = end
+            known.update(zip(own, [data[a:b] for a, b in zip([0, *ends], ends)]))
         for i in range(0, len(other), 512):
             part = other[i : i + 512]
             known.update(zip(part, self._whole([w.decode() for w in part])))
@@ -103,7 +103,7 @@ class WordEncoder:
             self.known.clear()
             self.size = 0
         known = self.known
-        new = set().union(*split).difference(known)
+        new = set(filterfalse(known.__contains__, chain.from_iterable(split)))
         if new:
             self._learn(new)
             self.size += sum(map(len, new))

@@ -105,3 +105,20 @@ def test_bounds_hold():
     q, s, e = neighbours.quantise(a)
     near = neighbours.products(q, q) * s[:, None] * s[None, :]
     assert (np.abs(near - a @ a.T) <= e[:, None] + (1 + e[:, None]) * e[None, :]).all()
+
+
+def test_new_words_are_encoded_without_offsets_and_once():
+    """Words are those of the tokenizer, whatever they end in; a word that is known is not learnt again."""
+    from fitloom.llm import packing
+
+    e = packing.WordEncoder(packing.tokenizer_path())
+
+    class Batches:
+        encode_batch_fast = staticmethod(e.tokenizer.encode_batch_fast)
+
+    texts = ["Plain words, and wörds! ÉTÉ İstanbul ß ŉ x..., 12.5 a-b (c) $$$  nb　sp", "plain words", None, "<|x|> odd"]
+    want = [np.asarray(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+    e.tokenizer = Batches()
+    assert e.encode(texts) == want
+    e._learn = None
+    assert e.encode(texts) == want

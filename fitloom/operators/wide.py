@@ -12,6 +12,11 @@ intervals, or one set of levels beside shared terms, are there, since these fill
 
 Where residuals are linear in the parameters and many rows touch the same levels, these rows are replaced by their
 triangle once (folded): it has the same sums at any parameters, so that steps pass over members and not over rows.
+
+Of such residuals, without bounds, the largest set of levels is solved for apart once it has more parameters than the
+driver should hold: the rows of each of its members lie together, sums and products are those of rows less their
+projection onto the member's own slopes, and only the other parameters are a vector on the driver. With these found,
+each member's parameters follow from its rows, in its task, and are a table.
 """
 
 from __future__ import annotations
@@ -21,15 +26,17 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
 from ..functions.losses import loss
 from . import frame, solve
+from .storage import written
 
 BROADCAST = 500_000  # members up to which their table is sent to all tasks; beyond, rows and members are shuffled
 FOLDED = 50_000  # different rows up to which none are folded
+HELD = 100_000  # parameters of one set of levels up to which they are on the driver
 _COMPARED = ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean", "string", "date")  # keys that Arrow compares
 _EPS = float(np.finfo(float).eps)
 _FLAT = 1e-13  # curvature along a direction, beside 1 along each parameter, that is rounding
@@ -97,6 +104,14 @@ def laid_out(terms: list, keys: list, variables: tuple) -> list:
     return out
 
 
+def agree(one: pa.Array, two: pa.Array) -> np.ndarray:
+    """Where keys are the same; null and NaN are values."""
+    same = pc.or_(pc.fill_null(pc.equal(one, two), False), pc.and_(pc.is_null(one), pc.is_null(two)))
+    if pa.types.is_floating(one.type):
+        same = pc.or_(same, pc.fill_null(pc.and_(pc.is_nan(one), pc.is_nan(two)), False))
+    return same.to_numpy(zero_copy_only=False)
+
+
 def folded(pts: DataFrame, by: list, formulas: list, variables: tuple) -> DataFrame:
     """Rows of the columns `by`, v_<variable>, y and w, those that agree in `by` replaced by the triangle of their slopes
     and residuals at 0: columns `by`, s<term>_<parameter>, r and _n, the number of rows that each stands for.
@@ -123,9 +138,7 @@ def folded(pts: DataFrame, by: list, formulas: list, variables: tuple) -> DataFr
             first, odd = np.ones(n, bool), ~np.isfinite(m).all(1)
             first[1:] = odd[1:] | odd[:-1]
             for c in by:
-                one, two = b.column(c).slice(0, n - 1), b.column(c).slice(1)
-                same = pc.or_(pc.fill_null(pc.equal(one, two), False), pc.and_(pc.is_null(one), pc.is_null(two)))
-                first[1:] |= ~same.to_numpy(zero_copy_only=False)
+                first[1:] |= ~agree(b.column(c).slice(0, n - 1), b.column(c).slice(1))
             start = np.flatnonzero(first)
             size = np.diff(start, append=n)
             few = np.repeat(size <= width, size)
@@ -150,6 +163,58 @@ def folded(pts: DataFrame, by: list, formulas: list, variables: tuple) -> DataFr
     return dealt.mapInArrow(run, ", ".join([f"{c} {kinds[c]}" for c in by] + [f"{c} double" for c in (*names, "r", "_n")]))
 
 
+def whole(batches):
+    """Batches of rows sorted by _key, cut anew so that none ends inside a member."""
+    held: list = []
+    for b in batches:
+        n = b.num_rows
+        if not n:
+            continue
+        key = b.column("_key")
+        at = np.flatnonzero(~agree(key.slice(0, n - 1), key.slice(1))) + 1
+        goes_on = held and agree(held[-1].column("_key").slice(held[-1].num_rows - 1), key.slice(0, 1))[0]
+        if not len(at) and goes_on:
+            held.append(b)
+            continue
+        cut = int(at[-1]) if len(at) else 0
+        if held or cut:
+            yield pa.concat_batches([*held, b.slice(0, cut)])
+        held = [b.slice(cut)]
+    if held:
+        yield pa.concat_batches(held)
+
+
+def basis(batch, apart: int) -> tuple:
+    """(first rows of members, their numbers of rows, columns, triangle): the slopes a0, a1, ... made orthonormal within
+    each member. triangle[j] holds what column j had of those before it, and last its length, infinite where it
+    depends on them; it is 0 there."""
+    key = batch.column("_key")
+    start = np.concatenate([[0], np.flatnonzero(~agree(key.slice(0, len(key) - 1), key.slice(1))) + 1])
+    size = np.diff(start, append=len(key))
+    columns, triangle = [], []
+    for j in range(apart):
+        v = batch.column(f"a{j}").to_numpy()
+        length, had = np.sqrt(np.add.reduceat(v * v, start)), [0.0] * j
+        for _ in (0, 1):  # twice, so that what is left is orthogonal to rounding
+            for i, c in enumerate(columns):
+                s = np.add.reduceat(c * v, start)
+                v, had[i] = v - c * np.repeat(s, size), had[i] + s
+        left = np.sqrt(np.add.reduceat(v * v, start))
+        left = np.where(left > _FLAT * length, left, np.inf)
+        columns.append(v / np.repeat(left, size))
+        triangle.append((*had, left))
+    return start, size, columns, triangle
+
+
+def less(batch, apart: int, x: np.ndarray) -> np.ndarray:
+    """A number per row, less its projection onto the slopes of the levels that are solved for apart."""
+    if apart:
+        start, size, columns, _ = basis(batch, apart)
+        for c in (*columns, *columns):
+            x = x - c * np.repeat(np.add.reduceat(c * x, start), size)
+    return x
+
+
 def touched(df: DataFrame, term: Term, x: str, out: str) -> tuple:
     """(df with column `out`, the numbers of the members that each row touches; keys of the members)."""
     spark = df.sparkSession
@@ -213,30 +278,33 @@ def add(total: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
 
 class WideProblem:
     """Evaluates a sum of parts on rows with v_<variable>, y, w, _m (how often a row counts) and t<i>, the members
-    touched of part i; or on folded rows, with s<i>_<parameter>, r and _n in place of the first four."""
+    touched of part i; or on folded rows, with s<i>_<parameter>, r and _n in place of the first four. Levels that are
+    solved for apart are none of the parts: rows, sorted, have their key _key and slopes a0, a1, ... (`apart` of them)."""
 
-    def __init__(self, pts: DataFrame, parts: list, variables: tuple, which="linear", scale: float = 1.0, method: str = "cg", forcing: float | None = None):
+    def __init__(self, pts: DataFrame, parts: list, variables: tuple, which="linear", scale: float = 1.0, method: str = "cg", forcing: float | None = None, apart: int = 0):
         self.pts, self.parts, self.variables, self.which, self.scale, self.method = pts.persist(), parts, variables, which, scale, method
         self.k, self.calls, self.products, self.forcing = sum(p.size for p in parts), 0, 0, forcing
         self.folded, self.often = "_n" in pts.columns, "_n" if "_n" in pts.columns else "_m"
+        self.apart, self.batches = apart, whole if apart else iter
 
     def close(self) -> None:
         self.pts.unpersist()
 
-    def kernel(self):
-        """What tasks need: batch -> (r, cost, gradient weight, Hessian weight, row, position, slope) of a block; weights hold _m."""
+    def kernel(self, apart: int = 0):
+        """What tasks need: batch -> (r, cost, gradient weight, Hessian weight, row, position, slope) of a block; weights hold _m.
+        apart: r is less its projection onto so many slopes of the levels solved for apart."""
         parts, variables, which, scale = [replace(p, keys=()) for p in self.parts], self.variables, self.which, self.scale  # keys may be many
 
         def triangles(theta: np.ndarray, batch) -> tuple:
-            r, places, slopes = batch.column("r").to_numpy().copy(), [], []
+            r, places, slopes = batch.column("r").to_numpy().copy(), [np.zeros(0, np.int64)], [np.zeros(0)]
             for i, p in enumerate(parts):
                 first = p.start + batch.column(f"t{i}").flatten().to_numpy().astype(np.int64) * len(p.params)
                 for j in range(len(p.params)):
                     places.append(first + j)
                     slopes.append(batch.column(f"s{i}_{j}").to_numpy())
                     r += slopes[-1] * theta[places[-1]]
-            one = np.ones(len(r))
-            return r, 0.5 * r * r, one, one, np.tile(np.arange(len(r)), len(places)), np.concatenate(places), np.concatenate(slopes)
+            r, one = less(batch, apart, r), np.ones(len(r))
+            return r, 0.5 * r * r, one, one, np.tile(np.arange(len(r)), len(places) - 1), np.concatenate(places), np.concatenate(slopes)
 
         if self.folded:
             return triangles
@@ -272,12 +340,12 @@ class WideProblem:
         return block
 
     def __call__(self, theta) -> WideState:
-        theta, k, block, often = np.asarray(theta, float), self.k, self.kernel(), self.often
+        theta, k, block, often, cut = np.asarray(theta, float), self.k, self.kernel(self.apart), self.often, self.batches
         self.calls += 1
 
         def run(batches):
             total = np.zeros(4 + 2 * k)
-            for b in batches:
+            for b in cut(batches):
                 r, cost, first, hess, row, at, slope = block(theta, b)
                 m = b.column(often).to_numpy()
                 total[:4] += [m.sum(), m[~np.isfinite(r)].sum(), cost.sum(), r @ r if often == "_n" else (m * r) @ r]
@@ -298,21 +366,42 @@ class WideProblem:
 
     def product(self, theta: np.ndarray, v: np.ndarray) -> np.ndarray:
         """J'J v, in one job."""
-        k, block = self.k, self.kernel()
+        k, block, apart, cut = self.k, self.kernel(), self.apart, self.batches
         theta = v if self.folded else theta  # of which slopes of triangles do not depend: one vector less to send
         self.products += 1
 
         def run(batches):
             total = np.zeros(k)
-            for b in batches:
+            for b in cut(batches):
                 r, _, _, hess, row, at, slope = block(theta, b)
-                along = np.bincount(row, slope * v[at], len(r)) * hess
+                along = less(b, apart, np.bincount(row, slope * v[at], len(r)) * hess)
                 add(total, at, slope * along[row])
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["i", "s"])
 
         return self.gathered(run, k)
 
+    def members(self, theta: np.ndarray, start: np.ndarray, names: list, kind: str) -> DataFrame:
+        """_key and the parameters of each member of the levels solved for apart, with all others at theta. What its
+        rows do not tell apart stays at its start."""
+        block, apart = self.kernel(), self.apart
+
+        def run(batches):
+            for b in whole(batches):
+                r = block(theta, b)[0] + sum(b.column(f"a{j}").to_numpy() * start[j] for j in range(apart))
+                first, size, columns, triangle = basis(b, apart)
+                along = [np.zeros(len(first)) for _ in columns]
+                for _ in (0, 1):
+                    for j, c in enumerate(columns):
+                        s = np.add.reduceat(c * r, first)
+                        r, along[j] = r - c * np.repeat(s, size), along[j] - s
+                moved: list = [None] * apart
+                for j in reversed(range(apart)):
+                    moved[j] = (along[j] - sum(triangle[i][j] * moved[i] for i in range(j + 1, apart))) / triangle[j][-1]
+                yield pa.RecordBatch.from_arrays([b.column("_key").take(pa.array(first)), *(pa.array(m + start[j]) for j, m in enumerate(moved))], ["_key", *names])
+
+        return self.pts.mapInArrow(run, ", ".join([f"_key {kind}", *(f"{c} double" for c in names)]))
+
     def cells(self, theta: np.ndarray) -> tuple:
         """(i, j, sum) of J'J for i <= j, of pairs that some row touches together."""
         k, block = self.k, self.kernel()
@@ -482,9 +571,12 @@ class WideFit:
     outcome: solve.Outcome
     parts: list
     problem: WideProblem
+    apart: tuple | None = None  # (term, parameters, table) of the levels that are not in theta: a row per member, _key and p0, p1, ...
 
     def member(self, name: str) -> dict:
         """key -> parameters of a term."""
+        if self.apart and self.apart[0].name == name:
+            return {r[0]: list(r[1:]) for r in self.apart[2].collect()}
         p = next(p for p in self.parts if p.term.name == name)
         return dict(zip(p.keys, self.theta[p.start : p.start + p.size].reshape(len(p.keys), -1).tolist()))
 
@@ -495,10 +587,20 @@ class WideFit:
             labels, n = [str(c) if p.term.along else None if key is None else str(key) for c, key in enumerate(p.keys)], len(p.params)
             columns = [pa.repeat(p.term.name, p.size), pa.array(labels, pa.string()).take(np.repeat(np.arange(len(labels)), n)), pa.array(list(p.params) * len(labels), pa.string()), pa.array(self.theta[p.start : p.start + p.size])]
             tables.append(pa.table(columns, ["term", "member", "param", "value"]))
-        return self.problem.pts.sparkSession.createDataFrame(pa.concat_tables(tables), "term string, member string, param string, value double")
+        spark, shape = self.problem.pts.sparkSession, "term string, member string, param string, value double"
+        found = spark.createDataFrame(pa.concat_tables(tables), shape) if tables else spark.createDataFrame([], shape)
+        if not self.apart:
+            return found
+        term, params, members = self.apart
+        key = F.col("_key")
+        label = F.when(key.isNotNull(), F.udf(lambda k: str(k))(key)) if dict(members.dtypes)["_key"] in ("float", "double", "boolean") else key.cast("string")  # text as above
+        each = F.inline(F.array(*(F.struct(F.lit(p).alias("param"), F.col(f"p{j}").alias("value")) for j, p in enumerate(params))))
+        return members.select(F.lit(term.name).alias("term"), label.alias("member"), each).unionByName(found)
 
     def stderr(self, absolute: bool = False) -> np.ndarray:
         """Standard errors, from the factor of the cells; a solve per parameter."""
+        if self.apart:
+            raise ValueError("there are too many levels for a solve per parameter")
         s = self.outcome.state
         norms = np.where(s.diagonal > 0, np.sqrt(np.maximum(s.diagonal, 0)), 1.0)
         f = Blocks(s, 1 / norms, s.g / norms, np.zeros(len(norms))).factor(0.0)
@@ -510,6 +612,27 @@ class WideFit:
         return out if absolute else out * np.sqrt(s.ssr / (s.n - len(out))) if s.n > len(out) else np.full(len(out), np.inf)
 
 
+def largest(terms: list, formulas: list, counts: tuple, p0: dict | None) -> int | None:
+    """The set of levels with the most parameters, if these are more than the driver should hold and start alike; counts: how
+    many members each set of levels has, about."""
+    sizes = dict(zip([i for i, t in enumerate(terms) if t.by is not None], counts))
+    sizes = {i: n * len(formulas[i][1]) for i, n in sizes.items() if formulas[i][1] and np.ndim((p0 or {}).get(terms[i].name, 0.0)) < 2}
+    most = max(sizes, key=sizes.get, default=None)
+    return most if most is not None and sizes[most] > HELD else None
+
+
+def level(key: Column, kind: str) -> Column:
+    """0 for -0, which is the same level, as in any grouping."""
+    return F.when(key == 0, F.lit(0.0).cast(kind)).otherwise(key) if kind in ("float", "double") else key
+
+
+def alone(state: WideState) -> solve.Outcome:
+    """The fit of levels beside no other parameters: nothing is left to search."""
+    if not state.usable:
+        raise ValueError("the model is not finite at the starting values")
+    return solve.Outcome(state.theta, state, 1, 1, 0, 0.0)
+
+
 def wide_fit(
     df: DataFrame, terms: list, x, y: str, variables: tuple = ("x",), p0: dict | None = None, bounds: dict | None = None, sigma: str | None = None, loss: str = "linear", f_scale: float = 1.0,
     nan_policy: str = "raise", method: str = "auto", mask: str | None = None, **options,
@@ -518,6 +641,7 @@ def wide_fit(
     member; parameters start at 0 without. options: ftol, xtol, gtol, max_nfev, callback of solve.minimise.
 
     Rows of no member count with a model value of 0. A member that no row of a local term touches keeps its start.
+    Where levels are solved for apart, theta, the outcome and callbacks have the other parameters, found by "cg".
     nan_policy as in curve_fit; an empty table raises ValueError.
     """
     if method not in ("auto", "cg", "blocks"):
@@ -529,23 +653,33 @@ def wide_fit(
     pts = frame.points(df, roles, nan_policy, extra=tuple(n for n, _ in by)).drop("ord")
     own, formulas = [n for n, _ in by], [formula(t, tuple(variables)) for t in terms]
     linear = loss == "linear" and not any(E.names(s, "param") for _, _, slopes in formulas for s in slopes)
-    seen = frame.variety(pts, pts.columns, own) if own else (*frame.variety(pts, pts.columns), 1)
-    rows, distinct, groups = seen
+    seen = frame.variety(pts, pts.columns, own, *([c] for c in own if len(own) > 1)) if own else (*frame.variety(pts, pts.columns), 1)
+    rows, distinct, groups = seen[:3]
     alike = 4 * groups * (1 + sum(len(params) for _, params, _ in formulas)) <= rows  # triangles are a quarter of the rows at most
     kinds = dict(pts.dtypes)
-    fold = linear and alike and 4 * distinct > rows and distinct > FOLDED and own and all(kinds[c] in _COMPARED for c in own) and not any(t.along for t in terms)
-    pts = base = folded(pts, own, formulas, tuple(variables)).persist() if fold else frame.repeated(pts, seen[:2])
-    keys, named = [], []
+    plain = linear and own and all(kinds[c] in _COMPARED for c in own) and not any(t.along for t in terms)
+    apart = largest(terms, formulas, seen[3:] or seen[2:], p0) if plain and bounds is None else None
+    fold = apart is not None or plain and alike and 4 * distinct > rows and distinct > FOLDED
+    pts = base = folded(pts, own, formulas, tuple(variables)) if fold else frame.repeated(pts, seen[:2])
+    if fold and (apart is None or len(own) > 1):  # looked at more than once
+        base.persist()
+    keys, named, places = [], [], []
     for i, t in enumerate(terms):
+        if i == apart:
+            continue
         inner = Term(t.name, t.text, f"_by{i}" if t.by is not None else None, t.along, t.low, t.high)
-        pts, own = touched(pts, inner, f"v_{t.along}" if t.along else "", f"m{i}")
-        keys.append(own)
+        pts, found = touched(pts, inner, f"v_{t.along}" if t.along else "", f"m{i}")
+        keys.append(found)
         named.append(t)
+        places.append(i)
     parts = laid_out(named, keys, tuple(variables))
-    order = [named.index(p.term) for p in parts]
+    order = [places[named.index(p.term)] for p in parts]
     slopes = [F.col(f"s{i}_{j}").alias(f"s{at}_{j}") for at, i in enumerate(order) for j in range(len(parts[at].params))]
     values = [*slopes, "r", "_n"] if fold else [*(f"v_{v}" for v in variables), "y", "w", "_m"]
-    pts = pts.select(*values, *(F.col(f"m{i}").alias(f"t{at}") for at, i in enumerate(order)))
+    away = [] if apart is None else [level(F.col(f"_by{apart}"), kinds[f"_by{apart}"]).alias("_key"), *(F.col(f"s{apart}_{j}").alias(f"a{j}") for j in range(len(formulas[apart][1])))]
+    pts = pts.select(*away, *values, *(F.col(f"m{i}").alias(f"t{at}") for at, i in enumerate(order)))
+    if away:
+        pts, method = pts.repartition("_key").sortWithinPartitions("_key"), "cg"
     if method == "auto":
         many = [p for p in parts if len(p.keys) > 1]
         method = "blocks" if len(many) <= 1 or all(p.term.along for p in many) else "cg"
@@ -557,13 +691,18 @@ def wide_fit(
             theta[place] = fill(p0[p.term.name])
         if bounds and p.term.name in bounds:
             lo[place], hi[place] = (fill(b) for b in bounds[p.term.name])
-    problem = WideProblem(pts, parts, tuple(variables), loss, f_scale, method, 1e-9 if linear else None)
+    problem = WideProblem(pts, parts, tuple(variables), loss, f_scale, method, 1e-9 if linear else None, len(away[1:]))
+    members = None
     try:
-        if not len(theta):
+        if not away and not len(theta):
             raise ValueError("there are no rows")
         free = bounds is None
-        out = solve.minimise(problem, theta, None if free else lo, None if free else hi, linear=linear, **options)
+        out = solve.minimise(problem, theta, None if free else lo, None if free else hi, linear=linear, **options) if len(theta) else alone(problem(theta))
+        if away:
+            t, params = terms[apart], formulas[apart][1]
+            start = np.broadcast_to(np.asarray((p0 or {}).get(t.name, 0.0), float), len(params))
+            members = t, params, written(problem.members(out.theta, start, [f"p{j}" for j in range(len(params))], kinds[f"_by{apart}"]), "levels")
     finally:
         problem.close()
         base.unpersist()
-    return WideFit(out.theta, out, parts, problem)
+    return WideFit(out.theta, out, parts, problem, members)

@@ -147,3 +147,60 @@ def test_folded_rows_that_are_not_finite_count_as_bad(spark, monkeypatch):
         wide.wide_fit(df, [wide.levels("a", "p", "a"), wide.shared("slope", "s*x")], "x", "y", nan_policy="propagate")
     got = wide.wide_fit(df, [wide.levels("a", "p", "a"), wide.shared("slope", "s*x")], "x", "y", nan_policy="omit")
     assert got.problem.folded and got.outcome.state.n == 899
+
+
+def test_largest_levels_are_solved_for_apart(spark, monkeypatch):
+    """No vector of the driver grows with the members, whose parameters are a table: the same fit, with a null member, a
+    very frequent one, weights, members of one row and starts."""
+    r = np.random.default_rng(7)
+    data = [(int(a) if a < 399 else None, str(b), float(x), float(a % 7 + 0.3 * b + (2.5 + a % 3) * x + e), float(s)) for a, b, x, e, s in zip(r.integers(400, size=6000), r.integers(5, size=6000), r.normal(size=6000), r.normal(size=6000), r.uniform(0.5, 2, 6000))]
+    data += [(3, str(i % 5), float(x), float(x * x), 1.0) for i, x in enumerate(np.linspace(-3, 3, 25_000))] + [(1000 + i, "1", 2.0, float(i), 1.0) for i in range(5)]
+    df = spark.createDataFrame(data, "a int, b string, x double, y double, s double")
+    terms = [wide.shared("bend", "u*x^2 + x"), wide.levels("a", "p + q*x", "a"), wide.levels("b", "t", "b")]
+    plain = wide.wide_fit(df, terms, "x", "y", sigma="s", method="cg")
+    slope = [wide.levels("a", "p", "a"), wide.shared("slope", "s*x")]
+    alone, single = wide.wide_fit(df, slope, "x", "y"), wide.wide_fit(df, [slope[0]], "x", "y")
+    monkeypatch.setattr(wide, "HELD", 100, raising=False)
+    got = wide.wide_fit(df, terms, "x", "y", sigma="s", p0={"a": [0.5, 7.0], "bend": 0.1})
+    assert got.problem.k == len(got.theta) == 6 and got.outcome.state.n == len(data) and got.outcome.state.bad == 0
+    np.testing.assert_allclose(got.outcome.state.cost, plain.outcome.state.cost, rtol=1e-9)
+    mine, theirs, shift = got.member("a"), plain.member("a"), plain.member("b")["0"][0] - got.member("b")["0"][0]  # levels of two sets share a constant
+    assert mine.keys() == theirs.keys() and None in mine and len(mine) == 405
+    for key, (p, q) in theirs.items():
+        np.testing.assert_allclose(mine[key][0] - shift + 2 * mine[key][1], p + 2 * q, atol=1e-5)
+        if key is None or key < 1000:
+            np.testing.assert_allclose(mine[key][1], q, atol=1e-5)
+    assert mine[1003][1] == 7.0  # one row: what it does not tell apart stays at its start
+    np.testing.assert_allclose(got.member("bend")[None], plain.member("bend")[None], atol=1e-7)
+    assert got.table().schema == plain.table().schema
+    text = {(t.term, t.member, t.param): t.value for t in got.table().collect()}
+    assert len(text) == plain.table().count() and text["a", "17", "q"] == mine[17][1] and text["a", None, "p"] == mine[None][0]
+    with pytest.raises(ValueError):
+        got.stderr()
+    for want, found in ((alone, wide.wide_fit(df, slope, "x", "y")), (single, wide.wide_fit(df, [slope[0]], "x", "y"))):
+        assert found.problem.apart == 1 and found.problem.k == len(found.parts) and found.outcome.success
+        values = found.member("a")
+        np.testing.assert_allclose([values[k] for k in want.member("a")], list(want.member("a").values()), atol=1e-6)
+        np.testing.assert_allclose(found.outcome.state.cost, want.outcome.state.cost, rtol=1e-10)
+
+
+def test_members_solved_apart_need_finite_rows(spark, monkeypatch):
+    monkeypatch.setattr(wide, "HELD", 10, raising=False)
+    df = spark.range(900).selectExpr("IF(id % 30 = 4, double('nan'), IF(id % 60 = 30, -0.0D, double(id % 30))) AS a", "double(id) AS x", "IF(id = 7, double('nan'), double(id % 11)) AS y")
+    terms = [wide.levels("a", "p", "a"), wide.shared("slope", "s*x")]
+    with pytest.raises(ValueError, match="not finite"):
+        wide.wide_fit(df, terms, "x", "y", nan_policy="propagate")
+    got = wide.wide_fit(df, terms, "x", "y", nan_policy="omit")
+    assert got.problem.apart and got.outcome.state.n == 899
+    assert {r.member for r in got.table().collect()} == {None, *(str(float(i)) for i in range(30) if i != 4), "nan"}
+
+
+def test_batches_are_cut_between_members():
+    import pyarrow as pa
+
+    keys = [None, None, 1, 1, 1, 1, 1, 1, 1, 2, 3, 3, 4, 5, 5, 5]
+    for cuts in ([1, 2, 3], [4, 4, 8, 9], [9, 10, 11, 12, 13], [5, 14]):
+        parts = [pa.record_batch({"_key": pa.array(p.tolist(), pa.int64())}) for p in np.split(np.array(keys, object), cuts)]
+        got = [b.column("_key").to_pylist() for b in wide.whole(iter(parts))]
+        assert sum(got, []) == keys and len({k for b in got for k in set(b)}) == sum(len(set(b)) for b in got)
+    assert list(wide.whole(iter([]))) == []
